@@ -18,11 +18,13 @@ from pyspark.sql import functions as F
 from .common import id_and_text, saved, small_batches
 
 WORDS = 5
-BANDS, ROWS, REGISTERS = 32, 4, 192
+BANDS, ROWS, REGISTERS = 32, 4, 320
 BASE, RATE, TOP = 1.001, 20.0, 65535
 #: Standard errors below the threshold at which the likelihood still keeps a pair for the exact check.
-MARGIN = 4.5
+MARGIN = 4.0
 BLOCK = 256
+#: So many ids (16 MB) may be broadcast to pick their texts; more are joined by a shuffle.
+MOST_BROADCAST_IDS = 2_000_000
 
 _RANDOM = np.random.default_rng(20240607)
 _BYTE = _RANDOM.integers(0, 2**64, 256, dtype=np.uint64)
@@ -151,7 +153,10 @@ def sets_of(docs: DataFrame, ids: DataFrame, words: int = WORDS) -> DataFrame:
             sets = [one.tobytes() for one, _ in shingle_sets([t.encode("utf-8", "surrogatepass") for t in batch.column("text").to_pylist()], words)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.binary())], ["id", "shingles"])
 
-    return id_and_text(docs).join(ids.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").mapInArrow(run, "id long, shingles binary")
+    wanted = ids.select(F.col("id").alias("doc_id"))
+    if ids.count() <= MOST_BROADCAST_IDS:
+        wanted = F.broadcast(wanted)
+    return id_and_text(docs).join(wanted, "doc_id", "left_semi").mapInArrow(run, "id long, shingles binary")
 
 
 def _root(parent: list[int], i: int) -> int:
