@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_topk, license_scan, media_columns, mixing, near_dedup, packing, quality, url_filter, warc
+from . import exact_topk, html_text, license_scan, media_columns, mixing, near_dedup, packing, quality, url_filter, warc
 from .common import table
 
 
@@ -20,6 +20,10 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_pages(table(spark, sf_dir, "pages"))
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_main_text(table(spark, sf_dir, "pages"))
+
+
 def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_columns.media_columns(table(spark, sf_dir, "documents"))
 
@@ -48,6 +52,7 @@ QUERIES = {
     "op1_url_filters": op1_url_filters,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_warc": op3_warc,
+    "op4_html_extraction": op4_html_extraction,
     "op5_media_columns": op5_media_columns,
     "op6_mixing": op6_mixing,
     "op7_quality_classifier": op7_quality_classifier,
