@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from operator import eq, mul
-from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -15,47 +13,77 @@ from pyspark.sql import functions as F
 from .common import id_and_text, small_batches
 
 BUCKETS, WIDTH, SHORTEST, LONGEST = 1 << 17, 16, 3, 5
+#: Weights are kept as whole numbers of this fraction.
+FIXED = 1 << 24
 #: Training rows of each class at most; the fit is the one thing here that doesn't cover all data.
 ROWS_PER_CLASS = 1000
 EPOCHS, STEP = 4, 0.6
 #: A word that equals the one 1 to 4 places before it adds a word n-gram of its own; counted so many times each.
 BACK, BACK_WEIGHT = 4, 10
-_CACHED_WORDS = 250_000
+_CHARS = 1 << 18
 
 
-def features_of(word: str, buckets: int = BUCKETS) -> list[int]:
-    """The hash buckets of a word and of the character n-grams of the word between < and >."""
-    marked = f"<{word}>"
-    out = [crc32(marked.encode("utf-8", "surrogatepass"), 1) % buckets]
-    for n in range(SHORTEST, min(LONGEST, len(marked) - 1) + 1):
-        out += [crc32(marked[i : i + n].encode("utf-8", "surrogatepass")) % buckets for i in range(len(marked) - n + 1)]
-    return out
+_SPACES = np.array([chr(c).isspace() for c in range(0x3002)])
+_KEYS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1], np.uint32)
+_PLACES = np.random.default_rng(17).integers(0, 2**31, 1024, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 
 
-def repeats(words: list[str]) -> list[int]:
-    """How many words equal the word k places before them, for k from 1 to BACK."""
-    return [sum(map(eq, words, words[k:])) for k in range(1, BACK + 1)]
+def _buckets(hashes: np.ndarray, kind: int) -> np.ndarray:
+    mixed = (hashes ^ (hashes >> np.uint32(15)) ^ np.uint32(kind * 0x3C6EF3)) * np.uint32(0x2C1B3C6D)
+    return (mixed ^ (mixed >> np.uint32(13))) % np.uint32(BUCKETS)
 
 
-def repeat_bucket(k: int, buckets: int = BUCKETS) -> int:
+def repeat_bucket(k: int) -> int:
     """The bucket of the word n-gram whose last word repeats its first, k places apart."""
-    return crc32(b"\x00" + bytes([k]), 2) % buckets
+    return int(_buckets(np.array([k], np.uint32), 9)[0])
 
 
-class _Cache(dict):
-    """Values of words, made where missing, emptied when full; very long words are never kept."""
+def features(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """(buckets, text numbers, weight) of all features of all texts, kind by kind; text numbers don't fall.
 
-    def __init__(self, make, most: int = _CACHED_WORDS) -> None:
-        super().__init__()
-        self.make, self.most = make, most
-
-    def __missing__(self, word: str):
-        value = self.make(word)
-        if len(word) <= 64:
-            if len(self) >= self.most:
-                self.clear()
-            self[word] = value
-        return value
+    Kinds: character n-grams of SHORTEST to LONGEST within a word and the spaces around it, words, and words
+    that repeat one shortly before.
+    """
+    joined = np.frombuffer((" " + "  ".join(texts) + " ").encode("utf-32-le", "surrogatepass"), np.uint32)
+    space = _SPACES[np.minimum(joined, 0x3001)]
+    chars = np.where(space, np.uint32(32), joined)
+    sizes = np.array([len(t) + 2 for t in texts])
+    text_of = np.repeat(np.arange(len(texts), dtype=np.int32), sizes)
+    whole = np.ones(len(chars) - 1, bool)
+    hashes = chars * _KEYS[0]
+    for n in range(2, LONGEST + 1):
+        if len(hashes) < 2:
+            break
+        hashes = hashes[:-1] + chars[n - 1 :] * _KEYS[n - 1]
+        if n >= SHORTEST:
+            whole = whole[: len(hashes)] & ~space[n - 2 : n - 2 + len(hashes)]
+            at = np.flatnonzero(whole)
+            yield _buckets(hashes[at], n), text_of[at], 1
+    inside = np.flatnonzero(~space)
+    if not len(inside):
+        return
+    first = np.ones(len(inside), bool)
+    first[1:] = np.diff(inside) > 1
+    at = np.flatnonzero(first)
+    lengths = np.diff(np.append(at, len(inside)))
+    place = np.arange(len(inside)) - np.repeat(at, lengths)
+    words = np.add.reduceat(chars[inside] * _PLACES[place & 1023], at) + lengths.astype(np.uint32)
+    texts_of_words = text_of[inside[at]]
+    yield _buckets(words, 1), texts_of_words, 1
+    for k in range(1, BACK + 1):
+        same = np.flatnonzero((words[k:] == words[:-k]) & (texts_of_words[k:] == texts_of_words[:-k]))
+        yield np.full(len(same), repeat_bucket(k), np.uint32), texts_of_words[same + k], BACK_WEIGHT
+
+
+def log_odds(texts: list[str], weights: np.ndarray) -> np.ndarray:
+    """The mean weight of each text's features, 0 without any. Whole-number weights make equal texts exactly equal."""
+    total, count = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
+    for buckets, text, times in features(texts):
+        cut = np.flatnonzero(np.diff(text, prepend=-1))
+        if len(cut):
+            total[text[cut]] += np.add.reduceat(weights[buckets], cut) * times
+            count[text[cut]] += np.diff(np.append(cut, len(text))) * times
+    return total / np.maximum(count, 1) / FIXED
 
 
 def held_out(doc_id: Column) -> Column:
@@ -91,7 +119,7 @@ def train(samples: list[tuple[int, np.ndarray, np.ndarray]], prior: float, bucke
             # Shares are small; the step of a vector is scaled by the number of vectors, as in one step for each.
             vectors[at] -= np.outer(rate * np.minimum(share * len(at), 4.0), back)
     weights = vectors @ (output[:, 1] - output[:, 0])
-    return weights.astype(np.float64), float(bias[1] - bias[0]) + prior
+    return np.round(weights.astype(np.float64) * FIXED).astype(np.int64), float(bias[1] - bias[0]) + prior
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CLASS) -> tuple[np.ndarray, float]:
@@ -106,23 +134,19 @@ def fit(docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CLASS
     one = one.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").cast("int").alias("label"))
     there = {r["label"]: r["count"] for r in one.groupBy("label").count().collect()}
     if len(there) < 2:
-        return np.zeros(BUCKETS), {(): 0.0, (0,): -5.0, (1,): 5.0}[tuple(there)]
+        return np.zeros(BUCKETS, np.int64), {(): 0.0, (0,): -5.0, (1,): 5.0}[tuple(there)]
     part = F.when(F.col("label") == 1, min(1.0, rows_per_class / there[1])).otherwise(min(1.0, rows_per_class / there[0]))
     chosen = one.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < part * 1_000_000)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = _Cache(lambda w: np.array(features_of(w), np.int32), 50_000)
-        for batch in small_batches(batches, "text", 1 << 20):
-            at, counts = [], []
-            for text in batch.column("text").to_pylist():
-                words = text.split()
-                total = np.zeros(BUCKETS, np.int64)
-                for i in range(0, len(words), 1000):
-                    total += np.bincount(np.concatenate([cache[w] for w in words[i : i + 1000]]), minlength=BUCKETS)
-                for k, n in enumerate(repeats(words), 1):
-                    total[repeat_bucket(k)] += n * BACK_WEIGHT
-                at.append(np.flatnonzero(total).astype(np.int32))
-                counts.append(total[at[-1]].astype(np.float32))
+        for batch in small_batches(batches, "text", _CHARS):
+            texts, at, counts = batch.column("text").to_pylist(), [], []
+            for k in range(0, len(texts), 16):
+                table = np.zeros((min(16, len(texts) - k), BUCKETS), np.float32)
+                for buckets, text, times in features(texts[k : k + 16]):
+                    np.add.at(table, (text, buckets), times)
+                at += [np.flatnonzero(row).astype(np.int32) for row in table]
+                counts += [row[a] for row, a in zip(table, at[k:], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(at, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.float32()))], ["doc_id", "label", "at", "counts"])
 
     # At most 2 * rows_per_class rows in expectation, so the broadcast is bounded by the parameter.
@@ -145,20 +169,16 @@ def scorer(docs: DataFrame, weights: np.ndarray, bias: float):
     def score(series: pd.Series) -> pd.Series:
         weights, bias = sent.value
 
-        def value(word: str) -> complex:
-            at = features_of(word, len(weights))
-            return complex(float(weights[at].sum()), len(at))
-
-        cache = score_cache.setdefault(id(weights), _Cache(value))
-        out = []
-        back = [weights[repeat_bucket(k, len(weights))] * BACK_WEIGHT + BACK_WEIGHT * 1j for k in range(1, BACK + 1)]
+        odds, group, held = [], [], 0
         for text in series:
-            words = text.split() if text else []
-            total = sum(map(cache.__getitem__, words), 0j) + sum(map(mul, back, repeats(words)), 0j)
-            out.append(1 / (1 + np.exp(-np.clip(total.real / total.imag + bias if total.imag else bias, -500, 500))))
-        return pd.Series(out, dtype="float64")
+            group.append(text or "")
+            held += len(group[-1])
+            if held >= _CHARS:
+                odds.append(log_odds(group, weights))
+                group, held = [], 0
+        odds.append(log_odds(group, weights) if group else np.zeros(0))
+        return pd.Series(1 / (1 + np.exp(-np.clip(np.concatenate(odds) + bias, -500, 500))))
 
-    score_cache: dict[int, _Cache] = {}
     return F.pandas_udf(score, "double")
 
 
