@@ -134,38 +134,31 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def id_encoder(path: str | None = None, cached: int = 300_000) -> Callable[[str], bytes]:
-    """A function from a text to its ids as little-endian 32-bit numbers.
+def byte_of_char() -> dict[str, int]:
+    """The byte that each character of a byte-level vocabulary stands for: visible ones for themselves, others from U+0100 on."""
+    plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 255 and b != 173]
+    other = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(other)}
 
-    The text is split by the vocabulary's own word pattern, and the tokenizer sees each word once; the words'
-    ids are kept until `cached` words are there.
+
+def id_encoder(path: str | None = None) -> Callable[[str], bytes]:
+    """A function from a text to its ids as little-endian 32-bit numbers, special tokens being ordinary text.
+
+    The vocabulary is read by `tokenizers` from its file. Its numbers are the order of its merges, so the ids come
+    from the same vocabulary as ranks, which takes half the time; tests hold them against the tokenizer's own.
     """
     import public_tokenizers
-    import regex
+    import tiktoken
     from tokenizers import Tokenizer
 
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    tokenizer = Tokenizer.from_file(path or tokenizer_path())
-    tokenizer.encode_special_tokens = True
-    split = regex.compile(public_tokenizers.PATTERN).findall
-    known: dict[str, bytes] = {}
+    tokenizer, byte = Tokenizer.from_file(path or tokenizer_path()), byte_of_char()
+    special = {t.content for t in tokenizer.get_added_tokens_decoder().values()}
+    ranks = {bytes(byte[c] for c in piece): k for piece, k in tokenizer.get_vocab().items() if piece not in special}
+    encoding = tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def encode(text: str) -> bytes:
-        words = split(text)
-        try:
-            return b"".join(map(known.__getitem__, words))
-        except KeyError:
-            pass
-        if len(known) > cached:
-            known.clear()
-        missing = list(dict.fromkeys(w for w in words if w not in known))
-        for word, found in zip(missing, tokenizer.encode_batch_fast(missing, add_special_tokens=False), strict=True):
-            known[word] = np.asarray(found.ids, "<u4").tobytes()
-        out = b"".join(map(known.__getitem__, words))
-        for word in missing:
-            if len(word) > 64:
-                del known[word]
-        return out
+        return np.asarray(encoding.encode_ordinary(text), "<u4").tobytes()
 
     return encode
 
