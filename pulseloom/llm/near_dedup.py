@@ -60,8 +60,9 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     lengths = np.diff(np.append(at, len(inside)))
     place = np.arange(len(inside)) - np.repeat(at, lengths)
     values = _BYTE[_LOWER[joined[inside]]] * _NEAR[place & 1023]
-    if lengths.max() > 1024:
-        values *= _FAR[(place >> 10) & 1023] + (place >> 20).astype(np.uint64) * np.uint64(2)
+    late = np.flatnonzero(place >= 1024)
+    if len(late):
+        values[late] *= _FAR[(place[late] >> 10) & 1023] + (place[late] >> 20).astype(np.uint64) * np.uint64(2)
     hashes = _mix(np.add.reduceat(values, at) + lengths.astype(np.uint64))
     return hashes, np.concatenate(([0], np.searchsorted(inside[at], ends)))
 
