@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from .common import id_and_text, saved, small_batches
 
 WORDS = 5
-BANDS, ROWS, REGISTERS = 32, 4, 320
+BANDS, ROWS, REGISTERS = 32, 4, 384
 BASE, RATE, TOP = 1.001, 20.0, 65535
 #: Standard errors below the threshold at which the likelihood still keeps a pair for the exact check.
 MARGIN = 4.0
@@ -167,8 +167,11 @@ def _root(parent: list[int], i: int) -> int:
     return i
 
 
-def _bucket_pairs(rows: list[tuple], threshold: float, registers: int, forest: bool) -> Iterator[tuple[int, int]]:
-    """Likely pairs of one bucket (or of two blocks of one): a maximum spanning forest of them, or all across classes."""
+def _bucket_pairs(rows: list[tuple], threshold: float, registers: int, forest: bool, band: int, width: int) -> Iterator[tuple[int, int]]:
+    """Likely pairs of one bucket (or of two blocks of one): a maximum spanning forest of them, or all across classes.
+
+    A pair that meets in several bands belongs to the first of them alone.
+    """
     ids = np.array([r[0] for r in rows], np.int64)
     known = np.array([r[1] for r in rows], np.int64)
     side = np.array([r[2] for r in rows])
@@ -180,6 +183,9 @@ def _bucket_pairs(rows: list[tuple], threshold: float, registers: int, forest: b
         later = np.arange(i + 1, len(rows))
         later = later[(known[later] != known[i]) & ((side[later] != side[i]) | (side[i] == 2))]
         later = later[np.minimum(n[later], n[i]) >= threshold * np.maximum(n[later], n[i])]
+        if band and len(later):
+            before = (regs[later, : band * width] == regs[i, : band * width]).reshape(len(later), band, width)
+            later = later[~before.all(axis=2).any(axis=1)]
         if not len(later):
             continue
         over, under = (regs[later] > regs[i]).sum(axis=1), (regs[later] < regs[i]).sum(axis=1)
@@ -197,8 +203,8 @@ def _bucket_pairs(rows: list[tuple], threshold: float, registers: int, forest: b
         yield (int(min(ids[i], ids[j])), int(max(ids[i], ids[j])))
 
 
-def _pairs_of_buckets(members: DataFrame, threshold: float, registers: int, forest: bool) -> DataFrame:
-    """Distinct pairs (a < b) from members(key, size, id, known, n, regs).
+def _pairs_of_buckets(members: DataFrame, threshold: float, registers: int, forest: bool, width: int) -> DataFrame:
+    """Distinct pairs (a < b) from members(key, band, size, id, known, n, regs); `width` registers are a band.
 
     A bucket of more than BLOCK members is split into blocks, and each two of its blocks meet in a task of their
     own, so no task holds more than two blocks whatever the bucket's size.
@@ -206,14 +212,14 @@ def _pairs_of_buckets(members: DataFrame, threshold: float, registers: int, fore
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     dealt = members.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "id", "known", F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).cast("int").alias("side"), "n", "regs")
+    dealt = dealt.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "id", "known", F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).cast("int").alias("side"), "n", "regs", "band")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, rows, seen = None, [], set()
 
         def close() -> None:
             if len(rows) > 1:
-                seen.update(_bucket_pairs(rows, threshold, registers, forest))
+                seen.update(_bucket_pairs(rows, threshold, registers, forest, rows[0][5], width))
 
         def out() -> pa.RecordBatch:
             pairs = sorted(seen)
@@ -320,16 +326,16 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.75, words: int = WORDS
     reps = named.join(classes, (named.digest == classes.digest) & (named.doc_id == classes.rep), "left_semi")
     reps = saved(reps.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "regs").dropDuplicates(["id", "n"]), "reps")
     keys = F.array(*[F.xxhash64(F.lit(b), F.expr(f"substring(regs, {2 * rows * b + 1}, {2 * rows})")) for b in range(bands)])
-    banded = reps.select("id", F.explode(keys).alias("key"))
+    banded = reps.select("id", F.posexplode(keys).alias("band", "key"))
     full = banded.groupBy("key").agg(F.count("*").alias("size"), F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key", "size")
     members = saved(banded.join(full, "key"), "members")
     start = members.withColumn("known", F.col("id")).join(reps, "id")
-    first = saved(_pairs_of_buckets(start, threshold, registers, True), "pairs")
+    first = saved(_pairs_of_buckets(start, threshold, registers, True, rows), "pairs")
     links = saved(confirmed(docs, first, threshold, words), "links")
     found = saved(components(links), "components")
-    placed = members.join(found, "id", "left").select("id", "key", F.coalesce("component", "id").alias("known"))
+    placed = members.join(found, "id", "left").select("id", "key", "band", F.coalesce("component", "id").alias("known"))
     mixed = placed.groupBy("key").agg(F.count("*").alias("size"), F.min("known").alias("lo"), F.max("known").alias("hi")).where("lo < hi").select("key", "size")
-    rest = _pairs_of_buckets(placed.join(mixed, "key").join(reps, "id"), threshold, registers, False)
+    rest = _pairs_of_buckets(placed.join(mixed, "key").join(reps, "id"), threshold, registers, False, rows)
     rest = saved(rest.join(first, ["a", "b"], "left_anti"), "pairs")
     more = saved(confirmed(docs, rest, threshold, words), "links")
     found = saved(components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more)), "components")
