@@ -40,24 +40,26 @@ def phase_noise(df: DataFrame, delay: str, order: list[str], pulse_freq: float,
     def angle(k: Column) -> Column:
         return 2 * F.pi() * ((k * F.col("_i")) % n) / n
 
-    aggs: list[Column] = [F.first("_n").alias("n"), F.sum("_w2").alias("_s2"), F.sum(F.col("_z") * F.col("_z")).alias("_zz"), F.sum("_z").alias("_dc"), F.sum(F.col("_z") * F.when(F.col("_i") % 2 == 0, 1).otherwise(-1)).alias("_ny")]
+    aggs: list[Column] = [F.first("_n").alias("n"), F.sum("_w2").alias("_s2"), F.sum(F.col("_z") * F.col("_z")).alias("_zz"), F.sum("_z").alias("_dc")]
+    last = F.floor(n / 2)
+    aggs += [F.sum(F.col("_z") * F.cos(angle(last))).alias("_cl"), F.sum(F.col("_z") * F.sin(angle(last))).alias("_sl")]
     for f in bins:
         low = F.floor(F.lit(f) * n / pulse_freq)
         for j in (0, 1):
             aggs += [F.sum(F.col("_z") * F.cos(angle(low + j))).alias(f"_c{field_name(f)}_{j}"), F.sum(F.col("_z") * F.sin(angle(low + j))).alias(f"_s{field_name(f)}_{j}")]
     out = rows.groupBy(*by).agg(*aggs)
-    count, scale = F.col("n"), F.col("n") * pulse_freq * F.col("_s2")
+    count, scale = F.col("n"), pulse_freq * F.col("_s2")
     step = pulse_freq / count
-    even = F.when(count % 2 == 0, F.col("_ny") * F.col("_ny")).otherwise(0.0)
-    # All bins but the first; one-sided power doubles all of them but the last. For an odd length that one is half a pair.
-    power = (count * F.col("_zz") - F.col("_dc") * F.col("_dc")) / scale * step
-    single = F.when(count % 2 == 0, 0 * even).otherwise(0.0)
-    rms = F.sqrt(F.greatest(power - single, F.lit(0.0)))
+    # All squares but the first; one-sided power counts every bin twice but the last, which for an even length is single anyway.
+    single = F.when(count % 2 == 1, F.col("_cl") ** 2 + F.col("_sl") ** 2).otherwise(0.0)
+    power = (count * F.col("_zz") - F.col("_dc") * F.col("_dc") - single) / scale * step
+    rms = F.sqrt(F.greatest(power, F.lit(0.0)))
     cols = []
     for f in bins:
         name = field_name(f)
-        p0, p1 = ((F.col(f"_c{name}_{j}") ** 2 + F.col(f"_s{name}_{j}") ** 2) * 2 / scale for j in (0, 1))
-        part = F.lit(f) * count / pulse_freq - F.floor(F.lit(f) * count / pulse_freq)
+        low = F.floor(F.lit(f) * count / pulse_freq)
+        p0, p1 = ((F.col(f"_c{name}_{j}") ** 2 + F.col(f"_s{name}_{j}") ** 2) * F.when(low + j == F.floor(count / 2), 1).otherwise(2) / scale for j in (0, 1))
+        part = F.lit(f) * count / pulse_freq - low
         level = 10 * F.log10((p0 + part * (p1 - p0)) / 2)
         cols.append(F.when((F.lit(f) >= 10 * step) & (F.lit(f) <= pulse_freq / 2), level).alias(name))
     return out.select(*by, "n", rms.alias("rms_rad"), (rms / (2 * np.pi * pulse_freq) * 1e9).alias("rms_jitter_ns"), *cols)
@@ -79,10 +81,10 @@ def band_rms(df: DataFrame, delay: str, order: list[str], pulse_freq: float, lo:
         if n > 1:
             window = np.hanning(n)
             psd = np.abs(np.fft.rfft((y - y.mean()) * window)) ** 2 / (n * pulse_freq * (window**2).mean())
-            psd[1 : -1 if n % 2 == 0 else None] *= 2
+            psd[1:-1] *= 2
             freq = np.fft.rfftfreq(n, 1 / pulse_freq)
             chosen = (freq >= lo) & (freq <= hi)
-            power = float(psd[chosen].sum() * pulse_freq / n / n) if chosen.any() else None
+            power = float(psd[chosen].sum() * pulse_freq / n) if chosen.any() else None
         return pd.DataFrame([[*key[:-1], n, power]], columns=[*by, "_n", "_power"])
 
     types = ", ".join(f"{n} {t}" for n, t in df.dtypes if n in by)

@@ -158,7 +158,7 @@ def union_literal(spark: SparkSession, d: str) -> DataFrame:
 @query("phase_noise", f"""WITH {EV}, r AS (SELECT event_type, value * 1e-9 * 2 * pi() * 1000 AS y, row_number() OVER (PARTITION BY event_type ORDER BY us, event_id) - 1 AS i FROM ev), g AS (SELECT *, count(*) OVER w AS n, avg(y) OVER w AS mu FROM r WINDOW w AS (PARTITION BY event_type)),
  h AS (SELECT event_type, n, i, (y - mu) * (0.5 - 0.5 * cos(2 * pi() * i / (n - 1))) AS z, pow(0.5 - 0.5 * cos(2 * pi() * i / (n - 1)), 2) AS w2 FROM g), k AS (SELECT h.*, b.f, CAST(floor(b.f / (1000.0 / n)) AS BIGINT) AS k0 FROM h, (SELECT unnest([10.0, 50.0, 100.0, 200.0]) AS f) b),
  s AS (SELECT event_type, f, n, k0, sum(w2) AS s2, sum(z * cos(2 * pi() * ((k0 * i) % n) / n)) AS a, sum(z * sin(2 * pi() * ((k0 * i) % n) / n)) AS b, sum(z * cos(2 * pi() * (((k0 + 1) * i) % n) / n)) AS c, sum(z * sin(2 * pi() * (((k0 + 1) * i) % n) / n)) AS e FROM k GROUP BY ALL),
- p AS (SELECT event_type, f, n, 2 * (a * a + b * b) / (n * 1000.0 * s2) AS p0, 2 * (c * c + e * e) / (n * 1000.0 * s2) AS p1, f / (1000.0 / n) - k0 AS part FROM s) SELECT event_type, f, n, round(10 * log10((p0 + part * (p1 - p0)) / 2), 3) AS l_f FROM p""")
+ p AS (SELECT event_type, f, n, 2 * (a * a + b * b) / (1000.0 * s2) AS p0, 2 * (c * c + e * e) / (1000.0 * s2) AS p1, f / (1000.0 / n) - k0 AS part FROM s) SELECT event_type, f, n, CASE WHEN f >= 10000.0 / n THEN round(10 * log10((p0 + part * (p1 - p0)) / 2), 3) END AS l_f FROM p""")
 def phase_noise(spark: SparkSession, d: str) -> DataFrame:
     e = events(spark, d).select("event_type", "us", "event_id", "value")
     wide = spectrum.phase_noise(e, "value", ["us", "event_id"], 1000.0, ["event_type"], [10.0, 50.0, 100.0, 200.0], DAY)

@@ -1,0 +1,152 @@
+from __future__ import annotations
+
+import random
+
+import pytest
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from pulseloom.operators import clock, detect, flux, match, scale, sinks, spectrum, stats
+
+
+def series(spark, times, name="t"):
+    return spark.createDataFrame([(int(t), k) for k, t in enumerate(times)], f"{name} long, id_{name} long")
+
+
+def naive_nearest(a, b, tol):
+    used, pairs = set(), []
+    for x in a:
+        best = min((k for k in range(len(b)) if k not in used and abs(b[k] - x) < tol), key=lambda k: (abs(b[k] - x), k), default=None)
+        if best is not None:
+            used.add(best)
+            pairs.append((x, b[best]))
+    return pairs
+
+
+def naive_two_pointer(a, b, tol):
+    i = j = 0
+    pairs = []
+    while i < len(a) and j < len(b):
+        if abs(a[i] - b[j]) <= tol:
+            pairs.append((a[i], b[j]))
+            i, j = i + 1, j + 1
+        elif a[i] < b[j]:
+            i += 1
+        else:
+            j += 1
+    return pairs
+
+
+@pytest.mark.parametrize("how,naive", [("nearest", naive_nearest), ("two_pointer", naive_two_pointer)])
+def test_dense_matching_equals_a_plain_loop(spark, how, naive):
+    rng = random.Random(4)
+    a, b = (sorted(rng.sample(range(6000), 400)) for _ in range(2))
+    got = match.match(series(spark, a, "t_a"), series(spark, b, "t_b"), "t_a", "t_b", 9, how, width=500).collect()
+    pairs = sorted((r.t_a, r.t_b) for r in got if r.status == "matched")
+    assert pairs == sorted(naive(a, b, 9))
+    assert sorted(r.t_a for r in got if r.status == "unmatched_a") == sorted(set(a) - {x for x, _ in pairs})
+    assert sorted(r.t_b for r in got if r.status == "unmatched_b") == sorted(set(b) - {y for _, y in pairs})
+
+
+def test_rejects_carry_the_nearest_delay(spark):
+    got = match.match(series(spark, [100, 500, 900], "t_a"), series(spark, [105, 700], "t_b"), "t_a", "t_b", 10, "greedy_reject", width=1000).collect()
+    assert sorted((r.t_a or -1, r.t_b, r.status) for r in got) == [(-1, 700, "unmatched_b"), (100, 105, "matched"), (500, 700, "rejected"), (900, 700, "rejected")]
+
+
+@pytest.mark.parametrize("width", [1, 7, 100, 10**6])
+def test_prefix_equals_one_window(spark, width):
+    rng = random.Random(1)
+    rows = [(rng.choice("ab"), rng.randrange(500), k, rng.randrange(-5, 9)) for k in range(400)]
+    df = spark.createDataFrame(rows, "key string, t long, id long, v long").repartition(5)
+    got = scale.prefix(df, ["key"], ["t", "id"], width, sums={"s": "v"}, lags={"l": "v"}, rn="r")
+    w = Window.partitionBy("key").orderBy("t", "id")
+    want = df.select("*", F.sum("v").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("s"), F.lag("v").over(w).alias("l"), F.row_number().over(w).cast("long").alias("r"))
+    assert sorted(got.collect(), key=str) == sorted(want.collect(), key=str)
+
+
+def test_debounce_equals_a_plain_loop(spark):
+    rng = random.Random(2)
+    times = sorted(rng.sample(range(9000), 900))
+    kept = [times[0]]
+    for t in times[1:]:
+        if t - kept[-1] >= 25:
+            kept.append(t)
+    got = detect.debounce(series(spark, times), [], ["t", "id_t"], "t", 25, 300)
+    assert sorted(r.t for r in got.collect()) == kept
+
+
+def test_band_join_is_a_hash_join_without_duplicates(spark):
+    a, b = series(spark, range(0, 1000, 10), "t_a"), series(spark, range(3, 1000, 10), "t_b")
+    got = scale.band_join(a, b, "t_a", "t_b", 5)
+    assert got.count() == got.distinct().count() == 100
+    plan = got._jdf.queryExecution().explainString(got._sc._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("simple"))
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_locked_and_jittered_edges(spark):
+    pairs = spark.range(120_000).select((F.col("id") * 5000).alias("t"), F.lit(7).alias("delay"))
+    r = stats.jitter_stats(pairs, "delay", [], 2000).first()
+    assert (r.n, r["mean"], r["std"], r.p999) == (120_000, 7, 0, 0)
+    noisy = pairs.withColumn("delay", (F.pmod(F.xxhash64("t"), F.lit(2001)) - 1000).cast("double"))
+    r = stats.jitter_stats(noisy, "delay").first()
+    assert abs(r["mean"]) < 8 and abs(r["std"] - 577.6) < 5
+
+
+def test_drift_is_found(spark):
+    a = spark.range(1, 5000).select(F.col("id").alias("p"), F.lit(5000.0).alias("period"))
+    b = a.withColumn("period", F.col("period") * (1 - 0.3e-6))
+    assert abs(stats.frequency_skew(a, b, "period", "p").first().ppm - 0.3) < 1e-6
+
+
+def test_tone_is_one_peak(spark):
+    tone = spark.range(4000).select(F.lit("x").alias("k"), F.col("id").alias("i"), (50 * F.sin(2 * F.pi() * 10 * F.col("id") / 1000)).alias("d"))
+    r = spectrum.phase_noise(tone, "d", ["i"], 1000.0, ["k"], [10.0, 50.0, 200.0], 1000).first()
+    assert r.f_10 > r.f_50 + 60 and abs(r.rms_jitter_ns - 50 / 2**0.5) < 0.5
+    band = spectrum.band_rms(tone, "d", ["i"], 1000.0, 9.0, 11.0, ["k"], 1000).first()
+    assert abs(band.band_rms - r.rms_rad) / r.rms_rad < 0.01
+    assert spectrum.band_rms(tone, "d", ["i"], 1000.0, 600.0, 700.0, ["k"], 1000).first().band_rms is None
+
+
+def test_counters_unwrap_to_their_own_steps(spark):
+    wrap, short, step = 2**32 * 1_000_000, 2**48, 10**14
+    df = spark.range(1, 5000).select(F.lit(1).alias("dev"), F.col("id"), ((F.col("id") * step) % wrap).alias("v"))
+    got = clock.unwrap(df, ["dev"], ["id"], "v", wrap, width=100)
+    assert got.where(F.col("unwrapped") != F.col("id") * step).count() == 0
+    both = df.withColumn("v", ((F.col("id") * (short // 50)) % wrap) % short)
+    got = clock.unwrap(both, ["dev"], ["id"], "v", short, wrap % short, width=100)
+    steps = got.select((F.col("unwrapped") - F.lag("unwrapped").over(Window.orderBy("id"))).alias("d"))
+    assert steps.where("d <= 0").count() == 0
+
+
+def test_clock_model_keeps_nanoseconds(spark):
+    x = 10**15 + F.col("id") * 10**10
+    df = spark.range(200).select(F.lit(1).alias("dev"), F.col("id").alias("o"), F.expr("id div 50").alias("s"), x.alias("x"), (x + F.col("id") * 83_240 + F.pmod(F.xxhash64("id"), F.lit(7)) - 3).cast("long").alias("y"))
+    rows = {r.s: r for r in clock.clock_model(df, ["dev"], ["o"], "s", "x", "y").collect()}
+    assert abs(rows[3].slope_m1 - 8.324e-6) < 1e-9 and 1 < rows[3]["std"] < 3 and rows[3].valid and rows[3].n == 128
+
+
+def test_peaks_crossings_and_settling(spark):
+    def spike(i):
+        k = (i - 20) % 100
+        return 10 - abs(k - 5) * 2 if k <= 10 else 0
+
+    df = spark.createDataFrame([("x", i, float(spike(i))) for i in range(1000)], "s string, idx long, v double")
+    assert sorted(r.t for r in detect.detect_peaks(df, ["s"], "idx", "v", 5, 20, 64).collect()) == [25.0 + 100 * k for k in range(10)]
+    assert sorted(r.t for r in detect.detect_crossings(df, ["s"], "idx", "v", 5, 20, 64).collect()) == [22.5 + 100 * k for k in range(10)]
+    assert sorted(r.t for r in detect.detect_linreg(df, ["s"], "idx", "v", 5, min_distance=20, width=64).collect()) == [22.5 + 100 * k for k in range(10)]
+    assert detect.skip_settle(df, ["s"], "idx", "v", 24, 1).agg(F.min("idx")).first()[0] == 30
+
+
+def test_filters_with_empty_values_mean_all(spark):
+    df = spark.createDataFrame([("a", 1), ("b", None)], "tag string, n int")
+    assert flux.f_tags(df, eq={"tag": ""}).count() == flux.f_tags(df, eq={"tag": []}).count() == flux.f_tags(df).count() == 2
+    assert flux.f_tags(df, eq={"tag": ["a", ""]}).count() == flux.f_tags(df, exists=["n"]).count() == 1
+
+
+def test_sinks_refuse(spark, tmp_path):
+    df = spark.createDataFrame([(1, 5), (2, 7)], "o long, t long")
+    sinks.write_edges(df, str(tmp_path / "e"), [], ["o"], "t")
+    with pytest.raises(Exception, match="exist"):
+        sinks.write_edges(df, str(tmp_path / "e"), [], ["o"], "t")
+    with pytest.raises(ValueError, match="backwards"):
+        sinks.write_edges(df.withColumn("t", -F.col("t")), str(tmp_path / "f"), [], ["o"], "t")
