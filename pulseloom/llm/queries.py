@@ -60,7 +60,38 @@ QUERIES = {
     "op9_exact_top_k": op9_exact_top_k,
     "op10_license_scan": op10_license_scan,
 }
+
+
+def _level(name: str, groups: str, key: str, parent: str, above: str) -> str:
+    """SQL of one level of host reputation: {name}(key, parent, n, bad, alpha, beta, mean)."""
+    return f"""{name}_j AS (SELECT g.{key}, g.{parent}, g.n, g.bad, a.mean AS m FROM {groups} g JOIN {above} a ON g.{parent} = a.{parent}),
+ {name}_m AS (SELECT sum((bad / n - m) * (bad / n - m) * n) FILTER (n > 1) AS b, sum(m * (1 - m)) FILTER (n > 1) AS w, sum(m * (1 - m) * (n - 1)) FILTER (n > 1) AS x FROM {name}_j),
+ {name}_r AS (SELECT x, greatest(1e-3, least(0.5, (b - w) / x)) AS rho FROM {name}_m), {name}_s AS (SELECT least(1000.0, greatest(1.0, coalesce(CASE WHEN x > 0 THEN (1 - rho) / rho END, 1000.0))) AS s FROM {name}_r),
+ {name} AS (SELECT {key}, {parent}, n, bad, bad + m * s AS alpha, n - bad + (1 - m) * s AS beta, (bad + m * s) / (n + s) AS mean FROM {name}_j, {name}_s)"""
+
+
+_SUFFIX = "CASE WHEN array_to_string(l[-2:], '.') IN (" + ", ".join(f"'{s}'" for s in url_filter.LONG_SUFFIXES) + ") THEN array_to_string(l[-2:], '.') ELSE l[-1] END"
+_FITS = "CASE " + " ".join(f"WHEN (host = '{r.partition('/')[0]}' OR ends_with(host, '.{r.partition('/')[0]}')) AND starts_with(path, '/{r.partition('/')[2]}') THEN {{'rule': '{r}', 'verdict': '{v}'}}" for r, v in sorted(url_filter.RULES, key=lambda r: -len(r[0]))) + " END"
+
 ORACLES: dict[str, str] = {
+    "op1_url_filters": f"""WITH u AS (SELECT page_id, coalesce(CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) END, '') AS rest FROM pages),
+ h AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+ k AS (SELECT doc_id, min(quality) AS quality FROM labels WHERE quality IN (0, 1) AND doc_id IS NOT NULL GROUP BY 1),
+ c0 AS (SELECT host, string_split(host, '.') AS l, count(*) AS pages, count(quality) AS n, coalesce(sum(1 - quality), 0) AS bad FROM h LEFT JOIN k ON page_id = doc_id GROUP BY host),
+ c1 AS (SELECT *, {_SUFFIX} AS suffix FROM c0), c AS (SELECT host, n, bad, suffix, CASE WHEN contains(suffix, '.') THEN array_to_string(l[-3:], '.') ELSE array_to_string(l[-2:], '.') END AS domain, '' AS everything FROM c1),
+ top AS (SELECT '' AS everything, (sum(bad) + 1) / (sum(n) + 2) AS mean FROM c), gs AS (SELECT suffix, '' AS everything, sum(n) AS n, sum(bad) AS bad FROM c GROUP BY 1), gd AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM c GROUP BY ALL),
+ {_level("bs", "gs", "suffix", "everything", "top")}, {_level("bd", "gd", "domain", "suffix", "bs")}, {_level("bh", "c", "host", "domain", "bd")},
+ v AS (SELECT host, mean - {url_filter.Z} * sqrt(alpha * beta / ((alpha + beta) * (alpha + beta) * (alpha + beta + 1))) > {url_filter.ALLOWED_RATE} AS bad FROM bh), f AS (SELECT page_id, host, path, {_FITS} AS r FROM h)
+ SELECT page_id, host, path, r.rule AS rule, coalesce(r.verdict, CASE WHEN v.bad THEN 'block' ELSE 'allow' END) AS verdict FROM f JOIN v USING (host)""",
+    "op6_mixing": """WITH RECURSIVE c AS (SELECT source, count(*) AS n FROM documents GROUP BY 1), z AS (SELECT sum(sqrt(n)) AS z FROM c),
+ w AS (SELECT source, greatest(1, CAST(floor(1000 * sqrt(n) / z + 0.5) AS BIGINT)) AS w, row_number() OVER (ORDER BY source NULLS FIRST) AS o FROM c, z),
+ p AS (SELECT CAST(sum(w) AS BIGINT) AS period, list(w ORDER BY o) AS ws FROM w),
+ s AS (SELECT CAST(-1 AS BIGINT) AS slot, list_transform(ws, lambda x: CAST(0 AS BIGINT)) AS done, CAST(NULL AS STRUCT(d BIGINT, w BIGINT, o BIGINT, k BIGINT, r BIGINT)) AS pick FROM p
+  UNION ALL SELECT slot + 1, list_transform(done, lambda x, j: CASE WHEN j = pick.o THEN x + 1 ELSE x END), pick FROM (SELECT slot, done, list_min(list_filter(list_transform(range(1, len(ws) + 1),
+   lambda i: CASE WHEN done[i] < ws[i] AND done[i] * period // ws[i] <= slot + 1 THEN {'d': -((-(done[i] + 1) * period) // ws[i]) + CASE WHEN ((done[i] + 1) * period) % ws[i] <> 0 THEN 1 ELSE 0 END, 'w': -ws[i], 'o': i, 'k': done[i], 'r': done[i] * period // ws[i]} END), lambda x: x IS NOT NULL)) AS pick, period FROM s, p WHERE slot + 1 < period)),
+ t AS (SELECT w.source, w.w, pick.k AS k, pick.r AS r, pick.d AS d, slot FROM s JOIN w ON w.o = pick.o WHERE slot >= 0),
+ x AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY coalesce(md5(CAST(doc_id AS VARCHAR)), ''), doc_id) - 1 AS block FROM documents)
+ SELECT x.doc_id, x.source, block, r + block // w * period AS release, d + block // w * period AS deadline, slot + block // w * period AS slot, 0 AS place FROM x JOIN t ON x.source IS NOT DISTINCT FROM t.source AND block % w = k, p""",
     "op9_exact_top_k": """
         WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
                    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),

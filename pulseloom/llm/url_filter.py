@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_skewed
+from .common import join_skewed, saved
 
 #: Fixed values: (rule, verdict); the part up to the first / is a host with all its subdomains, the rest a path prefix.
 RULES = [
@@ -80,7 +80,8 @@ def host_reputation(hosts: DataFrame, labels: DataFrame) -> DataFrame:
     marks = labels.where("doc_id is not null and quality in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("_page")).agg(F.min("quality").alias("quality"))
     counted = hosts.join(marks, F.col("page_id").cast("long") == F.col("_page"), "left").groupBy("host").agg(F.count("*").alias("pages"), F.count("quality").alias("n"), F.coalesce(F.sum(1 - F.col("quality")), F.lit(0)).alias("bad"))
     suffix = suffix_of(F.col("host"))
-    counted = counted.withColumn("suffix", suffix).withColumn("domain", domain_of(F.col("host"), suffix)).withColumn("everything", F.lit("")).cache()
+    counted = counted.withColumn("suffix", suffix).withColumn("domain", domain_of(F.col("host"), suffix)).withColumn("everything", F.lit(""))
+    counted = saved(counted, "hosts")
     domains = counted.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     suffixes = counted.groupBy("suffix", "everything").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     top = counted.groupBy("everything").agg(((F.sum("bad") + 1) / (F.sum("n") + 2)).alias("mean"))
