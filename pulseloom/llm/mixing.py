@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 #: Documents of one block, and about how many slots one period of the schedule has.
 BLOCK_ROWS, SLOTS = 1, 1000
 #: Rows that one window task should sort at most when a source is one big group.
-_ROWS_PER_BUCKET = 20_000
+_ROWS_PER_BUCKET = 2_000
 
 
 def pfair_period(weights: dict) -> list[tuple]:
