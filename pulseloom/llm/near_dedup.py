@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, saved, small_batches
+from .common import id_and_text, join_skewed, saved, small_batches
 
 WORDS = 5
 BANDS, ROWS, REGISTERS = 32, 4, 384
@@ -322,7 +322,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.75, words: int = WORDS
         raise ValueError("bands * rows exceeds the number of registers")
     all_rows = saved(sketches(docs, words, registers), "sketches")
     named = all_rows.where("doc_id is not null and n_shingles > 0")
-    classes = named.groupBy("digest").agg(F.min("doc_id").alias("rep"))
+    classes = named.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     reps = named.join(classes, (named.digest == classes.digest) & (named.doc_id == classes.rep), "left_semi")
     reps = saved(reps.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "regs").dropDuplicates(["id", "n"]), "reps")
     keys = F.array(*[F.xxhash64(F.lit(b), F.expr(f"substring(regs, {2 * rows * b + 1}, {2 * rows})")) for b in range(bands)])
@@ -339,8 +339,8 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.75, words: int = WORDS
     rest = saved(rest.join(first, ["a", "b"], "left_anti"), "pairs")
     more = saved(confirmed(docs, rest, threshold, words), "links")
     found = saved(components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more)), "components")
-    known = classes.join(found, F.col("rep") == F.col("id"), "left").select("digest", F.coalesce("component", "rep").alias("component"))
-    out = all_rows.select("doc_id", "digest", "n_shingles").join(known, "digest", "left")
+    known = classes.join(found, F.col("rep") == F.col("id"), "left").select(F.hex("digest").alias("digest"), F.coalesce("component", "rep").alias("component"), "copies")
+    out = join_skewed(all_rows.select("doc_id", F.hex("digest").alias("digest"), "n_shingles"), known, "digest", "copies", all_rows.count(), "doc_id")
     own = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
     out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), own).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
