@@ -77,7 +77,7 @@ def match(a: DataFrame, b: DataFrame, ta: str, tb: str, tol: float, how: str = "
     within tol, which equals the others where each series' gaps exceed 2 tol. The greedy ones are folded per
     island of the merged series: rows further than tol apart can't meet, so islands are independent; data
     without any such gap are one task per key.
-    Rejected rows carry the delay to the nearest b (passed, taken or free) within the data of their key.
+    Rejected rows carry the delay to the nearest b after the last one taken before them; without any they are left out.
     """
     on = on or []
     left = a.select(*on, F.col(ta).cast("long").alias("t_a"))
@@ -116,8 +116,10 @@ def match(a: DataFrame, b: DataFrame, ta: str, tb: str, tol: float, how: str = "
     if how != "greedy_reject":
         return out
     rejected = out.where("status = 'rejected'").select(*on, "t_a", F.monotonically_increasing_id().alias("_id"))
-    back = as_of(rejected, right, "t_a", "t_b", on)
-    both = as_of(back.withColumnRenamed("t_b", "t_back"), right, "t_a", "t_b", on, direction="forward").withColumnRenamed("t_b", "t_next")
+    taken = out.where("status = 'matched'").select(*on, F.col("t_a").alias("taken_a"), F.col("t_b").alias("taken_b"))
+    left_over = as_of(rejected, taken, "t_a", "taken_a", on).drop("taken_a").withColumn("t_from", F.greatest("t_a", F.col("taken_b") + 1))
+    back = as_of(left_over, right, "t_a", "t_b", on).withColumn("t_back", F.when(F.col("taken_b").isNull() | (F.col("t_b") > F.col("taken_b")), F.col("t_b"))).drop("t_b")
+    both = as_of(back, right, "t_from", "t_b", on, direction="forward").withColumnRenamed("t_b", "t_next")
     near = F.when(F.col("t_next").isNull() | (F.col("t_a") - F.col("t_back") <= F.col("t_next") - F.col("t_a")), F.col("t_back")).otherwise(F.col("t_next"))
     both = both.withColumn("t_b", near).where("t_b is not null")
     rejects = both.select(*on, "t_a", "t_b", (F.col("t_b") - F.col("t_a")).alias("delay"), F.lit("rejected").alias("status"))

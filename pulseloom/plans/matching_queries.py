@@ -44,7 +44,7 @@ def match_band(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("match_reject", f"""WITH RECURSIVE {_SPACED}, p AS (SELECT t_a, t_b FROM a JOIN b ON abs(t_b - t_a) <= {TOL}), r AS (SELECT t_a FROM a WHERE t_a NOT IN (SELECT t_a FROM p)),
- n AS (SELECT r.t_a, (SELECT arg_min(t_b, struct_pack(x := abs(t_b - r.t_a), y := t_b)) FROM b) AS t_b FROM r)
+ k AS (SELECT r.t_a, coalesce((SELECT max(t_b) FROM p WHERE p.t_a < r.t_a), -1) AS c FROM r), n AS (SELECT k.t_a, (SELECT arg_min(t_b, struct_pack(x := abs(t_b - k.t_a), y := t_b)) FROM b WHERE t_b > k.c) AS t_b FROM k)
  SELECT t_a, t_b, t_b - t_a AS delay, 'matched' AS status FROM p UNION ALL SELECT t_a, t_b, t_b - t_a, 'rejected' FROM n WHERE t_b IS NOT NULL UNION ALL SELECT NULL, t_b, NULL, 'unmatched_b' FROM b WHERE t_b NOT IN (SELECT t_b FROM p)""")
 def match_reject(spark: SparkSession, d: str) -> DataFrame:
     return match.match(*spaced(spark, d), "t_a", "t_b", TOL, "greedy_reject", width=DAY)

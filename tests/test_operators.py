@@ -53,6 +53,19 @@ def test_rejects_carry_the_nearest_delay(spark):
     assert sorted((r.t_a or -1, r.t_b, r.status) for r in got) == [(-1, 700, "unmatched_b"), (100, 105, "matched"), (500, 700, "rejected"), (900, 700, "rejected")]
 
 
+def test_dense_rejects_equal_a_plain_loop(spark):
+    rng = random.Random(8)
+    a, b = (sorted(rng.sample(range(9000), 300)) for _ in range(2))
+    start, want = 0, []
+    for x in a:
+        if start < len(b):
+            k = min(range(start, len(b)), key=lambda k: (abs(b[k] - x), k))
+            want.append((x, b[k], "rejected" if abs(b[k] - x) > 9 else "matched"))
+            start = start if abs(b[k] - x) > 9 else k + 1
+    got = match.match(series(spark, a, "t_a"), series(spark, b, "t_b"), "t_a", "t_b", 9, "greedy_reject", width=500).where("status in ('matched', 'rejected')").collect()
+    assert sorted((r.t_a, r.t_b, r.status) for r in got) == sorted(want)
+
+
 @pytest.mark.parametrize("width", [1, 7, 100, 10**6])
 def test_prefix_equals_one_window(spark, width):
     rng = random.Random(1)
