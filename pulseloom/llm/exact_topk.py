@@ -72,15 +72,20 @@ def exact_top_k(embeddings: DataFrame, k: int = K, every: int = EVERY, shard: in
     task of bounded size, and a query's best of all shards are merged by a window over k rows per shard.
 
     Rows with a null vec_id, a null vector, or null, NaN or infinite components take no part. Vectors are compared
-    with those of their own length only. Of rows that repeat a vec_id each is a candidate, so a repeated query
-    vec_id is one query per row, merged by vec_id with distinct results. Scores beyond 64 bits are cut to the
-    nearest long. An empty table gives an empty result.
+    with those of their own length only. As in the SQL, of rows that repeat a vec_id each is a candidate and each
+    is a query: the k best pairs of all rows of a query's vec_id are ranked, and a repeated row takes a rank for
+    each copy. No more than k copies of a row can show, so further ones are dropped before the search, and rows
+    of one vec_id are dealt over shards and lists by their vectors. Scores beyond 64 bits are cut to the nearest
+    long. An empty table gives an empty result.
     """
-    rows = scaled(embeddings)
-    total = rows.count()
-    shards, lists = max(1, -(-total // shard)), max(1, -(-total // (every * queries)))
-    parts = rows.select(F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int").alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(lists - 1))).alias("list"), "vec_id", "v")
-    asked = rows.where(F.col("vec_id") % every == 0).select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(lists)).cast("int").alias("list"), "vec_id", "v")
+    every_row = scaled(embeddings)
+    # Only sizes come from hashes of vectors, where an equal hash of two does no harm.
+    copies = every_row.groupBy("vec_id", F.xxhash64("v").alias("v")).agg(F.least(F.count("*"), F.lit(k)).alias("n"))
+    total, questions = copies.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.when(F.col("vec_id") % every == 0, F.col("n"))), F.lit(0))).first()
+    shards, lists = max(1, -(-total // shard)), max(1, -(-questions // queries))
+    rows = every_row.groupBy("vec_id", "v").agg(F.count("*").alias("n")).select("vec_id", "v", F.explode(F.sequence(F.lit(1), F.least("n", F.lit(k)))).alias("copy"))
+    parts = rows.select(F.pmod(F.xxhash64("vec_id", "v"), F.lit(shards)).cast("int").alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(lists - 1))).alias("list"), "vec_id", "v")
+    asked = rows.where(F.col("vec_id") % every == 0).select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.pmod(F.xxhash64("vec_id", "v", F.lit(1)), F.lit(lists)).cast("int").alias("list"), "vec_id", "v")
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         found = []
@@ -91,6 +96,6 @@ def exact_top_k(embeddings: DataFrame, k: int = K, every: int = EVERY, shard: in
         limit = 2**63
         return pd.DataFrame({"query_id": np.array([a for a, _, _ in found], np.int64), "vec_id": np.array([b for _, b, _ in found], np.int64), "score": np.array([max(-limit, min(limit - 1, s)) for _, _, s in found], np.int64)})
 
-    best = asked.groupBy("shard", "list").cogroup(parts.groupBy("shard", "list")).applyInPandas(run, "query_id long, vec_id long, score long").distinct()
+    best = asked.groupBy("shard", "list").cogroup(parts.groupBy("shard", "list")).applyInPandas(run, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

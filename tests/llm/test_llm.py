@@ -277,6 +277,21 @@ def test_top_k_equals_brute_force(spark):
     assert exact_topk.exact_top_k(df.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("shard,asked", [(10_000, 1000), (60, 7)])
+def test_top_k_of_repeated_rows_equals_sql(spark, shard, asked):
+    random = np.random.default_rng(6)
+    rows = [(int(i), [float(x) for x in random.integers(-64, 64, 8) / 128]) for i in range(300)]
+    # Repeated candidates and queries, a vec_id with a third of all rows (copies and other vectors), and one as a query.
+    rows += [rows[k] for k in (7, 7, 7, 7, 7, 7, 50, 50, 100, 31)] + [(7, [0.5] * 8)] * 9 + [(50, [0.25] * 8)] * 3
+    rows += [(13, [float(x) for x in random.integers(-64, 64, 8) / 128]) for _ in range(120)] + [(150, rows[150][1])] * 100 + [(150, [float(x) for x in random.integers(-64, 64, 8) / 128]) for _ in range(20)]
+    df = spark.createDataFrame([rows[k] for k in random.permutation(len(rows))], "vec_id long, embedding array<double>")
+    got = exact_topk.exact_top_k(df, shard=shard, queries=asked).collect()
+    embeddings = df.toPandas()  # noqa: F841
+    want = duckdb.sql(queries.ORACLES["op9_exact_top_k"]).fetchall()
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == sorted(want)
+    assert len(got) == 5 * 6
+
+
 def test_pruning_skips_blocks_and_keeps_ties():
     x = np.repeat(np.arange(64, dtype=float)[:, None], 2, axis=1)
     got = exact_topk.search_shard((np.array([0]), np.array([[1.0, 1.0]])), (np.arange(64), x), 5, 4)
