@@ -18,7 +18,7 @@ BASE = [
     ("apache license version 2", "apache-2"),
     ("cc by nc", "cc-by-nc"),
 ]
-#: Fixed values: (label, keyword, name as a regex over lower-case words, identifier as words, address as words).
+#: Fixed values: (label, keywords of which any will do, name as a regex over lower-case words, identifier as words, address as words).
 FAMILIES = [
     ("0bsd", "bsd", "(?:zero clause bsd|bsd zero clause|0bsd) licen[cs]e", "0bsd", "opensource org licenses 0bsd"),
     ("afl-3", "academic", "academic free licen[cs]e(?: v| version)? 3(?: 0)?", "afl 3 0", "opensource org licenses afl 3 0"),
@@ -33,13 +33,13 @@ FAMILIES = [
     ("bsd-4", "bsd", "(?:bsd 4 clause|4 clause bsd|original bsd) licen[cs]e", "bsd 4 clause", "spdx org licenses bsd 4 clause"),
     ("bsl-1", "boost", "boost software licen[cs]e(?: v| version)?(?: 1 0)?", "bsl 1 0", "boost org license 1 0"),
     ("busl-1.1", "business", "business source licen[cs]e(?: v| version)?(?: 1 1)?", "busl 1 1", "mariadb com bsl11"),
-    ("cc-by", "cc", "(?:cc by|creative commons attribution)(?: international| licen[cs]e)?(?: [1-4] 0)?(?! (?:nc|nd|sa|non ?commercial|no ?deriv|share))", "cc by [1-4] 0", "creativecommons org licenses by [1-4]"),
-    ("cc-by-nc", "cc", "(?:cc by nc|creative commons attribution non ?commercial)(?: international| licen[cs]e)?(?: [1-4] 0)?(?! (?:nd|sa|no ?deriv|share))", "cc by nc [1-4] 0", "creativecommons org licenses by nc [1-4]"),
-    ("cc-by-nc-nd", "cc", "(?:cc by nc nd|creative commons attribution non ?commercial no ?deriv(?:ative)?s?)(?: works)?(?: [1-4] 0)?", "cc by nc nd [1-4] 0", "creativecommons org licenses by nc nd"),
-    ("cc-by-nc-sa", "cc", "(?:cc by nc sa|creative commons attribution non ?commercial share ?alike)(?: [1-4] 0)?", "cc by nc sa [1-4] 0", "creativecommons org licenses by nc sa"),
-    ("cc-by-nd", "cc", "(?:cc by nd|creative commons attribution no ?deriv(?:ative)?s?)(?: works)?(?: [1-4] 0)?", "cc by nd [1-4] 0", "creativecommons org licenses by nd"),
-    ("cc-by-sa", "cc", "(?:cc by sa|creative commons attribution share ?alike)(?: [1-4] 0)?", "cc by sa [1-4] 0", "creativecommons org licenses by sa"),
-    ("cc0-1", "cc0", "(?:cc0|creative commons zero)(?: 1 0)?(?: universal)?(?: public domain dedication| licen[cs]e)", "cc0 1 0", "creativecommons org publicdomain zero"),
+    ("cc-by", "cc by|creative", "(?:cc by|creative commons attribution)(?: international| licen[cs]e)?(?: [1-4] 0)?(?! (?:nc|nd|sa|non ?commercial|no ?deriv|share))", "cc by [1-4] 0", "creativecommons org licenses by [1-4]"),
+    ("cc-by-nc", "cc by|creative", "(?:cc by nc|creative commons attribution non ?commercial)(?: international| licen[cs]e)?(?: [1-4] 0)?(?! (?:nd|sa|no ?deriv|share))", "cc by nc [1-4] 0", "creativecommons org licenses by nc [1-4]"),
+    ("cc-by-nc-nd", "cc by|creative", "(?:cc by nc nd|creative commons attribution non ?commercial no ?deriv(?:ative)?s?)(?: works)?(?: [1-4] 0)?", "cc by nc nd [1-4] 0", "creativecommons org licenses by nc nd"),
+    ("cc-by-nc-sa", "cc by|creative", "(?:cc by nc sa|creative commons attribution non ?commercial share ?alike)(?: [1-4] 0)?", "cc by nc sa [1-4] 0", "creativecommons org licenses by nc sa"),
+    ("cc-by-nd", "cc by|creative", "(?:cc by nd|creative commons attribution no ?deriv(?:ative)?s?)(?: works)?(?: [1-4] 0)?", "cc by nd [1-4] 0", "creativecommons org licenses by nd"),
+    ("cc-by-sa", "cc by|creative", "(?:cc by sa|creative commons attribution share ?alike)(?: [1-4] 0)?", "cc by sa [1-4] 0", "creativecommons org licenses by sa"),
+    ("cc0-1", "cc0|creative", "(?:cc0|creative commons zero)(?: 1 0)?(?: universal)?(?: public domain dedication| licen[cs]e)", "cc0 1 0", "creativecommons org publicdomain zero"),
     ("cddl-1", "common", "common development and distribution licen[cs]e(?: v| version)?(?: 1 [01])?", "cddl 1 [01]", "opensource org licenses cddl"),
     ("cecill-2", "cecill", "cecill(?: free software)? licen[cs]e(?: agreement)?", "cecill 2 [01]", "cecill info licences"),
     ("cpl-1", "common", "common public licen[cs]e(?: v| version)?(?: 1 0)?", "cpl 1 0", "opensource org licenses cpl1"),
@@ -86,7 +86,7 @@ SHAPES = [
     ("address", r"\b(?:A)\b", 2, 0.85),
     ("name", r"\b(?:N)\b", 1, 0.6),
 ]
-#: Rules of their own, for texts without a family name: (label, keyword, regex, priority, certainty).
+#: Rules of their own, for texts without a family name: (label, keywords, regex, priority, certainty).
 TEXTS = [
     ("mit", "permission", r"\bpermission is hereby granted free of charge to any person obtaining a copy\b", 5, 0.95),
     ("isc", "permission", r"\bpermission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted\b", 5, 0.95),
@@ -102,21 +102,25 @@ _ANCHORS = [b"licen", b"spdx", b"cc by", b"creative", b"cc0", b"permission", b"r
 
 class Rule(NamedTuple):
     label: str
-    keyword: bytes
+    keywords: tuple[bytes, ...]
     regex: re.Pattern
     priority: int
     certainty: float
 
 
+def _keywords(words: str) -> tuple[bytes, ...]:
+    return tuple(w.encode() for w in words.split("|"))
+
+
 @functools.cache
 def rules() -> tuple[Rule, ...]:
     """All signature rules, in order: rising priority number last, so that earlier ones win ties."""
-    out = [Rule(label, word.encode(), re.compile(text), priority, sure) for label, word, text, priority, sure in TEXTS]
+    out = [Rule(label, _keywords(word), re.compile(text), priority, sure) for label, word, text, priority, sure in TEXTS]
     for label, word, name, identifier, address in FAMILIES:
         for kind, shape, priority, sure in SHAPES:
             text = re.sub(r"\(\?:([NIA])\)", lambda m, f={"N": name, "I": identifier, "A": address}: f"(?:{f[m[1]]})", shape)
             need = {"identifier": "spdx", "address": re.match(r"[a-z0-9]+(?: [a-z0-9]+)*", address)[0]}.get(kind, word)
-            out.append(Rule(label, need.encode(), re.compile(text), priority, sure))
+            out.append(Rule(label, _keywords(need), re.compile(text), priority, sure))
     return tuple(sorted(out, key=lambda r: -r.priority))
 
 
@@ -130,7 +134,7 @@ def detections(words: list[bytes]) -> list[tuple[int, int, Rule]]:
     if not any(a in spaced for a in _ANCHORS):
         return []
     text = line.decode("utf-8", "replace")
-    found = [(m.start(), m.end(), k, r) for k, r in enumerate(rules()) if r.keyword in line for m in r.regex.finditer(text)]
+    found = [(m.start(), m.end(), k, r) for k, r in enumerate(rules()) if any(w in line for w in r.keywords) for m in r.regex.finditer(text)]
     kept: list[tuple[int, int, Rule]] = []
     for start, end, _, rule in sorted(found, key=lambda f: (-f[3].priority, f[0] - f[1], f[0], f[2])):
         if not any(a <= start and end <= b for a, b, _ in kept):

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 import zlib
 
 import duckdb
@@ -316,6 +317,43 @@ def test_license_scan(spark):
     assert len(license_scan.rules()) > 250
 
 
+def texts_of(tree):
+    """Texts made from each alternative of a parsed regex, the shortest and a longer form of each repeat."""
+    out = [""]
+    for op, value in tree:
+        kind = str(op)
+        if kind == "LITERAL":
+            parts = [chr(value)]
+        elif kind == "IN":
+            parts = ["7" if str(value[0][0]) == "CATEGORY" else chr(value[0][1] if str(value[0][0]) == "LITERAL" else value[0][1][0])]
+            parts += [chr(v) for k, v in value[1:] if str(k) == "LITERAL"]
+        elif kind == "BRANCH":
+            parts = [t for branch in value[1] for t in texts_of(branch)]
+        elif kind == "SUBPATTERN":
+            parts = texts_of(value[-1])
+        elif kind == "MAX_REPEAT":
+            least, most, inner = value
+            parts = [t * n for n in {least, min(most, least + 1)} for t in texts_of(inner)]
+        else:
+            assert kind in ("AT", "ASSERT_NOT"), kind
+            parts = [""]
+        out = [a + b for a in out for b in dict.fromkeys(parts)]
+    return out
+
+
+def test_no_gate_loses_a_match_of_its_rule():
+    for rule in license_scan.rules():
+        texts = [t for t in texts_of(re._parser.parse(rule.regex.pattern)) if rule.regex.search(t)]
+        assert texts, rule
+        for text in texts:
+            line = text.encode()
+            assert any(w in line for w in rule.keywords), (rule.label, text)
+            assert any(a in b" " + line + b" " for a in license_scan._ANCHORS), (rule.label, text)
+    words = b"this work is licensed under the creative commons attribution 4 0 international license".split()
+    assert "cc-by" in {r.label for _, _, r in license_scan.detections(words)}
+    assert {r.label for _, _, r in license_scan.detections(b"creative commons zero public domain dedication".split())} == {"cc0-1"}
+
+
 def test_url_judgement(spark):
     urls = [None, "", "no scheme", "HTTP://WWW.Example.COM/en/x", "http://example.com/en/y?z", "http://a.example.com/en/", "http://x.com", "http://x.com/", "http://x.com?q=/", "https://b.net/es/1#f", "https://b.net/fr/", "https://b.net/de/", "http://notexample.com/en/", "x://com/", "a://b://c/d", "http://h\n.org/p\nq?r"]
     rows = [(k, u, "h") for k, u in enumerate(urls)] + [(None, "http://bad.org/", None), (99, "http://bad.org/", None), (99, "http://bad.org/", None)]
