@@ -2,25 +2,128 @@
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Iterator
+from itertools import groupby, islice
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
+
+from .scale import bucket_of, prefix
+
 
-from .scale import islands, prefix
+def _exits(times: Iterator, min_distance: float) -> list[tuple]:
+    """(to, exit): the last kept time of a bucket for each way into it, its times given in order.
+
+    Whatever was kept before, the first row kept here is one of those from the first up to the first at least
+    min_distance after it. All of them are followed at once; ways that meet go on as one. A pair stands for the
+    ways up to `to` and after the pair before, which all end at `exit`.
+    """
+    ways, parent, ends, first, opened = deque(), [], [], None, True
+    entries = []
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    for t in times:
+        if entries and t == entries[-1]:
+            continue
+        first = t if first is None else first
+        due = None
+        while ways and t - ways[0][0] >= min_distance:
+            i = ways.popleft()[1]
+            if due is None:
+                due = i
+            else:
+                parent[i] = due
+        if opened:
+            entries.append(t)
+            parent.append(len(parent) if due is None else due)
+            ends.append(t)
+            due = parent[-1]
+            opened = t - first < min_distance
+        if due is not None:
+            ends[due] = t
+            ways.append((t, due))
+    out: list[tuple] = []
+    for i, t in enumerate(entries):
+        end = ends[root(i)]
+        if out and out[-1][1] == end:
+            out.pop()
+        out.append((t, end))
+    return out
 
 
 def debounce(df: DataFrame, by: list[str], order: list[str], t: str, min_distance: float, width: float | None = None) -> DataFrame:
-    """The rows at least min_distance after the last kept one of their key.
+    """The rows at least min_distance after the last kept one of their key; t is order[0], rows without it are dropped.
 
-    A gap of min_distance or more always keeps the next row, so the fold runs per island between such gaps.
+    A two-level scan: buckets of `width` (min_distance at least) are summed up to their last kept time for each way
+    into them, the summaries are chained per key, and each bucket is gone through again from the time kept before
+    it. Rows stream through in order; a task holds numbers for the rows within min_distance of a bucket's start.
     """
-    own = df.columns
-    cut = islands(df, by, order, min_distance, width or 1000 * min_distance)
-    keys = [*by, "island"]
-    rows = cut.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)], F.struct(*own).alias("row")))).alias("rows"))
-    first = F.transform(F.slice("rows", 1, 1), lambda x: x["row"])
-    rest = F.slice(F.col("rows"), F.lit(2), F.greatest(F.size("rows") - 1, F.lit(0)))
-    kept = F.aggregate(rest, first, lambda s, x: F.when(x["o0"] - F.element_at(s, -1)[t] >= min_distance, F.concat(s, F.array(x["row"]))).otherwise(s))
-    return rows.select(F.explode(kept).alias("row")).select("row.*")
+    if min_distance <= 0:
+        return df
+    own, kind, n = df.columns, df.schema[t].dataType, len(by)
+    keys = [df.schema[c] for c in by] + [T.StructField("_b", T.LongType())]
+    cut = df.where(F.col(t).isNotNull()).withColumn("_b", bucket_of(t, max(width or 1000 * min_distance, min_distance)))
+
+    def groups(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple]:
+        """(key, its rows' other values) of batches that start with `size` columns of a key and are sorted by it."""
+        rows = (r for batch in batches for r in zip(*[c.to_pylist() for c in batch.columns], strict=True))
+        for key, some in groupby(rows, lambda r: r[:size]):
+            yield key, (r[size:] for r in some)
+
+    def batch_of(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+        columns = zip(*rows, strict=True) if rows else [()] * len(schema)
+        return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+    def in_parts(rows: Iterator[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+        while part := list(islice(rows, 10_000)):
+            yield batch_of(part, schema)
+
+    summary = T.StructType([*keys, T.StructField("to", kind), T.StructField("exit", kind)])
+    summary_arrow = to_arrow_schema(summary)
+
+    def sum_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from in_parts(((*key, *pair) for key, rows in groups(batches, n + 1) for pair in _exits((r[0] for r in rows), min_distance)), summary_arrow)
+
+    ways = cut.select(*by, "_b", F.col(t).alias("_t")).repartition(*by, "_b").sortWithinPartitions(*by, "_b", "_t").mapInArrow(sum_up, summary)
+    start = T.StructType([*keys, T.StructField("_last", kind)])
+    start_arrow = to_arrow_schema(start)
+
+    def chained(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for key, rows in groups(batches, n):
+            last = None
+            for b, pairs in groupby(rows, lambda r: r[0]):
+                yield *key, b, last
+                last = next((end for _, to, end in pairs if last is None or to - last >= min_distance), last)
+
+    def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from in_parts(chained(batches), start_arrow)
+
+    starts = (ways.repartition(*by) if by else ways.repartition(1)).sortWithinPartitions(*by, "_b", "to").mapInArrow(chain, start)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Each bucket's first row is its start, with the time kept before it.
+        last = None
+        for batch in batches:
+            mask = []
+            for is_start, before, time in zip(*[batch.column(c).to_pylist() for c in ("_start", "_last", "_time")], strict=True):
+                good = not is_start and (last is None or time - last >= min_distance)
+                last = before if is_start else time if good else last
+                mask.append(good)
+            yield batch.select(own).filter(pa.array(mask, pa.bool_()))
+
+    rows = cut.select("*", F.lit(None).cast(kind).alias("_last"), F.lit(False).alias("_start"), F.col(t).alias("_time"))
+    heads = starts.select(*[c if c in by else F.lit(None).cast(df.schema[c].dataType).alias(c) for c in own], "_b", "_last", F.lit(True).alias("_start"), F.lit(None).cast(kind).alias("_time"))
+    both = heads.unionByName(rows).repartition(*by, "_b").sortWithinPartitions(*by, "_b", F.col("_start").desc(), *order)
+    return both.mapInArrow(keep, df.schema)
 
 
 def _near(df: DataFrame, by: list[str], idx: str, v: str, width: float, after: bool = False) -> DataFrame:

@@ -88,6 +88,25 @@ def test_debounce_equals_a_plain_loop(spark):
     assert sorted(r.t for r in got.collect()) == kept
 
 
+@pytest.mark.parametrize("width", [1, 40, 300, 10**6])
+def test_debounce_of_dense_keys_holds_no_key_at_once(spark, width):
+    rng = random.Random(3)
+    # Keys: all times alike dense, times in step (ways into a bucket never meet), repeated times, gaps, one row, null key.
+    rows = [("a", rng.randrange(3000)) for _ in range(2500)] + [("b", 3 * k) for k in range(900)] + [("c", 7 * (k // 4)) for k in range(800)]
+    rows += [("d", rng.randrange(10**5)) for _ in range(300)] + [("e", 5)] + [(None, rng.randrange(400)) for _ in range(300)]
+    rows = [(key, t / 8, k) for k, (key, t) in enumerate(rows)]
+    want = []
+    for key in ("a", "b", "c", "d", "e", None):
+        last = None
+        for t, k in sorted((t, k) for x, t, k in rows if x == key):
+            if last is None or t - last >= 5.125:
+                want.append((key, t, k))
+                last = t
+    got = detect.debounce(spark.createDataFrame(rows, "key string, t double, id long").repartition(5), ["key"], ["t", "id"], "t", 5.125, width)
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+    assert "collect_list" not in got._jdf.queryExecution().toString()
+
+
 def test_band_join_is_a_hash_join_without_duplicates(spark):
     a, b = series(spark, range(0, 1000, 10), "t_a"), series(spark, range(3, 1000, 10), "t_b")
     got = scale.band_join(a, b, "t_a", "t_b", 5)
