@@ -19,17 +19,22 @@ def unwrap(df: DataFrame, by: list[str], order: list[str], val: str, wrap: int,
     return out.withColumn("unwrapped", F.col(val) + F.col("_offset") + offset0).drop("_before", "_add", "_one", "_offset")
 
 
-def clock_model(df: DataFrame, by: list[str], order: list[str], session: str, x: str, y: str, n: int = 128, min_n: int = 32, r2: float = 0.999) -> DataFrame:
+def clock_model(df: DataFrame, by: list[str], order: list[str], session: str, x: str, y: str, n: int = 128, min_n: int = 32, r2: float = 0.999, width: float = 65536, block: int = 8192) -> DataFrame:
     """by..., session, n, slope_m1, slope_back_m1, x_ref, y_ref, r2, std, valid after each session's last sample.
 
-    A regression over the last n samples. Differences from the first sample and e = y - x are exact whole
+    A regression over the last n samples: rows are numbered by a two-level scan (order as for scale.prefix) and cut
+    into blocks, which also hold the n - 1 rows before them. Differences from the first sample and e = y - x are exact whole
     numbers, so the slope less one and the residual keep their precision.
     """
     first = df.groupBy(*by).agg(F.min(x).alias("_x0"))
     rows = df.join(first, by).withColumn("_x", F.col(x) - F.col("_x0")).withColumn("_e", F.col(y) - F.col(x))
-    over = Window.partitionBy(*by).orderBy(*order).rowsBetween(1 - n, 0)
+    block = max(block, n)
+    rows = prefix(rows, by, order, width, rn="_rn").withColumn("_block", F.expr(f"(_rn - 1) div {block}"))
+    ahead = (F.col("_rn") - 1) % block > block - n
+    rows = rows.withColumn("_in", F.explode(F.when(ahead, F.array("_block", F.col("_block") + 1)).otherwise(F.array("_block"))))
+    over = Window.partitionBy(*by, "_in").orderBy("_rn").rowsBetween(1 - n, 0)
     slope = F.regr_slope("_e", "_x").over(over)
-    rows = rows.select(*by, session, *[c for c in order if c not in by], F.count("*").over(over).alias("n"), slope.alias("m"), F.var_pop("_e").over(over).alias("ve"), F.covar_pop("_e", "_x").over(over).alias("cv"), F.var_pop("_x").over(over).alias("vx"), F.var_pop(F.col("_x") + F.col("_e")).over(over).alias("vy"), F.avg("_x").over(over).alias("xm"), F.avg("_e").over(over).alias("em"), "_x0")
+    rows = rows.select(*by, session, *[c for c in order if c not in by], F.count("*").over(over).alias("n"), slope.alias("m"), F.var_pop("_e").over(over).alias("ve"), F.covar_pop("_e", "_x").over(over).alias("cv"), F.var_pop("_x").over(over).alias("vx"), F.var_pop(F.col("_x") + F.col("_e")).over(over).alias("vy"), F.avg("_x").over(over).alias("xm"), F.avg("_e").over(over).alias("em"), "_x0", "_in", "_block").where("_in = _block")
     last = rows.groupBy(*by, session).agg(F.max_by(F.struct("n", "m", "ve", "cv", "vx", "vy", "xm", "em", "_x0"), F.struct(*order)).alias("r")).select(*by, session, "r.*")
     enough = F.col("n") >= min_n
     left = F.col("ve") - F.col("cv") * F.col("cv") / F.col("vx")

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scale import band_join, islands, prefix
+from .scale import band_join, bucket_of, islands, prefix
 
 STATUSES = ("matched", "unmatched_a", "unmatched_b", "rejected")
 
@@ -89,7 +89,8 @@ def match(a: DataFrame, b: DataFrame, ta: str, tb: str, tol: float, how: str = "
         return both.select(*on, "t_a", "t_b", (F.col("t_b") - F.col("t_a")).alias("delay"), F.when(F.col("t_b").isNull(), "unmatched_a").when(F.col("t_a").isNull(), "unmatched_b").otherwise("matched").alias("status"))
     merged = left.select(*on, F.col("t_a").alias("t"), F.lit(0).alias("side")).unionByName(right.select(*on, F.col("t_b").alias("t"), F.lit(1).alias("side")))
     merged = merged.where("t is not null").withColumn("_id", F.monotonically_increasing_id())
-    cut = islands(merged, on, ["t", "side", "_id"], tol, width or 1000 * tol, strict=True)
+    wide = width or 1000 * tol
+    cut = islands(merged, on, ["t", "side", "_id"], tol, wide, strict=True)
     keys = [*on, "island"]
     fold, schema = _FOLDS[how], ", ".join([*[f"{n} {t}" for n, t in a.dtypes if n in on], "t_a long, t_b long, status string"])
 
@@ -117,9 +118,9 @@ def match(a: DataFrame, b: DataFrame, ta: str, tb: str, tol: float, how: str = "
         return out
     rejected = out.where("status = 'rejected'").select(*on, "t_a", F.monotonically_increasing_id().alias("_id"))
     taken = out.where("status = 'matched'").select(*on, F.col("t_a").alias("taken_a"), F.col("t_b").alias("taken_b"))
-    left_over = as_of(rejected, taken, "t_a", "taken_a", on).drop("taken_a").withColumn("t_from", F.greatest("t_a", F.col("taken_b") + 1))
-    back = as_of(left_over, right, "t_a", "t_b", on).withColumn("t_back", F.when(F.col("taken_b").isNull() | (F.col("t_b") > F.col("taken_b")), F.col("t_b"))).drop("t_b")
-    both = as_of(back, right, "t_from", "t_b", on, direction="forward").withColumnRenamed("t_b", "t_next")
+    left_over = as_of(rejected, taken, "t_a", "taken_a", on, width=wide).drop("taken_a").withColumn("t_from", F.greatest("t_a", F.col("taken_b") + 1))
+    back = as_of(left_over, right, "t_a", "t_b", on, width=wide).withColumn("t_back", F.when(F.col("taken_b").isNull() | (F.col("t_b") > F.col("taken_b")), F.col("t_b"))).drop("t_b")
+    both = as_of(back, right, "t_from", "t_b", on, direction="forward", width=wide).withColumnRenamed("t_b", "t_next")
     near = F.when(F.col("t_next").isNull() | (F.col("t_a") - F.col("t_back") <= F.col("t_next") - F.col("t_a")), F.col("t_back")).otherwise(F.col("t_next"))
     both = both.withColumn("t_b", near).where("t_b is not null")
     rejects = both.select(*on, "t_a", "t_b", (F.col("t_b") - F.col("t_a")).alias("delay"), F.lit("rejected").alias("status"))
@@ -134,10 +135,12 @@ def _batch(rows: list[tuple], names: list[str], types: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], names)
 
 
-def as_of(left: DataFrame, right: DataFrame, t_left: str, t_right: str, on: list[str] | None = None, direction: str = "backward") -> DataFrame:
+def as_of(left: DataFrame, right: DataFrame, t_left: str, t_right: str, on: list[str] | None = None, direction: str = "backward", width: float = 3_600_000_000) -> DataFrame:
     """left with the columns of the latest right row at or before (forward: the earliest at or after) its time.
 
-    One union and one window per key instead of a range join. Names of the sides must differ, but for `on`.
+    A two-level scan: both sides are cut into buckets of `width`, each bucket takes its own right rows, and the
+    nearest right row of the buckets before (after) comes from one summary row per bucket. Names of the sides must
+    differ, but for `on`. Rows without a time get none.
     """
     on = on or []
     mine = [c for c in left.columns if c not in on]
@@ -145,8 +148,19 @@ def as_of(left: DataFrame, right: DataFrame, t_left: str, t_right: str, on: list
     l = left.select(*on, F.col(t_left).alias("_t"), F.lit(1).alias("_left"), F.struct(*mine).alias("_mine"), F.lit(None).cast(right.select(F.struct(*other)).schema[0].dataType).alias("_other"))
     r = right.select(*on, F.col(t_right).alias("_t"), F.lit(0).alias("_left"), F.lit(None).cast(left.select(F.struct(*mine)).schema[0].dataType).alias("_mine"), F.struct(*other).alias("_other")).where("_t is not null")
     back = direction == "backward"
-    over = Window.partitionBy(*on).orderBy(F.col("_t").asc() if back else F.col("_t").desc(), "_left").rowsBetween(Window.unboundedPreceding, 0)
-    found = l.unionByName(r).withColumn("_found", F.last("_other", ignorenulls=True).over(over)).where("_left = 1")
+    cut = l.unionByName(r).withColumn("_b", bucket_of("_t", width))
+    inside = Window.partitionBy(*on, "_b").orderBy(F.col("_t").asc() if back else F.col("_t").desc(), "_left").rowsBetween(Window.unboundedPreceding, 0)
+    scanned = cut.withColumn("_found", F.last("_other", ignorenulls=True).over(inside)).where("_left = 1")
+    ends = cut.where("_left = 0").groupBy(*on, "_b").agg((F.max_by if back else F.min_by)("_other", "_t").alias("_end"))
+    asked = cut.where("_left = 1").select(*on, "_b").distinct().withColumn("_end", F.lit(None).cast(ends.schema["_end"].dataType))
+    summary = ends.unionByName(asked).groupBy(*on, "_b").agg(F.first("_end", ignorenulls=True).alias("_end"))
+    before = Window.partitionBy(*on).orderBy(F.col("_b").asc_nulls_first() if back else F.col("_b").desc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    keys = [*on, "_b"]
+    starts = summary.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.last("_end", ignorenulls=True).over(before).alias("_start"))
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    found = scanned.join(starts, same, "left").withColumn("_found", F.coalesce("_found", "_start"))
     return found.select(*on, *[F.col(f"_mine.{c}").alias(c) for c in mine], *[F.col(f"_found.{c}").alias(c) for c in other])
 
 

@@ -12,10 +12,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import detect
+from ..operators.scale import prefix
 from ..sources import binary, logs, shared, telemetry
 from ..streaming import minutes, streams
-from .ordered_queries import APART, THRESHOLD, signal
-from .registry import SECOND, events, query
+from .ordered_queries import APART, THRESHOLD
+from .registry import DAY, SECOND, events, query
 
 _EDGE, _DELAY, _IQ = "<dB7x", "<dd", "<ff"
 
@@ -123,10 +124,26 @@ def stream_finalize(spark: SparkSession, d: str) -> DataFrame:
     return minutes.minute_stats(pairs, pairs.agg((F.min("us") - 3600 * SECOND).alias("start")), "us", "value", 3600 * SECOND, 2)
 
 
+def user_signals(spark: SparkSession, d: str) -> DataFrame:
+    """series, idx, v, us: the event values of each user about their middle, as signals of their own."""
+    e = events(spark, d).select(F.col("user_id").cast("string").alias("series"), "us", "event_id", (F.col("value") - 50).alias("v"))
+    return prefix(e, ["series"], ["us", "event_id"], DAY, rn="idx").select("series", "idx", "v", "us")
+
+
+def _ordered_stream(spark: SparkSession, df: DataFrame, name: str, key: str, t: str, width: int) -> DataFrame:
+    """df as a stream of files in the order of t: one part of `width` after the other, a key's rows of it in one file."""
+    folder = shared.new_folder(spark, name)
+    first, last = df.agg(F.expr(f"min({t}) div {width}"), F.expr(f"max({t}) div {width}")).first()
+    for k in range(first, last + 1) if first is not None else ():
+        # The source takes files by their time, so a part is written whole before the next one begins.
+        df.where(F.expr(f"{t} div {width} = {k}")).repartition(4, key).write.mode("append").parquet(folder)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 4).parquet(folder)
+
+
 @query("stream_detect")
 def stream_detect(spark: SparkSession, d: str) -> DataFrame:
-    samples = _stream(spark, signal(spark, d).coalesce(1), "samples")
-    return streams.run_to_table(streams.stream_detect(samples, "series", THRESHOLD, APART), shared.new_folder(spark, "detect"))
+    samples = _ordered_stream(spark, user_signals(spark, d), "samples", "series", "us", 6 * DAY)
+    return streams.run_to_table(streams.stream_detect(samples.select("series", "idx", "v"), "series", THRESHOLD, APART), shared.new_folder(spark, "detect"))
 
 
 @query("stream_route")
@@ -146,4 +163,4 @@ def stream_dedup(spark: SparkSession, d: str) -> DataFrame:
 @query("detect_equals_stream")
 def detect_batch(spark: SparkSession, d: str) -> DataFrame:
     """The batch side of stream_detect."""
-    return detect.detect_crossings(signal(spark, d), ["series"], "idx", "v", THRESHOLD, APART, 1024)
+    return detect.detect_crossings(user_signals(spark, d), ["series"], "idx", "v", THRESHOLD, APART, 1024)

@@ -66,6 +66,22 @@ def test_dense_rejects_equal_a_plain_loop(spark):
     assert sorted((r.t_a, r.t_b, r.status) for r in got) == sorted(want)
 
 
+@pytest.mark.parametrize("direction", ["backward", "forward"])
+@pytest.mark.parametrize("width", [1, 9, 10**6])
+def test_as_of_equals_a_plain_loop(spark, direction, width):
+    rng = random.Random(5)
+    left = [(rng.choice(["a", "b", "c", None]), rng.randrange(600), k) for k in range(300)] + [("a", None, 900)]
+    right = [(key, t, 1000 * t) for key, t in {(rng.choice(["a", "b", None]), rng.randrange(100, 500)) for _ in range(90)}] + [("a", None, 7)]
+    got = match.as_of(spark.createDataFrame(left, "key string, t long, id long").repartition(5), spark.createDataFrame(right, "key string, u long, v long"), "t", "u", ["key"], direction, width)
+    want = []
+    for key, t, k in left:
+        near = [(u, v) for x, u, v in right if x == key and u is not None and t is not None and (u <= t if direction == "backward" else u >= t)]
+        want.append((key, t, k, *((max if direction == "backward" else min)(near) if near else (None, None))))
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+    windows = [line.split("windowspecdefinition(")[1] for line in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "_other" in line and "windowspecdefinition(" in line]
+    assert windows and all("_b#" in w.split(" ASC")[0].split(" DESC")[0] for w in windows)
+
+
 @pytest.mark.parametrize("width", [1, 7, 100, 10**6])
 def test_prefix_equals_one_window(spark, width):
     rng = random.Random(1)
@@ -157,6 +173,15 @@ def test_clock_model_keeps_nanoseconds(spark):
     assert abs(rows[3].slope_m1 - 8.324e-6) < 1e-9 and 1 < rows[3]["std"] < 3 and rows[3].valid and rows[3].n == 128
 
 
+def test_clock_model_in_blocks_equals_one_window(spark):
+    x = F.col("o") * 1000
+    df = spark.range(900).select((F.col("id") % 2).alias("dev"), F.col("id").alias("o")).select("dev", "o", F.expr("o div 20").alias("s"), x.alias("x"), (x + F.col("o") * 3 + F.pmod(F.xxhash64("o"), F.lit(7))).alias("y"))
+    one, cut = (sorted(clock.clock_model(df, ["dev"], ["o"], "s", "x", "y", 40, 8, width=100, block=b).collect()) for b in (10**6, 40))
+    assert len(one) == 90 and one == cut
+    plan = clock.clock_model(df, ["dev"], ["o"], "s", "x", "y")._jdf.queryExecution().optimizedPlan().toString()
+    assert all("_in#" in line for line in plan.splitlines() if "regr_slope" in line and "windowspecdefinition" in line)
+
+
 def test_peaks_crossings_and_settling(spark):
     def spike(i):
         k = (i - 20) % 100

@@ -59,3 +59,19 @@ def test_entry(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_stream_detection_carries_over_batches_and_keys(spark, small, monkeypatch):
+    from pulseloom.plans import stream_queries
+    from pulseloom.streaming import streams
+
+    runs = []
+    run = streams.run_to_table
+    monkeypatch.setattr(streams, "run_to_table", lambda stream, folder, *a: (runs.append(folder), run(stream, folder, *a))[1])
+    got = registry.QUERIES["stream_detect"](spark, small).collect()
+    want = registry.QUERIES["detect_equals_stream"](spark, small).collect()
+    assert sorted((r.series, round(r.t, 6), r.edge_type) for r in got) == sorted((r.series, round(r.t, 6), r.edge_type) for r in want)
+    users = stream_queries.user_signals(spark, small).select("series").distinct().count()
+    assert users > 1 and len({r.series for r in got}) > 1
+    commits = spark.read.format("binaryFile").load(f"{runs[0]}/state/commits/[0-9]*")
+    assert commits.count() > 1
