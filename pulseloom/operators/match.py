@@ -188,6 +188,11 @@ def align_common_start(a: DataFrame, b: DataFrame, t: str) -> tuple[DataFrame, D
     return cut_a, cut_b, first.select("common_start", (F.col("common_start") - F.col("a0")).alias("skipped_a"), (F.col("common_start") - F.col("b0")).alias("skipped_b"))
 
 
-def annotate(telemetry: DataFrame, spans: DataFrame, t: str) -> DataFrame:
-    """telemetry rows that lie in a span (experiment, t_from, t_to), with its name; spans are few and Spark may broadcast them."""
-    return telemetry.join(spans, (F.col(t) >= F.col("t_from")) & (F.col(t) < F.col("t_to"))).drop("t_from", "t_to")
+def annotate(telemetry: DataFrame, spans: DataFrame, t: str, width: float = 86_400_000_000) -> DataFrame:
+    """telemetry rows that lie in a span (experiment, t_from, t_to), with its name, for any number of spans.
+
+    A hash join: spans are cut into time buckets of `width`, and a row meets those of its own bucket only.
+    """
+    cut = spans.where("t_from < t_to").withColumn("_near", F.explode(F.sequence(bucket_of("t_from", width), bucket_of("t_to", width))))
+    met = telemetry.withColumn("_bucket", bucket_of(t, width)).join(cut, (F.col("_bucket") == F.col("_near")) & (F.col(t) >= F.col("t_from")) & (F.col(t) < F.col("t_to")))
+    return met.drop("_bucket", "_near", "t_from", "t_to")

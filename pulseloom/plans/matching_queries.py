@@ -118,7 +118,16 @@ def asof_forward(spark: SparkSession, d: str) -> DataFrame:
 def experiment_window(spark: SparkSession, d: str) -> DataFrame:
     e = events(spark, d)
     spans = e.where("event_type = 'signup' and user_id < 20").groupBy(F.col("user_id").alias("experiment")).agg(F.min("us").alias("t_from"), (F.max("us") + SECOND).alias("t_to"))
-    noted = match.annotate(e.where("event_type = 'error'").select("us", "value"), F.broadcast(spans), "us")
+    noted = match.annotate(e.where("event_type = 'error'").select("us", "value"), spans, "us", DAY)
+    return noted.groupBy("experiment").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"))
+
+
+@query("experiment_window_all")
+def experiment_window_all(spark: SparkSession, d: str) -> DataFrame:
+    """experiment_window over the spans of all experiments."""
+    e = events(spark, d)
+    spans = e.where("event_type = 'signup'").groupBy(F.col("user_id").alias("experiment")).agg(F.min("us").alias("t_from"), (F.max("us") + SECOND).alias("t_to"))
+    noted = match.annotate(e.where("event_type = 'error'").select("us", "value"), spans, "us", DAY)
     return noted.groupBy("experiment").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"))
 
 

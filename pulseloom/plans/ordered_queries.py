@@ -54,6 +54,13 @@ def refine_parabolic(spark: SparkSession, d: str) -> DataFrame:
     return detect.refine_parabolic(s, ["series"], "idx", "v", s.where("idx % 7 = 0").select("series", "idx")).withColumn("t", F.round("t", 6))
 
 
+@query("refine_parabolic_all")
+def refine_parabolic_all(spark: SparkSession, d: str) -> DataFrame:
+    """refine_parabolic at every sample."""
+    s = signal(spark, d)
+    return detect.refine_parabolic(s, ["series"], "idx", "v", s.select("series", "idx")).withColumn("t", F.round("t", 6))
+
+
 @query("regress_points", """WITH e AS (SELECT vec_id, list_max(embedding[1:9]) AS peak, embedding[1:9] AS y FROM embeddings), s AS (SELECT vec_id, CAST(peak AS DOUBLE) AS peak, 9.0 AS n, 36.0 AS sx, 204.0 AS sxx, list_sum(list_transform(y, lambda v: CAST(v AS DOUBLE))) AS sy, list_sum(list_transform(y, lambda v, i: CAST(v AS DOUBLE) * (i - 1))) AS sxy FROM e),
  r AS (SELECT *, (n * sxy - sx * sy) / (n * sxx - sx * sx) AS slope FROM s) SELECT vec_id, round(CASE WHEN abs(slope) < 1e-12 THEN vec_id + 4 ELSE vec_id + (peak * 0.5 - (sy - slope * sx) / n) / slope END, 4) AS t FROM r""")
 def regress_points(spark: SparkSession, d: str) -> DataFrame:

@@ -75,3 +75,23 @@ def test_stream_detection_carries_over_batches_and_keys(spark, small, monkeypatc
     assert users > 1 and len({r.series for r in got}) > 1
     commits = spark.read.format("binaryFile").load(f"{runs[0]}/state/commits/[0-9]*")
     assert commits.count() > 1
+
+
+def test_all_experiments_and_all_samples(spark, small):
+    e = registry.events(spark, small).toPandas()
+    errors, signups = e[e.event_type == "error"], e[e.event_type == "signup"]
+    want = []
+    for user, s in signups.groupby("user_id"):
+        inside = errors[(errors.us >= s.us.min()) & (errors.us < s.us.max() + registry.SECOND)]
+        want += [(user, len(inside), inside.value.mean())] if len(inside) else []
+    got = registry.QUERIES["experiment_window_all"](spark, small).collect()
+    assert [(r.experiment, r.n) for r in sorted(got)] == [(u, n) for u, n, _ in want]
+    assert all(abs(r["mean"] - m) < 2e-6 for r, (_, _, m) in zip(sorted(got), want, strict=True))
+
+    v, want = {i: x - 50 for i, x in zip(e.event_id, e.value, strict=True)}, []
+    for i in v:
+        p, c, n = v.get(i - 1), v[i], v.get(i + 1)
+        bend = None if p is None or n is None else p - 2 * c + n
+        want.append((i, i if bend is None or abs(bend) < 1e-10 or abs((p - n) / (2 * bend)) > 1 else i + (p - n) / (2 * bend)))
+    got = sorted((r.idx, r.t) for r in registry.QUERIES["refine_parabolic_all"](spark, small).collect())
+    assert [i for i, _ in got] == sorted(v) and all(abs(a - b) < 2e-6 for (_, a), (_, b) in zip(got, sorted(want), strict=True))
