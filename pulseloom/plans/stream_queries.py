@@ -113,15 +113,17 @@ def stream_match(spark: SparkSession, d: str) -> DataFrame:
 
 @query("stream_minute")
 def stream_minute(spark: SparkSession, d: str) -> DataFrame:
-    pairs = events(spark, d).select(F.timestamp_micros("us").alias("ts"), F.col("value").alias("delay"))
-    return streams.run_to_table(minutes.stream_minute_stats(_stream(spark, pairs, "pairs"), "ts", "delay", "1 hour", 2, "1 hour"), shared.new_folder(spark, "minutes"))
+    e = events(spark, d)
+    pairs = e.select(F.timestamp_micros("us").alias("ts"), F.col("value").alias("delay"))
+    start = e.agg(F.min("us")).first()[0]
+    return streams.run_to_table(minutes.stream_minute_stats(_stream(spark, pairs, "pairs"), "ts", "delay", "1 hour", 2, "1 hour", start), shared.new_folder(spark, "minutes"))
 
 
 @query("stream_finalize")
 def stream_finalize(spark: SparkSession, d: str) -> DataFrame:
     """The batch run of the same windows, which also holds the last, open one."""
     pairs = events(spark, d)
-    return minutes.minute_stats(pairs, pairs.agg((F.min("us") - 3600 * SECOND).alias("start")), "us", "value", 3600 * SECOND, 2)
+    return minutes.minute_stats(pairs, pairs.agg(F.min("us").alias("start")), "us", "value", 3600 * SECOND, 2)
 
 
 def user_signals(spark: SparkSession, d: str) -> DataFrame:

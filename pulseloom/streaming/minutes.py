@@ -18,10 +18,14 @@ def minute_stats(pairs: DataFrame, start: DataFrame, t_a: str, delay: str, every
     return out.where(F.col("n") >= least).join(F.broadcast(first), F.col("bucket") > F.col("_first")).drop("_first")
 
 
-def stream_minute_stats(pairs: DataFrame, ts: str, delay: str, every: str = "1 minute", least: int = 10, lateness: str = "1 minute") -> DataFrame:
-    """window_start, n, mean, std, min, max of closed windows of a stream of pairs, by the time of the A edge."""
+def stream_minute_stats(pairs: DataFrame, ts: str, delay: str, every: str = "1 minute", least: int = 10, lateness: str = "1 minute", start_us: int | None = None) -> DataFrame:
+    """window_start, n, mean, std, min, max of closed windows of a stream of pairs, by the time of the A edge.
+
+    The first, incomplete window (that of start_us) and those before it are dropped, as in minute_stats.
+    """
     out = pairs.withWatermark(ts, lateness).groupBy(F.window(ts, every)).agg(F.count("*").alias("n"), F.avg(delay).alias("mean"), F.stddev_pop(delay).alias("std"), F.min(delay).alias("min"), F.max(delay).alias("max"))
-    return out.where(F.col("n") >= least).select(F.unix_micros("window.start").alias("window_start"), "n", "mean", "std", "min", "max")
+    out = out.where(F.col("n") >= least).select(F.unix_micros("window.start").alias("window_start"), "n", "mean", "std", "min", "max")
+    return out if start_us is None else out.where(F.col("window_start") > start_us)
 
 
 def rolling_stats(df: DataFrame, us: str, value: str, size_us: int, slide_us: int) -> DataFrame:

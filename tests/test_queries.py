@@ -95,3 +95,12 @@ def test_all_experiments_and_all_samples(spark, small):
         want.append((i, i if bend is None or abs(bend) < 1e-10 or abs((p - n) / (2 * bend)) > 1 else i + (p - n) / (2 * bend)))
     got = sorted((r.idx, r.t) for r in registry.QUERIES["refine_parabolic_all"](spark, small).collect())
     assert [i for i, _ in got] == sorted(v) and all(abs(a - b) < 2e-6 for (_, a), (_, b) in zip(got, sorted(want), strict=True))
+
+
+def test_first_window_is_dropped_in_stream_and_batch(spark, small):
+    hour = 3600 * registry.SECOND
+    first = registry.events(spark, small).selectExpr("min(us)").first()[0] // hour
+    stream = {r.window_start // hour: r.n for r in registry.QUERIES["stream_minute"](spark, small).collect()}
+    batch = {r.bucket: r.n for r in registry.QUERIES["stream_finalize"](spark, small).collect()}
+    assert first not in stream and first not in batch
+    assert len(stream) > 1 and stream.items() <= batch.items()
