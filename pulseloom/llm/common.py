@@ -12,9 +12,11 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a temporary one of this machine where it is unset (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir, or in local mode (tests) a temporary one where it is unset."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
@@ -54,19 +56,22 @@ def small_batches(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int
             yield batch.slice(start)
 
 
-def join_skewed(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int, spread: str, share: int = 256) -> DataFrame:
+def join_skewed(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int, share: int = 256) -> DataFrame:
     """rows left-joined with groups (one row per key, with its number of rows in `size`).
 
     Keys that hold more than 1/share of all rows are fewer than `share`, so they are broadcast; the rest
-    shuffles, and rows of the broadcast keys are dealt evenly by `spread` so that no task gets a hot key.
+    shuffles. Rows of the broadcast keys and rows without a key have no partner there and are dealt at random,
+    so that no task gets a hot key.
     """
     values = [c for c in groups.columns if c != key]
+    kind = dict(rows.dtypes)[key]
     hot = groups.where(F.col(size) * share > F.lit(total))
     hot = hot.select(F.col(key).alias("_hot_key"), F.struct(*values).alias("_hot"))
-    cold = groups.where(F.col(size) * share <= F.lit(total)).select(F.col(key).alias("_cold_key"), F.lit(False).alias("_deal"), F.struct(*values).alias("_cold"))
+    cold = groups.where(F.col(size) * share <= F.lit(total)).select(F.col(key).alias("_cold_key"), F.lit(-1).alias("_place"), F.struct(*values).alias("_cold"))
     out = rows.join(F.broadcast(hot), F.col(key) == F.col("_hot_key"), "left")
-    spare = F.concat(F.lit("\u0000"), F.col(spread).cast("string"))
     free = F.col("_hot_key").isNotNull() | F.col(key).isNull()
-    out = out.withColumn("_join", F.when(free, F.coalesce(spare, F.lit("\u0000"))).otherwise(F.col(key))).withColumn("_free", free)
-    out = out.join(cold, (F.col("_join") == F.col("_cold_key")) & (F.col("_free") == F.col("_deal")), "left")
+    none = F.lit(None).cast(kind)
+    out = out.withColumn("_dealt", F.when(free, F.floor(F.rand(1) * 65536).cast("int")).otherwise(-1)).withColumn("_join", F.when(free, none).otherwise(F.col(key)))
+    # Both columns are keys of the shuffle, so dealt rows spread over all tasks; no group has a place of theirs.
+    out = out.join(cold, F.col("_join").eqNullSafe(F.col("_cold_key")) & (F.col("_dealt") == F.col("_place")), "left")
     return out.select(*rows.columns, *[F.coalesce(F.col(f"_hot.{c}"), F.col(f"_cold.{c}")).alias(c) for c in values])

@@ -1,7 +1,8 @@
 """Media columns: texts stored losslessly as 8-bit grey images in archives, and a data source that reads them back.
 
 An archive directory holds pairs of files: NAME.pack with whole PNG files one after the other, and NAME.idx with
-a fixed-width entry (offset, length, doc_id, has_id, unpadded bytes) for each, in order of offset.
+a fixed-width entry (offset, length, doc_id, has_id, unpadded bytes) for each, in order of offset. Its manifest, a
+Parquet table of its own, names the archives that count.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -48,20 +50,29 @@ def to_image(payload: bytes) -> bytes:
     return SIGNATURE + _chunk(b"IHDR", head) + _chunk(b"IDAT", zlib.compress(rows.tobytes(), LEVEL)) + _chunk(b"IEND", b"")
 
 
-def from_image(media: bytes) -> bytes:
-    """The samples of an image that to_image made; raises ValueError if any checksum fails."""
+def chunks_of(media: bytes) -> Iterator[tuple[bytes, bytes]]:
+    """(kind, body) of each chunk of a PNG; raises ValueError if it is cut off or a checksum fails."""
     if media[:8] != SIGNATURE:
         raise ValueError("not a PNG")
-    at, data, head = 8, [], b""
+    at, kind = 8, b""
     while at < len(media):
-        size, kind = struct.unpack_from(">I4s", media, at)
+        size, kind = struct.unpack_from(">I4s", media, at) if at + 12 <= len(media) else (len(media), b"")
         body = media[at + 8 : at + 8 + size]
         if len(media) < at + 12 + size or struct.unpack_from(">I", media, at + 8 + size)[0] != zlib.crc32(kind + body):
             raise ValueError("a PNG chunk is damaged")
+        yield kind, body
+        at += 12 + size
+    if kind != b"IEND":
+        raise ValueError("the PNG has no end")
+
+
+def from_image(media: bytes) -> bytes:
+    """The samples of an image that to_image made; raises ValueError if any checksum fails."""
+    data, head = [], b""
+    for kind, body in chunks_of(media):
         head = body if kind == b"IHDR" else head
         if kind == b"IDAT":
             data.append(body)
-        at += 12 + size
     width, height = struct.unpack_from(">II", head)
     rows = np.frombuffer(zlib.decompress(b"".join(data)), np.uint8).reshape(height, width + 1)
     if rows[:, 0].any():
@@ -83,10 +94,11 @@ def feature_of(payload: bytes) -> str:
     return f"mean={mean:.4f};std={deviation:.4f};entropy={max(0.0, float(-(share * np.log2(share)).sum())):.4f};changes={changes};min={there[0]};max={there[-1]}"
 
 
-def write_media(docs: DataFrame, folder: str) -> DataFrame:
-    """Writes each row's text to archives in folder; one row (path, members) for each archive.
+def write_media(docs: DataFrame, folder: str) -> str:
+    """Writes each row's text to archives in folder, and their manifest (path, bytes, members); returns the manifest's path.
 
-    Files get their names when they are whole, so lost or repeated tasks leave no part of one.
+    Each attempt of a task writes under names of its own. The manifest is written as a table, whose commit takes
+    one attempt of each task, so archives of lost or doubled attempts are never read.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,19 +109,16 @@ def write_media(docs: DataFrame, folder: str) -> DataFrame:
 
         def close() -> pa.RecordBatch:
             out.close()
-            part = f"{root}/{name}.{task.taskAttemptId()}.part"
-            with place.open_output_stream(f"{part}i") as side:
+            with place.open_output_stream(f"{root}/{name}.idx") as side:
                 side.write(b"".join(index))
-            place.move(f"{part}i", f"{root}/{name}.idx")
-            place.move(part, f"{root}/{name}.pack")
-            return pa.RecordBatch.from_pylist([{"path": f"{root}/{name}.pack", "members": len(index)}], pa.schema([("path", pa.string()), ("members", pa.int64())]))
+            return pa.RecordBatch.from_pylist([{"path": f"{root}/{name}.pack", "bytes": offset, "members": len(index)}], pa.schema([("path", pa.string()), ("bytes", pa.int64()), ("members", pa.int64())]))
 
         for batch in batches:
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 if out is None:
-                    name = f"media-{task.partitionId():06d}-{number:04d}"
+                    name = f"media-{task.partitionId():06d}-{number:04d}-{task.taskAttemptId()}"
                     number += 1
-                    out, offset, index = place.open_output_stream(f"{root}/{name}.{task.taskAttemptId()}.part"), 0, []
+                    out, offset, index = place.open_output_stream(f"{root}/{name}.pack"), 0, []
                 data = text.encode("utf-8", "surrogatepass")
                 media = to_image(padded(data))
                 out.write(media)
@@ -121,7 +130,9 @@ def write_media(docs: DataFrame, folder: str) -> DataFrame:
         if out is not None:
             yield close()
 
-    return id_and_text(docs).mapInArrow(run, "path string, members long")
+    manifest = f"{folder.rstrip('/')}/manifest"
+    id_and_text(docs).mapInArrow(run, "path string, bytes long, members long").write.mode("overwrite").parquet(manifest)
+    return manifest
 
 
 @dataclass
@@ -144,9 +155,20 @@ class MediaReader(DataSourceReader):
         return pafs.FileSystem.from_uri(self.folder)
 
     def partitions(self) -> list[ByteRange]:
+        """Byte ranges of the archives in the manifest, whose indexes must be whole; of all archives in the folder if there is no manifest."""
         place, root = self._place()
-        files = place.get_file_info(pafs.FileSelector(root, allow_not_found=True))
-        packs = sorted((f.path, f.size) for f in files if f.path.endswith(".pack"))
+        listed = f"{root}/manifest"
+        if place.get_file_info(listed).type == pafs.FileType.NotFound:
+            files = place.get_file_info(pafs.FileSelector(root, allow_not_found=True))
+            packs = sorted((f.path, f.size) for f in files if f.path.endswith(".pack"))
+        else:
+            parts = sorted(f.path for f in place.get_file_info(pafs.FileSelector(listed)) if f.path.endswith(".parquet"))
+            rows = [row for p in parts for row in pq.read_table(place.open_input_file(p)).to_pylist()]
+            packs = sorted((r["path"], r["bytes"]) for r in rows)
+            sides = place.get_file_info([r["path"].removesuffix(".pack") + ".idx" for r in rows])
+            for row, side in zip(rows, sides, strict=True):
+                if side.size != ENTRY_BYTES * row["members"]:
+                    raise OSError(f"{side.path} doesn't index {row['members']} members")
         found = [ByteRange(path, at, min(at + self.range_bytes, size)) for path, size in packs for at in range(0, size, self.range_bytes)]
         return found or [ByteRange("", 0, 0)]
 
@@ -183,10 +205,12 @@ class MediaReader(DataSourceReader):
                 else:
                     with place.open_input_file(path) as again:
                         media = again.read_at(length, offset)
-                if len(media) == length and media[:8] == SIGNATURE and media[-12:] == _chunk(b"IEND", b""):
+                if len(media) == length:
+                    for _ in chunks_of(media):
+                        pass
                     return media
-                error: Exception = ValueError("short or damaged")
-            except OSError as e:
+                error: Exception = ValueError("short")
+            except (OSError, ValueError) as e:
                 error = e
             time.sleep(0.05 * 4**attempt)
         raise OSError(f"{path} at {offset}: {error}")
@@ -256,6 +280,5 @@ def media_columns(docs: DataFrame, folder: str | None = None) -> DataFrame:
     """
     spark = docs.sparkSession
     folder = folder or new_path(spark, "media")
-    # One short row for each archive; the count runs the writing.
-    write_media(docs, folder).select("members").collect()
+    write_media(docs, folder)
     return media_features(read_media(spark, folder))

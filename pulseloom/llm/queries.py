@@ -70,18 +70,30 @@ def _level(name: str, groups: str, key: str, parent: str, above: str) -> str:
  {name} AS (SELECT {key}, {parent}, n, bad, bad + m * s AS alpha, n - bad + (1 - m) * s AS beta, (bad + m * s) / (n + s) AS mean FROM {name}_j, {name}_s)"""
 
 
-_SUFFIX = "CASE WHEN array_to_string(l[-2:], '.') IN (" + ", ".join(f"'{s}'" for s in url_filter.LONG_SUFFIXES) + ") THEN array_to_string(l[-2:], '.') ELSE l[-1] END"
+def _tail(n: int) -> str:
+    return f"array_to_string(l[-{n}:], '.')"
+
+
+def _quoted(names: list[str]) -> str:
+    return ", ".join(f"'{s}'" for s in names)
+
+
+_SHARED = " ".join(f"WHEN {_tail(n)} IN ({_quoted([s for s in url_filter.SHARED if s.count('.') + 1 == n])}) THEN {_tail(n)}" for n in sorted({s.count(".") + 1 for s in url_filter.SHARED}, reverse=True))
+_SUFFIX = f"CASE WHEN regexp_matches(b, '^[0-9.]+\\z|^\\[') OR b = '' THEN b {_SHARED} WHEN len(l) > 1 AND length(l[-1]) = 2 AND l[-2] IN ({_quoted(url_filter.SECOND_LABELS)}) THEN {_tail(2)} ELSE l[-1] END"
+_DOMAIN = "CASE WHEN len(l) <= len(string_split(suffix, '.')) OR suffix = b THEN b ELSE array_to_string(l[-1 - len(string_split(suffix, '.')):], '.') END"
+#: The series of the incomplete beta function: the chance of a bad-page rate of at most the allowed one.
+_BELOW = f"list_sum(list_transform(range(0, 4000), lambda i: exp(alpha * ln({url_filter.ALLOWED_RATE}) + beta * ln(1 - {url_filter.ALLOWED_RATE}) + lgamma(alpha + beta + i) - lgamma(alpha + 1 + i) - lgamma(beta) + i * ln({url_filter.ALLOWED_RATE}))))"
 _FITS = "CASE " + " ".join(f"WHEN (host = '{r.partition('/')[0]}' OR ends_with(host, '.{r.partition('/')[0]}')) AND starts_with(path, '/{r.partition('/')[2]}') THEN {{'rule': '{r}', 'verdict': '{v}'}}" for r, v in sorted(url_filter.RULES, key=lambda r: -len(r[0]))) + " END"
 
 ORACLES: dict[str, str] = {
     "op1_url_filters": f"""WITH u AS (SELECT page_id, coalesce(CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) END, '') AS rest FROM pages),
  h AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
  k AS (SELECT doc_id, min(quality) AS quality FROM labels WHERE quality IN (0, 1) AND doc_id IS NOT NULL GROUP BY 1),
- c0 AS (SELECT host, string_split(host, '.') AS l, count(*) AS pages, count(quality) AS n, coalesce(sum(1 - quality), 0) AS bad FROM h LEFT JOIN k ON page_id = doc_id GROUP BY host),
- c1 AS (SELECT *, {_SUFFIX} AS suffix FROM c0), c AS (SELECT host, n, bad, suffix, CASE WHEN contains(suffix, '.') THEN array_to_string(l[-3:], '.') ELSE array_to_string(l[-2:], '.') END AS domain, '' AS everything FROM c1),
+ c0 AS (SELECT host, regexp_replace(regexp_replace(host, '^.*@', ''), '\\.?(:[0-9]*)?\\z', '') AS b, count(*) AS pages, count(quality) AS n, coalesce(sum(1 - quality), 0) AS bad FROM h LEFT JOIN k ON page_id = doc_id GROUP BY host),
+ c1 AS (SELECT *, string_split(b, '.') AS l FROM c0), c2 AS (SELECT *, {_SUFFIX} AS suffix FROM c1), c AS (SELECT host, n, bad, suffix, {_DOMAIN} AS domain, '' AS everything FROM c2),
  top AS (SELECT '' AS everything, (sum(bad) + 1) / (sum(n) + 2) AS mean FROM c), gs AS (SELECT suffix, '' AS everything, sum(n) AS n, sum(bad) AS bad FROM c GROUP BY 1), gd AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM c GROUP BY ALL),
  {_level("bs", "gs", "suffix", "everything", "top")}, {_level("bd", "gd", "domain", "suffix", "bs")}, {_level("bh", "c", "host", "domain", "bd")},
- v AS (SELECT host, mean - {url_filter.Z} * sqrt(alpha * beta / ((alpha + beta) * (alpha + beta) * (alpha + beta + 1))) > {url_filter.ALLOWED_RATE} AS bad FROM bh), f AS (SELECT page_id, host, path, {_FITS} AS r FROM h)
+ v AS (SELECT host, 1 - {_BELOW} >= {url_filter.CHANCE} AS bad FROM bh), f AS (SELECT page_id, host, path, {_FITS} AS r FROM h)
  SELECT page_id, host, path, r.rule AS rule, coalesce(r.verdict, CASE WHEN v.bad THEN 'block' ELSE 'allow' END) AS verdict FROM f JOIN v USING (host)""",
     "op6_mixing": """WITH RECURSIVE c AS (SELECT source, count(*) AS n FROM documents GROUP BY 1), z AS (SELECT sum(sqrt(n)) AS z FROM c),
  w AS (SELECT source, greatest(1, CAST(floor(1000 * sqrt(n) / z + 0.5) AS BIGINT)) AS w, row_number() OVER (ORDER BY source NULLS FIRST) AS o FROM c, z),
@@ -93,8 +105,8 @@ ORACLES: dict[str, str] = {
  x AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY coalesce(md5(CAST(doc_id AS VARCHAR)), ''), doc_id) - 1 AS block FROM documents)
  SELECT x.doc_id, x.source, block, r + block // w * period AS release, d + block // w * period AS deadline, slot + block // w * period AS slot, 0 AS place FROM x JOIN t ON x.source IS NOT DISTINCT FROM t.source AND block % w = k, p""",
     "op3_warc": """WITH p AS (SELECT page_id, url, coalesce(html, '') AS h FROM pages), d AS (SELECT page_id, url, CAST(strlen(h) AS BIGINT) AS payload_bytes, sha1(h) AS payload_digest FROM p),
- m AS (SELECT *, CASE WHEN payload_bytes >= 1000 AND page_id IS NOT NULL THEN max(page_id) OVER (PARTITION BY payload_bytes, payload_digest) END AS last FROM d)
- SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id < last THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id < last THEN last END AS refers_to, url FROM m""",
+ m AS (SELECT *, payload_bytes >= 1000 AND row_number() OVER (PARTITION BY payload_bytes, payload_digest ORDER BY page_id DESC NULLS LAST, url NULLS FIRST) > 1 AS again, max(page_id) OVER (PARTITION BY payload_bytes, payload_digest) AS last FROM d)
+ SELECT page_id, payload_bytes, payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN last END AS refers_to, url FROM m""",
     "op8_minhash_near_dedup": r"""WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS w FROM documents),
  s AS (SELECT doc_id, CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) WHEN len(w) > 0 THEN [array_to_string(w, ' ') || ' '] ELSE [] END AS s FROM w),
  n AS (SELECT doc_id, CAST(len(s) AS BIGINT) AS n FROM s), x AS (SELECT doc_id, unnest(s) AS g FROM s),

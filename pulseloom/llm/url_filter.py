@@ -3,11 +3,16 @@
 Labelled pages are counted per host. Each level's bad-page rate has a beta prior whose mean is the posterior
 mean of the level above (host, registered domain, suffix, everything) and whose strength is the level's
 between-group agreement, estimated from all groups. A host is blocked where the lower bound of its posterior
-bad-page rate exceeds the allowed rate.
+bad-page rate (a quantile of its beta distribution) exceeds the allowed rate.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from math import lgamma
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,10 +26,12 @@ RULES = [
     ("net/es/", "block"),
     ("net/fr/", "block"),
 ]
-#: Public suffixes of two labels; any other suffix is the last label.
-LONG_SUFFIXES = ["ac.uk", "co.in", "co.jp", "co.kr", "co.nz", "co.uk", "co.za", "com.ar", "com.au", "com.br", "com.cn", "com.mx", "com.tr", "gov.uk", "ne.jp", "net.au", "or.jp", "org.au", "org.uk"]
-#: A host is blocked if its bad-page rate is above this with about 95 % posterior certainty.
-ALLOWED_RATE, Z = 0.25, 1.645
+#: Labels below a country's two-letter domain under which names are registered.
+SECOND_LABELS = "ac asn asso biz co com ebiz ed edu firm gc gen geek go gob gouv gov gr govt gub gv id ind info int k12 kg lg ltd maori mil mod muni name ne net nhs nic nom or org parliament plc police pro rec res sch school store tm tv web".split()
+#: Names below which others register names of their own, so that each of these is a registered domain by itself.
+SHARED = "appspot.com azurewebsites.net blogspot.com bitbucket.io cloudfront.net firebaseapp.com fly.dev github.io gitlab.io glitch.me herokuapp.com netlify.app onrender.com pages.dev readthedocs.io repl.co s3.amazonaws.com shopify.com sourceforge.io substack.com surge.sh tumblr.com typepad.com vercel.app web.app weebly.com wixsite.com wordpress.com workers.dev".split()
+#: A host is blocked if its bad-page rate is above this with at least this posterior chance.
+ALLOWED_RATE, CHANCE = 0.25, 0.95
 
 
 def judged_urls(pages: DataFrame) -> DataFrame:
@@ -44,23 +51,61 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str]] = RULES) ->
     return out
 
 
-def suffix_of(host: Column) -> Column:
-    two = F.substring_index(host, ".", -2)
-    return F.when(two.isin(LONG_SUFFIXES), two).otherwise(F.substring_index(host, ".", -1))
+def bare_host(host: Column) -> Column:
+    """A host without the user before an @, the port, and a dot at the end."""
+    return F.regexp_replace(F.regexp_replace(host, r"^.*@", ""), r"\.?(:[0-9]*)?\z", "")
 
 
-def domain_of(host: Column, suffix: Column) -> Column:
-    """The suffix and one label before it (the host itself if it has no more labels)."""
-    return F.when(suffix.contains("."), F.substring_index(host, ".", -3)).otherwise(F.substring_index(host, ".", -2))
+def suffix_of(bare: Column, shared: list[str] = SHARED) -> Column:
+    """The public suffix: a shared name, a country's second label, or the last label; of a numeric address all of it."""
+    two, last = F.substring_index(bare, ".", -2), F.substring_index(bare, ".", -1)
+    second = F.substring_index(two, ".", 1)
+    out = F.when((F.length(last) == 2) & (two != last) & second.isin(SECOND_LABELS), two).otherwise(last)
+    for n in sorted({name.count(".") + 1 for name in shared}):
+        tail = F.substring_index(bare, ".", -n)
+        out = F.when(tail.isin([s for s in shared if s.count(".") + 1 == n]), tail).otherwise(out)
+    return F.when(bare.rlike(r"^[0-9.]+\z|^\[") | (bare == ""), bare).otherwise(out)
 
 
-def _level(groups: DataFrame, key: str, above: DataFrame, parent: str) -> DataFrame:
-    """groups(key, parent, n, bad) with alpha and beta of each group's posterior under its parent's mean.
+def domain_of(bare: Column, suffix: Column) -> Column:
+    """The suffix and one label before it (the host itself if it has no more labels)."""
+    before = F.left(bare, F.greatest(F.length(bare) - F.length(suffix) - 1, F.lit(0)))
+    return F.when(before == "", bare).otherwise(F.concat_ws(".", F.substring_index(before, ".", -1), suffix))
+
+
+def chance_above(a: np.ndarray, b: np.ndarray, x: float) -> np.ndarray:
+    """The chance of a beta(a, b) variate to exceed x, by the continued fraction of the incomplete beta function."""
+    a, b = np.asarray(a, float), np.asarray(b, float)
+    turn = x >= (a + 1) / (a + b + 2)
+    p, q, y = np.where(turn, b, a), np.where(turn, a, b), np.where(turn, 1 - x, x)
+    tiny = 1e-300
+    c, d = np.ones_like(p), 1 - (p + q) * y / (p + 1)
+    d = 1 / np.where(np.abs(d) < tiny, tiny, d)
+    h, m, moving = d.copy(), 0, np.ones(len(p), bool)
+    # The number of steps grows with the root of the counts.
+    while moving.any():
+        m += 1
+        for top in (m * (q - m) * y / ((p + 2 * m - 1) * (p + 2 * m)), -(p + m) * (p + q + m) * y / ((p + 2 * m) * (p + 2 * m + 1))):
+            d, c = 1 + top * d, 1 + top / c
+            d = 1 / np.where(np.abs(d) < tiny, tiny, d)
+            c = np.where(np.abs(c) < tiny, tiny, c)
+            h = np.where(moving, h * c * d, h)
+            moving &= np.abs(c * d - 1) > 1e-14
+    front = np.array([lgamma(u + v) - lgamma(u) - lgamma(v) for u, v in zip(p, q, strict=True)]) + p * np.log(y) + q * np.log1p(-y)
+    below = np.exp(front) * h / p
+    return np.where(turn, below, 1 - below)
+
+
+def _level(groups: DataFrame, above: DataFrame, parent: str) -> DataFrame:
+    """groups(parent, n, bad, ...) with alpha and beta of each group's posterior under its parent's mean.
 
     The strength of the prior is the moment estimate over all groups of at least two pages: with agreement rho
     between the pages of a group, (1 - rho) / rho, held between 1 and 1000.
     """
-    joined = groups.join(above.select(parent, F.col("mean").alias("prior_mean")), parent)
+    children = groups.groupBy(parent).count()
+    priors = above.select(parent, F.col("mean").alias("prior_mean")).join(children, parent)
+    # A popular domain's hosts are dealt, not sent to one task.
+    joined = saved(join_skewed(groups, priors, parent, "count", groups.count()), "level")
     n, bad, m = F.col("n"), F.col("bad"), F.col("prior_mean")
     usable = n > 1
     moments = joined.agg(F.sum(F.when(usable, (bad / n - m) * (bad / n - m) * n)).alias("between"), F.sum(F.when(usable, m * (1 - m))).alias("within"), F.sum(F.when(usable, m * (1 - m) * (n - 1))).alias("extra"))
@@ -68,32 +113,39 @@ def _level(groups: DataFrame, key: str, above: DataFrame, parent: str) -> DataFr
     strength = moments.select(F.coalesce(F.when(F.col("extra") > 0, (1 - rho) / rho), F.lit(1000.0)).alias("s")).first()["s"]
     strength = float(min(1000.0, max(1.0, strength)))
     out = joined.withColumn("alpha", bad + m * strength).withColumn("beta", n - bad + (1 - m) * strength)
-    return out.withColumn("mean", F.col("alpha") / (F.col("alpha") + F.col("beta"))).select(key, parent, "n", "bad", "alpha", "beta", "mean")
+    return out.withColumn("mean", F.col("alpha") / (F.col("alpha") + F.col("beta"))).select(*groups.columns, "alpha", "beta", "mean")
 
 
-def host_reputation(hosts: DataFrame, labels: DataFrame) -> DataFrame:
-    """host, pages (rows of hosts), n and bad (labelled pages), mean and lower bound of the bad-page rate of each host.
+def host_reputation(hosts: DataFrame, labels: DataFrame, allowed_rate: float = ALLOWED_RATE) -> DataFrame:
+    """host, pages (rows of hosts), n and bad (labelled pages), mean of the bad-page rate of each host, and above:
+    the posterior chance that the rate exceeds allowed_rate, which is 0.95 exactly where the 5 % quantile equals it.
 
     hosts has page_id and host; labels has doc_id (the page's id) and quality (0 is bad). Hosts without labelled
     pages keep the mean and spread of their domain. Null labels don't count; of repeated labels the worst does.
     """
     marks = labels.where("doc_id is not null and quality in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("_page")).agg(F.min("quality").alias("quality"))
-    counted = hosts.join(marks, F.col("page_id").cast("long") == F.col("_page"), "left").groupBy("host").agg(F.count("*").alias("pages"), F.count("quality").alias("n"), F.coalesce(F.sum(1 - F.col("quality")), F.lit(0)).alias("bad"))
-    suffix = suffix_of(F.col("host"))
-    counted = counted.withColumn("suffix", suffix).withColumn("domain", domain_of(F.col("host"), suffix)).withColumn("everything", F.lit(""))
+    marked = hosts.join(marks, F.col("page_id").cast("long") == F.col("_page"), "left")
+    counted = marked.groupBy("host").agg(F.count("*").alias("pages"), F.count("quality").alias("n"), F.coalesce(F.sum(1 - F.col("quality")), F.lit(0)).alias("bad"))
+    counted = counted.withColumn("_bare", bare_host(F.col("host")))
+    counted = counted.withColumn("suffix", suffix_of(F.col("_bare")))
+    counted = counted.withColumn("domain", domain_of(F.col("_bare"), F.col("suffix"))).withColumn("everything", F.lit("")).drop("_bare")
     counted = saved(counted, "hosts")
     domains = counted.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     suffixes = counted.groupBy("suffix", "everything").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     top = counted.groupBy("everything").agg(((F.sum("bad") + 1) / (F.sum("n") + 2)).alias("mean"))
-    by_suffix = _level(suffixes, "suffix", top, "everything")
-    by_domain = _level(domains, "domain", by_suffix, "suffix")
-    by_host = _level(counted, "host", by_domain, "domain")
-    a, b = F.col("alpha"), F.col("beta")
-    spread = F.sqrt(a * b / ((a + b) * (a + b) * (a + b + 1)))
-    return by_host.join(counted.select("host", "pages"), "host").select("host", "pages", "n", "bad", "mean", (F.col("mean") - Z * spread).alias("lower"))
+    by_suffix = _level(suffixes, top, "everything")
+    by_domain = _level(domains, by_suffix, "suffix")
+    by_host = _level(counted, by_domain, "domain")
+
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for a, b in batches:
+            yield pd.Series(chance_above(a.to_numpy(), b.to_numpy(), allowed_rate))
+
+    above = F.pandas_udf(run, "double")
+    return by_host.select("host", "pages", "n", "bad", "mean", above("alpha", "beta").alias("above"))
 
 
-def judge_pages(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str]] = RULES, allowed_rate: float = ALLOWED_RATE) -> DataFrame:
+def judge_pages(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str]] = RULES, allowed_rate: float = ALLOWED_RATE, chance: float = CHANCE) -> DataFrame:
     """page_id, host, path, rule, verdict of every row of pages(page_id, url, ...).
 
     A rule's verdict goes before the method's. Rows with a null url, or without ://, have an empty host and
@@ -103,8 +155,8 @@ def judge_pages(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str]
     """
     urls = judged_urls(pages)
     total = pages.count()
-    reputation = host_reputation(urls, labels).select("host", "pages", (F.col("lower") > allowed_rate).alias("bad_host"))
-    rows = join_skewed(urls, reputation, "host", "pages", total, "page_id")
+    reputation = host_reputation(urls, labels, allowed_rate).select("host", "pages", (F.col("above") >= chance).alias("bad_host"))
+    rows = join_skewed(urls, reputation, "host", "pages", total)
     found = rule_of(F.col("host"), F.col("path"), rules)
     rows = rows.withColumn("_rule", found)
     own = F.when(F.coalesce("bad_host", F.lit(False)), "block").otherwise("allow")
