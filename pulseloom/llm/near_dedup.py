@@ -8,11 +8,12 @@ two sketches prunes pairs, full shingle sets confirm the rest, and confirmed lin
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import id_and_text, join_skewed, saved, small_batches
@@ -22,9 +23,12 @@ BANDS, ROWS, REGISTERS = 32, 4, 384
 BASE, RATE, TOP = 1.001, 20.0, 65535
 #: Standard errors below the threshold at which the likelihood still keeps a pair for the exact check.
 MARGIN = 4.0
-BLOCK = 256
-#: So many ids (16 MB) may be broadcast to pick their texts; more are joined by a shuffle.
-MOST_BROADCAST_IDS = 2_000_000
+#: Members of one bucket that meet in a task, and how many of a large bucket's best linked ones meet all others of it.
+BLOCK, PIVOTS = 256, 32
+#: So many ids (8 MB) may be broadcast to pick their texts; more are joined by a shuffle.
+MOST_BROADCAST_IDS = 1_000_000
+#: Bytes of text that are hashed at once.
+_PIECE = 4 << 20
 
 _RANDOM = np.random.default_rng(20240607)
 _BYTE = _RANDOM.integers(0, 2**64, 256, dtype=np.uint64)
@@ -34,6 +38,7 @@ _PLACE = _RANDOM.integers(0, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uin
 _ROUND = _RANDOM.integers(0, 2**31, 4096, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+_BLANK = re.compile(rb"[ \t\n\x0b\f\r]")
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 
@@ -46,25 +51,40 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all words of all texts, and where each text's words begin (with the end of the last)."""
-    joined = np.frombuffer(b" ".join(texts) + b" ", dtype=np.uint8)
-    ends = np.cumsum([len(t) + 1 for t in texts])
-    space = _SPACE[joined]
-    inside = np.flatnonzero(~space)
+def _hashed(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of data, and where each begins."""
+    chars = np.frombuffer(data, dtype=np.uint8)
+    inside = np.flatnonzero(~_SPACE[chars])
     if not len(inside):
-        return np.zeros(0, np.uint64), np.zeros(len(texts) + 1, np.int64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     first = np.ones(len(inside), bool)
     first[1:] = np.diff(inside) > 1
     at = np.flatnonzero(first)
     lengths = np.diff(np.append(at, len(inside)))
     place = np.arange(len(inside)) - np.repeat(at, lengths)
-    values = _BYTE[_LOWER[joined[inside]]] * _NEAR[place & 1023]
+    values = _BYTE[_LOWER[chars[inside]]] * _NEAR[place & 1023]
     late = np.flatnonzero(place >= 1024)
     if len(late):
         values[late] *= _FAR[(place[late] >> 10) & 1023] + (place[late] >> 20).astype(np.uint64) * np.uint64(2)
-    hashes = _mix(np.add.reduceat(values, at) + lengths.astype(np.uint64))
-    return hashes, np.concatenate(([0], np.searchsorted(inside[at], ends)))
+    return _mix(np.add.reduceat(values, at) + lengths.astype(np.uint64)), inside[at]
+
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words of all texts, and where each text's words begin (with the end of the last).
+
+    A long text is hashed piece by piece, cut at spaces, so that memory follows its words and not its bytes.
+    """
+    if len(texts) == 1 and len(texts[0]) > _PIECE:
+        text, parts, at = texts[0], [], 0
+        while at < len(text):
+            cut = _BLANK.search(text, min(at + _PIECE, len(text)))
+            end = cut.end() if cut else len(text)
+            parts.append(_hashed(text[at:end])[0])
+            at = end
+        hashes = np.concatenate(parts)
+        return hashes, np.array([0, len(hashes)])
+    hashes, begin = _hashed(b" ".join(texts) + b" ")
+    return hashes, np.concatenate(([0], np.searchsorted(begin, np.cumsum([len(t) + 1 for t in texts]))))
 
 
 def shingle_sets(texts: list[bytes], words: int = WORDS) -> Iterator[tuple[np.ndarray, bytes]]:
@@ -146,18 +166,23 @@ def sketches(docs: DataFrame, words: int = WORDS, registers: int = REGISTERS) ->
     return id_and_text(docs).mapInArrow(run, "doc_id long, digest binary, n_shingles long, regs binary")
 
 
-def sets_of(docs: DataFrame, ids: DataFrame, words: int = WORDS) -> DataFrame:
-    """id, shingles (sorted 64-bit hashes) of the documents whose doc_id is in ids(id)."""
+def sets_of(docs: DataFrame, wanted: DataFrame, words: int = WORDS) -> DataFrame:
+    """id, t, shingles (sorted 64-bit hashes) of the texts in wanted(id, t); t is the hash of a text's digest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "text", 1 << 20):
-            sets = [one.tobytes() for one, _ in shingle_sets([t.encode("utf-8", "surrogatepass") for t in batch.column("text").to_pylist()], words)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.binary())], ["id", "shingles"])
+            sets = list(shingle_sets([t.encode("utf-8", "surrogatepass") for t in batch.column("text").to_pylist()], words))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([d for _, d in sets], pa.binary()), pa.array([one.tobytes() for one, _ in sets], pa.binary())], ["id", "digest", "shingles"])
 
-    wanted = ids.select(F.col("id").alias("doc_id"))
-    if ids.count() <= MOST_BROADCAST_IDS:
-        wanted = F.broadcast(wanted)
-    return id_and_text(docs).join(wanted, "doc_id", "left_semi").mapInArrow(run, "id long, shingles binary")
+    ids, texts = wanted.select(F.col("id").alias("doc_id")).distinct(), id_and_text(docs)
+    if wanted.count() <= MOST_BROADCAST_IDS:
+        picked = texts.join(F.broadcast(ids), "doc_id", "left_semi")
+    else:
+        # Texts are dealt by a part of their own too, so that rows of a repeated id don't meet in one task.
+        part = F.pmod(F.xxhash64("text"), F.lit(16)).cast("int")
+        picked = texts.withColumn("part", part).join(ids.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(15)))), ["doc_id", "part"], "left_semi").drop("part")
+    sets = picked.mapInArrow(run, "id long, digest binary, shingles binary").select("id", F.xxhash64("digest").alias("t"), "shingles")
+    return sets.join(wanted, ["id", "t"], "left_semi").dropDuplicates(["id", "t"])
 
 
 def _root(parent: list[int], i: int) -> int:
@@ -167,16 +192,16 @@ def _root(parent: list[int], i: int) -> int:
     return i
 
 
-def _bucket_pairs(rows: list[tuple], threshold: float, registers: int, forest: bool, band: int, width: int) -> Iterator[tuple[int, int]]:
-    """Likely pairs of one bucket (or of two blocks of one): a maximum spanning forest of them, or all across classes.
+def _bucket_pairs(rows: list[tuple], threshold: float, registers: int, forest: bool, width: int) -> Iterator[tuple[int, int, int, int]]:
+    """Likely pairs of texts of one block, or of two blocks, of a bucket: a maximum spanning forest of them, or all across classes.
 
     A pair that meets in several bands belongs to the first of them alone.
     """
-    ids = np.array([r[0] for r in rows], np.int64)
-    known = np.array([r[1] for r in rows], np.int64)
-    side = np.array([r[2] for r in rows])
-    n = np.array([r[3] for r in rows], np.float64)
-    regs = np.frombuffer(b"".join(r[4] for r in rows), "<u2").reshape(len(rows), registers)
+    ids, ts, known = (np.array([r[k] for r in rows], np.int64) for k in range(3))
+    side = np.array([r[3] for r in rows])
+    n = np.array([r[4] for r in rows], np.float64)
+    regs = np.frombuffer(b"".join(r[5] for r in rows), "<u2").reshape(len(rows), registers)
+    band = rows[0][6]
     least = least_likely(threshold, registers)
     found: list[tuple[float, int, int]] = []
     for i in range(len(rows) - 1):
@@ -200,31 +225,30 @@ def _bucket_pairs(rows: list[tuple], threshold: float, registers: int, forest: b
             if a == b:
                 continue
             parent[a] = b
-        yield (int(min(ids[i], ids[j])), int(max(ids[i], ids[j])))
+        one, two = sorted(((int(ids[i]), int(ts[i])), (int(ids[j]), int(ts[j]))))
+        yield (*one, *two)
 
 
-def _pairs_of_buckets(members: DataFrame, threshold: float, registers: int, forest: bool, width: int) -> DataFrame:
-    """Distinct pairs (a < b) from members(key, band, size, id, known, n, regs); `width` registers are a band.
+_PAIR = ["a", "ta", "b", "tb"]
 
-    A bucket of more than BLOCK members is split into blocks, and each two of its blocks meet in a task of their
-    own, so no task holds more than two blocks whatever the bucket's size.
+
+def _pairs(dealt: DataFrame, reps: DataFrame, threshold: float, registers: int, forest: bool, width: int) -> DataFrame:
+    """Distinct pairs (a, ta, b, tb) of texts from dealt(key, lo, hi, id, t, known, side, band); `width` registers are a band.
+
+    The rows of one (key, lo, hi) meet: all of side 2 with each other, those of side 0 with those of side 1.
     """
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    dealt = members.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "id", "known", F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).cast("int").alias("side"), "n", "regs", "band")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, rows, seen = None, [], set()
 
         def close() -> None:
             if len(rows) > 1:
-                seen.update(_bucket_pairs(rows, threshold, registers, forest, rows[0][5], width))
+                seen.update(_bucket_pairs(rows, threshold, registers, forest, width))
 
         def out() -> pa.RecordBatch:
             pairs = sorted(seen)
             seen.clear()
-            return pa.RecordBatch.from_arrays([pa.array([a for a, _ in pairs], pa.int64()), pa.array([b for _, b in pairs], pa.int64())], ["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in range(4)], _PAIR)
 
         for batch in batches:
             for key, lo, hi, *row in zip(*[batch.column(i).to_pylist() for i in range(batch.num_columns)], strict=True):
@@ -237,13 +261,54 @@ def _pairs_of_buckets(members: DataFrame, threshold: float, registers: int, fore
         close()
         yield out()
 
-    return dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(run, "a long, b long").distinct()
+    rows = dealt.join(reps.select("id", "t", "n", "regs"), ["id", "t"]).select("key", "lo", "hi", "id", "t", "known", "side", "n", "regs", "band")
+    return rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(run, "a long, ta long, b long, tb long").distinct()
+
+
+def _block(blocks: Column) -> Column:
+    return F.pmod(F.xxhash64("id", "t"), blocks).cast("int")
+
+
+def _own_blocks(members: DataFrame) -> DataFrame:
+    """Each member in one block of its bucket: small buckets whole, of large ones the same number of rows as members."""
+    return members.withColumn("lo", _block(F.ceil(F.col("size") / BLOCK))).withColumn("hi", F.col("lo")).withColumn("known", F.col("id")).withColumn("side", F.lit(2))
+
+
+def _with_pivots(members: DataFrame, links: DataFrame, found: DataFrame) -> DataFrame:
+    """The members of large buckets with, in each block, the PIVOTS members of the bucket that have most links."""
+    large = members.where(F.col("size") > BLOCK).join(found, "id", "left").withColumn("known", F.coalesce("component", "id")).drop("component")
+    degree = links.select(F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("ta").alias("t")), F.struct(F.col("b").alias("id"), F.col("tb").alias("t")))).alias("e")).select("e.*").groupBy("id", "t").agg(F.count("*").alias("degree"))
+    order = Window.partitionBy("key").orderBy(F.desc("degree"), "id", "t")
+    best = large.join(degree, ["id", "t"]).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= PIVOTS)
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    out = ["key", "lo", "hi", "id", "t", "known", "side", "band"]
+    pivots = best.withColumn("lo", F.explode(F.sequence(F.lit(0), blocks - 1))).withColumn("side", F.lit(0))
+    return pivots.unionByName(large.withColumn("lo", _block(blocks)).withColumn("side", F.lit(1)), True).withColumn("hi", F.col("lo")).select(out)
+
+
+def _across(placed: DataFrame, total: int) -> DataFrame:
+    """Members of the buckets that still hold several classes, dealt so that every two of different classes meet.
+
+    The rows of a bucket's largest class meet those of the others, which also meet each other: with few others, the
+    number of rows stays that of the members.
+    """
+    each = placed.groupBy("key", "known").agg(F.count("*").alias("n"))
+    mixed = each.groupBy("key").agg(F.sum("n").alias("size"), F.max("n").alias("most"), F.max_by("known", F.struct("n", "known")).alias("major")).where("most < size")
+    met = join_skewed(placed, saved(mixed, "mixed"), "key", "size", total).where("size is not null")
+    minor = F.ceil((F.col("size") - F.col("most")) / BLOCK).cast("int")
+    blocks = F.ceil(F.col("most") / BLOCK).cast("int")
+    met = met.withColumn("minor", minor).withColumn("is_minor", F.col("known") != F.col("major"))
+    met = met.withColumn("own", F.when(F.col("is_minor"), _block(F.col("minor"))).otherwise(F.col("minor") + _block(blocks)))
+    met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("is_minor"), F.col("minor") + blocks).otherwise(F.col("minor")) - 1)))
+    side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
+    return met.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "id", "t", "known", side.alias("side"), "band")
 
 
 def confirmed(docs: DataFrame, pairs: DataFrame, threshold: float, words: int = WORDS) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets reach the threshold."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = saved(sets_of(docs, ids, words), "shingles")
+    """The pairs (a, ta, b, tb) of texts whose full shingle sets reach the threshold."""
+    both = F.array(F.struct(F.col("a").alias("id"), F.col("ta").alias("t")), F.struct(F.col("b").alias("id"), F.col("tb").alias("t")))
+    wanted = saved(pairs.select(F.explode(both).alias("e")).select("e.*").distinct(), "wanted")
+    sets = saved(sets_of(docs, wanted, words), "shingles")
     hundred = round(threshold * 100)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,11 +320,12 @@ def confirmed(docs: DataFrame, pairs: DataFrame, threshold: float, words: int =
                     one, two = two, one
                 same = int((two[np.minimum(np.searchsorted(two, one), len(two) - 1)] == one).sum()) if len(one) else 0
                 keep.append(same > 0 and 100 * same >= hundred * (len(one) + len(two) - same))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            yield batch.select(_PAIR).filter(pa.array(keep, pa.bool_()))
 
-    with_left = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("left")), "a")
-    both = with_left.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("right")), "b")
-    return both.select("a", "b", "left", "right").mapInArrow(run, "a long, b long")
+    # A text with very many pairs is one row of `sets`; the adaptive plan splits such partitions of pairs.
+    with_left = pairs.join(sets.select(F.col("id").alias("a"), F.col("t").alias("ta"), F.col("shingles").alias("left")), ["a", "ta"])
+    with_both = with_left.join(sets.select(F.col("id").alias("b"), F.col("t").alias("tb"), F.col("shingles").alias("right")), ["b", "tb"])
+    return with_both.select(*_PAIR, "left", "right").mapInArrow(run, "a long, ta long, b long, tb long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -289,10 +355,11 @@ def components(links: DataFrame) -> DataFrame:
     edges = saved(links.select("a", "b").where("a <> b").mapInArrow(local, "u long, v long").distinct(), "edges")
     while True:
         both = edges.union(edges.select("v", "u"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = saved(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
-        down = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(down, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
+        least = saved(both.groupBy("u").agg(F.count("*").alias("degree"), F.min("v").alias("m")).select("u", "degree", F.least("u", "m").alias("m")), "least")
+        met = join_skewed(both, least, "u", "degree", 2 * edges.count())
+        large = saved(met.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
+        down = large.groupBy("u").agg(F.count("*").alias("degree"), F.min("v").alias("m"))
+        small = join_skewed(large, down, "u", "degree", large.count()).select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
         edges = saved(small, "edges")
         # Stars are reached when no centre is a leaf and no leaf has two centres.
         stars = edges.groupBy("u").count().where("count > 1").limit(1).count() + edges.join(edges.select(F.col("u").alias("v")).distinct(), "v", "left_semi").limit(1).count()
@@ -311,36 +378,50 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.75, words: int = WORDS
 
     Null, empty and blank texts have no shingle, link to nothing and are their own component. Rows without a
     doc_id get a null component_id and are not kept. Rows that repeat a doc_id count as one document with all
-    their texts. An empty table gives an empty result. Other columns are ignored.
+    their texts: what any of them links to is in one component. An empty table gives an empty result. Other
+    columns are ignored.
 
     1. Equal word sequences collapse to the smallest doc_id (map-side combined, so huge groups cost one row a task).
     2. Registers are banded: a pair at the threshold misses all 32 bands of 4 with a chance of about 5e-6.
-    3. First the spanning forest of each bucket's likely pairs is confirmed, then every likely pair that still
-       joins two classes: the number of full comparisons follows the number of documents, not of pairs.
+    3. The spanning forest of the likely pairs of each bucket's blocks is confirmed; in buckets of several blocks
+       also that of all members with the best linked ones. Then every likely pair that still joins two classes
+       is: the number of full comparisons follows the number of documents, not of pairs, and no pair is left out.
     """
     if bands * rows > registers:
         raise ValueError("bands * rows exceeds the number of registers")
     all_rows = saved(sketches(docs, words, registers), "sketches")
-    named = all_rows.where("doc_id is not null and n_shingles > 0")
-    classes = named.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
-    reps = named.join(classes, (named.digest == classes.digest) & (named.doc_id == classes.rep), "left_semi")
-    reps = saved(reps.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "regs").dropDuplicates(["id", "n"]), "reps")
+    named = all_rows.where("doc_id is not null and n_shingles > 0").withColumn("t", F.xxhash64("digest"))
+    classes = named.groupBy("digest").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"), F.first("t").alias("t"), F.first("n_shingles").alias("n"), F.first("regs").alias("regs"))
+    reps = saved(classes, "reps")
     keys = F.array(*[F.xxhash64(F.lit(b), F.expr(f"substring(regs, {2 * rows * b + 1}, {2 * rows})")) for b in range(bands)])
-    banded = reps.select("id", F.posexplode(keys).alias("band", "key"))
+    banded = reps.select("id", "t", F.posexplode(keys).alias("band", "key"))
     full = banded.groupBy("key").agg(F.count("*").alias("size"), F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key", "size")
-    members = saved(banded.join(full, "key"), "members")
-    start = members.withColumn("known", F.col("id")).join(reps, "id")
-    first = saved(_pairs_of_buckets(start, threshold, registers, True, rows), "pairs")
+    total = bands * reps.count()
+    members = saved(join_skewed(banded, saved(full, "buckets"), "key", "size", total).where("size is not null"), "members")
+
+    first = saved(_pairs(_own_blocks(members), reps, threshold, registers, True, rows), "pairs")
     links = saved(confirmed(docs, first, threshold, words), "links")
-    found = saved(components(links), "components")
-    placed = members.join(found, "id", "left").select("id", "key", "band", F.coalesce("component", "id").alias("known"))
-    mixed = placed.groupBy("key").agg(F.count("*").alias("size"), F.min("known").alias("lo"), F.max("known").alias("hi")).where("lo < hi").select("key", "size")
-    rest = _pairs_of_buckets(placed.join(mixed, "key").join(reps, "id"), threshold, registers, False, rows)
-    rest = saved(rest.join(first, ["a", "b"], "left_anti"), "pairs")
+    several = named.groupBy("doc_id").agg(F.min("t").alias("low"), F.max("t").alias("high")).where("low < high").select("doc_id")
+    own = named.join(several, "doc_id", "left_semi").select("doc_id", "digest").distinct().join(reps.select("digest", "id"), "digest").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
+    found = saved(components(links.select("a", "b").union(own)), "components")
+    if members.where(F.col("size") > BLOCK).limit(1).count():
+        second = saved(_pairs(_with_pivots(members, links, found), reps, threshold, registers, True, rows), "pairs")
+        more = confirmed(docs, second.join(first, _PAIR, "left_anti"), threshold, words)
+        first = first.union(second)
+        found = saved(components(_as_links(found).union(more.select("a", "b"))), "components")
+    placed = members.drop("size").join(found, "id", "left").select("id", "t", "key", "band", F.coalesce("component", "id").alias("known"))
+    rest = _pairs(_across(placed, members.count()), reps, threshold, registers, False, rows)
+    rest = saved(rest.join(first, _PAIR, "left_anti"), "pairs")
     more = saved(confirmed(docs, rest, threshold, words), "links")
-    found = saved(components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more)), "components")
-    known = classes.join(found, F.col("rep") == F.col("id"), "left").select(F.hex("digest").alias("digest"), F.coalesce("component", "rep").alias("component"), "copies")
-    out = join_skewed(all_rows.select("doc_id", F.hex("digest").alias("digest"), "n_shingles"), known, "digest", "copies", all_rows.count(), "doc_id")
-    own = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
-    out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), own).alias("component_id"))
+    found = saved(components(_as_links(found).union(more.select("a", "b"))), "components")
+
+    known = reps.select(F.hex("digest").alias("digest"), "copies", "id").join(found, "id", "left").select("digest", "copies", F.coalesce("component", "id").alias("component"))
+    out = join_skewed(all_rows.where("n_shingles > 0").select("doc_id", F.hex("digest").alias("digest"), "n_shingles"), known, "digest", "copies", all_rows.count())
+    blank = all_rows.where("n_shingles = 0").select("doc_id", "n_shingles").join(found.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left")
+    out = out.select("doc_id", "n_shingles", "component").unionByName(blank.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component")))
+    out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("component")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+
+
+def _as_links(found: DataFrame) -> DataFrame:
+    return found.select(F.col("id").alias("a"), F.col("component").alias("b"))

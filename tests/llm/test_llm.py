@@ -71,15 +71,28 @@ def near_copies(seed, groups, size, n=120, edits=6):
     return [rows[k] for k in random.permutation(len(rows))]
 
 
-@pytest.mark.parametrize("block", [256, 8])
-def test_near_duplicates_equal_brute_force(spark, monkeypatch, block):
-    monkeypatch.setattr(near_dedup, "BLOCK", block)
-    rows = edge_rows() + near_copies(1, 12, 12)
+def check_components(spark, rows):
     got = near_dedup.near_duplicates(documents(spark, rows)).collect()
     assert sorted(((r.doc_id or -1, r.n_shingles, r.component_id or -1) for r in got)) == sorted((i or -1, n, c or -1) for i, n, c in components_by_brute_force(rows))
     assert all(r.kept == (r.doc_id is not None and r.doc_id == r.component_id) for r in got)
 
 
+def test_near_duplicates_equal_brute_force(spark):
+    # Documents with several texts: of equal and other sizes, with copies under other ids, and beside an empty one.
+    a, b, c = (words(200, k) for k in (51, 52, 53))
+    several = [(4000, a, "s"), (4000, b, "s"), (4010, a + " zz", "s"), (4011, b + " zz", "s"), (3999, b, "s"), (4020, "", "s"), (4020, c, "s"), (3990, c + " yy", "s"), (4020, None, "s")]
+    check_components(spark, edge_rows() + near_copies(1, 12, 12) + several)
+
+
+def test_near_duplicates_of_large_buckets(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK", 8)
+    monkeypatch.setattr(near_dedup, "PIVOTS", 3)
+    # A star: each of many texts is near to one and not to the others, so classes depend on the centre's links.
+    centre = words(140, 77).split()
+    star = [(9000 + k, " ".join(centre[: 3 * k] + [f"y{k}{j}" for j in range(3)] + centre[3 * k + 3 :]), "s") for k in range(40)]
+    check_components(spark, [*near_copies(2, 3, 60), *star, (9900, " ".join(centre), "s")])
+
+
 def test_near_duplicates_of_nothing(spark):
     assert near_dedup.near_duplicates(documents(spark, [])).count() == 0
     assert near_dedup.near_duplicates(documents(spark, [(1, None, "a")])).collect()[0].component_id == 1
