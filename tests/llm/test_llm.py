@@ -304,6 +304,82 @@ def test_quality_on_held_out_rows(spark, small):
     assert (ranks[held.quality == 1].sum() - n1 * (n1 + 1) / 2) / (n1 * n0) > 0.98
 
 
+def slow_features(text):
+    """Each feature's bucket and side by loops over characters and words, in numbers modulo 2 ** 32."""
+    low = 2**32 - 1
+
+    def bucket(x, kind):
+        x = ((x ^ (x >> 15) ^ (kind * 0x3C6EF3)) * 0x2C1B3C6D) & low
+        return (x ^ (x >> 13)) % quality.BUCKETS
+
+    out, words_of = [], []
+    padded = " " + "".join(" " if c.isspace() else c for c in text) + " "
+    for n in range(quality.SHORTEST, quality.LONGEST + 1):
+        for k in range(len(padded) - n + 1):
+            if " " not in padded[k + 1 : k + n - 1]:
+                out.append((bucket(sum(ord(c) * int(key) for c, key in zip(padded[k : k + n], quality._KEYS, strict=False)) & low, n), 0))
+    for w in padded.split():
+        words_of.append((sum(ord(c) * int(quality._PLACES[k & 1023]) for k, c in enumerate(w)) + len(w)) & low)
+    out += [(bucket(w, 1), 1) for w in words_of]
+    out += [(bucket((a * 0x9E3779B1 + b) & low, 7), 1) for a, b in zip(words_of, words_of[1:], strict=False)]
+    out += [(bucket((a == b) + 2 * (b == c) + 4 * (a == c), 9), 1) for a, b, c in zip(words_of, words_of[1:], words_of[2:], strict=False)]
+    return out
+
+
+@pytest.mark.parametrize("chars", [1 << 18, 50])
+def test_quality_features_and_scores_equal_slow_loops(monkeypatch, chars):
+    monkeypatch.setattr(quality, "_CHARS", chars)
+    texts = [t or "" for _, t, _ in edge_rows()[:6]] + [words(40, 3), "a a a b", " x\ty \u3000 z\n\n日本 語 ½", "é" * 3000, "w " * 300]
+    weights = np.random.default_rng(4).integers(-(2**30), 2**30, quality.BUCKETS)
+    got = quality.log_odds(texts, weights)
+    for k, text in enumerate(texts):
+        sides = [[int(weights[b]) for b, side in slow_features(text) if side == s] for s in (0, 1)]
+        assert abs(got[k] - sum(sum(x) / max(1, len(x)) for x in sides) / 2 / quality.FIXED) < 1e-9
+        at, shares = quality.shares_of([text])
+        want = {}
+        for b, s in slow_features(text):
+            want[b] = want.get(b, 0) + 0.5 / len(sides[s])
+        assert at[0].tolist() == sorted(want) and np.allclose(shares[0], [want[b] for b in sorted(want)], atol=1e-6)
+
+
+def test_quality_training_equals_a_slow_loop():
+    random = np.random.default_rng(9)
+    samples = []
+    for k in range(30):
+        at = np.sort(random.choice(40, 6, replace=False)).astype(np.int32)
+        samples.append((k % 2, at, random.dirichlet(np.ones(6)).astype(np.float32)))
+    weights, bias = quality.train(samples, 0.25, buckets=40, width=3, epochs=2, step=2.0, seed=1)
+    random = np.random.default_rng(1)
+    v = random.uniform(-1 / 3, 1 / 3, (40, 3)).astype(np.float32).astype(float)
+    out, b = random.normal(0, 0.1, (3, 2)).astype(np.float32).astype(float), [0.0, 0.0]
+    done = 0
+    for _ in range(2):
+        for k in random.permutation(30):
+            label, at, share = samples[k]
+            rate, done = 2.0 * (1 - done / 60), done + 1
+            hidden = [sum(float(s) * v[i][d] for i, s in zip(at, share, strict=True)) for d in range(3)]
+            logits = [sum(hidden[d] * out[d][c] for d in range(3)) + b[c] for c in range(2)]
+            odds = [np.exp(x) for x in logits]
+            error = [odds[c] / sum(odds) - (c == label) for c in range(2)]
+            back = [sum(out[d][c] * error[c] for c in range(2)) for d in range(3)]
+            for d in range(3):
+                for c in range(2):
+                    out[d][c] -= rate / 100 * hidden[d] * error[c]
+            b = [b[c] - rate / 100 * error[c] for c in range(2)]
+            for i, s in zip(at, share, strict=True):
+                for d in range(3):
+                    v[i][d] -= rate * float(s) * back[d]
+    assert np.allclose(weights / quality.FIXED, v @ (out[:, 1] - out[:, 0]), atol=1e-4) and abs(bias - (b[1] - b[0] + 0.25)) < 1e-4
+
+
+def test_quality_sample_is_bounded(spark):
+    rows = [(7, f"text {k}", "a") for k in range(50)] + [(k, "some words", "a") for k in range(100, 160)]
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in [7, *range(100, 160)]], "doc_id long, quality int, toxic int")
+    sample, there = quality.sample_rows(documents(spark, rows), labels, 10)
+    got = sample.collect()
+    assert sum(there.values()) > 30 and len({r.doc_id for r in got}) == len(got) == 20
+
+
 def test_quality_edge_cases(spark):
     docs = documents(spark, edge_rows())
     labels = spark.createDataFrame([(4, 1, 0), (4, 0, 0), (5, 1, 0), (7, 0, 0), (8, 0, 1), (6, None, 0), (None, 1, 0), (9, 1, 0), (3, 1, 1)], "doc_id long, quality int, toxic int")
