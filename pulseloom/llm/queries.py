@@ -102,8 +102,11 @@ ORACLES: dict[str, str] = {
   UNION ALL SELECT slot + 1, list_transform(done, lambda x, j: CASE WHEN j = pick.o THEN x + 1 ELSE x END), pick FROM (SELECT slot, done, list_min(list_filter(list_transform(range(1, len(ws) + 1),
    lambda i: CASE WHEN done[i] < ws[i] AND done[i] * period // ws[i] <= slot + 1 THEN {'d': -((-(done[i] + 1) * period) // ws[i]) + CASE WHEN ((done[i] + 1) * period) % ws[i] <> 0 THEN 1 ELSE 0 END, 'w': -ws[i], 'o': i, 'k': done[i], 'r': done[i] * period // ws[i]} END), lambda x: x IS NOT NULL)) AS pick, period FROM s, p WHERE slot + 1 < period)),
  t AS (SELECT w.source, w.w, pick.k AS k, pick.r AS r, pick.d AS d, slot FROM s JOIN w ON w.o = pick.o WHERE slot >= 0),
- x AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY coalesce(md5(CAST(doc_id AS VARCHAR)), ''), doc_id) - 1 AS block FROM documents)
- SELECT x.doc_id, x.source, block, r + block // w * period AS release, d + block // w * period AS deadline, slot + block // w * period AS slot, 0 AS place FROM x JOIN t ON x.source IS NOT DISTINCT FROM t.source AND block % w = k, p""",
+ x AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY coalesce(md5(CAST(doc_id AS VARCHAR)), ''), doc_id) - 1 AS block FROM documents),
+ n AS (SELECT max((c.n + w.w - 1) // w.w) AS turns FROM c JOIN w ON c.source IS NOT DISTINCT FROM w.source),
+ y AS (SELECT doc_id, x.source, w.w, unnest(range(0, (w.w * (SELECT turns FROM n) - block - 1) // c.n + 1)) AS epoch, block, c.n FROM x JOIN w ON x.source IS NOT DISTINCT FROM w.source JOIN c ON x.source IS NOT DISTINCT FROM c.source),
+ z2 AS (SELECT doc_id, source, w, epoch, block + epoch * n AS block FROM y)
+ SELECT z2.doc_id, z2.source, epoch, block, r + block // z2.w * period AS release, d + block // z2.w * period AS deadline, slot + block // z2.w * period AS slot, 0 AS place FROM z2 JOIN t ON z2.source IS NOT DISTINCT FROM t.source AND block % z2.w = k, p""",
     "op3_warc": """WITH p AS (SELECT page_id, url, coalesce(html, '') AS h FROM pages), d AS (SELECT page_id, url, CAST(strlen(h) AS BIGINT) AS payload_bytes, sha1(h) AS payload_digest FROM p),
  m AS (SELECT *, payload_bytes >= 1000 AND row_number() OVER (PARTITION BY payload_bytes, payload_digest ORDER BY page_id DESC NULLS LAST, url NULLS FIRST) > 1 AS again, max(page_id) OVER (PARTITION BY payload_bytes, payload_digest) AS last FROM d)
  SELECT page_id, payload_bytes, payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN last END AS refers_to, url FROM m""",

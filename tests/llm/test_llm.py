@@ -272,12 +272,12 @@ def test_pfair_windows_and_deviation():
 
 
 def test_mixture_keeps_all_rows_in_order(spark, monkeypatch):
-    monkeypatch.setattr(mixing, "_ROWS_PER_BUCKET", 5)
+    monkeypatch.setattr(mixing, "_IDS_PER_BUCKET", 5)
     rows = [(k, f"t{k}", "big") for k in range(120)] + [(500 + k, "x", None) for k in range(7)] + [(600, "y", "tiny"), (600, "y", "tiny"), (None, "z", "tiny")]
     docs = documents(spark, rows)
-    got = sorted(mixing.mixture_order(docs).collect(), key=lambda r: (r.slot, r.place))
+    got = sorted(mixing.mixture_order(docs, repeat=False).collect(), key=lambda r: (r.slot, r.place))
     assert sorted((r.doc_id or -1, r.source or "") for r in got) == sorted((i or -1, s or "") for i, _, s in rows)
-    assert all(r.release <= r.slot < r.deadline for r in got) and len({r.slot for r in got}) == len(got)
+    assert all(r.release <= r.slot < r.deadline and r.epoch == 0 for r in got) and len({r.slot for r in got}) == len(got)
     weights = mixing.tempered_weights({"big": 120, None: 7, "tiny": 3})
     total, done = sum(weights.values()), dict.fromkeys(weights, 0)
     for r in got:
@@ -288,10 +288,40 @@ def test_mixture_keeps_all_rows_in_order(spark, monkeypatch):
         keys = [(hashlib.md5(str(r.doc_id).encode()).hexdigest()) for r in got if r.source == s]
         assert keys == sorted(keys)
     again = mixing.in_mixture_order(docs)
-    assert again.columns == docs.columns and again.count() == len(rows)
+    assert again.columns == docs.columns and sorted(map(str, again.collect())) == sorted(map(str, docs.collect()))
+    place = {r.doc_id: r.slot for r in got}
+    slots = [place[r.doc_id] for r in again.collect() if r.doc_id not in (None, 600)]
+    assert slots == sorted(slots)
     assert mixing.mixture_order(documents(spark, [])).count() == 0 and mixing.in_mixture_order(documents(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("block_rows", [1, 3])
+def test_mixture_of_unequal_sources_has_its_target_weights(spark, block_rows):
+    sizes = {"a": 900, "b": 90, None: 10}
+    weights = {"a": 6, "b": 3, None: 1}
+    rows = [(k, "t", s) for s, n in sizes.items() for k in range(1000 * len(s or ""), 1000 * len(s or "") + n)]
+    order = mixing.mixture_order(documents(spark, rows), weights, block_rows)
+    got = sorted(order.collect(), key=lambda r: (r.slot, r.place))
+    slots = sorted({r.slot for r in got})
+    assert slots == list(range(len(slots))) and len(slots) % 10 == 0
+    done, of = dict.fromkeys(weights, 0), {r.slot: r.source for r in got}
+    for t in slots:
+        done[of[t]] += 1
+        assert all(abs(done[s] - (t + 1) * w / 10) < 1 for s, w in weights.items())
+    assert {(r.doc_id, r.source) for r in got if r.epoch == 0} == {(i, s) for i, _, s in rows}
+    realised = {r.source: r for r in mixing.realised_weights(order).collect()}
+    assert all(abs(realised[s].share - w / 10) < 0.02 for s, w in weights.items())
+    assert realised["a"].epochs == 1 and realised["b"].epochs == 5 and realised[None].epochs > 10
+    natural = {r.source: r.share for r in mixing.realised_weights(mixing.mixture_order(documents(spark, rows), weights, block_rows, False)).collect()}
+    assert natural == {s: n / 1000 for s, n in sizes.items()}
+
+
+def test_mixture_of_one_repeated_id(spark):
+    docs = spark.range(30_000).select(F.when(F.col("id") % 3 > 0, 5).otherwise(F.col("id")).alias("doc_id"), F.lit("s").alias("source"))
+    got = mixing.mixture_order(docs.withColumn("doc_id", F.when(F.col("doc_id") < 900, F.col("doc_id"))))
+    assert got.count() == 30_000 and got.select("slot").distinct().count() == 30_000
+
+
 def test_quality_on_held_out_rows(spark, small):
     docs, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     got = quality.quality_scores(docs, labels).toPandas().merge(labels.toPandas(), on="doc_id")
