@@ -462,12 +462,34 @@ def test_top_k_of_repeated_rows_equals_sql(spark, shard, asked):
     assert len(got) == 5 * 6
 
 
-def test_pruning_skips_blocks_and_keeps_ties():
+def test_pruning_skips_blocks_and_keeps_ties(spark):
+    def search(ids, x, block=4):
+        one = exact_topk.Search(np.array([0]), np.array([[1.0, 1.0]]), np.array([-np.inf]), 5)
+        one.shard([exact_topk.Block(ids[k : k + block], x[k : k + block]) for k in range(0, len(ids), block)])
+        return one
+
     x = np.repeat(np.arange(64, dtype=float)[:, None], 2, axis=1)
-    got = exact_topk.search_shard((np.array([0]), np.array([[1.0, 1.0]])), (np.arange(64), x), 5, 4)
-    assert got == [(0, 63 - k, 126 - 2 * k) for k in range(5)]
-    same = exact_topk.search_shard((np.array([0]), np.array([[1.0, 1.0]])), (np.arange(64), np.ones((64, 2))), 5, 4)
-    assert [w for _, w, _ in same] == [1, 2, 3, 4, 5]
+    one = search(np.arange(64), x)
+    assert one.result() == [(0, 63 - k, 126 - 2 * k) for k in range(5)]
+    assert one.visited == 2 and one.possible == 16
+    assert [w for _, w, _ in search(np.arange(64), np.ones((64, 2))).result()] == [1, 2, 3, 4, 5]
+    # Rows around 40 centres: most blocks are skipped, and the answers are those of all rows.
+    random = np.random.default_rng(12)
+    centres = random.normal(0, 1, (40, 16))
+    rows = [(k, [float(c) for c in (centres[k % 40] + random.normal(0, 0.05, 16))]) for k in range(4000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    share = exact_topk.visited_share(df, block=32).collect()[0]
+    assert share.possible > 80 * 100 and share.share < 0.3
+    got = {(r.query_id, r["rank"], r.vec_id, r.score) for r in exact_topk.exact_top_k(df, block=32).collect()}
+    assert got == top_by_brute_force(rows)
+
+
+def test_bounds_hold():
+    random = np.random.default_rng(3)
+    q = random.integers(-300, 300, (50, 12)).astype(float)
+    blocks = [exact_topk.Block(np.arange(9), np.floor(random.normal(m, 80, (9, 12)))) for m in (-200, 0, 5, 400)]
+    bounds = exact_topk.bounds_of(q, blocks)
+    assert all((bounds[:, k] >= (q @ b.x.T).max(axis=1)).all() for k, b in enumerate(blocks))
 
 
 def test_license_scan(spark):
