@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 from zlib import crc32
 
@@ -18,19 +18,25 @@ from .common import small_batches
 #: Fixed values of HTML: elements that start a block, elements without content, and elements whose content isn't markup.
 BLOCKS = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html label legend li main menu nav ol option p pre search section select summary table tbody td tfoot th thead title tr ul".split())
 VOID = frozenset("area base basefont bgsound br col embed frame hr img input keygen link meta param source track wbr".split())
-RAW = frozenset("script style xmp iframe noembed noframes".split())
+RAW = frozenset("script style xmp iframe noembed noframes textarea".split())
+#: Elements left out whole where they have an end: what browsers with scripts don't show, form controls, drawings.
+SKIP = frozenset("noscript template select datalist svg math canvas object".split())
 #: Which open elements a start tag ends, and where the search for them stops.
 ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "body": ("head",)}
 SCOPE = frozenset("ul ol dl table td th article section main div body select".split())
 #: Elements and names (of classes, ids, roles) that hold a page's main text, and those that don't: weak labels for training pages.
 MAIN = frozenset("article main".split())
-OTHER = frozenset("head nav aside footer form button select option label title noscript template dialog".split())
+OTHER = frozenset("head nav aside footer form button option label legend title dialog".split())
 OTHER_NAMES = re.compile(r"(?:^|[-_])(?:ads?|adverts?|advertisement|banner|sponsor(?:ed)?|promo|nav|navbar|menu|breadcrumbs?|sidebar|footer|cookie|consent|notice|popup|modal|newsletter|subscribe|comments?|commentlist|reply|respond|related|share|social|widget|masthead)(?:$|[-_])")
 
 PATHS, WORDS, EXTRA, HIDDEN = 192, 64, 4, 24
 INPUT = PATHS + WORDS + EXTRA
-SAMPLE_PAGES, MADE_PAGES, EPOCHS, WINDOW = 300, 500, 5, 64
-_MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<[!?/][^>]*(?:>|\Z)""", re.S)
+SAMPLE_PAGES, MADE_PAGES, EPOCHS, WINDOW = 300, 1000, 5, 64
+#: Longer pages don't teach; longer runs of blocks are labelled window by window.
+SAMPLE_BYTES, LONG = 1 << 20, 4096
+#: A comment, a tag (with a quote left open up to the first >), or anything else that begins like one.
+_MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)(?:((?:[^>"']|"[^"]*"|'[^']*')*+)|[^>]*)>|<[!?/][^>]*(?:>|\Z)""", re.S)
+_CUT_OFF = re.compile(r"<[a-zA-Z!?/]")
 _NAMES = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 
 
@@ -45,17 +51,48 @@ def _bucket(token: str) -> int:
     return crc32(token.encode("utf-8", "surrogatepass")) % PATHS
 
 
+class _Open:
+    """The open elements of a page. Where the last one of each name stands is known, so no tag searches all of them."""
+
+    def __init__(self) -> None:
+        self.stack: list[tuple[str, np.ndarray, bool | None]] = []
+        self.places: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+
+    def last(self, tags: Iterable[str]) -> int:
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=-1)
+
+    def push(self, tag: str, path: np.ndarray, main: bool | None) -> None:
+        self.places.setdefault(tag, []).append(len(self.stack))
+        if tag in BLOCKS:
+            self.blocks.append(len(self.stack))
+        self.stack.append((tag, path, main))
+
+    def cut(self, to: int) -> list[str]:
+        """Closes the elements from place `to` on; their names."""
+        gone = [tag for tag, _, _ in self.stack[to:]]
+        for tag in gone:
+            self.places[tag].pop()
+        while self.blocks and self.blocks[-1] >= to:
+            self.blocks.pop()
+        del self.stack[to:]
+        return gone
+
+
 def blocks_of(page: str) -> list[Block]:
     """The non-empty blocks of a page in order, with the hashed path of each, its share of link text, and its weak label.
 
-    Character references are decoded and white space becomes one space. Comments, scripts and styles are no text.
+    Character references are decoded and white space becomes one space. Comments, scripts, styles and form controls
+    are no text. The time is linear in the page, however badly its tags nest.
     """
     out: list[Block] = []
     nothing = np.zeros(PATHS, np.uint8)
-    stack: list[tuple[str, np.ndarray, bool | None]] = []
+    opened = _Open()
     parts: list[str] = []
     linked = links = 0
     path, main = nothing, None
+    endless: set[str] = set()
+    last_end = page.rfind(">")
 
     def flush() -> None:
         nonlocal linked
@@ -71,17 +108,17 @@ def blocks_of(page: str) -> list[Block]:
 
     def close(to: int) -> None:
         nonlocal path, main, links
-        for tag, _, _ in stack[to:]:
-            links -= tag == "a"
-        if any(tag in BLOCKS for tag, _, _ in stack[to:]):
+        if opened.blocks and opened.blocks[-1] >= to:
             flush()
-        del stack[to:]
-        path, main = stack[-1][1:] if stack else (nothing, None)
+        gone = opened.cut(to)
+        links -= gone.count("a")
+        path, main = opened.stack[-1][1:] if opened.stack else (nothing, None)
 
     at, size = 0, len(page)
     while at < size:
-        found = _MARKUP.search(page, at)
-        end = found.start() if found else size
+        found = _MARKUP.search(page, at) if at <= last_end else None
+        cut = None if found else _CUT_OFF.search(page, at)
+        end = found.start() if found else cut.start() if cut else size
         if end > at:
             parts.append(page[at:end])
             linked += (end - at) if links else 0
@@ -92,40 +129,39 @@ def blocks_of(page: str) -> list[Block]:
             continue
         tag = found[2].lower()
         if found[1]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    close(k)
-                    break
+            there = opened.last((tag,))
+            # The end of an inline element doesn't close the blocks in it.
+            if there >= 0 and (tag in BLOCKS or not opened.blocks or opened.blocks[-1] < there):
+                close(there)
             continue
         if tag in BLOCKS or tag == "br":
             parts.append(" ") if tag == "br" else flush()
         if tag in VOID:
             continue
-        if tag in RAW:
+        if (tag in RAW or tag in SKIP) and tag not in endless:
             stop = re.compile(rf"</{tag}[^>]*>", re.I).search(page, at)
-            at = stop.end() if stop else size
-            continue
-        ends = ENDS.get(tag, ("p",) if tag in BLOCKS and tag not in ("button", "label", "option") else ())
-        if ends == ("p",) or tag in ENDS:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in ends or (stack[k][0] == "p" and tag in BLOCKS):
-                    close(k)
-                    break
-                if stack[k][0] in SCOPE and stack[k][0] not in ends:
-                    break
-        names = [x.lower() for m in _NAMES.finditer(found[3]) for x in (m[2] or m[3] or m[4] or "").split()] if found[3] else []
-        path = path.copy()
-        path[_bucket("<" + tag)] = 1
-        for name in names:
-            path[_bucket(name)] = 1
-            for piece in re.split(r"[-_]+", name):
-                path[_bucket("." + piece)] = 1
+            if stop or tag in RAW:
+                at = stop.end() if stop else size
+                continue
+            endless.add(tag)
+        ends = ENDS.get(tag, ())
+        if tag in BLOCKS and tag not in ("button", "label", "option"):
+            ends = (*ends, "p")
+        if ends:
+            there = opened.last(ends)
+            if there > opened.last(t for t in SCOPE if t not in ends):
+                close(there)
+        names = [x.lower() for m in _NAMES.finditer(found[3] or "") for x in (m[2] or m[3] or m[4] or "").split()] if found[3] else []
+        bits = {_bucket("<" + tag)} | {_bucket(name) for name in names} | {_bucket("." + piece) for name in names for piece in re.split(r"[-_]+", name)}
+        if not all(path[k] for k in bits):
+            path = path.copy()
+            path[list(bits)] = 1
         if tag in OTHER or any(OTHER_NAMES.search(n) for n in names) or (tag == "header" and not main):
             main = False
         elif tag in MAIN and main is None:
             main = True
         links += tag == "a"
-        stack.append((tag, path, main))
+        opened.push(tag, path, main)
     flush()
     return out
 
@@ -175,9 +211,12 @@ def new_model(seed: int = 3) -> dict[str, np.ndarray]:
     return model
 
 
-def _run(model: dict, side: str, x: np.ndarray, mask: np.ndarray, keep: list | None = None) -> np.ndarray:
-    """Hidden states of one direction over x (steps, pages, INPUT); masked steps leave the state as it is."""
-    h = c = np.zeros((x.shape[1], HIDDEN), np.float32)
+def _run(model: dict, side: str, x: np.ndarray, mask: np.ndarray, keep: list | None = None, state: list | None = None) -> np.ndarray:
+    """Hidden states of one direction over x (steps, pages, INPUT); masked steps leave the state as it is.
+
+    `state` is what to begin with, (h, c), and then holds what it ended with.
+    """
+    h, c = state or [np.zeros((x.shape[1], HIDDEN), np.float32)] * 2
     into = x @ model["x" + side] + model["c" + side]
     states = np.zeros((x.shape[0], x.shape[1], HIDDEN), np.float32)
     for t in range(x.shape[0]):
@@ -190,6 +229,8 @@ def _run(model: dict, side: str, x: np.ndarray, mask: np.ndarray, keep: list | N
             keep.append((h, c, i, f, o, g, th, m))
         h, c = m * (o * th) + (1 - m) * h, m * new + (1 - m) * c
         states[t] = h
+    if state is not None:
+        state[:] = [h, c]
     return states
 
 
@@ -199,6 +240,19 @@ def label(model: dict, x: np.ndarray, mask: np.ndarray) -> np.ndarray:
     return _sigmoid(np.concatenate((ahead, back), 2) @ model["out"] + model["bias"])[:, :, 0]
 
 
+def label_long(model: dict, blocks: list[Block], cache: dict[str, int], window: int = LONG) -> np.ndarray:
+    """The same chances for one page of any length: inputs are made window by window, and the state goes on from one to the next."""
+    states = {}
+    for side in ("f", "b"):
+        state, parts = [np.zeros((1, HIDDEN), np.float32)] * 2, []
+        starts = range(0, len(blocks), window)
+        for k in starts if side == "f" else reversed(starts):
+            x = inputs_of([blocks[k : k + window]], cache)[:, None]
+            parts.append(_run(model, side, x if side == "f" else x[::-1], np.ones(x.shape[:2], np.float32), None, state)[:, 0])
+        states[side] = np.concatenate(parts)
+    return _sigmoid(np.concatenate((states["f"], states["b"][::-1]), 1) @ model["out"] + model["bias"])[:, 0]
+
+
 def _gradients(model: dict, x: np.ndarray, mask: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
     kept: dict[str, list] = {"f": [], "b": []}
     sides = {"f": (x, mask), "b": (x[::-1], mask[::-1])}
@@ -260,66 +314,96 @@ def train(pages: list[list[Block]], epochs: int = EPOCHS, seed: int = 5) -> dict
     return model
 
 
-#: Containers of main text, and of everything else with the shape of its content (l links, p prose, f a form).
+#: Fixed values for made pages: names that tell what a container holds, neutral ones that don't, and words of boilerplate.
 _HOLDERS = ["<article>", "<main>", "<main><article>", "<article class='post'>", "<div class='content'>", "<div id='content'>", "<div class='post'>", "<div class='entry-content'>", "<div class='article-body'>", "<section class='story'>", "<div id='main-content'>", "<div role='main'>"]
 _AROUND = [("<nav>", "l"), ("<nav class='menu'>", "l"), ("<div class='menu'>", "l"), ("<ul class='navbar'>", "l"), ("<div class='breadcrumbs'>", "l"), ("<header>", "p"), ("<header class='site-header'>", "l"), ("<div class='header'>", "p"), ("<div id='masthead'>", "p"), ("<div class='ad'>", "p"), ("<div class='advert'>", "p"), ("<div class='ads banner'>", "p"), ("<div class='sponsored'>", "p"), ("<div class='cookie-notice'>", "p"), ("<div class='notice'>", "p"), ("<div id='consent'>", "p"), ("<div class='popup modal'>", "p")]
 _AFTER = [("<footer>", "p"), ("<footer class='site-footer'>", "l"), ("<div class='footer'>", "p"), ("<aside>", "p"), ("<aside class='sidebar'>", "l"), ("<div class='sidebar'>", "p"), ("<div class='widget'>", "l"), ("<div class='related'>", "l"), ("<div class='share social'>", "l"), ("<form>", "f"), ("<form class='search'>", "f"), ("<div class='newsletter'>", "f"), ("<section class='comments'>", "p"), ("<div id='comments'>", "p"), ("<ol class='commentlist'>", "c"), ("<div class='comment'>", "p"), ("<div class='promo'>", "p")]
+_NEUTRAL = "box row col wrap inner block section page node panel pane area body text copy unit module group grid cell item field left right center top wide main-col l-main c-body rte prose markdown richtext field-body".split()
+_PHRASES = ["Home", "About us", "Contact", "Log in", "Sign up", "Search", "Menu", "Read more", "Share this", "Print this page", "Subscribe to our newsletter", "Accept all cookies", "Privacy policy", "Terms of use", "All rights reserved", "Copyright 2024", "Advertisement", "Sponsored", "Back to top", "Next page", "Previous", "Related articles", "Most read", "Follow us", "Leave a comment", "Posted by admin", "3 comments", "Site map", "Help", "Jobs"]
 
 
 def made_pages(main: list[str], other: list[str], count: int = MADE_PAGES, seed: int = 11) -> list[list[Block]]:
-    """Pages made of sampled texts in many layouts, with the labels that the layout gives: training beyond the sample's own templates."""
+    """Pages made of sampled texts in many layouts, with the labels that the layout gives: training beyond the sample's own templates.
+
+    Containers are telling or neutral ones. In a neutral one only the shape of what it holds tells: running text
+    is an article's, while link lists, form fields and stock phrases are not.
+    """
     random = np.random.default_rng(seed)
     main, other = main or ["A first sentence of some length.", "Another one, and it is longer than the first."], other or ["Home", "About us", "All rights reserved"]
+    mark = "\u0002"
+
+    def pick(texts: list[str], most: int = 0) -> str:
+        text = texts[random.integers(len(texts))]
+        return html.escape(" ".join(text.split()[:most]) if most else text)
+
+    def neutral() -> str:
+        tag = ["div", "div", "div", "section", "td", "span"][random.integers(6)]
+        name = _NEUTRAL[random.integers(len(_NEUTRAL))] if random.random() < 0.6 else "".join(chr(97 + k) for k in random.integers(0, 26, 5))
+        kind = ["", f" class='{name}'", f" id='{name}'", f" class='{name} x{random.integers(100)}'"][random.integers(4)]
+        return f"<{tag}{kind}>"
+
+    def wrapped(holder: str, inner: str) -> str:
+        return holder + inner + "".join(f"</{t}>" for t in reversed(re.findall(r"<(\w+)", holder)))
+
+    def around(holder: str, shape: str) -> str:
+        n = int(random.integers(1, 7))
+        short = [pick(_PHRASES) if random.random() < 0.4 else pick(other if random.random() < 0.5 else main, 3) for _ in range(n)]
+        if shape == "l":
+            links = [f"<a href='/{k}'>{t}</a>" for k, t in enumerate(short)]
+            form = random.integers(4)
+            return wrapped(holder, "<ul>" + "".join(f"<li>{x}</li>" for x in links) + "</ul>" if form < 2 else " | ".join(links) if form == 2 else "".join(f"<div>{x}</div>" for x in links))
+        if shape == "f":
+            return wrapped(holder, "".join(f"<label>{t}</label><input name=q>" for t in short) + "<button>OK</button>")
+        if shape == "s":
+            return wrapped(holder, "".join(f"<{t}>{x}</{t}>" for x in short[:3] for t in [["p", "div", "span", "small"][random.integers(4)]]))
+        prose = [pick(main if random.random() < 0.5 else other) for _ in range(n)]
+        if shape == "c":
+            return wrapped(holder, "".join(f"<li class='comment'>{p}</li>" for p in prose))
+        return wrapped(holder, "".join(f"<p>{p}</p>" for p in prose) if random.random() < 0.7 or n > 1 else prose[0])
 
-    def pick(texts: list[str]) -> str:
-        return html.escape(texts[random.integers(len(texts))])
+    def beside(telling: list[tuple[str, str]]) -> str:
+        if random.random() < 0.4:
+            return around(neutral(), ["l", "l", "s", "f"][random.integers(4)])
+        return around(*telling[random.integers(len(telling))])
 
-    def around(holder: str, shape: str) -> list[tuple[str, bool | None]]:
-        tags = re.findall(r"<(\w+)", holder)
-        n = int(random.integers(1, 6))
-        prose = [pick(main if random.random() < 0.5 else other) for _ in range(n)]
-        inner = {"l": [f"<li><a href='/{k}'>{' '.join(p.split()[:3])}</a></li>" for k, p in enumerate(prose)], "p": [f"<p>{p}</p>" if random.random() < 0.6 or n > 1 else p for p in prose], "f": [f"<label>{' '.join(p.split()[:3])}</label><input name=q>" for p in prose] + ["<button>OK</button>"], "c": [f"<li class='comment'>{p}</li>" for p in prose]}[shape]
-        return [(holder, None), *((x, False) for x in inner), ("".join(f"</{t}>" for t in reversed(tags)), None)]
+    def body() -> str:
+        text, few = mark + pick(main), mark + pick(main, int(random.integers(1, 7)))
+        level = random.integers(2, 5)
+        return [f"<p>{text}</p>"] * 9 + [f"<p><b>{few}</b> {pick(main)}<br>", f"<h{level}>{few}</h{level}>", f"<ul><li>{text}</li><li>{few}</li></ul>", f"<blockquote>{text}</blockquote>", f"<figure><img src=x><figcaption>{few}</figcaption></figure>", f"<table><tr><th>{few}</th><td>{few}</td></tr></table>", f"<pre>{text}</pre>", f"<dl><dt>{few}</dt><dd>{text}</dd></dl>", f"<div>{text}</div>", f"{text}<br><br>{pick(main)}", f"<p>{text} <a href=/x>{pick(main, 3)}</a></p>"]
 
     out = []
     for _ in range(count):
-        parts: list[tuple[str, bool | None]] = [("<html><head><title>t</title></head><body>", None)]
-        for k in random.permutation(len(_AROUND))[: random.integers(0, 5)]:
-            parts += around(*_AROUND[k])
-        holder = _HOLDERS[random.integers(len(_HOLDERS))]
-        parts.append((holder, None))
+        parts = ["<html><head><title>t</title></head><body>", *(beside(_AROUND) for _ in range(random.integers(0, 5)))]
+        holder = _HOLDERS[random.integers(len(_HOLDERS))] if random.random() < 0.5 else "".join(neutral() for _ in range(random.integers(1, 4)))
+        inner = []
         if random.random() < 0.7:
-            parts.append((f"<h1>{' '.join(pick(main).split()[:8])}</h1>", True))
+            inner.append(f"<h1>{mark}{pick(main, int(random.integers(1, 9)))}</h1>")
         for _ in range(int(random.integers(1, 10))):
-            shape = random.random()
-            text = pick(main)
-            parts.append((f"<p><b>{text}<br>" if shape < 0.1 else f"<h2>{' '.join(text.split()[:6])}</h2>" if shape < 0.2 else f"<ul><li>{text}</li></ul>" if shape < 0.25 else f"<blockquote>{text}</blockquote>" if shape < 0.3 else f"<p>{text}</p>", True))
+            forms = body()
+            inner.append(forms[random.integers(len(forms))])
             if random.random() < 0.08:
-                both = _AROUND + _AFTER
-                parts += around(*both[random.integers(len(both))])
-        parts.append(("".join(f"</{t}>" for t in reversed(re.findall(r"<(\w+)", holder))), None))
-        for k in random.permutation(len(_AFTER))[: random.integers(0, 6)]:
-            parts += around(*_AFTER[k])
-        marked = [(f'{x.split(">", 1)[0]}>\u0002{x.split(">", 1)[1]}' if good and x.startswith("<p") else x.replace(">", ">\u0002") if good else x) for x, good in parts]
+                inner.append(beside(_AROUND + _AFTER))
+        parts.append(wrapped(holder, "".join(inner)))
+        parts += [beside(_AFTER) for _ in range(random.integers(0, 6))]
         page = []
-        for b in blocks_of("".join(marked)):
-            clean = " ".join(b.text.replace("\u0002", " ").split())
+        for b in blocks_of("".join(parts)):
+            clean = " ".join(b.text.replace(mark, "").split())
             if clean:
-                page.append(Block(clean, b.path, b.links, "\u0002" in b.text))
+                page.append(Block(clean, b.path, b.links, mark in b.text))
         out.append(page)
     return out
 
 
 def fit(pages: DataFrame, sample_pages: int = SAMPLE_PAGES) -> dict[str, np.ndarray]:
-    """A model trained on about sample_pages pages, chosen by a hash of page_id, and on pages made of their texts.
+    """A model trained on at most sample_pages pages, those of the smallest hash of page_id, and on pages made of their texts.
 
-    Only this sample comes to the driver. Its blocks are labelled by the elements and names around them. Pages
-    in which nothing is marked as main text teach nothing.
+    Only this sample comes to the driver; it holds one html, of at most SAMPLE_BYTES, for each page_id. Its blocks are
+    labelled by the elements and names around them. Pages in which nothing is marked as main text teach nothing.
     """
-    total = pages.count()
-    share = min(1.0, sample_pages / max(1, total))
-    some = pages.where("page_id is not null and html is not null").where(F.pmod(F.xxhash64("page_id"), F.lit(1_000_000)) < share * 1_000_000)
-    texts = [r["html"] for r in some.select("page_id", "html").orderBy("page_id", F.length("html"), F.md5(F.col("html"))).toLocalIterator()]
+    fit = pages.where(F.col("page_id").isNotNull() & (F.octet_length("html") <= SAMPLE_BYTES)).select("page_id", "html")
+    ids = fit.select("page_id").distinct().orderBy(F.xxhash64("page_id"), "page_id").limit(sample_pages)
+    some = fit.join(F.broadcast(ids), "page_id").groupBy("page_id").agg(F.min("html").alias("html"))
+    texts = [r["html"] for r in some.orderBy("page_id").toLocalIterator()]
     real = [p for p in (blocks_of(t) for t in texts) if any(b.main for b in p)]
     main = [b.text[:2000] for p in real for b in p if b.main][:20_000]
     other = [b.text[:2000] for p in real for b in p if not b.main][:20_000]
@@ -329,14 +413,19 @@ def fit(pages: DataFrame, sample_pages: int = SAMPLE_PAGES) -> dict[str, np.ndar
 def main_texts(pages: list[str], model: dict, cache: dict[str, int]) -> list[str]:
     """The main text of each page: its main blocks in order, joined by empty lines."""
     parsed = [blocks_of(p) for p in pages]
-    rows = np.split(inputs_of(parsed, cache), np.cumsum([len(p) for p in parsed])[:-1])
     out = [""] * len(pages)
     order = sorted((k for k, p in enumerate(parsed) if p), key=lambda k: len(parsed[k]))
     while order:
         some, steps = [], len(parsed[order[0]])
-        while order and (not some or (len(some) < 256 and len(parsed[order[0]]) <= 1.3 * steps + 4)):
-            some.append(order.pop(0))
-        chance = label(model, *_padded([rows[k] for k in some]))
+        if steps > LONG:
+            some = [order.pop(0)]
+            chance = label_long(model, parsed[some[0]], cache)[:, None]
+        else:
+            # Pages of like length, and a bounded number of blocks, are labelled together.
+            while order and (not some or ((len(some) + 1) * len(parsed[order[0]]) <= 2 * LONG and len(parsed[order[0]]) <= 1.3 * steps + 4)):
+                some.append(order.pop(0))
+            rows = np.split(inputs_of([parsed[k] for k in some], cache), np.cumsum([len(parsed[k]) for k in some])[:-1])
+            chance = label(model, *_padded(rows))
         for j, k in enumerate(some):
             out[k] = "\n\n".join(b.text for b, c in zip(parsed[k], chance[:, j], strict=False) if c > 0.5)
     return out

@@ -614,6 +614,49 @@ def test_main_text(spark):
     assert html_text.extract_main_text(df.where("false")).count() == 0
 
 
+PARA = "The council met on Tuesday to discuss the new bridge, and the vote was close. Residents spoke for two hours."
+NEXT = "It was the third such meeting this year, said the mayor, who expects work to begin in spring."
+BAR = "<div><a href=/a>Home</a> | <a href=/b>News</a> | <a href=/c>Sport</a></div>"
+FOOT = "<div class='foot'><a href=/p>Privacy</a> <a href=/t>Terms</a></div>"
+#: Layouts that no training page has, and the blocks of their articles.
+LAYOUTS = [
+    (f"<html><body>{BAR}<div class='text'><p>{PARA}</p><p>{NEXT}</p></div>{BAR}</body></html>", [PARA, NEXT]),
+    (f"<html><body>{BAR}<article><h1>T</h1><p>{PARA}</p><figure><img src=x><figcaption>A bridge.</figcaption></figure><p>{NEXT}</p></article>{FOOT}", ["T", PARA, "A bridge.", NEXT]),
+    (f"<body><table><tr><td>{BAR}</td><td><h2>Bridge vote</h2><p>{PARA}<p>{NEXT}</td></tr></table>", ["Bridge vote", PARA, NEXT]),
+    (f"<body><div id=q7><div class='zz'>{PARA}<br><br>{NEXT}</div></div><ul class='x1'><li><a href=/1>One</a><li><a href=/2>Two</a></ul>", [PARA + " " + NEXT]),
+    (f"<body><nav>{BAR}</nav><article><p>{PARA}</p><noscript>Please enable scripts</noscript><form><textarea>Your text</textarea><select><option>a<option>b</select></form><p>{NEXT}</p></article><div id=comments><p>Nice one!</p></div>", [PARA, NEXT]),
+    (f"<body><main><h1>Bridge</h1><blockquote>{NEXT}</blockquote><ul><li>{PARA}</li></ul></main><aside><p>Another story.</p></aside>", ["Bridge", NEXT, PARA]),
+    (f"<body><div class=cookie-banner><p>We use cookies to improve your visit.</p></div><div class='story-text'><p>{PARA}</p></div><div class='newsletter-signup'><p>Sign up for our newsletter</p><form><input></form></div>", [PARA]),
+    (f"<body><section class=blk><h1>Bridge vote close</h1><p>{PARA}</p><pre>{NEXT}</pre></section><footer><p>Copyright 2024 The Paper</p></footer>", ["Bridge vote close", PARA, NEXT]),
+]
+
+
+def test_main_text_of_unseen_layouts_and_long_pages(spark):
+    model = html_text.fit(spark.read.parquet("/root/testdata/sf0.01/pages.parquet"))
+    found = [text.split("\n\n") for text in html_text.main_texts([h for h, _ in LAYOUTS], model, {})]
+    hits = sum(x in want for got, (_, want) in zip(found, LAYOUTS, strict=True) for x in got)
+    assert hits / sum(map(len, found)) > 0.9 and hits / sum(len(want) for _, want in LAYOUTS) > 0.9
+    assert all(got and got[0] for got in found)
+    # A page far beyond one window: windows with carried state give what one run gives.
+    blocks = html_text.blocks_of(LAYOUTS[0][0].replace("</div>", f"<p>{PARA}</p></div>" * 1, 1) + f"<article>{f'<p>{PARA}</p>' * 40}</article>{BAR * 30}")
+    whole = html_text.label(model, *html_text._padded([html_text.inputs_of([blocks], {})]))[:, 0]
+    assert np.allclose(html_text.label_long(model, blocks, {}, 7), whole, atol=1e-4)
+    assert len(html_text.main_texts([f"<article>{f'<p>{PARA}</p>' * 6000}</article>"], model, {})[0].split("\n\n")) == 6000
+    rows = [(1, "u", LAYOUTS[1][0])] * 3 + [(1, "u", "<article>" + f"<p>{NEXT}</p>" * 5000)]
+    texts = [r.text for r in html_text.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()]
+    assert len(texts) == 4 and len(set(texts)) == 2
+
+
+def test_page_parser_is_linear():
+    import time
+
+    for tangle, end in (("<b>x</i>", ""), ("<li><ul><b>x<li>y", ""), ("<a <a ", ""), ("<a ", "\">"), ("<noscript>x", ""), ("<p><b>z<dd>q</dd>", ""), ("<a '>x", ""), ("<script>", ""), ("<!--", "")):
+        start = time.time()
+        html_text.blocks_of(tangle * 20_000 + end)
+        assert time.time() - start < 10, tangle
+    assert [b.text for b in html_text.blocks_of("a<p>b<i>c</i><textarea>no</textarea><template>no</template>d<span><div>e</span>f</div>g <")] == ["a", "bcd", "ef", "g <"]
+
+
 def test_gradients_match_differences():
     random = np.random.default_rng(1)
     model = html_text.new_model()
