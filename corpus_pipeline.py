@@ -10,24 +10,35 @@ from pulseloom.llm.common import new_path, table
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier doesn't reject."""
+    """Documents that the quality classifier doesn't reject; null and empty texts are judged by its bias, repeated rows each."""
     return quality.good_documents(docs, table(spark, sf_dir, "labels"))
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class; of rows that repeat a doc_id one; rows without a doc_id stay."""
-    kept = near_dedup.near_duplicates(docs).where("kept").select("doc_id")
-    named = docs.join(kept, docs.doc_id.cast("long") == kept.doc_id, "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where(F.col("doc_id").isNull()))
+    """One document of each near-duplicate class; rows without a doc_id stay, as does a text without words.
+
+    A doc_id of several rows is one document: of its rows the one of the smallest text stays.
+    """
+    kept = near_dedup.near_duplicates(docs).where("kept").groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_rows"))
+    named = docs.join(kept, docs.doc_id.cast("long") == kept._id)
+    once = named.where("_rows = 1").select(docs.columns)
+    # Rows of repeated ids are combined before they meet, so any number of them costs one row a task.
+    order = F.struct("text", *[c for c in ("lang", "source", "n_chars") if c in docs.columns])
+    again = named.where("_rows > 1").groupBy("_id").agg(F.min_by(F.struct(*docs.columns), order).alias("_row")).select("_row.*")
+    return once.unionByName(again).unionByName(docs.where(F.col("doc_id").isNull()))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, in files that hold consecutive parts of the mixture."""
+    """All documents, each once, in files that hold consecutive parts of the mixture; null sources are one source."""
     return mixing.in_mixture_order(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents with their sequences; documents that the mixture put together are packed together."""
+    """The pieces of all documents with their sequences; null and empty texts are the end id alone.
+
+    A task packs what it reads, a few files of the mixture, so a sequence's documents stood near each other in it;
+    sequences are not numbered by it.
+    """
     return packing.pack_documents(docs)
 
 
