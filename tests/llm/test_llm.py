@@ -708,3 +708,28 @@ def test_pipeline(spark, small):
     assert sorted(r.doc_id for r in kept[3].select("doc_id").collect()) == sorted(alone)
     check_packing([(r.doc_id, r.text) for r in kept[3].collect()], kept[4].collect())
     assert corpus_pipeline.run(spark, small).count() == kept[4].count()
+
+
+def test_pipeline_on_edge_cases(spark, tmp_path):
+    import corpus_pipeline
+
+    odd = edge_rows() + [(4, "one two", "b"), (20, words(200, 5), "b"), (20, words(200, 6), "b"), (21, words(200, 6) + " tail", None), (None, None, None)] + near_copies(3, 4, 6)
+    folder = str(tmp_path)
+    documents(spark, odd).coalesce(2).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(3000, 1, 0), (None, 0, 0), (4, None, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    good, once, order, packed = (stage for _, stage in corpus_pipeline.STAGES)
+    assert sorted(map(str, good(spark, docs, folder).collect())) == sorted(map(str, docs.collect()))
+    kept = once(spark, docs, folder)
+    assert kept.columns == docs.columns
+    alone = {i for i, _, c in components_by_brute_force(odd) if i is not None and i == c}
+    rows = [(r.doc_id, r.text) for r in kept.collect()]
+    assert sorted(i for i, _ in rows if i is not None) == sorted(alone) and sum(i is None for i, _ in rows) == 2
+    assert dict(rows)[20] == min(words(200, 5), words(200, 6))
+    mixed = order(spark, kept.cache(), folder)
+    assert sorted(map(str, mixed.collect())) == sorted(map(str, kept.collect()))
+    check_packing([(r.doc_id, r.text) for r in mixed.collect()], packed(spark, mixed, folder).collect())
+    empty = str(tmp_path / "empty")
+    docs.where("false").write.parquet(f"{empty}/documents.parquet")
+    spark.read.parquet(f"{folder}/labels.parquet").write.parquet(f"{empty}/labels.parquet")
+    assert corpus_pipeline.run(spark, empty).count() == 0
