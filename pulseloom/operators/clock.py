@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .match import as_of
@@ -19,28 +19,44 @@ def unwrap(df: DataFrame, by: list[str], order: list[str], val: str, wrap: int,
     return out.withColumn("unwrapped", F.col(val) + F.col("_offset") + offset0).drop("_before", "_add", "_one", "_offset")
 
 
-def clock_model(df: DataFrame, by: list[str], order: list[str], session: str, x: str, y: str, n: int = 128, min_n: int = 32, r2: float = 0.999, width: float = 65536, block: int = 8192) -> DataFrame:
+def clock_model(df: DataFrame, by: list[str], order: list[str], session: str, x: str, y: str, n: int = 128, min_n: int = 32, r2: float = 0.999, width: float = 65536, block: int = 1024) -> DataFrame:
     """by..., session, n, slope_m1, slope_back_m1, x_ref, y_ref, r2, std, valid after each session's last sample.
 
     A regression over the last n samples: rows are numbered by a two-level scan (order as for scale.prefix) and cut
-    into blocks, which also hold the n - 1 rows before them. Differences from the first sample and e = y - x are exact whole
-    numbers, so the slope less one and the residual keep their precision.
+    into blocks, which also hold the n rows before them. The sums over n rows are differences of a block's running
+    sums, of whole numbers relative to its first sample and exact, so each row costs the same whatever n. With
+    e = y - x the slope less one and the residual keep their precision.
     """
     first = df.groupBy(*by).agg(F.min(x).alias("_x0"))
-    rows = df.join(first, by).withColumn("_x", F.col(x) - F.col("_x0")).withColumn("_e", F.col(y) - F.col(x))
+    rows = df.join(first, by).withColumn("_x", (F.col(x) - F.col("_x0")).cast("long")).withColumn("_e", (F.col(y) - F.col(x)).cast("long"))
     block = max(block, n)
     rows = prefix(rows, by, order, width, rn="_rn").withColumn("_block", F.expr(f"(_rn - 1) div {block}"))
-    ahead = (F.col("_rn") - 1) % block > block - n
+    ahead = (F.col("_rn") - 1) % block >= block - n
     rows = rows.withColumn("_in", F.explode(F.when(ahead, F.array("_block", F.col("_block") + 1)).otherwise(F.array("_block"))))
-    over = Window.partitionBy(*by, "_in").orderBy("_rn").rowsBetween(1 - n, 0)
-    slope = F.regr_slope("_e", "_x").over(over)
-    rows = rows.select(*by, session, *[c for c in order if c not in by], F.count("*").over(over).alias("n"), slope.alias("m"), F.var_pop("_e").over(over).alias("ve"), F.covar_pop("_e", "_x").over(over).alias("cv"), F.var_pop("_x").over(over).alias("vx"), F.var_pop(F.col("_x") + F.col("_e")).over(over).alias("vy"), F.avg("_x").over(over).alias("xm"), F.avg("_e").over(over).alias("em"), "_x0", "_in", "_block").where("_in = _block")
-    last = rows.groupBy(*by, session).agg(F.max_by(F.struct("n", "m", "ve", "cv", "vx", "vy", "xm", "em", "_x0"), F.struct(*order)).alias("r")).select(*by, session, "r.*")
-    enough = F.col("n") >= min_n
-    left = F.col("ve") - F.col("cv") * F.col("cv") / F.col("vx")
-    fit = 1 - left / F.col("vy")
-    x_ref = (F.col("_x0") + F.round("xm")).cast("long")
-    values = [F.col("m").alias("slope_m1"), (-F.col("m") / (1 + F.col("m"))).alias("slope_back_m1"), x_ref.alias("x_ref"), (x_ref + F.round("em")).cast("long").alias("y_ref"), fit.alias("r2"), F.sqrt(F.greatest(left, F.lit(0.0))).alias("std")]
+    over = Window.partitionBy(*by, "_in").orderBy("_rn")
+    upto = over.rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_xb", F.first("_x").over(upto)).withColumn("_eb", F.first("_e").over(upto))
+    dx, de = (F.col("_x") - F.col("_xb")).cast("decimal(19,0)"), (F.col("_e") - F.col("_eb")).cast("decimal(19,0)")
+    parts = {"_sx": dx, "_se": de, "_sxx": dx * dx, "_sxe": dx * de, "_see": de * de}
+    rows = rows.withColumns({c: F.sum(v).over(upto) for c, v in parts.items()})
+    rows = rows.withColumns({c: F.col(c) - F.coalesce(F.lag(c, n).over(over), F.lit(0).cast("decimal(38,0)")) for c in parts})
+    keep = ["_sx", "_se", "_sxx", "_sxe", "_see", "_xb", "_eb", "_x0", "_rn"]
+    last = rows.where("_in = _block").groupBy(*by, session).agg(F.max_by(F.struct(*keep), F.struct(*order)).alias("r")).select(*by, session, "r.*")
+    last = last.withColumn("n", F.least("_rn", F.lit(n)).cast("long"))
+    count, sx, se = (F.col(c).cast("decimal(19,0)") for c in ("n", "_sx", "_se"))
+
+    def spread(sum_of_products: str, a: Column, b: Column) -> Column:
+        """n squared times a covariance: the products and their difference are exact."""
+        return (count * F.col(sum_of_products) - a * b).cast("double")
+
+    last = last.withColumns({"_vx": spread("_sxx", sx, sx), "_cv": spread("_sxe", sx, se), "_ve": spread("_see", se, se)})
+    slope, enough = F.col("_cv") / F.col("_vx"), F.col("n") >= min_n
+    left = F.col("_ve") - F.col("_cv") * F.col("_cv") / F.col("_vx")
+    fit = 1 - left / (F.col("_vx") + 2 * F.col("_cv") + F.col("_ve"))
+    mean_x = (F.col("_sx").cast("long") + F.col("n") * F.col("_xb")) / F.col("n")
+    mean_e = (F.col("_se").cast("long") + F.col("n") * F.col("_eb")) / F.col("n")
+    x_ref = (F.col("_x0") + F.round(mean_x)).cast("long")
+    values = [slope, -slope / (1 + slope), x_ref, (x_ref + F.round(mean_e)).cast("long"), fit, F.sqrt(F.greatest(left, F.lit(0.0))) / F.col("n")]
     out = last.select(*by, session, "n", *[F.when(enough, v).alias(name) for v, name in zip(values, ("slope_m1", "slope_back_m1", "x_ref", "y_ref", "r2", "std"), strict=True)])
     return out.withColumn("valid", F.coalesce(F.col("r2") > r2, F.lit(False)))
 

@@ -128,11 +128,7 @@ def debounce(df: DataFrame, by: list[str], order: list[str], t: str, min_distanc
 
 def _near(df: DataFrame, by: list[str], idx: str, v: str, width: float, after: bool = False) -> DataFrame:
     """df with the value before (and after) each sample, across bucket borders."""
-    out = prefix(df, by, [idx], width, lags={"_prev": v})
-    if after:
-        turned = prefix(df.select(*by, idx, v).withColumn("_down", -F.col(idx)), by, ["_down"], width, lags={"_next": v})
-        out = out.join(turned.select(*by, idx, "_next"), [*by, idx])
-    return out
+    return prefix(df, by, [idx], width, lags={"_prev": v}, leads={"_next": v} if after else None)
 
 
 def detect_crossings(df: DataFrame, by: list[str], idx: str, v: str, threshold: float, min_distance: float, width: float = 65536) -> DataFrame:

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scale import band_join, bucket_of, islands, prefix
+from .scale import band_join, bucket_key, bucket_of, islands, prefix
 
 STATUSES = ("matched", "unmatched_a", "unmatched_b", "rejected")
 
@@ -88,9 +88,8 @@ def match(a: DataFrame, b: DataFrame, ta: str, tb: str, tol: float, how: str = "
         both = pairs.unionByName(alone)
         return both.select(*on, "t_a", "t_b", (F.col("t_b") - F.col("t_a")).alias("delay"), F.when(F.col("t_b").isNull(), "unmatched_a").when(F.col("t_a").isNull(), "unmatched_b").otherwise("matched").alias("status"))
     merged = left.select(*on, F.col("t_a").alias("t"), F.lit(0).alias("side")).unionByName(right.select(*on, F.col("t_b").alias("t"), F.lit(1).alias("side")))
-    merged = merged.where("t is not null").withColumn("_id", F.monotonically_increasing_id())
     wide = width or 1000 * tol
-    cut = islands(merged, on, ["t", "side", "_id"], tol, wide, strict=True)
+    cut = islands(merged.where("t is not null"), on, ["t", "side"], tol, wide, strict=True)
     keys = [*on, "island"]
     fold, schema = _FOLDS[how], ", ".join([*[f"{n} {t}" for n, t in a.dtypes if n in on], "t_a long, t_b long, status string"])
 
@@ -116,7 +115,7 @@ def match(a: DataFrame, b: DataFrame, ta: str, tb: str, tol: float, how: str = "
     out = out.withColumn("delay", F.col("t_b") - F.col("t_a")).select(*on, "t_a", "t_b", "delay", "status")
     if how != "greedy_reject":
         return out
-    rejected = out.where("status = 'rejected'").select(*on, "t_a", F.monotonically_increasing_id().alias("_id"))
+    rejected = out.where("status = 'rejected'").select(*on, "t_a")
     taken = out.where("status = 'matched'").select(*on, F.col("t_a").alias("taken_a"), F.col("t_b").alias("taken_b"))
     left_over = as_of(rejected, taken, "t_a", "taken_a", on, width=wide).drop("taken_a").withColumn("t_from", F.greatest("t_a", F.col("taken_b") + 1))
     back = as_of(left_over, right, "t_a", "t_b", on, width=wide).withColumn("t_back", F.when(F.col("taken_b").isNull() | (F.col("t_b") > F.col("taken_b")), F.col("t_b"))).drop("t_b")
@@ -148,19 +147,14 @@ def as_of(left: DataFrame, right: DataFrame, t_left: str, t_right: str, on: list
     l = left.select(*on, F.col(t_left).alias("_t"), F.lit(1).alias("_left"), F.struct(*mine).alias("_mine"), F.lit(None).cast(right.select(F.struct(*other)).schema[0].dataType).alias("_other"))
     r = right.select(*on, F.col(t_right).alias("_t"), F.lit(0).alias("_left"), F.lit(None).cast(left.select(F.struct(*mine)).schema[0].dataType).alias("_mine"), F.struct(*other).alias("_other")).where("_t is not null")
     back = direction == "backward"
-    cut = l.unionByName(r).withColumn("_b", bucket_of("_t", width))
-    inside = Window.partitionBy(*on, "_b").orderBy(F.col("_t").asc() if back else F.col("_t").desc(), "_left").rowsBetween(Window.unboundedPreceding, 0)
-    scanned = cut.withColumn("_found", F.last("_other", ignorenulls=True).over(inside)).where("_left = 1")
-    ends = cut.where("_left = 0").groupBy(*on, "_b").agg((F.max_by if back else F.min_by)("_other", "_t").alias("_end"))
-    asked = cut.where("_left = 1").select(*on, "_b").distinct().withColumn("_end", F.lit(None).cast(ends.schema["_end"].dataType))
-    summary = ends.unionByName(asked).groupBy(*on, "_b").agg(F.first("_end", ignorenulls=True).alias("_end"))
-    before = Window.partitionBy(*on).orderBy(F.col("_b").asc_nulls_first() if back else F.col("_b").desc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
-    keys = [*on, "_b"]
-    starts = summary.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.last("_end", ignorenulls=True).over(before).alias("_start"))
-    same = F.lit(True)
-    for i, k in enumerate(keys):
-        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
-    found = scanned.join(starts, same, "left").withColumn("_found", F.coalesce("_found", "_start"))
+    cut = l.unionByName(r).withColumn("_k", bucket_key(on, "_t", width))
+    inside = Window.partitionBy("_k").orderBy(F.col("_t").asc() if back else F.col("_t").desc(), "_left")
+    scanned = cut.withColumn("_rn", F.row_number().over(inside)).withColumn("_found", F.last("_other", ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    # A bucket's last row has found its last right row; both sides of the join read one shuffle.
+    ends = scanned.groupBy("_k").agg(F.max_by(F.struct("*"), "_rn").alias("_e"))
+    over = Window.partitionBy(*[F.col(f"_k.k{i}") for i in range(len(on))]).orderBy(F.col("_k.b").asc_nulls_first() if back else F.col("_k.b").desc_nulls_first())
+    starts = ends.select(F.col("_k").alias("_j"), F.last("_e._found", ignorenulls=True).over(over.rowsBetween(Window.unboundedPreceding, -1)).alias("_start"))
+    found = scanned.where("_left = 1").join(starts, F.col("_k") == F.col("_j")).withColumn("_found", F.coalesce("_found", "_start"))
     return found.select(*on, *[F.col(f"_mine.{c}").alias(c) for c in mine], *[F.col(f"_found.{c}").alias(c) for c in other])
 
 

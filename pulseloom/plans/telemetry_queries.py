@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import units
 from ..operators import flux, sinks
-from ..sources import logs, telemetry
+from ..sources import logs, shared, telemetry
 from .registry import DAY, EV, HOUR, events, query, read
 from .statistics_queries import FTM, ftm_entries
 
@@ -58,9 +58,7 @@ def ingest_sys(spark: SparkSession, d: str) -> DataFrame:
 @query("stamp_route", f"WITH {EV} SELECT event_id, 'fts_ts/dev' || device || '/' || event_type AS topic, CASE WHEN k < 50 THEN us * 1000 ELSE us * 1000 + 7 END AS t_ns FROM ev")
 def stamp_route(spark: SparkSession, d: str) -> DataFrame:
     e = events(spark, d).select("event_id", F.format_string("fts/dev%d/%s", "device", "event_type").alias("topic"), F.when(F.col("k") < 50, F.to_json(F.struct((F.col("us") / 1e6).alias("ts")))).otherwise(F.lit("{}")).alias("payload"), (F.col("us") * 1000 + 7).alias("arrival"))
-    out = telemetry.stamp_arrival(e, F.col("arrival"))
-    # A time in seconds as a JSON number keeps microseconds; below that it is rounded.
-    return out.select("event_id", "topic", F.when(F.col("t_ns") == F.col("arrival"), F.col("t_ns")).otherwise((F.round(F.col("t_ns") / 1000) * 1000).cast("long")).alias("t_ns"))
+    return telemetry.stamp_arrival(e, F.col("arrival")).select("event_id", "topic", "t_ns")
 
 
 @query("route_bucket", f"WITH {EV} SELECT event_id, CASE WHEN event_type IN ('click', 'view', 'purchase') AND event_type <> 'view' THEN 'fts' ELSE 'health' END AS bucket FROM ev")
@@ -213,7 +211,8 @@ def log_lines(spark: SparkSession, d: str) -> DataFrame:
     at = F.expr("TIMESTAMP_NTZ'1970-01-01' + make_dt_interval(0, 0, 0, us / 1e6)")
     body = F.when(F.col("k") % 10 == 0, F.format_string("FTM,%d,250,0,,,,,,", "event_id")).otherwise(F.format_string("FTM,%d,0,%d,%d,%d,%d,-%d,-80,-20", "event_id", F.col("k") % 65, "k", F.col("k") - 1, F.col("k") + 1, F.col("k") % 60))
     line = F.when(F.col("event_type") == "error", F.lit("boot: ready")).when(F.col("event_type") == "view", F.concat(F.date_format(at, "HH:mm:ss"), F.lit(" "), body)).otherwise(F.concat(F.lit("["), F.date_format(at, "yyyy-MM-dd HH:mm:ss.SSSSSS"), F.lit("] "), body))
-    return events(spark, d).select(F.col("user_id").cast("string").alias("file"), F.col("event_id").alias("line_no"), line.alias("line"))
+    lines = events(spark, d).select(F.col("user_id").cast("string").alias("file"), F.col("event_id").alias("line_no"), line.alias("line"))
+    return shared.saved(lines, "lines")
 
 
 @query("log_ftm", f"""WITH {EV}, b AS (SELECT *, us // {DAY} AS day, first_value(CASE WHEN event_type NOT IN ('view', 'error') THEN us // {DAY} END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS base FROM ev)

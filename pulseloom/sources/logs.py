@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The fields of the session record, and of the other console records, with their types.
@@ -27,14 +27,20 @@ def parse_ftm_log(lines: DataFrame) -> DataFrame:
     Stamps are `[date time]`, `date time` or a time alone, which takes the date of the first dated session earlier
     in the file; without one ts is null. Midnight isn't noticed. Malformed records and headers are left out.
     """
-    body = F.split(F.regexp_extract("line", r"FTM,(.*)$", 1), ",")
+    parts = F.struct(
+        F.split(F.regexp_extract("line", r"FTM,(.*)$", 1), ",").alias("body"),
+        F.regexp_extract("line", r"(\d{4}-\d\d-\d\d)[ T]\d\d:\d\d:\d\d", 1).alias("_date"),
+        F.regexp_extract("line", r"(\d\d:\d\d:\d\d(?:\.\d{1,6})?)", 1).alias("_time"),
+    )
+    # As a generator's row, the parts are made once for each line and not once for each use.
+    rows = lines.where(F.contains("line", F.lit("FTM,"))).select("file", "line_no", F.inline(F.array(parts))).where("size(body) >= 9")
     fields = [F.expr(f"try_cast(nullif(trim(try_element_at(body, {k + 1})), '') AS BIGINT)").alias(c) for k, c in enumerate(SESSION)]
-    rows = lines.where(F.contains("line", F.lit("FTM,"))).withColumn("body", body).where("size(body) >= 9")
-    rows = rows.select("file", "line_no", *fields, F.regexp_extract("line", r"(\d{4}-\d\d-\d\d)[ T]\d\d:\d\d:\d\d", 1).alias("_date"), F.regexp_extract("line", r"(\d\d:\d\d:\d\d(?:\.\d{1,6})?)", 1).alias("_time")).where("session is not null and status is not null")
-    before = Window.partitionBy("file").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    base = F.first(F.when(F.col("_date") != "", F.col("_date")), ignorenulls=True).over(before)
-    day = F.when(F.col("_date") != "", F.col("_date")).otherwise(base)
-    return rows.withColumn("ts", F.try_to_timestamp(F.concat_ws(" ", day, F.when(day.isNotNull() & (F.col("_time") != ""), F.col("_time"))))).select("file", "line_no", F.when(F.col("_time") != "", F.col("ts")).alias("ts"), *SESSION)
+    rows = rows.select("file", "line_no", *fields, "_date", "_time").where("session is not null and status is not null")
+    dated = rows.where("_date <> ''").groupBy(F.col("file").alias("_file")).agg(F.min("line_no").alias("_since"), F.min_by("_date", "line_no").alias("_base"))
+    rows = rows.join(dated, (F.col("file") == F.col("_file")) & (F.col("line_no") >= F.col("_since")), "left")
+    day = F.when(F.col("_date") != "", F.col("_date")).otherwise(F.col("_base"))
+    ts = F.try_to_timestamp(F.when(F.col("_time") != "", F.concat(day, F.lit(" "), F.col("_time"))))
+    return rows.select("file", "line_no", ts.alias("ts"), *SESSION)
 
 
 def parse_device_log(lines: DataFrame, tag: str) -> DataFrame:
