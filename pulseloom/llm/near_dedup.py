@@ -217,7 +217,9 @@ def _bucket_pairs(rows: list[tuple], threshold: float, registers: int, forest: b
         ok, equal = likely(over, under, n[later], np.full(len(later), n[i]), least, registers)
         found += [(-e, i, j) for e, j in zip(equal[ok].tolist(), later[ok].tolist(), strict=True)]
     if forest:
-        parent = list(range(len(rows)))
+        # Members of one class are joined already: a block adds no more links than it has classes.
+        first: dict[int, int] = {}
+        parent = [first.setdefault(k, i) for i, k in enumerate(known.tolist())]
         found.sort()
     for _, i, j in found:
         if forest:
