@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Fixed values of the devices: a tick's length in ns, and the two wraps of the time counters in ps.
@@ -37,9 +37,21 @@ def unwrap_offset(master_us: Column) -> Column:
     return (ps - (ps % F.lit(WRAP_PS).cast("decimal(20,0)")) % F.lit(SHORT_WRAP_PS).cast("decimal(20,0)")).cast("decimal(38,0)")
 
 
+def remote_time(t1: Column, rtt: Column) -> Column:
+    """The remote time at the arrival of a frame: its sending and half the round trip, truncated towards zero."""
+    return t1 + F.call_function("div", rtt, F.lit(2))
+
+
+def edge_choice(edges: DataFrame, kind: str, edge_type: str = "edge_type") -> DataFrame:
+    """The rising (0) or falling (1) edges; `both` can't be matched one to one and falls back to falling."""
+    return edges.where(F.col(edge_type) == (0 if kind == "rising" else 1))
+
+
 def register(spark: SparkSession) -> None:
     """The conversions as SQL functions of the session."""
     spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION ticks_to_ns(x BIGINT) RETURNS BIGINT RETURN x * {TICK_NS}")
     spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION fixed_period(w DOUBLE, f DOUBLE) RETURNS DOUBLE RETURN w + f / 65536")
     spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION phase_degrees(delay_s DOUBLE, freq DOUBLE) RETURNS DOUBLE RETURN delay_s * freq * 360")
     spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION rtt_ps(t1 BIGINT, t2 BIGINT, t3 BIGINT, t4 BIGINT) RETURNS BIGINT RETURN (t4 - t1) - (t3 - t2)")
+    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION remote_time(t1 BIGINT, rtt BIGINT) RETURNS BIGINT RETURN t1 + rtt div 2")
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION unwrap_offset(us BIGINT) RETURNS DECIMAL(38,0) RETURN CAST(us AS DECIMAL(20,0)) * 1000000 - (CAST(us AS DECIMAL(20,0)) * 1000000 % {WRAP_PS}BD) % {SHORT_WRAP_PS}BD")

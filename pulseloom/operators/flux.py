@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import operator
+import re
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,12 +12,39 @@ from pyspark.sql import functions as F
 from .scale import prefix
 
 
-def f_range(df: DataFrame, ts: str, start: object = None, stop: object = None) -> DataFrame:
-    """Rows in [start, stop); an open end is no limit."""
+#: The units of relative times, in microseconds.
+UNITS = {"us": 1, "ms": 1_000, "s": 1_000_000, "m": 60_000_000, "h": 3_600_000_000, "d": 86_400_000_000, "w": 604_800_000_000}
+
+
+def instant(value: object, now: int | None = None) -> object:
+    """A time as it is, or microseconds from one like -5m or 30d, relative to now; now() is now itself."""
+    if not isinstance(value, str):
+        return value
+    if value == "now()":
+        return now
+    found = re.fullmatch(r"([+-]?\d+)(us|ms|s|m|h|d|w)", value)
+    if not found or now is None:
+        raise ValueError(f"{value!r} isn't a time relative to now")
+    return now + int(found[1]) * UNITS[found[2]]
+
+
+def f_range(df: DataFrame, ts: str, start: object = None, stop: object = None, now: int | None = None) -> DataFrame:
+    """Rows in [start, stop), each a time, a time relative to now, or open."""
+    start, stop = instant(start, now), instant(stop, now)
     out = df if start is None else df.where(F.col(ts) >= F.lit(start))
     return out if stop is None else out.where(F.col(ts) < F.lit(stop))
 
 
+def without_range(df: DataFrame, ts: str, start: object = None, stop: object = None, now: int | None = None, **tags: object) -> DataFrame:
+    """df without the rows in [start, stop) whose tags have the given values: what a delete leaves."""
+    gone = F.lit(True)
+    for limit, test in ((instant(start, now), lambda x: F.col(ts) >= F.lit(x)), (instant(stop, now), lambda x: F.col(ts) < F.lit(x))):
+        gone = gone if limit is None else gone & test(limit)
+    for c, v in tags.items():
+        gone = gone & (F.col(c) == F.lit(v))
+    return df.where(~F.coalesce(gone, F.lit(False)))
+
+
 def f_tags(df: DataFrame, eq: dict | None = None, neq: dict | None = None, regex: dict | None = None, exists: list[str] | None = None) -> DataFrame:
     """Rows whose tags equal (one of), differ from, match, or exist; an empty value or list means all."""
     tests: list[Column] = []

@@ -13,11 +13,29 @@ def monotonic_violations(df: DataFrame, by: list[str], order: list[str], t: str,
     return prefix(df, by, order, width, lags={"before": t}).where(F.col(t) < F.col("before"))
 
 
-def write_edges(df: DataFrame, path: str, by: list[str], order: list[str], t: str) -> None:
-    """Writes a series as Parquet; refuses an existing target and times that run backwards."""
-    if monotonic_violations(df, by, order, t).limit(1).count():
-        raise ValueError(f"{t} runs backwards")
-    df.write.mode("errorifexists").parquet(path)
+def write_edges(df: DataFrame, path: str, by: list[str], order: list[str], t: str, append: bool = False) -> None:
+    """Writes a series as Parquet; refuses times that run backwards, and an existing target unless it is appended to.
+
+    Appended rows must not lie before the last ones of their key that are there. What is checked is what is written:
+    both come from one scan, which is kept until the check has passed.
+    """
+    seen = prefix(df, by, order, 1e9, lags={"_before": t}).persist()
+    try:
+        if seen.where(F.col(t) < F.col("_before")).limit(1).count():
+            raise ValueError(f"{t} runs backwards")
+        if append:
+            there = df.sparkSession.read.parquet(path).groupBy(F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(by)]).alias("_key") if by else F.lit(0).alias("_key")).agg(F.max(t).alias("_last"))
+            key = F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(by)]) if by else F.lit(0)
+            if seen.withColumn("_own", key).join(there, F.col("_own") == F.col("_key")).where(F.col(t) < F.col("_last")).limit(1).count():
+                raise ValueError(f"{t} lies before what is there")
+        seen.select(df.columns).write.mode("append" if append else "errorifexists").parquet(path)
+    finally:
+        seen.unpersist()
+
+
+def write_delays(df: DataFrame, path: str, t: str, delay: str, keep: list[str] | None = None) -> None:
+    """Writes time_samples and delay_ns of a delay series as Parquet; rows without a delay are left out."""
+    df.where(F.col(delay).isNotNull()).select(*(keep or []), F.col(t).cast("double").alias("time_samples"), F.col(delay).cast("double").alias("delay_ns")).write.mode("errorifexists").parquet(path)
 
 
 def clamp_points(df: DataFrame, points: str, max_n: int = 255) -> DataFrame:

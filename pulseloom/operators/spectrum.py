@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -24,7 +23,8 @@ def _windowed(df: DataFrame, delay: str, order: list[str], pulse_freq: float, by
     rows = prefix(df.where(F.col(delay).isNotNull()), by, order, width, rn="_rn").withColumn("_phase", F.col(delay) * 1e-9 * 2 * F.pi() * pulse_freq)
     rows = _with_group_value(rows, by, _n=F.count("*"), _mu=F.avg("_phase"))
     hann = 0.5 - 0.5 * F.cos(2 * F.pi() * (F.col("_rn") - 1) / (F.col("_n") - 1))
-    return rows.where("_n > 1").select(*by, (F.col("_rn") - 1).alias("_i"), "_n", ((F.col("_phase") - F.col("_mu")) * hann).alias("_z"), (hann * hann).alias("_w2"))
+    # Under the window, series of fewer than three rows are all zero.
+    return rows.where("_n > 2").select(*by, (F.col("_rn") - 1).alias("_i"), "_n", ((F.col("_phase") - F.col("_mu")) * hann).alias("_z"), (hann * hann).alias("_w2"))
 
 
 def phase_noise(df: DataFrame, delay: str, order: list[str], pulse_freq: float, by: list[str], bins: list[float] | None = None, width: float = 1e9) -> DataFrame:
@@ -33,7 +33,7 @@ def phase_noise(df: DataFrame, delay: str, order: list[str], pulse_freq: float,
     An offset needs only its two neighbour bins, so each is four sums; total power follows from the squares.
     Offsets below ten resolutions of the series or beyond half the pulse rate are null.
     """
-    bins = bins or LOG_BINS
+    bins = LOG_BINS if bins is None else bins
     rows = _windowed(df, delay, order, pulse_freq, by, width)
     n = F.col("_n")
 
@@ -65,28 +65,96 @@ def phase_noise(df: DataFrame, delay: str, order: list[str], pulse_freq: float,
     return out.select(*by, "n", rms.alias("rms_rad"), (rms / (2 * np.pi * pulse_freq) * 1e9).alias("rms_jitter_ns"), *cols)
 
 
-def band_rms(df: DataFrame, delay: str, order: list[str], pulse_freq: float, lo: float, hi: float, by: list[str], width: float = 1e9, block: int = 1 << 16) -> DataFrame:
-    """by..., n, band_rms: noise of a delay series in [lo, hi] Hz in rad; null if the band holds no bin.
+def _transform(cells: DataFrame, by: list[str], rows: int, columns: int, inverse: bool = False) -> DataFrame:
+    """The discrete transform of cells(by..., i, re, im) of rows * columns places, 0 where there is none, as two rounds of short ones.
 
-    Series are cut into blocks of `block` rows with spectra of their own, averaged by length, so that no task
-    holds a whole long series; a series of at most one block has the spectrum of the whole.
+    Place i = columns * a + b goes to task b for a transform over a, then frequency k = c + rows * d to task c for one
+    over b: no task holds more than a row or a column.
     """
-    rows = prefix(df.where(F.col(delay).isNotNull()), by, order, width, rn="_rn")
-    rows = rows.select(*by, F.floor((F.col("_rn") - 1) / block).alias("_block"), "_rn", (F.col(delay) * 1e-9 * 2 * np.pi * pulse_freq).alias("_phase"))
+    turn = 2j if inverse else -2j
+    total = rows * columns
+    types = ", ".join(f"{n} {t}" for n, t in cells.dtypes if n in by)
+    schema = f"{types}, i long, re double, im double" if types else "i long, re double, im double"
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        y = pdf.sort_values("_rn")["_phase"].to_numpy()
-        n = len(y)
-        power = None
-        if n > 1:
-            window = np.hanning(n)
-            psd = np.abs(np.fft.rfft((y - y.mean()) * window)) ** 2 / (n * pulse_freq * (window**2).mean())
-            psd[1:-1] *= 2
-            freq = np.fft.rfftfreq(n, 1 / pulse_freq)
-            chosen = (freq >= lo) & (freq <= hi)
-            power = float(psd[chosen].sum() * pulse_freq / n) if chosen.any() else None
-        return pd.DataFrame([[*key[:-1], n, power]], columns=[*by, "_n", "_power"])
+    def out(key: tuple, places: np.ndarray, z: np.ndarray) -> pd.DataFrame:
+        return pd.DataFrame({**dict(zip(by, key, strict=False)), "i": places, "re": z.real, "im": z.imag})
+
+    def first(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        z = np.zeros(rows, complex)
+        z[pdf["i"].to_numpy() // columns] = pdf["re"].to_numpy() + 1j * pdf["im"].to_numpy()
+        b, c = int(key[-1]), np.arange(rows)
+        z = (np.fft.ifft(z) * rows if inverse else np.fft.fft(z)) * np.exp(turn * np.pi * ((b * c) % total) / total)
+        return out(key, c * columns + b, z)
+
+    def second(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        z = np.zeros(columns, complex)
+        z[pdf["i"].to_numpy() % columns] = pdf["re"].to_numpy() + 1j * pdf["im"].to_numpy()
+        z = np.fft.ifft(z) * columns if inverse else np.fft.fft(z)
+        return out(key, int(key[-1]) + rows * np.arange(columns), z)
+
+    half = cells.withColumn("_b", F.col("i") % columns).groupBy(*by, "_b").applyInPandas(first, schema)
+    return half.withColumn("_c", F.expr(f"i div {columns}")).groupBy(*by, "_c").applyInPandas(second, schema)
+
+
+def _long_spectrum(rows: DataFrame, by: list[str], longest: int) -> DataFrame:
+    """by..., i, re, im: the transform of series rows(by..., _i, _n, _z) of any length below `longest`.
 
+    Chirps turn the transform of n places into a convolution, whose own transforms have a length that divides well.
+    """
+    side = 1
+    while side * side < 2 * longest:
+        side *= 2
+    size = side * side
+    # Angles from whole numbers below 2 n, so that long series keep their precision.
+    chirp = F.pi() * ((F.col("_i").cast("decimal(19,0)") * F.col("_i").cast("decimal(19,0)")) % (2 * F.col("_n")).cast("decimal(20,0)")).cast("double") / F.col("_n")
+    signal = rows.select(*by, F.col("_i").alias("i"), (F.col("_z") * F.cos(chirp)).alias("re"), (-F.col("_z") * F.sin(chirp)).alias("im"))
+    both = F.explode(F.when(F.col("_i") == 0, F.array(F.lit(0).cast("long"))).otherwise(F.array("_i", size - F.col("_i"))))
+    filters = rows.select(*by, both.alias("i"), F.cos(chirp).alias("re"), F.sin(chirp).alias("im"))
+    x = _transform(signal, by, side, side)
+    y = _transform(filters, by, side, side).select(*[F.col(c).alias(f"_y_{c}") for c in [*by, "i", "re", "im"]])
+    same = F.col("i") == F.col("_y_i")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_y_{c}"))
+    a, b, c, d = (F.col(k) for k in ("re", "im", "_y_re", "_y_im"))
+    product = x.join(y, same).select(*by, "i", ((a * c - b * d) / size).alias("re"), ((a * d + b * c) / size).alias("im"))
+    # The last factor is a chirp of absolute value one: power needs none of it.
+    return _transform(product, by, side, side, inverse=True)
+
+
+def band_rms(df: DataFrame, delay: str, order: list[str], pulse_freq: float, lo: float, hi: float, by: list[str], width: float = 1e9, whole: int = 1 << 20) -> DataFrame:
+    """by..., n, band_rms: noise of a delay series in [lo, hi] Hz in rad; null if the band holds no bin.
+
+    The spectrum is that of the whole series. Series of up to `whole` rows are transformed in a task of their own;
+    longer ones by transforms whose tasks hold the square root of their length, with the same result.
+    """
+    rows = _windowed(df, delay, order, pulse_freq, by, width)
+    sizes = df.where(F.col(delay).isNotNull()).groupBy(*by).agg(F.count("*").alias("n"))
+    norm = rows.groupBy(*by).agg(F.sum("_w2").alias("_s2"))
+    longest = sizes.agg(F.max("n")).first()[0] or 0
     types = ", ".join(f"{n} {t}" for n, t in df.dtypes if n in by)
-    parts = rows.groupBy(*by, "_block").applyInPandas(run, f"{types}, _n long, _power double")
-    return parts.groupBy(*by).agg(F.sum("_n").alias("n"), F.sqrt(F.sum(F.col("_power") * F.col("_n")) / F.sum(F.when(F.col("_power").isNotNull(), F.col("_n")))).alias("band_rms"))
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        z = np.zeros(int(pdf["_n"].iloc[0]))
+        z[pdf["_i"].to_numpy()] = pdf["_z"].to_numpy()
+        spectrum = np.fft.rfft(z)
+        freq = np.arange(len(spectrum)) * pulse_freq / len(z)
+        double = np.full(len(spectrum), 2.0)
+        double[[0, -1]] = 1.0
+        chosen = (freq >= lo) & (freq <= hi)
+        return pd.DataFrame([[*key, float((np.abs(spectrum) ** 2 * double)[chosen].sum()) if chosen.any() else None]], columns=[*by, "_squares"])
+
+    short = rows.where(F.col("_n") <= whole).groupBy(*by).applyInPandas(run, f"{types}, _squares double")
+    squares = short
+    if longest > whole:
+        long = rows.where(F.col("_n") > whole)
+        lengths = sizes.select(*[F.col(c).alias(f"_l_{c}") for c in by], F.col("n").alias("_n"))
+        same = F.lit(True)
+        for c in by:
+            same = same & F.col(c).eqNullSafe(F.col(f"_l_{c}"))
+        bins = _long_spectrum(long, by, longest).join(lengths, same)
+        freq = F.col("i") * pulse_freq / F.col("_n")
+        double = F.when((F.col("i") == 0) | (F.col("i") == F.floor(F.col("_n") / 2)), 1.0).otherwise(2.0)
+        inside = bins.where((F.col("i") <= F.floor(F.col("_n") / 2)) & (freq >= lo) & (freq <= hi))
+        squares = short.unionByName(inside.groupBy(*by).agg(F.sum((F.col("re") ** 2 + F.col("im") ** 2) * double).alias("_squares")))
+    out = sizes.join(norm, by, "left").join(squares, by, "left")
+    return out.select(*by, "n", F.sqrt(F.col("_squares") / F.col("_s2") / F.col("n")).alias("band_rms"))

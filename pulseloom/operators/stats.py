@@ -26,12 +26,58 @@ def _with_group_value(df: DataFrame, by: list[str], **aggs: Column) -> DataFrame
     return df.join(keys, match).drop(*[f"_g_{c}" for c in by])
 
 
+def exact_quantiles(df: DataFrame, v: str, by: list[str], quantiles: dict[str, float], discrete: bool = False, cells: int = 4096) -> DataFrame:
+    """by..., a column for each of quantiles {name: share} of v, exactly and without a group in one task.
+
+    Equal values are counted, each group's range is cut into `cells`, and only the values of one cell are sorted together.
+    Ranks are interpolated between neighbours; `discrete` takes the value at index int(n share).
+    """
+    group = F.struct(*by) if by else F.struct(F.lit(0).alias("one"))
+    values = df.where(F.col(v).isNotNull()).groupBy(group.alias("_g"), F.col(v).cast("double").alias("_v")).agg(F.count("*").alias("_c"))
+    ends = values.groupBy("_g").agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_c").alias("_n"))
+    ends = ends.withColumnRenamed("_g", "_eg")
+    part = F.when(F.col("_hi") > F.col("_lo"), F.least(F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * cells), F.lit(cells - 1))).otherwise(0)
+    placed = values.join(ends, F.col("_g") == F.col("_eg")).withColumn("_cell", F.struct("_g", part.cast("long").alias("p")))
+    inside = Window.partitionBy("_cell").orderBy("_v")
+    scanned = placed.withColumn("_upto", F.sum("_c").over(inside)).withColumn("_rank", F.row_number().over(inside))
+    sizes = scanned.groupBy("_cell").agg(F.max_by(F.struct("*"), "_rank").alias("_e"))
+    before = Window.partitionBy("_cell._g").orderBy("_cell.p").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(F.col("_cell").alias("_at"), F.coalesce(F.sum("_e._upto").over(before), F.lit(0)).alias("_before"))
+    ranked = scanned.join(starts, F.col("_cell") == F.col("_at")).withColumn("_upto", F.col("_upto") + F.col("_before"))
+    low, n = F.col("_upto") - F.col("_c"), F.col("_n")
+
+    def at(index: Column) -> Column:
+        return F.max(F.when((index >= low) & (index < F.col("_upto")), F.col("_v")))
+
+    picks = []
+    for name, q in quantiles.items():
+        place = n * F.lit(q) if discrete else (n - 1) * F.lit(q)
+        picks += [at(F.floor(place)).alias(f"_{name}_0"), at(F.floor(place) + 1).alias(f"_{name}_1"), F.first(place - F.floor(place)).alias(f"_{name}_f")]
+    out = ranked.groupBy("_g").agg(*picks)
+    one = {name: F.col(f"_{name}_0") if discrete else F.col(f"_{name}_0") + F.col(f"_{name}_f") * F.coalesce(F.col(f"_{name}_1") - F.col(f"_{name}_0"), F.lit(0.0)) for name in quantiles}
+    return out.select(*[F.col(f"_g.{c}").alias(c) for c in by], *[c.alias(name) for name, c in one.items()])
+
+
+def _beside(one: DataFrame, two: DataFrame, by: list[str]) -> DataFrame:
+    """Two tables of one row for each group side by side; null groups meet."""
+    if not by:
+        return one.join(F.broadcast(two), F.lit(True))
+    keys = two.select(F.struct(*by).alias("_key"), *[c for c in two.columns if c not in by])
+    return one.withColumn("_own", F.struct(*by)).join(keys, F.col("_own") == F.col("_key")).drop("_own", "_key")
+
+
 def jitter_stats(df: DataFrame, delay: str, by: list[str] | None = None, pulse_freq: float | None = None, approx: bool = False) -> DataFrame:
-    """by..., n, mean, std (population), min, max, max_dev, p50..p999 of |delay - mean|, phase mean and std in degrees (delay in ns)."""
+    """by..., n, mean, std (population), min, max, max_dev, p50..p999 of |delay - mean|, phase mean and std in degrees (delay in ns).
+
+    Percentiles are exact (see exact_quantiles), or with `approx` of one pass and bounded error.
+    """
     by = by or []
     rows = _with_group_value(df.where(F.col(delay).isNotNull()), by, _mean=F.avg(delay)).withColumn("_dev", F.abs(F.col(delay) - F.col("_mean")))
-    pick = (lambda q: F.percentile_approx("_dev", q, 10_000)) if approx else (lambda q: F.percentile("_dev", q))
-    out = rows.groupBy(*by).agg(F.count("*").alias("n"), F.avg(delay).alias("mean"), F.stddev_pop(delay).alias("std"), F.min(delay).alias("min"), F.max(delay).alias("max"), F.max("_dev").alias("max_dev"), *[pick(q).alias(n) for n, q in QUANTILES.items()])
+    aggs = [F.count("*").alias("n"), F.avg(delay).alias("mean"), F.stddev_pop(delay).alias("std"), F.min(delay).alias("min"), F.max(delay).alias("max"), F.max("_dev").alias("max_dev")]
+    if approx:
+        out = rows.groupBy(*by).agg(*aggs, *[F.percentile_approx("_dev", q, 10_000).alias(n) for n, q in QUANTILES.items()])
+    else:
+        out = _beside(rows.groupBy(*by).agg(*aggs), exact_quantiles(rows, "_dev", by, QUANTILES), by)
     if pulse_freq is not None:
         out = out.withColumn("phase_mean_deg", phase_degrees(F.col("mean") * 1e-9, pulse_freq)).withColumn("phase_std_deg", phase_degrees(F.col("std") * 1e-9, pulse_freq))
     return out
@@ -56,12 +102,8 @@ def frequency_skew(pa: DataFrame, pb: DataFrame, period: str, position: str | No
 
 def online_stats(df: DataFrame, v: str, by: list[str]) -> DataFrame:
     """by..., n, mean, std, min, max, and percentiles that pick the value at index int(n p) without interpolation."""
-    ranked = df.where(F.col(v).isNotNull()).groupBy(*by, v).agg(F.count("*").alias("_c"))
-    over = Window.partitionBy(*by).orderBy(v)
-    ranked = ranked.withColumn("_hi", F.sum("_c").over(over)).withColumn("_n", F.sum("_c").over(Window.partitionBy(*by)))
-    # A value stands at indexes [hi - c, hi); repeated values are one row, so the window sees distinct values only.
-    picks = [F.max(F.when((F.floor(F.col("_n") * q) >= F.col("_hi") - F.col("_c")) & (F.floor(F.col("_n") * q) < F.col("_hi")), F.col(v))).alias(n) for n, q in QUANTILES.items()]
-    return df.where(F.col(v).isNotNull()).groupBy(*by).agg(F.count("*").alias("n"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max")).join(ranked.groupBy(*by).agg(*picks), by)
+    moments = df.where(F.col(v).isNotNull()).groupBy(*by).agg(F.count("*").alias("n"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"))
+    return _beside(moments, exact_quantiles(df, v, by, QUANTILES, discrete=True), by)
 
 
 def session_stats(df: DataFrame, by: list[str], rtt: str = "rtt", rssi: str = "rssi") -> DataFrame:
@@ -109,6 +151,12 @@ def run_stats(df: DataFrame, run: str, value: str, order: str, full: int = 100)
     return df.groupBy(run).agg(F.count("*").alias("n"), F.count_distinct(value).alias("distinct"), F.max_by(value, order).alias("last")).withColumn("is_full", F.col("n") == full)
 
 
+def run_rollup(runs: DataFrame) -> DataFrame:
+    """One row over run_stats: mean, min and max of rows and distinct values a run, and how many runs are full."""
+    spans = [f(c).alias(f"{c}_{name}") for c in ("n", "distinct") for name, f in (("mean", F.avg), ("min", F.min), ("max", F.max))]
+    return runs.agg(F.count("*").alias("runs"), *spans, F.sum(F.col("is_full").cast("long")).alias("full"))
+
+
 def drop_last_run(df: DataFrame, run: str, order: str, full: int = 100) -> DataFrame:
     """df without the run of its last row, if that run has fewer than `full` rows."""
     last = df.agg(F.max_by(run, order).alias("_last"))
@@ -123,7 +171,17 @@ def interval_intersection(df: DataFrame, lo: str, hi: str, by: list[str]) -> Dat
     return out.select(*by, F.when(good, F.col("lo")).alias("lo"), F.when(good, F.col("hi")).alias("hi"), F.when(good, (F.col("lo") + F.col("hi")) / 2).alias("mid"), F.when(good, F.col("hi") - F.col("lo")).alias("width"))
 
 
-def edge_accounting(matches: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """by..., edges of a and b, matched, rejected, unmatched of a match table."""
+def running_intersection(df: DataFrame, lo: str, hi: str, by: list[str], order: list[str], width: float) -> DataFrame:
+    """df with the intersection (lo_so_far, hi_so_far) of all intervals up to each row; empty where it is inverted."""
+    turned = df.withColumn("_high", -F.col(hi))
+    out = prefix(turned, by, order, width, tops={"lo_so_far": lo, "_high_so_far": "_high"})
+    return out.withColumn("hi_so_far", -F.col("_high_so_far")).drop("_high", "_high_so_far")
+
+
+def edge_accounting(matches: DataFrame, by: list[str] | None = None, skipped: DataFrame | None = None) -> DataFrame:
+    """by..., edges of a and b, matched, rejected, unmatched of a match table; with skipped(side), edges left out before it too."""
     s = F.col("status")
+    if skipped is not None:
+        counts = skipped.agg(*[F.sum((F.col("side") == x).cast("long")).alias(f"skipped_{x}") for x in ("a", "b")])
+        return edge_accounting(matches, by).join(F.broadcast(counts), F.lit(True))
     return matches.groupBy(*(by or [])).agg(F.sum(s.isin("matched", "unmatched_a", "rejected").cast("long")).alias("edges_a"), F.sum(s.isin("matched", "unmatched_b").cast("long")).alias("edges_b"), *[F.sum((s == x).cast("long")).alias(x) for x in ("matched", "rejected", "unmatched_a", "unmatched_b")])

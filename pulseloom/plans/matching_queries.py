@@ -114,21 +114,21 @@ def asof_forward(spark: SparkSession, d: str) -> DataFrame:
     return match.as_of(asks, answers, "us", "next_us", ["device"], "forward").select("device", "event_id", "next_us")
 
 
-@query("experiment_window", f"WITH {EV}, x AS (SELECT user_id AS experiment, min(us) AS t_from, max(us) + {SECOND} AS t_to FROM ev WHERE event_type = 'signup' GROUP BY 1) SELECT x.experiment, count(*) AS n, round(avg(value), 6) AS mean FROM ev JOIN x ON us >= t_from AND us < t_to WHERE event_type = 'error' AND x.experiment < 20 GROUP BY 1")
+@query("experiment_window", f"WITH {EV}, x AS (SELECT user_id AS experiment, min(us) AS t_from, max(us) + {SECOND} AS t_to FROM ev WHERE event_type = 'signup' GROUP BY 1) SELECT x.experiment, count(*) AS n, round(avg(value), 6) AS mean FROM ev JOIN x ON us >= t_from AND us < t_to WHERE event_type = 'error' GROUP BY 1")
 def experiment_window(spark: SparkSession, d: str) -> DataFrame:
+    """Error events within the span of each user's signups, as telemetry within experiments."""
     e = events(spark, d)
-    spans = e.where("event_type = 'signup' and user_id < 20").groupBy(F.col("user_id").alias("experiment")).agg(F.min("us").alias("t_from"), (F.max("us") + SECOND).alias("t_to"))
+    spans = e.where("event_type = 'signup'").groupBy(F.col("user_id").alias("experiment")).agg(F.min("us").alias("t_from"), (F.max("us") + SECOND).alias("t_to"))
     noted = match.annotate(e.where("event_type = 'error'").select("us", "value"), spans, "us", DAY)
     return noted.groupBy("experiment").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"))
 
 
-@query("experiment_window_all")
-def experiment_window_all(spark: SparkSession, d: str) -> DataFrame:
-    """experiment_window over the spans of all experiments."""
+@query("experiment_events", f"WITH {EV}, x AS (SELECT user_id FROM ev WHERE event_type = 'signup' GROUP BY 1 ORDER BY max(us) DESC, user_id LIMIT 1) SELECT event_id, us, event_type FROM ev JOIN x USING (user_id)")
+def experiment_events(spark: SparkSession, d: str) -> DataFrame:
+    """The events of the latest experiment."""
     e = events(spark, d)
-    spans = e.where("event_type = 'signup'").groupBy(F.col("user_id").alias("experiment")).agg(F.min("us").alias("t_from"), (F.max("us") + SECOND).alias("t_to"))
-    noted = match.annotate(e.where("event_type = 'error'").select("us", "value"), spans, "us", DAY)
-    return noted.groupBy("experiment").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"))
+    latest = e.where("event_type = 'signup'").groupBy("user_id").agg(F.max("us").alias("latest")).orderBy(F.desc("latest"), "user_id").limit(1)
+    return e.join(F.broadcast(latest.select("user_id")), "user_id", "left_semi").select("event_id", "us", "event_type")
 
 
 @query("rel_time", f"WITH {EV} SELECT event_id, round((us - (SELECT min(us) FROM ev)) / 1e6, 6) AS rel_s FROM ev")

@@ -18,9 +18,9 @@ def signal(spark: SparkSession, d: str) -> DataFrame:
     return events(spark, d).select(F.lit("x").alias("series"), F.col("event_id").alias("idx"), (F.col("value") - 50).alias("v"))
 
 
-def _debounced(candidates: str, keep: str) -> str:
+def _debounced(candidates: str, keep: str, tie: str = "t") -> str:
     """Recursive SQL that keeps candidates (k, t, ...) at least APART after the last kept of their kind."""
-    return f"""c AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY t) AS rn FROM ({candidates})), w AS (SELECT k, t, h, rn, t AS last, true AS keep FROM c WHERE rn = 1
+    return f"""c AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY t, {tie}) AS rn FROM ({candidates})), w AS (SELECT k, t, h, rn, t AS last, true AS keep FROM c WHERE rn = 1
  UNION ALL SELECT c.k, c.t, c.h, c.rn, CASE WHEN c.t - w.last >= {APART} THEN c.t ELSE w.last END, c.t - w.last >= {APART} FROM w JOIN c ON c.k = w.k AND c.rn = w.rn + 1) {keep}"""
 
 
@@ -43,30 +43,32 @@ def detect_hysteresis(spark: SparkSession, d: str) -> DataFrame:
     return detect.detect_hysteresis(signal(spark, d), ["series"], "idx", "v", -THRESHOLD, THRESHOLD, 10, 1024).select("series", "idx", "edge_type")
 
 
-@query("detect_linreg")
-def detect_linreg(spark: SparkSession, d: str) -> DataFrame:
-    return detect.detect_linreg(signal(spark, d), ["series"], "idx", "v", THRESHOLD, min_distance=APART, width=1024)
+_LINREG = f"""f AS (SELECT idx AS j, CASE WHEN p > -{THRESHOLD} AND v <= -{THRESHOLD} THEN 0 ELSE 1 END AS k FROM n WHERE (p > -{THRESHOLD} AND v <= -{THRESHOLD}) OR (p < {THRESHOLD} AND v >= {THRESHOLD})),
+ a AS (SELECT j, k, s.idx AS i, CASE k WHEN 0 THEN -v ELSE v END AS y FROM f JOIN s ON s.idx BETWEEN j - 11 AND j + 15),
+ pk AS (SELECT j, k, max(y) FILTER (i >= j) AS top, arg_max(i, struct_pack(y := y, m := -i)) FILTER (i >= j) AS peak FROM a GROUP BY j, k),
+ fl AS (SELECT j, k, top, i - j AS x, y FROM a JOIN pk USING (j, k) WHERE i >= peak - 10 AND i < peak AND y >= top * 0.2 AND y <= top * 0.8),
+ ft AS (SELECT j, k, any_value(top) AS h, CAST(count(*) AS DOUBLE) AS c, sum(x) AS sx, sum(y) AS sy, sum(x * y) AS sxy, sum(x * x) AS sxx, min(x) AS x0 FROM fl GROUP BY j, k),
+ fs AS (SELECT *, CASE WHEN c >= 2 AND abs(c * sxx - sx * sx) >= 1e-12 THEN (c * sxy - sx * sy) / (c * sxx - sx * sx) END AS slope FROM ft)"""
 
 
-@query("refine_parabolic", f"WITH {SIGNAL} SELECT 'x' AS series, idx, round(CASE WHEN p IS NULL OR nx IS NULL OR abs(p - 2 * v + nx) < 1e-10 OR abs((p - nx) / (2 * (p - 2 * v + nx))) > 1 THEN idx ELSE idx + (p - nx) / (2 * (p - 2 * v + nx)) END, 6) AS t FROM n WHERE idx % 7 = 0")
-def refine_parabolic(spark: SparkSession, d: str) -> DataFrame:
-    s = signal(spark, d)
-    return detect.refine_parabolic(s, ["series"], "idx", "v", s.where("idx % 7 = 0").select("series", "idx")).withColumn("t", F.round("t", 6))
+@query("detect_linreg", f"WITH RECURSIVE {SIGNAL}, {_LINREG}, " + _debounced("SELECT k, CASE WHEN slope IS NULL OR abs(slope) < 1e-12 THEN j + x0 ELSE j + (h * 0.5 - (sy - slope * sx) / c) / slope END AS t, h, j FROM fs", "SELECT 'x' AS series, round(t, 6) AS t, k AS edge_type, round(h, 6) AS height FROM w WHERE keep", "j"))
+def detect_linreg(spark: SparkSession, d: str) -> DataFrame:
+    out = detect.detect_linreg(signal(spark, d), ["series"], "idx", "v", THRESHOLD, min_distance=APART, width=1024)
+    return out.withColumn("t", F.round("t", 6)).withColumn("height", F.round("height", 6))
 
 
-@query("refine_parabolic_all")
-def refine_parabolic_all(spark: SparkSession, d: str) -> DataFrame:
-    """refine_parabolic at every sample."""
+@query("refine_parabolic", f"WITH {SIGNAL} SELECT 'x' AS series, idx, round(CASE WHEN p IS NULL OR nx IS NULL OR abs(p - 2 * v + nx) < 1e-10 OR abs((p - nx) / (2 * (p - 2 * v + nx))) > 1 THEN idx ELSE idx + (p - nx) / (2 * (p - 2 * v + nx)) END, 6) AS t FROM n")
+def refine_parabolic(spark: SparkSession, d: str) -> DataFrame:
     s = signal(spark, d)
     return detect.refine_parabolic(s, ["series"], "idx", "v", s.select("series", "idx")).withColumn("t", F.round("t", 6))
 
 
-@query("regress_points", """WITH e AS (SELECT vec_id, list_max(embedding[1:9]) AS peak, embedding[1:9] AS y FROM embeddings), s AS (SELECT vec_id, CAST(peak AS DOUBLE) AS peak, 9.0 AS n, 36.0 AS sx, 204.0 AS sxx, list_sum(list_transform(y, lambda v: CAST(v AS DOUBLE))) AS sy, list_sum(list_transform(y, lambda v, i: CAST(v AS DOUBLE) * (i - 1))) AS sxy FROM e),
- r AS (SELECT *, (n * sxy - sx * sy) / (n * sxx - sx * sx) AS slope FROM s) SELECT vec_id, round(CASE WHEN abs(slope) < 1e-12 THEN vec_id + 4 ELSE vec_id + (peak * 0.5 - (sy - slope * sx) / n) / slope END, 4) AS t FROM r""")
+@query("regress_points", """WITH e AS (SELECT vec_id, list_max(embedding) AS peak, embedding AS y, CAST(len(embedding) AS DOUBLE) AS n FROM embeddings), s AS (SELECT vec_id, CAST(peak AS DOUBLE) AS peak, n, n * (n - 1) / 2 AS sx, (n - 1) * n * (2 * n - 1) / 6 AS sxx, list_sum(list_transform(y, lambda v: CAST(v AS DOUBLE))) AS sy, list_sum(list_transform(y, lambda v, i: CAST(v AS DOUBLE) * (i - 1))) AS sxy FROM e),
+ r AS (SELECT *, (n * sxy - sx * sy) / (n * sxx - sx * sx) AS slope FROM s) SELECT vec_id, round(CASE WHEN abs(slope) < 1e-12 THEN vec_id + n // 2 ELSE vec_id + (peak * 0.5 - (sy - slope * sx) / n) / slope END, 2) AS t FROM r""")
 def regress_points(spark: SparkSession, d: str) -> DataFrame:
-    e = read(spark, d, "embeddings").select("vec_id", F.transform(F.slice("embedding", 1, 9), lambda v, i: F.struct(i.alias("off"), v.alias("v"))).alias("points"))
+    e = read(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda v, i: F.struct(i.alias("off"), v.alias("v"))).alias("points"))
     e = e.withColumn("peak", F.array_max(F.transform("points", lambda p: p["v"])).cast("double"))
-    return detect.regress_points(e, "vec_id", "peak", "points").select("vec_id", F.round("t", 4).alias("t"))
+    return detect.regress_points(e, "vec_id", "peak", "points").select("vec_id", F.round("t", 2).alias("t"))
 
 
 @query("skip_settle", f"WITH {SIGNAL} SELECT 'x' AS series, idx, round(v, 6) AS v FROM s WHERE idx >= (SELECT min(idx) FROM s WHERE idx >= 100 AND abs(v) < 5)")
@@ -173,13 +175,20 @@ def phase_noise(spark: SparkSession, d: str) -> DataFrame:
     return long.select("event_type", F.regexp_replace(F.substring("name", 3, 9), "p", ".").cast("double").alias("f"), "n", F.round("l_f", 3).alias("l_f"))
 
 
-@query("phase_noise_rms")
+_HANNED = f"""{EV}, r AS (SELECT event_type, value * 1e-9 * 2 * pi() * 1000 AS y, row_number() OVER (PARTITION BY event_type ORDER BY us, event_id) - 1 AS i FROM ev), g AS (SELECT *, count(*) OVER w AS n, avg(y) OVER w AS mu FROM r WINDOW w AS (PARTITION BY event_type)),
+ h AS (SELECT event_type, n, i, (y - mu) * (0.5 - 0.5 * cos(2 * pi() * i / (n - 1))) AS z, pow(0.5 - 0.5 * cos(2 * pi() * i / (n - 1)), 2) AS w2 FROM g)"""
+
+
+@query("phase_noise_rms", f"""WITH {_HANNED}, p AS (SELECT event_type, n, sum(w2) AS s2, sum(z * z) AS zz, sum(z) AS dc, sum(z * cos(2 * pi() * ((n // 2) * i % n) / n)) AS cl, sum(z * sin(2 * pi() * ((n // 2) * i % n) / n)) AS sl FROM h GROUP BY 1, 2),
+ q AS (SELECT event_type, n, sqrt((n * zz - dc * dc - CASE WHEN n % 2 = 1 THEN cl * cl + sl * sl ELSE 0 END) / s2 / n) AS rms FROM p) SELECT event_type, n, round(rms, 12) AS rms_rad, round(rms / (2 * pi() * 1000) * 1e9, 6) AS rms_jitter_ns FROM q""")
 def phase_noise_rms(spark: SparkSession, d: str) -> DataFrame:
     e = events(spark, d).select("event_type", "us", "event_id", "value")
-    return spectrum.phase_noise(e, "value", ["us", "event_id"], 1000.0, ["event_type"], [10.0], DAY).select("event_type", "n", "rms_rad", "rms_jitter_ns")
+    return spectrum.phase_noise(e, "value", ["us", "event_id"], 1000.0, ["event_type"], [10.0], DAY).select("event_type", "n", F.round("rms_rad", 12).alias("rms_rad"), F.round("rms_jitter_ns", 6).alias("rms_jitter_ns"))
 
 
-@query("band_rms")
+@query("band_rms", f"""WITH {_HANNED}, b AS (SELECT event_type, n, unnest(range(CAST(ceil(10.0 * n / 1000) AS BIGINT), CAST(floor(20.0 * n / 1000) AS BIGINT) + 1)) AS bin FROM (SELECT DISTINCT event_type, n FROM h)),
+ k AS (SELECT h.event_type, h.n, bin, sum(z * cos(2 * pi() * (bin * i % h.n) / h.n)) AS re, sum(z * sin(2 * pi() * (bin * i % h.n) / h.n)) AS im FROM h JOIN b ON h.event_type = b.event_type GROUP BY 1, 2, 3),
+ w AS (SELECT event_type, sum(w2) AS s2 FROM h GROUP BY 1), s AS (SELECT event_type, n, sum((re * re + im * im) * CASE WHEN bin = 0 OR bin = n // 2 THEN 1 ELSE 2 END) AS squares FROM k GROUP BY 1, 2) SELECT event_type, n, round(sqrt(squares / s2 / n), 12) AS band_rms FROM s JOIN w USING (event_type)""")
 def band_rms(spark: SparkSession, d: str) -> DataFrame:
     e = events(spark, d).select("event_type", "us", "event_id", "value")
-    return spectrum.band_rms(e, "value", ["us", "event_id"], 1000.0, 10.0, 100.0, ["event_type"], DAY)
+    return spectrum.band_rms(e, "value", ["us", "event_id"], 1000.0, 10.0, 20.0, ["event_type"], DAY).withColumn("band_rms", F.round("band_rms", 12))

@@ -205,3 +205,32 @@ def minute_stats(spark: SparkSession, d: str) -> DataFrame:
     pairs = scale.band_join(*clicks_and_views(spark, d), "t_a", "t_b", TOL).withColumn("delay", F.col("t_b") - F.col("t_a"))
     start = events(spark, d).agg(F.min("us").alias("start"))
     return rounded(run(pairs, start, "t_a", "delay", HOUR, 2), "mean", "std")
+
+
+@query("run_rollup", "WITH r AS (SELECT l_orderkey % 500 AS run, count(*) AS n, count(DISTINCT l_quantity) AS d FROM lineitem GROUP BY 1) SELECT count(*) AS runs, round(avg(n), 6) AS n_mean, min(n) AS n_min, max(n) AS n_max, round(avg(d), 6) AS distinct_mean, min(d) AS distinct_min, max(d) AS distinct_max, CAST(count(*) FILTER (n = 100) AS BIGINT) AS full FROM r")
+def run_rollup(spark: SparkSession, d: str) -> DataFrame:
+    li = read(spark, d, "lineitem").select((F.col("l_orderkey") % 500).alias("run"), "l_quantity", "l_orderkey")
+    return rounded(stats.run_rollup(stats.run_stats(li, "run", "l_quantity", "l_orderkey")), "n_mean", "distinct_mean")
+
+
+@query("running_intersection", f"WITH {EV}, i AS (SELECT event_id, device, us, k - 1000 + event_id % 50 AS lo, k + 1000 - event_id % 70 AS hi FROM ev) SELECT event_id, max(lo) OVER w AS lo_so_far, min(hi) OVER w AS hi_so_far FROM i WINDOW w AS (PARTITION BY device ORDER BY us, event_id ROWS UNBOUNDED PRECEDING)")
+def running_intersection(spark: SparkSession, d: str) -> DataFrame:
+    i = events(spark, d).select("event_id", "device", "us", (F.col("k") - 1000 + F.col("event_id") % 50).alias("lo"), (F.col("k") + 1000 - F.col("event_id") % 70).alias("hi"))
+    return stats.running_intersection(i, "lo", "hi", ["device"], ["us", "event_id"], DAY).select("event_id", "lo_so_far", "hi_so_far")
+
+
+@query("minute_report", f"""WITH {PAIRS}, s AS (SELECT min(us) // {HOUR} AS first FROM ev), m AS (SELECT t_a // {HOUR} AS bucket, t_a, id_a, id_b, delay, avg(delay) OVER (PARTITION BY t_a // {HOUR}) AS mu FROM pairs), c AS (SELECT *, abs(delay - mu) AS dev FROM m),
+ g AS (SELECT bucket, count(*) AS n, {_JITTER} FROM c GROUP BY 1), x AS (SELECT us // {HOUR} AS bucket, count(*) FILTER (event_type = 'click') AS edges_a, count(*) FILTER (event_type = 'view') AS edges_b, max(k) AS overflow FROM ev WHERE event_type IN ('click', 'view') GROUP BY 1),
+ r AS (SELECT bucket, delay * 1e-9 * 2 * pi() * 1000 AS y, row_number() OVER (PARTITION BY bucket ORDER BY t_a, id_a, id_b) - 1 AS i, count(*) OVER (PARTITION BY bucket) AS n FROM m), h AS (SELECT bucket, n, i, (y - avg(y) OVER (PARTITION BY bucket)) * (0.5 - 0.5 * cos(2 * pi() * i / (n - 1))) AS z, 0.5 - 0.5 * cos(2 * pi() * i / (n - 1)) AS w FROM r WHERE n > 1),
+ p AS (SELECT bucket, n, sum(w * w) AS s2, sum(z * z) AS zz, sum(z) AS dc, sum(z * cos(2 * pi() * ((n // 2) * i % n) / n)) AS cl, sum(z * sin(2 * pi() * ((n // 2) * i % n) / n)) AS sl FROM h GROUP BY 1, 2),
+ q AS (SELECT bucket, sqrt(greatest((n * zz - dc * dc - CASE WHEN n % 2 = 1 THEN cl * cl + sl * sl ELSE 0 END) / (1000 * s2) * 1000 / n, 0)) AS rms FROM p WHERE s2 > 1e-12)
+ SELECT g.*, edges_a, edges_b, overflow, round(rms, 6) AS rms_rad FROM g JOIN x USING (bucket) LEFT JOIN q USING (bucket), s WHERE n >= 2 AND bucket > first""")
+def minute_report(spark: SparkSession, d: str) -> DataFrame:
+    """All statistics of each closed window, with the edges of both channels and the overflow counter beside them."""
+    from ..streaming.minutes import minute_report as run
+
+    e = events(spark, d).where("event_type in ('click', 'view')")
+    edges = e.select("us", F.when(F.col("event_type") == "click", "a").otherwise("b").alias("side"), F.col("k").alias("overflow"))
+    pairs = scale.band_join(*clicks_and_views(spark, d), "t_a", "t_b", TOL).withColumn("delay", F.col("t_b") - F.col("t_a"))
+    out = run(pairs, edges, events(spark, d).agg(F.min("us").alias("start")), "t_a", "delay", ["t_a", "id_a", "id_b"], 1000.0, HOUR, 2)
+    return rounded(out.drop("rms_jitter_ns"), *_STATS, "rms_rad")

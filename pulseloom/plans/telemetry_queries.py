@@ -24,6 +24,42 @@ def ingest_telemetry(spark: SparkSession, d: str) -> DataFrame:
     return telemetry.ingest(raw(spark, d).drop("event_id"), "dtc_request").select("device", "arrival", "cycle_counter", "local_ticks", "base_period", "base_period_frac")
 
 
+def _messages(spark: SparkSession, d: str, topic: str, **fields: object) -> DataFrame:
+    """Events as messages on one device topic each, with a JSON payload of the given fields."""
+    body = F.to_json(F.struct((F.col("us") / 1e6).alias("ts"), *[(F.expr(v) if isinstance(v, str) else v).alias(k) for k, v in fields.items()]))
+    return events(spark, d).select(F.format_string(f"fts/dev%d/{topic}", "device").alias("topic"), body.alias("payload"), (F.col("us") * 1000).alias("arrival"))
+
+
+@query("ingest_ftm", f"WITH {EV} SELECT 'dev' || device AS device, us * 1000 AS arrival, event_id AS session_id, k * 1000 AS rtt_ps, -k AS rssi, us AS t1, us + 1 AS t2, us + 2 AS t3, CASE WHEN k > 50 THEN us + 3 END AS t4 FROM ev")
+def ingest_ftm(spark: SparkSession, d: str) -> DataFrame:
+    raw = _messages(spark, d, "ftm", session_id="event_id", rtt_ps="k * 1000", rssi="-k", t1="CAST(us AS STRING)", t2="CAST(us + 1 AS STRING)", t3="CAST(us + 2 AS STRING)", t4="IF(k > 50, CAST(us + 3 AS STRING), 'none')")
+    return telemetry.ingest(raw, "ftm").drop("measurement", "ts")
+
+
+@query("ingest_ftm_stats", f"WITH {EV} SELECT 'dev' || device AS device, us * 1000 AS arrival, event_id AS session_id, k % 2 AS status, k AS count, k * 10 AS rtt_avg_ps, k * 9 AS rtt_min_ps, k * 11 AS rtt_max_ps, CAST(NULL AS BIGINT) AS rssi_avg FROM ev")
+def ingest_ftm_stats(spark: SparkSession, d: str) -> DataFrame:
+    raw = _messages(spark, d, "ftm_stats", session_id="event_id", status="k % 2", count="k", rtt_avg_ps="k * 10", rtt_min_ps="k * 9", rtt_max_ps="k * 11")
+    return telemetry.ingest(raw, "ftm_stats").drop("measurement", "ts", "rssi_min", "rssi_max")
+
+
+@query("ingest_crm_stats", f"WITH {EV} SELECT 'dev' || device AS device, us * 1000 AS arrival, k AS samples, k % 7 AS new_samples, value AS r_squared, value / 8 AS std_ns, -value AS ppm_lr FROM ev")
+def ingest_crm_stats(spark: SparkSession, d: str) -> DataFrame:
+    raw = _messages(spark, d, "crm_stats", samples="k", new_samples="k % 7", r_squared="value", std_ns="value / 8", ppm_lr="-value")
+    return telemetry.ingest(raw, "crm_stats").drop("measurement", "ts")
+
+
+@query("ingest_dtr_feedback", f"WITH {EV} SELECT 'dev' || device AS device, us * 1000 AS arrival, k * 40 AS period_ticks, k - 50 AS period_ticks_delta, k % 3 AS cycle_delta FROM ev")
+def ingest_dtr_feedback(spark: SparkSession, d: str) -> DataFrame:
+    raw = _messages(spark, d, "dtr_feedback", period_ticks="k * 40", period_ticks_delta="k - 50", cycle_delta="k % 3")
+    return telemetry.ingest(raw, "dtr_feedback").drop("measurement", "ts")
+
+
+@query("payload_stats", f"WITH {EV} SELECT event_id, '{{\"count\":' || k || ',\"mean_ns\":' || CASE WHEN k < 50 THEN k * 3 ELSE 0 END || '}}' AS payload FROM ev")
+def payload_stats(spark: SparkSession, d: str) -> DataFrame:
+    e = events(spark, d).withColumns({"count": F.col("k"), "mean_ns": F.when(F.col("k") < 50, F.col("k") * 3)})
+    return e.select("event_id", telemetry.payload(e, ["count", "mean_ns"], zero=True).alias("payload"))
+
+
 @query("ingest_edges", f"WITH {EV} SELECT us AS arrival, CASE WHEN k < 80 THEN us * 1000 END AS channel_a_edge_ns, CASE WHEN k > 20 THEN us * 1000 + k END AS channel_b_edge_ns, CASE WHEN k < 80 AND k > 20 THEN k END AS delay_ns FROM ev")
 def ingest_edges(spark: SparkSession, d: str) -> DataFrame:
     a, b = F.when(F.col("k") < 80, F.col("us") * 1000), F.when(F.col("k") > 20, F.col("us") * 1000 + F.col("k"))
@@ -31,13 +67,13 @@ def ingest_edges(spark: SparkSession, d: str) -> DataFrame:
     return telemetry.ingest_edges(e).select("arrival", "channel_a_edge_ns", "channel_b_edge_ns", "delay_ns")
 
 
-@query("ingest_stats")
+@query("ingest_stats", f"WITH {EV} SELECT us AS arrival, k AS count, value AS mean_ns, CAST(NULL AS DOUBLE) AS std_ns FROM ev")
 def ingest_stats(spark: SparkSession, d: str) -> DataFrame:
     e = events(spark, d).select(F.lit("sdr/stats").alias("topic"), F.to_json(F.struct((F.col("us") / 1e6).alias("ts"), F.col("k").alias("count"), F.col("value").alias("mean_ns"))).alias("payload"), F.col("us").alias("arrival"))
     return telemetry.ingest(e, "sdr_stats").select("arrival", "count", "mean_ns", "std_ns")
 
 
-@query("ingest_phase_noise")
+@query("ingest_phase_noise", f"WITH {EV} SELECT us AS arrival, k AS sample_count, value AS f_0p2, CAST(NULL AS DOUBLE) AS f_500 FROM ev")
 def ingest_phase_noise(spark: SparkSession, d: str) -> DataFrame:
     e = events(spark, d).select(F.lit("sdr/phase_noise").alias("topic"), F.to_json(F.struct((F.col("us") / 1e6).alias("ts"), F.col("k").alias("sample_count"), F.col("value").alias("f_0p2"))).alias("payload"), F.col("us").alias("arrival"))
     return telemetry.ingest(e, "sdr_phase_noise").select("arrival", "sample_count", "f_0p2", "f_500")
@@ -66,9 +102,9 @@ def route_bucket(spark: SparkSession, d: str) -> DataFrame:
     return telemetry.route_bucket(events(spark, d).withColumn("measurement", F.col("event_type")), "^(click|view|purchase)$", "^view$").select("event_id", "bucket")
 
 
-@query("tag_site", f"WITH {EV} SELECT event_id, CASE WHEN k < 30 THEN 'cloud' ELSE 'lab' END AS site, CAST(k AS DOUBLE) AS k FROM ev")
+@query("tag_site", f"WITH {EV} SELECT CAST(event_id AS VARCHAR) AS event_id, CASE WHEN k < 30 THEN 'cloud' ELSE 'lab' END AS site, CAST(k AS DOUBLE) AS k FROM ev")
 def tag_site(spark: SparkSession, d: str) -> DataFrame:
-    e = events(spark, d).select("event_id", F.when(F.col("k") >= 30, F.lit("health/x")).alias("topic"), F.col("k").cast("double").alias("k"))
+    e = events(spark, d).select(F.col("event_id").cast("string").alias("event_id"), F.when(F.col("k") >= 30, F.lit("health/x")).alias("topic"), "k")
     return telemetry.tag_site(e)
 
 
@@ -83,10 +119,12 @@ def monotonic_violations(spark: SparkSession, d: str) -> DataFrame:
     return sinks.monotonic_violations(events(spark, d), ["device"], ["us", "event_id"], "value", DAY).select("event_id", "device", "value", "before")
 
 
-@query("clamp_points", "SELECT vec_id, CAST(i AS INTEGER) - 1 AS pos, CAST(greatest(-32768, least(32767, (i - 1) * 5000 - 40000)) AS INTEGER) AS off FROM embeddings, (SELECT unnest(range(1, 21)) AS i)")
+@query("clamp_points", "SELECT vec_id, CAST(i AS INTEGER) - 1 AS pos, CAST(greatest(-32768, least(32767, (i - 1) * 500 - 40000)) AS INTEGER) AS off FROM embeddings, (SELECT unnest(range(1, 256)) AS i)")
 def clamp_points(spark: SparkSession, d: str) -> DataFrame:
-    e = read(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda v, i: F.struct((i * 5000 - 40000).alias("off"), v.alias("v"))).alias("points"))
-    out = sinks.clamp_points(e, "points", 20)
+    """Every vector five times over, 320 points, of which the format holds 255."""
+    long = F.flatten(F.array_repeat("embedding", 5))
+    e = read(spark, d, "embeddings").select("vec_id", F.transform(long, lambda v, i: F.struct((i * 500 - 40000).alias("off"), v.alias("v"))).alias("points"))
+    out = sinks.clamp_points(e, "points")
     return out.select("vec_id", F.posexplode("points").alias("pos", "p")).select("vec_id", "pos", F.col("p.off").alias("off"))
 
 
@@ -98,16 +136,54 @@ def export_csv(spark: SparkSession, d: str) -> DataFrame:
     return out.withColumnRenamed("id", "event_id")
 
 
-@query("export_summary")
+@query("export_summary", f"WITH {EV} SELECT event_type, '{{\"n\":' || count(*) || ',\"mean\":' || round(avg(value), 3) || '}}' AS summary FROM ev GROUP BY event_type")
 def export_summary(spark: SparkSession, d: str) -> DataFrame:
-    s = events(spark, d).groupBy("event_type").agg(F.count("*").alias("n"), F.avg("value").alias("mean"))
+    s = events(spark, d).groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.avg("value"), 3).alias("mean"))
     return sinks.summary_json(s, ["event_type"])
 
 
-@query("export_annotations")
+def notes(spark: SparkSession, d: str) -> DataFrame:
+    """Signups as annotations."""
+    return events(spark, d).where("event_type = 'signup'").select(F.timestamp_micros("us").alias("ts"), F.format_string("user%d", "user_id").alias("experiment"), F.lit("event").alias("type"), F.col("props").alias("description"))
+
+
+_NOTES = "SELECT us, 'user' || user_id AS experiment, 'event' AS type, props AS description FROM ev WHERE event_type = 'signup'"
+
+
+@query("export_annotations", f"WITH {EV}, n AS ({_NOTES}) SELECT CAST(to_json({{'time': strftime(make_timestamp(us), '%Y-%m-%dT%H:%M:%S.%fZ'), 'experiment': experiment, 'type': type, 'description': description}}) AS VARCHAR) AS value FROM n")
 def export_annotations(spark: SparkSession, d: str) -> DataFrame:
-    e = events(spark, d).where("event_type = 'signup'").select(F.timestamp_micros("us").alias("ts"), F.format_string("user%d", "user_id").alias("experiment"), F.lit("event").alias("type"), F.col("props").alias("description"))
-    return sinks.annotations_export(e)
+    return sinks.annotations_export(notes(spark, d))
+
+
+@query("import_annotations", f"WITH {EV} {_NOTES}")
+def import_annotations(spark: SparkSession, d: str) -> DataFrame:
+    """Annotations that replaced others, as they are read afterwards."""
+    path = shared.new_folder(spark, "notes")
+    sinks.annotations_import(notes(spark, d).limit(3), path)
+    sinks.annotations_import(notes(spark, d), path)
+    return spark.read.parquet(path).select(F.unix_micros("ts").alias("us"), "experiment", "type", "description")
+
+
+@query("sink_delays", f"WITH {EV} SELECT event_type, CAST(us AS DOUBLE) AS time_samples, value AS delay_ns FROM ev WHERE k <> 0")
+def sink_delays(spark: SparkSession, d: str) -> DataFrame:
+    path = shared.new_folder(spark, "delays")
+    sinks.write_delays(events(spark, d).withColumn("delay", F.when(F.col("k") != 0, F.col("value"))), path, "us", "delay", ["event_type"])
+    return spark.read.parquet(path)
+
+
+@query("sink_edges", f"WITH {EV} SELECT device, us, event_id FROM ev")
+def sink_edges(spark: SparkSession, d: str) -> DataFrame:
+    """The first half of the events written as edges, the second appended to them."""
+    path, e = shared.new_folder(spark, "edges"), events(spark, d).select("device", "us", "event_id")
+    middle = e.agg(F.expr("(min(us) + max(us)) div 2")).first()[0] or 0
+    sinks.write_edges(e.where(F.col("us") < middle), path, ["device"], ["event_id"], "us")
+    sinks.write_edges(e.where(F.col("us") >= middle), path, ["device"], ["event_id"], "us", append=True)
+    return spark.read.parquet(path)
+
+
+@query("delete_range", f"WITH {EV} SELECT event_id FROM ev WHERE NOT (us >= 1704672000000000 AND us < 1705276800000000 AND event_type = 'view')")
+def delete_range(spark: SparkSession, d: str) -> DataFrame:
+    return flux.without_range(events(spark, d), "us", 1704672000000000, 1705276800000000, event_type="view").select("event_id")
 
 
 @query("experiment_log", f"""WITH {EV}, c AS (SELECT device, event_id AS ord, CASE event_type WHEN 'signup' THEN 'start' WHEN 'purchase' THEN 'stop' ELSE 'event' END AS type, 'x' || k AS experiment FROM ev), s AS (SELECT *, CASE type WHEN 'start' THEN experiment WHEN 'stop' THEN '' END AS st FROM c),
@@ -124,6 +200,12 @@ def f_range(spark: SparkSession, d: str) -> DataFrame:
     return flux.f_range(events(spark, d), "us", 1704672000000000, 1705276800000000).select("event_id", "us")
 
 
+@query("f_relative", f"WITH {EV}, m AS (SELECT max(us) AS now FROM ev) SELECT event_id FROM ev, m WHERE us >= now - {3 * DAY} AND us < now - {6 * HOUR}")
+def f_relative(spark: SparkSession, d: str) -> DataFrame:
+    e = events(spark, d)
+    return flux.f_range(e, "us", "-3d", "-6h", e.agg(F.max("us")).first()[0] or 0).select("event_id")
+
+
 @query("f_fields", f"WITH {EV} SELECT event_id FROM ev WHERE event_type IN ('click', 'view') AND device <> 3")
 def f_fields(spark: SparkSession, d: str) -> DataFrame:
     return flux.f_tags(events(spark, d), eq={"event_type": ["click", "view"], "user_id": ""}, neq={"device": 3}).select("event_id")
@@ -229,3 +311,49 @@ def log_device(spark: SparkSession, d: str) -> DataFrame:
     line = F.when(F.col("event_type") == "click", F.format_string("I (12) MAC_TIMER_ALIGN,%d,%d,%d,%d", "event_id", "k", F.col("k") - 14, F.col("k") + 14)).when(F.col("event_type") == "view", F.lit("MAC_TIMER_ALIGN,run,offset,min,max")).otherwise(F.lit("MAC_TIMER_ALIGN,1,2"))
     lines = e.select(F.lit("console").alias("file"), F.col("event_id").alias("line_no"), line.alias("line"))
     return logs.parse_device_log(lines, "MAC_TIMER_ALIGN").drop("file")
+
+
+def _console(spark: SparkSession, d: str, tag: str, form: str, *fields: object) -> DataFrame:
+    """Clicks as console records; views as headers and the rest as broken ones."""
+    line = F.when(F.col("event_type") == "click", F.format_string(f"I (12) {tag}," + form, *fields)).when(F.col("event_type") == "view", F.lit(f"{tag},a,b")).otherwise(F.lit(f"{tag},1"))
+    return logs.parse_device_log(events(spark, d).select(F.lit("console").alias("file"), F.col("event_id").alias("line_no"), line.alias("line")), tag).drop("file")
+
+
+@query("log_regr", f"WITH {EV} SELECT event_id AS line_no, k AS new, event_id AS session, k % 128 AS n, k / 64 AS slope_m1, k / 16 AS std_ns, k / 128 AS r2, us AS local_ref, us + k AS remote_ref FROM ev WHERE event_type = 'click'")
+def log_regr(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("k")
+    return _console(spark, d, "REGR", "%d,%d,%d,%s,%s,%s,%d,%d", "k", "event_id", k % 128, (k / 64).cast("string"), (k / 16).cast("string"), (k / 128).cast("string"), "us", F.col("us") + k)
+
+
+@query("log_dtc", f"WITH {EV} SELECT event_id AS line_no, event_id AS cycle, us AS local_ticks, k * 65536 AS base_period_fp16 FROM ev WHERE event_type = 'click'")
+def log_dtc(spark: SparkSession, d: str) -> DataFrame:
+    return _console(spark, d, "DTC", "%d,%d,%d", "event_id", "us", F.col("k") * 65536)
+
+
+@query("log_dtr", f"WITH {EV} SELECT event_id AS line_no, event_id AS cycle, k % 3 AS cycle_delta, k * 40 AS period_ticks, k - 50 AS period_ticks_delta FROM ev WHERE event_type = 'click'")
+def log_dtr(spark: SparkSession, d: str) -> DataFrame:
+    return _console(spark, d, "DTR", "%d,%d,%d,%d", "event_id", F.col("k") % 3, F.col("k") * 40, F.col("k") - 50)
+
+
+@query("panel_clock_offset", f"WITH {FTM}, o AS (SELECT device, session % 97 AS minute, (min(t2) - min(t1) + min(t3) - min(t4)) / 2.0 / 1000 AS offset_ns FROM f WHERE device IN (1, 2, 5) GROUP BY device, session, i) SELECT device, (minute // 5 + 1) * 5 AS window_end, round(avg(offset_ns), 6) AS value FROM o GROUP BY ALL")
+def panel_clock_offset(spark: SparkSession, d: str) -> DataFrame:
+    """The clock-offset panel: chosen devices, fields pivoted beside each other, the offset in ns, its mean per window."""
+    f = ftm_entries(spark, d).withColumn("minute", F.col("session") % 97)
+    narrow = flux.f_tags(f, eq={"device": [1, 2, 5]}).unpivot(["device", "session", "i", "minute"], ["t1", "t2", "t3", "t4"], "field", "value")
+    narrow = narrow.groupBy("device", "session", "i", "minute", "field").agg(F.min("value").alias("value"))
+    wide = flux.pivot_fields(narrow, ["device", "session", "i", "minute"], "field", "value", ["t1", "t2", "t3", "t4"])
+    offset = wide.withColumn("offset_ns", F.expr("(t2 - t1 + t3 - t4) / 2"))
+    return flux.agg_window(flux.m_scale(offset, "offset_ns", div=1000), "minute", 5, "mean", ["device"], "offset_ns").select("device", "window_end", F.round("value", 6).alias("value"))
+
+
+@query("remote_at_t2", f"WITH {FTM} SELECT device, session, i, t1 + ((t4 - t1) - (t3 - t2)) // 2 AS remote FROM f")
+def remote_at_t2(spark: SparkSession, d: str) -> DataFrame:
+    f = ftm_entries(spark, d)
+    return f.select("device", "session", "i", units.remote_time(F.col("t1"), (F.col("t4") - F.col("t1")) - (F.col("t3") - F.col("t2"))).alias("remote"))
+
+
+@query("edge_choice", f"WITH {EV} SELECT event_id, 'rising' AS kind FROM ev WHERE event_id % 2 = 0 UNION ALL SELECT event_id, 'both' FROM ev WHERE event_id % 2 = 1")
+def edge_choice(spark: SparkSession, d: str) -> DataFrame:
+    e = events(spark, d).select("event_id", (F.col("event_id") % 2).alias("edge_type"))
+    kinds = [units.edge_choice(e, k).select("event_id", F.lit(k).alias("kind")) for k in ("rising", "both")]
+    return kinds[0].unionByName(kinds[1])

@@ -63,8 +63,10 @@ def route_bucket(df: DataFrame, allow: str, deny: str | None = None) -> DataFram
 
 
 def tag_site(df: DataFrame) -> DataFrame:
-    """df(topic, fields map) with site: cloud without a topic, else lab; the topic goes."""
-    return df.withColumn("site", F.when(F.col("topic").isNull(), "cloud").otherwise("lab")).drop("topic")
+    """df with site: cloud without a topic, else lab; the topic goes, and whole numbers become floats, so that sites agree on types."""
+    whole = [c for c, t in df.dtypes if t in ("tinyint", "smallint", "int", "bigint")]
+    out = df.withColumn("site", F.when(F.col("topic").isNull(), "cloud").otherwise("lab")).drop("topic")
+    return out.withColumns({c: F.col(c).cast("double") for c in whole})
 
 
 def payload(df: DataFrame, columns: list[str], zero: bool = False) -> Column:
