@@ -51,7 +51,7 @@ def ingest_broker_stats(raw: DataFrame) -> DataFrame:
 def stamp_arrival(raw: DataFrame, now: Column) -> DataFrame:
     """raw with t_ns, the event's own time where the payload has one, else its arrival, on a topic by device and measurement."""
     # Seconds as a decimal: a double has no room for nanoseconds since 1970.
-    own = (F.get_json_object("payload", "$.ts").try_cast("decimal(20,9)") * F.lit(1_000_000_000).cast("decimal(10,0)")).cast("long")
+    own = (F.from_json("payload", "ts DECIMAL(20,9)")["ts"] * F.lit(1_000_000_000).cast("decimal(10,0)")).cast("long")
     parts = F.split("topic", "/")
     return raw.withColumn("t_ns", F.coalesce(own, now)).withColumn("topic", F.format_string("fts_ts/%s/%s", parts[1], parts[2]))
 

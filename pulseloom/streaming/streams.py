@@ -4,50 +4,106 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.match import match
 
-def stream_match(a: DataFrame, b: DataFrame, tol_us: int, lateness: str, on: str = "capture_id") -> DataFrame:
-    """on, us_a, us_b, delay_us of a stream-stream full outer join within tol_us; unmatched rows follow the watermark.
 
-    a(on, ts_a, us_a) and b(on, ts_b, us_b) need an equality key; each key's edges must be further than two
-    tolerances apart, where this equals the greedy matchers.
-    """
-    left = a.withWatermark("ts_a", lateness)
-    right = b.withColumnRenamed(on, "_on").withWatermark("ts_b", lateness)
-    near = F.expr(f"{on} = _on AND ts_b >= ts_a - INTERVAL {tol_us} MICROSECONDS AND ts_b <= ts_a + INTERVAL {tol_us} MICROSECONDS")
-    out = left.join(right, near, "full_outer")
-    return out.select(F.coalesce(on, "_on").alias(on), "us_a", "us_b", (F.col("us_b") - F.col("us_a")).alias("delay_us"))
+def stream_match(edges: DataFrame, by: str, tol_us: int, hold_back_us: int) -> DataFrame:
+    """by, us_a, us_b, delay_us, status of a stream of edges(by, side, us), sides `a` and `b`, matched by the two-pointer rule.
 
+    The fronts of a key pair if at most tol_us apart, else the earlier one is unmatched. An edge is decided when its key
+    has come hold_back_us further (more than tol_us, as half a period is), so that its partner has arrived: edges of a key
+    may be out of order by up to hold_back_us - tol_us. The state of a key is the edges of that span; those left when a
+    stream stops are decided by open_matches.
+    """
 
-def stream_detect(samples: DataFrame, by: str, threshold: float, min_distance: float) -> DataFrame:
+    def step(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = state.get if state.exists else ([], [], None)
+        new = pd.concat(list(pdfs))
+        sides = [sorted([*held[k], *new.loc[new["side"] == side, "us"].tolist()]) for k, side in ((0, "a"), (1, "b"))]
+        latest = max(int(new["us"].max()), held[2] if held[2] is not None else -(2**62))
+        found, rest = _decide(*sides, tol_us, latest - hold_back_us)
+        state.update((*rest, latest))
+        yield pd.DataFrame([(key[0], *r) for r in found], columns=[by, "us_a", "us_b", "status"]).astype({"us_a": "Int64", "us_b": "Int64"})
+
+    kind = dict(edges.dtypes)[by]
+    out = edges.groupBy(by).applyInPandasWithState(step, f"{by} {kind}, us_a long, us_b long, status string", "a array<long>, b array<long>, latest long", "append", GroupStateTimeout.NoTimeout)
+    return out.select(by, "us_a", "us_b", (F.col("us_b") - F.col("us_a")).alias("delay_us"), "status")
+
+
+def _decide(a: list[int], b: list[int], tol: int, until: int) -> tuple[list[tuple], tuple[list[int], list[int]]]:
+    """(us_a, us_b, status) of all decisions whose earlier edge lies at or before `until`, and the edges left."""
+    i = j = 0
+    out: list[tuple] = []
+    while i < len(a) or j < len(b):
+        if i < len(a) and j < len(b) and abs(a[i] - b[j]) <= tol:
+            if min(a[i], b[j]) > until:
+                break
+            out.append((a[i], b[j], "matched"))
+            i, j = i + 1, j + 1
+        elif j == len(b) or (i < len(a) and a[i] < b[j]):
+            if a[i] > until:
+                break
+            out.append((a[i], None, "unmatched_a"))
+            i += 1
+        else:
+            if b[j] > until:
+                break
+            out.append((None, b[j], "unmatched_b"))
+            j += 1
+    return out, (a[i:], b[j:])
+
+
+def open_matches(decided: DataFrame, edges: DataFrame, by: str, tol_us: int) -> DataFrame:
+    """What a stopped stream of stream_match still held: its edges(by, side, us) that are in no decision, matched to the end."""
+    took = decided.select(by, F.explode(F.array(F.struct(F.lit("a").alias("side"), F.col("us_a").alias("us")), F.struct(F.lit("b").alias("side"), F.col("us_b").alias("us")))).alias("e")).select(by, "e.*").where("us is not null")
+    number = F.row_number().over(Window.partitionBy(by, "side", "us").orderBy(F.lit(0)))
+    rest = edges.select(by, "side", "us").withColumn("n", number).join(took.withColumn("n", number), [by, "side", "us", "n"], "left_anti")
+    left = rest.where("side = 'a'").select(by, F.col("us").alias("t_a"))
+    right = rest.where("side = 'b'").select(by, F.col("us").alias("t_b"))
+    return match(left, right, "t_a", "t_b", tol_us, "two_pointer", [by]).select(by, F.col("t_a").alias("us_a"), F.col("t_b").alias("us_b"), F.col("delay").alias("delay_us"), "status")
+
+
+def stream_detect(samples: DataFrame, by: str, threshold: float, min_distance: float, skip: int = 0, reset: float | None = None) -> DataFrame:
     """by, t, edge_type of threshold crossings in a stream of samples(by, idx, v) whose batches are in order.
 
-    The state of a key is its last sample and the last kept crossing of each type, so borders between batches
-    change nothing: the stream's edges are the batch operator's.
+    Samples before `skip` are left out, and with `reset` all before the first with |v| below it. The state of a key is
+    its last sample, the last kept crossing of each type and whether it has settled, so borders between batches change
+    nothing: the stream's edges are the batch operators'.
     """
 
     def step(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last_idx, last_v, rise, fall = state.get if state.exists else (None, None, None, None)
-        found = []
+        last_idx, last_v, rise, fall, settled = state.get if state.exists else (None, None, None, None, reset is None)
         rows = pd.concat(list(pdfs)).sort_values("idx")
-        for idx, v in zip(rows["idx"].tolist(), rows["v"].tolist(), strict=True):
-            if last_v is not None:
-                for kind, level, hit in ((0, -threshold, last_v > -threshold >= v), (1, threshold, last_v < threshold <= v)):
-                    if hit:
-                        t = idx - 1 + (level - last_v) / (v - last_v)
-                        kept = rise if kind == 0 else fall
-                        if kept is None or t - kept >= min_distance:
-                            found.append((key[0], t, kind))
-                            rise, fall = (t, fall) if kind == 0 else (rise, t)
-            last_idx, last_v = idx, v
-        state.update((last_idx, last_v, rise, fall))
+        rows = rows[rows["idx"] >= skip]
+        if not settled and len(rows):
+            calm = np.flatnonzero(rows["v"].abs().to_numpy() < reset)
+            rows, settled = (rows.iloc[calm[0] :], True) if len(calm) else (rows.iloc[:0], False)
+        idx, v = rows["idx"].to_numpy(np.int64), rows["v"].to_numpy(float)
+        if last_idx is not None:
+            idx, v = np.concatenate(([last_idx], idx)), np.concatenate(([last_v], v))
+        before, now = v[:-1], v[1:]
+        kinds = np.where((before > -threshold) & (now <= -threshold), 0, np.where((before < threshold) & (now >= threshold), 1, -1))
+        hits = np.flatnonzero(kinds >= 0)
+        level = np.where(kinds[hits] == 0, -threshold, threshold)
+        times = idx[hits + 1] - 1 + (level - before[hits]) / (now[hits] - before[hits])
+        kept, found = [rise, fall], []
+        # Only crossings are gone through one by one: whether one is kept depends on the one kept before.
+        for t, kind in zip(times.tolist(), kinds[hits].tolist(), strict=True):
+            if kept[kind] is None or t - kept[kind] >= min_distance:
+                found.append((key[0], t, kind))
+                kept[kind] = t
+        if len(idx):
+            last_idx, last_v = int(idx[-1]), float(v[-1])
+        state.update((last_idx, last_v, *kept, settled))
         yield pd.DataFrame(found, columns=[by, "t", "edge_type"])
 
-    return samples.groupBy(by).applyInPandasWithState(step, f"{by} string, t double, edge_type int", "idx long, v double, rise double, fall double", "append", GroupStateTimeout.NoTimeout)
+    return samples.groupBy(by).applyInPandasWithState(step, f"{by} string, t double, edge_type int", "idx long, v double, rise double, fall double, settled boolean", "append", GroupStateTimeout.NoTimeout)
 
 
 def stream_dedup(edges: DataFrame, keys: list[str], ts: str, lateness: str) -> DataFrame:

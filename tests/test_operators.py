@@ -79,7 +79,7 @@ def test_as_of_equals_a_plain_loop(spark, direction, width):
         want.append((key, t, k, *((max if direction == "backward" else min)(near) if near else (None, None))))
     assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
     windows = [line.split("windowspecdefinition(")[1] for line in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "_other" in line and "windowspecdefinition(" in line]
-    assert windows and all("_b#" in w.split(" ASC")[0].split(" DESC")[0] for w in windows)
+    assert windows and all("_k#" in w.split(" ASC")[0].split(" DESC")[0] for w in windows)
 
 
 @pytest.mark.parametrize("width", [1, 7, 100, 10**6])
@@ -207,3 +207,120 @@ def test_sinks_refuse(spark, tmp_path):
         sinks.write_edges(df, str(tmp_path / "e"), [], ["o"], "t")
     with pytest.raises(ValueError, match="backwards"):
         sinks.write_edges(df.withColumn("t", -F.col("t")), str(tmp_path / "f"), [], ["o"], "t")
+
+
+@pytest.mark.parametrize("width", [1, 9, 10**6])
+def test_prefix_looks_ahead_and_keeps_maxima(spark, width):
+    rows = [(k, random.Random(k).randrange(50), None if k % 3 == 0 else "g", k % 7 if k % 5 else None) for k in range(200)]
+    df = spark.createDataFrame(rows, "id long, t long, by string, v long")
+    over = Window.partitionBy("by").orderBy("t", "id")
+    upto = over.rowsBetween(Window.unboundedPreceding, 0)
+    want = df.select("*", F.lead("v").over(over).alias("after"), F.lag("v").over(over).alias("before"), F.max("v").over(upto).alias("top"), F.row_number().over(over).alias("rn"))
+    got = scale.prefix(df, ["by"], ["t", "id"], width, lags={"before": "v"}, leads={"after": "v"}, tops={"top": "v"}, rn="rn").select(want.columns)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+@pytest.mark.parametrize("width", [1, 13, 10**6])
+def test_islands_equal_one_window(spark, width):
+    times = sorted(random.Random(4).sample(range(3000), 300)) * 2
+    df = spark.createDataFrame([(t, k, k % 2) for k, t in enumerate(times)], "t long, id long, side int")
+    got = {r.id: r.island for r in scale.islands(df, ["side"], ["t", "id"], 15, width).collect()}
+    for side in (0, 1):
+        island, before = 0, None
+        for t, k in sorted((t, k) for k, t in enumerate(times) if k % 2 == side):
+            island += before is None or t - before >= 15
+            assert got[k] == island
+            before = t
+
+
+def test_ordered_scans_read_their_input_once(spark, tmp_path):
+    spark.range(1000).select("id", (F.col("id") * 7 % 300).alias("t")).write.parquet(str(tmp_path / "x"))
+    df = spark.read.parquet(str(tmp_path / "x"))
+    for out in (scale.prefix(df, [], ["t", "id"], 50, sums={"s": "id"}, lags={"l": "id"}), scale.islands(df, [], ["t", "id"], 1, 50)):
+        out.collect()
+        plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan")[0]
+        assert plan.count("FileScan parquet") == 1 and "ReusedExchange" in plan
+
+
+@pytest.mark.parametrize("cells", [1, 5, 4096])
+def test_quantiles_equal_a_sorted_list(spark, cells):
+    r = random.Random(5)
+    rows = [(g, float(r.choice([r.gauss(0, 1), 0.25, 7.0]))) for g in ("a", None, "b") for _ in range(r.randrange(1, 90))] + [("c", None), ("d", 3.0)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    shares = {"p0": 0.0, "p50": 0.5, "p99": 0.99, "p100": 1.0}
+    for discrete in (False, True):
+        asked = {k: q for k, q in shares.items() if q < 1 or not discrete}
+        for got in stats.exact_quantiles(df, "v", ["g"], asked, discrete, cells).collect():
+            values = sorted(v for g, v in rows if g == got.g and v is not None)
+            for name, q in asked.items():
+                place = len(values) * q if discrete else (len(values) - 1) * q
+                low = int(place)
+                want = values[low] if discrete else values[low] + (place - low) * (values[min(low + 1, len(values) - 1)] - values[low])
+                assert abs(got[name] - want) < 1e-12
+    assert stats.exact_quantiles(df, "v", ["g"], shares).count() == 4
+    assert stats.exact_quantiles(df, "v", [], {"p50": 0.5}).count() == 1
+
+
+@pytest.mark.parametrize("n", [150, 151, 211])
+def test_long_series_have_the_spectrum_of_the_whole(spark, n):
+    r = random.Random(n)
+    rows = [(g, k, r.gauss(0, 20)) for g in (1, 2) for k in range(n - g)]
+    df = spark.createDataFrame(rows, "g int, k long, v double")
+    whole = {x.g: (x.n, x.band_rms) for x in spectrum.band_rms(df, "v", ["k"], 100.0, 5.0, 20.0, ["g"]).collect()}
+    long = {x.g: (x.n, x.band_rms) for x in spectrum.band_rms(df, "v", ["k"], 100.0, 5.0, 20.0, ["g"], whole=10).collect()}
+    assert whole.keys() == long.keys() == {1, 2}
+    for g in whole:
+        assert whole[g][0] == long[g][0] == n - g and abs(whole[g][1] / long[g][1] - 1) < 1e-9
+    none = spectrum.band_rms(df, "v", ["k"], 100.0, 49.999, 49.9991, ["g"]).collect()
+    assert all(x.band_rms is None for x in none)
+
+
+def test_streamed_matching_of_dense_edges_equals_a_plain_loop(spark, tmp_path):
+    from pulseloom.streaming import streams
+
+    r = random.Random(11)
+    edges = sorted((r.randrange(4000), s, c) for c in (1, 2) for s in "ab" for _ in range(250))
+    folder = str(tmp_path / "in")
+    for part in range(0, 4000, 800):
+        some = [(c, s, t) for t, s, c in edges if part <= t < part + 800]
+        spark.createDataFrame(r.sample(some, len(some)), "capture int, side string, us long").coalesce(1).write.mode("append").parquet(folder)
+    stream = spark.readStream.schema("capture int, side string, us long").option("maxFilesPerTrigger", 1).parquet(folder)
+    done = streams.run_to_table(streams.stream_match(stream, "capture", 6, 20), str(tmp_path / "out"))
+    every = done.unionByName(streams.open_matches(done, spark.read.parquet(folder), "capture", 6)).collect()
+    for c in (1, 2):
+        a, b = ([t for t, s, k in edges if k == c and s == side] for side in "ab")
+        pairs = naive_two_pointer(a, b, 6)
+        assert sorted((x.us_a, x.us_b) for x in every if x.capture == c and x.status == "matched") == sorted(pairs)
+        assert sorted(x.us_a for x in every if x.capture == c and x.us_a is not None) == a and sorted(x.us_b for x in every if x.capture == c and x.us_b is not None) == b
+    assert 0 < done.count() < len(every)
+
+
+def test_relative_times_and_deletes(spark):
+    df = spark.createDataFrame([(k * 60_000_000, "x" if k % 2 else None) for k in range(20)], "us long, tag string")
+    now = 20 * 60_000_000
+    assert flux.f_range(df, "us", "-5m", "now()", now).count() == 5
+    assert flux.f_range(df, "us", 0, "-15m", now).count() == 5
+    with pytest.raises(ValueError, match="relative"):
+        flux.f_range(df, "us", "yesterday", now=now)
+    assert flux.without_range(df, "us", "-10m", None, now, tag="x").count() == 15
+    assert flux.without_range(df, "us").count() == 0
+
+
+def test_edges_are_appended_in_order_only(spark, tmp_path):
+    path = str(tmp_path / "e")
+    df = spark.createDataFrame([(1, k, k * 10) for k in range(5)], "key int, id long, t long")
+    sinks.write_edges(df, path, ["key"], ["id"], "t")
+    with pytest.raises(ValueError, match="before what is there"):
+        sinks.write_edges(df.withColumn("id", F.col("id") + 9), path, ["key"], ["id"], "t", append=True)
+    with pytest.raises(ValueError, match="backwards"):
+        sinks.write_edges(df.withColumn("t", -F.col("t")), path, ["key"], ["id"], "t", append=True)
+    sinks.write_edges(df.withColumn("t", F.col("t") + 40), path, ["key"], ["id"], "t", append=True)
+    assert spark.read.parquet(path).count() == 10
+
+
+def test_arrival_stamps_keep_nanoseconds(spark):
+    from pulseloom.sources import telemetry
+
+    rows = [("fts/dev1/ftm", '{"ts": 1704067589.165274881}', 5), ("fts/dev1/ftm", '{"ts": 1.704067589165275E9}', 5), ("fts/dev1/ftm", "{}", 5), ("fts/dev1/ftm", '{"ts": "soon"}', 5)]
+    got = telemetry.stamp_arrival(spark.createDataFrame(rows, "topic string, payload string, arrival long"), F.col("arrival")).collect()
+    assert [r.t_ns for r in got] == [1704067589165274881, 1704067589165275000, 5, 5]

@@ -48,14 +48,14 @@ def test_query_without_sql_has_rows(spark, small, name):
     assert registry.QUERIES[name](spark, small).count() > 0
 
 
-def test_stream_detection_equals_batch(spark, small):
-    batch = registry.QUERIES["detect_equals_stream"](spark, small).collect()
-    stream = registry.QUERIES["stream_detect"](spark, small).collect()
-    assert sorted((round(r.t, 6), r.edge_type) for r in batch) == sorted((round(r.t, 6), r.edge_type) for r in stream)
+def test_whole_numbers_are_compared_exactly():
+    big = 1704067589165274880
+    assert plain(["a"], [(big,)]) != plain(["a"], [(big + 120,)])
+    assert plain(["a"], [(3,)]) == plain(["a"], [(3.0,)])
 
 
 def test_tailed_file_equals_the_read_one(spark, small):
-    tail = registry.QUERIES["src_edges_tail"](spark, small).select("t", "edge_type").collect()
+    tail = registry.QUERIES["src_edges_tail"](spark, small).select("channel", "t", "edge_type").collect()
     assert sorted(tail) == sorted(registry.QUERIES["src_edges_v1"](spark, small).collect())
 
 
@@ -82,30 +82,10 @@ def test_stream_detection_carries_over_batches_and_keys(spark, small, monkeypatc
     assert commits.count() > 1
 
 
-def test_all_experiments_and_all_samples(spark, small):
-    e = registry.events(spark, small).toPandas()
-    errors, signups = e[e.event_type == "error"], e[e.event_type == "signup"]
-    want = []
-    for user, s in signups.groupby("user_id"):
-        inside = errors[(errors.us >= s.us.min()) & (errors.us < s.us.max() + registry.SECOND)]
-        want += [(user, len(inside), inside.value.mean())] if len(inside) else []
-    got = registry.QUERIES["experiment_window_all"](spark, small).collect()
-    assert [(r.experiment, r.n) for r in sorted(got)] == [(u, n) for u, n, _ in want]
-    assert all(abs(r["mean"] - m) < 2e-6 for r, (_, _, m) in zip(sorted(got), want, strict=True))
-
-    v, want = {i: x - 50 for i, x in zip(e.event_id, e.value, strict=True)}, []
-    for i in v:
-        p, c, n = v.get(i - 1), v[i], v.get(i + 1)
-        bend = None if p is None or n is None else p - 2 * c + n
-        want.append((i, i if bend is None or abs(bend) < 1e-10 or abs((p - n) / (2 * bend)) > 1 else i + (p - n) / (2 * bend)))
-    got = sorted((r.idx, r.t) for r in registry.QUERIES["refine_parabolic_all"](spark, small).collect())
-    assert [i for i, _ in got] == sorted(v) and all(abs(a - b) < 2e-6 for (_, a), (_, b) in zip(got, sorted(want), strict=True))
-
-
-def test_first_window_is_dropped_in_stream_and_batch(spark, small):
+def test_first_window_is_dropped_and_the_last_ones_come_at_the_end(spark, small):
     hour = 3600 * registry.SECOND
     first = registry.events(spark, small).selectExpr("min(us)").first()[0] // hour
-    stream = {r.window_start // hour: r.n for r in registry.QUERIES["stream_minute"](spark, small).collect()}
-    batch = {r.bucket: r.n for r in registry.QUERIES["stream_finalize"](spark, small).collect()}
-    assert first not in stream and first not in batch
-    assert len(stream) > 1 and stream.items() <= batch.items()
+    stream = {tuple(r) for r in registry.QUERIES["stream_minute"](spark, small).collect()}
+    whole = {tuple(r) for r in registry.QUERIES["stream_finalize"](spark, small).collect()}
+    assert all(r[0] // hour > first for r in stream | whole)
+    assert len(stream) > 1 and stream <= whole
