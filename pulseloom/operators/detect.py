@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import groupby, islice
 
 import pyarrow as pa
@@ -177,29 +177,35 @@ def refine_parabolic(df: DataFrame, by: list[str], idx: str, v: str, at: DataFra
     return met.select(*by, idx, F.when(good, F.col(idx) + off).otherwise(F.col(idx).cast("double")).alias("t"))
 
 
-def fit_time(xs: Column, ys: Column, level: Column, trigger: Column, fallback: Column) -> Column:
-    """trigger + the offset at which the least-squares line through points (xs, ys) reaches level; sums are of offsets."""
-    n = F.size(xs).cast("double")
-    both = F.arrays_zip(xs.alias("x"), ys.alias("y"))
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value made once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def fit_time(points: Column, level: Column, trigger: Column, fallback: Column) -> Column:
+    """trigger + the offset at which the least-squares line through points(x, y) reaches level; sums are of offsets."""
+    n = F.size(points).cast("double")
     zero = F.struct(*[F.lit(0.0).alias(k) for k in ("sx", "sy", "sxy", "sxx")])
 
     def add(s: Column, p: Column) -> Column:
         x, y = p["x"].cast("double"), p["y"].cast("double")
         return F.struct((s["sx"] + x).alias("sx"), (s["sy"] + y).alias("sy"), (s["sxy"] + x * y).alias("sxy"), (s["sxx"] + x * x).alias("sxx"))
 
-    s = F.aggregate(both, zero, add)
-    flat = n * s["sxx"] - s["sx"] * s["sx"]
-    slope = (n * s["sxy"] - s["sx"] * s["sy"]) / flat
-    cut = (s["sy"] - slope * s["sx"]) / n
-    return F.when((n < 2) | (F.abs(flat) < 1e-12), fallback).when(F.abs(slope) < 1e-12, fallback).otherwise(trigger + (level - cut) / slope)
+    def line(s: Column) -> Column:
+        flat = n * s["sxx"] - s["sx"] * s["sx"]
+        slope = (n * s["sxy"] - s["sx"] * s["sy"]) / flat
+        cut = (s["sy"] - slope * s["sx"]) / n
+        return F.when((n < 2) | (F.abs(flat) < 1e-12), fallback).when(F.abs(slope) < 1e-12, fallback).otherwise(trigger + (level - cut) / slope)
+
+    return once(F.aggregate(points, zero, add), line)
 
 
 def regress_points(df: DataFrame, trigger: str, peak: str, points: str) -> DataFrame:
     """df with t: the time at half the peak by least squares on points(off, v); few or flat points fall back to the middle one."""
-    xs, ys = F.transform(points, lambda p: p["off"]), F.transform(points, lambda p: p["v"])
-    middle = F.try_element_at(xs, (F.floor(F.size(points) / 2) + 1).cast("int"))
+    pairs = F.transform(points, lambda p: F.struct(p["off"].alias("x"), p["v"].alias("y")))
+    middle = F.get(points, F.floor(F.size(points) / 2).cast("int"))["off"]
     spare = F.col(trigger) + F.coalesce(middle.cast("double"), F.lit(0.0))
-    return df.withColumn("t", fit_time(xs, ys, F.col(peak) * 0.5, F.col(trigger).cast("double"), spare))
+    return df.withColumn("t", fit_time(pairs, F.col(peak) * 0.5, F.col(trigger).cast("double"), spare))
 
 
 def detect_linreg(df: DataFrame, by: list[str], idx: str, v: str, threshold: float, peak_search: int = 15, low: float = 0.2, high: float = 0.8, min_distance: float = 0, width: float = 65536) -> DataFrame:
@@ -216,11 +222,16 @@ def detect_linreg(df: DataFrame, by: list[str], idx: str, v: str, threshold: flo
     around = wanted.join(df.select(*by, idx, v), [*by, idx]).groupBy(*by, "_at", "edge_type").agg(F.sort_array(F.collect_list(F.struct(F.col(idx).alias("i"), F.when(F.col("edge_type") == 0, -F.col(v)).otherwise(F.col(v)).cast("double").alias("v")))).alias("w"))
     after = F.filter("w", lambda p: p["i"] >= F.col("_at"))
     top = F.array_max(F.transform(after, lambda p: F.struct(p["v"].alias("v"), (-p["i"]).alias("i"))))
-    marked = around.withColumn("_top", top).withColumn("_peak", -F.col("_top")["i"])
-    flank = F.filter("w", lambda p: (p["i"] >= F.col("_peak") - 10) & (p["i"] < F.col("_peak")) & (p["v"] >= F.col("_top")["v"] * low) & (p["v"] <= F.col("_top")["v"] * high))
-    marked = marked.withColumn("_flank", flank).where("size(_flank) > 0")
-    xs, ys = F.transform("_flank", lambda p: p["i"] - F.col("_at")), F.transform("_flank", lambda p: p["v"])
-    timed = marked.select(*by, fit_time(xs, ys, F.col("_top")["v"] * 0.5, F.col("_at").cast("double"), F.col("_at") + F.element_at(xs, 1).cast("double")).alias("t"), "edge_type", F.col("_top")["v"].alias("height"), F.col("_at").alias("idx"))
+
+    def flank(top: Column) -> Column:
+        peak = -top["i"]
+        inside = F.filter("w", lambda p: (p["i"] >= peak - 10) & (p["i"] < peak) & (p["v"] >= top["v"] * low) & (p["v"] <= top["v"] * high))
+        return F.struct(top["v"].alias("height"), F.transform(inside, lambda p: F.struct((p["i"] - F.col("_at")).alias("x"), p["v"].alias("y"))).alias("points"))
+
+    # As a generator's row, the flank is made once for each candidate.
+    marked = around.select(*by, "_at", "edge_type", F.inline(F.array(once(top, flank)))).where("size(points) > 0")
+    time = fit_time(F.col("points"), F.col("height") * 0.5, F.col("_at").cast("double"), F.col("_at") + F.get("points", F.lit(0))["x"].cast("double"))
+    timed = marked.select(*by, time.alias("t"), "edge_type", "height", F.col("_at").alias("idx"))
     return (debounce(timed, [*by, "edge_type"], ["t", "idx"], "t", min_distance) if min_distance else timed).select(*by, "t", "edge_type", "height")
 
 
