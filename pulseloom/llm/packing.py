@@ -177,24 +177,23 @@ _NAMES = ["doc_id", "piece", "start", "length", "ids_crc32"]
 _TYPES = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
 
 
-def pieces_of(docs: DataFrame, capacity: int = CAPACITY, end: int = END, tokenizer: str | None = None) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 of every piece of every row of docs(doc_id, text)."""
+def _pieces_of(batches: Iterator[pa.RecordBatch], capacity: int, end: int, tokenizer: str | None) -> Iterator[tuple]:
+    """doc_id, piece, start, length, ids_crc32 of every piece of batches(doc_id, text)."""
+    encode, mark = id_encoder(tokenizer), np.asarray([end], "<u4").tobytes()
+    for batch in batches:
+        for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            ids = encode(text) + mark
+            for k, (start, length) in enumerate(cut(len(ids) // 4, capacity)):
+                yield doc_id, k, start, length, crc32(ids[4 * start : 4 * (start + length)])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, mark = id_encoder(tokenizer), np.asarray([end], "<u4").tobytes()
-        for batch in batches:
-            rows = []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                ids = encode(text) + mark
-                for k, (start, length) in enumerate(cut(len(ids) // 4, capacity)):
-                    rows.append((doc_id, k, start, length, crc32(ids[4 * start : 4 * (start + length)])))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [()] * 5, _TYPES, strict=True)], _NAMES)
 
-    return id_and_text(docs).mapInArrow(run, _PIECE)
+def _rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    for batch in batches:
+        yield from zip(*[batch.column(k).to_pylist() for k in range(5)], strict=True)
 
 
-def pack_pieces(pieces: DataFrame, capacity: int, chunk: int, number: int, last: bool) -> DataFrame:
-    """pieces with sequence_id, offset and waiting: packed partition by partition, `chunk` pieces at a time.
+def pack_rows(rows: DataFrame, pieces: Callable[[Iterator[pa.RecordBatch]], Iterator[tuple]], capacity: int, chunk: int, number: int, last: bool) -> DataFrame:
+    """The pieces that `pieces` makes of rows, with sequence_id, offset and waiting: packed partition by partition, `chunk` at a time.
 
     A chunk's emptiest bins go on to the next chunk; those of the last chunk, unless `last`, are marked as waiting.
     """
@@ -223,17 +222,16 @@ def pack_pieces(pieces: DataFrame, capacity: int, chunk: int, number: int, last:
             pending = [pending[i] for i in keep]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [()] * 8, types, strict=True)], names)
 
-        for batch in batches:
-            for row in zip(*[batch.column(k).to_pylist() for k in range(5)], strict=True):
-                pending.append(row)
-                if len(pending) >= chunk:
-                    yield flush(False)
+        for row in pieces(batches):
+            pending.append(row)
+            if len(pending) >= chunk:
+                yield flush(False)
         if pending:
             yield flush(True)
 
     names = [*_NAMES, "sequence_id", "offset", "waiting"]
     types = [*_TYPES, pa.int64(), pa.int64(), pa.bool_()]
-    return pieces.select(*_NAMES).mapInArrow(run, _PIECE + ", sequence_id long, offset long, waiting boolean")
+    return rows.mapInArrow(run, _PIECE + ", sequence_id long, offset long, waiting boolean")
 
 
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY, end: int = END, tokenizer: str | None = None, chunk: int = CHUNK) -> DataFrame:
@@ -248,13 +246,13 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY, end: int = END, to
     Repeated rows and null doc_ids are packed like any other row; an empty table gives no sequences; other columns
     are ignored. A text in which an added token of the vocabulary is written out holds its id, as the tokenizer has it.
     """
-    packed = saved(pack_pieces(pieces_of(docs, capacity, end, tokenizer), capacity, chunk, 0, False), "packed")
+    packed = saved(pack_rows(id_and_text(docs), lambda batches: _pieces_of(batches, capacity, end, tokenizer), capacity, chunk, 0, False), "packed")
     done, number = packed.where("not waiting"), 1
     waiting = packed.where("waiting")
     while (left := waiting.count()) > 0:
         tasks = -(-left // (FAN * chunk // KEPT))
-        again = waiting.repartition(tasks, "doc_id", "piece", "ids_crc32")
-        packed = saved(pack_pieces(again, capacity, chunk, number, tasks == 1), "packed")
+        again = waiting.select(*_NAMES).repartition(tasks, "doc_id", "piece", "ids_crc32")
+        packed = saved(pack_rows(again, _rows_of, capacity, chunk, number, tasks == 1), "packed")
         done, waiting, number = done.unionByName(packed.where("not waiting")), packed.where("waiting"), number + 1
         if tasks == 1:
             break
