@@ -308,8 +308,8 @@ def _across(placed: DataFrame, total: int) -> DataFrame:
 
 def confirmed(docs: DataFrame, pairs: DataFrame, threshold: float, words: int = WORDS) -> DataFrame:
     """The pairs (a, ta, b, tb) of texts whose full shingle sets reach the threshold."""
-    both = F.array(F.struct(F.col("a").alias("id"), F.col("ta").alias("t")), F.struct(F.col("b").alias("id"), F.col("tb").alias("t")))
-    wanted = saved(pairs.select(F.explode(both).alias("e")).select("e.*").distinct(), "wanted")
+    ends = [pairs.select(F.col(i).alias("id"), F.col(t).alias("t")).distinct() for i, t in (("a", "ta"), ("b", "tb"))]
+    wanted = saved(ends[0].union(ends[1]).distinct(), "wanted")
     sets = saved(sets_of(docs, wanted, words), "shingles")
     hundred = round(threshold * 100)
 
@@ -386,8 +386,9 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.75, words: int = WORDS
     1. Equal word sequences collapse to the smallest doc_id (map-side combined, so huge groups cost one row a task).
     2. Registers are banded: a pair at the threshold misses all 32 bands of 4 with a chance of about 5e-6.
     3. The spanning forest of the likely pairs of each bucket's blocks is confirmed; in buckets of several blocks
-       also that of all members with the best linked ones. Then every likely pair that still joins two classes
-       is: the number of full comparisons follows the number of documents, not of pairs, and no pair is left out.
+       also that of all members with the best linked ones, and then the best pair between any two classes that
+       still meet. Last, every likely pair that still joins two classes is: the number of full comparisons follows
+       the number of documents, not of pairs, and no pair is left out.
     """
     if bands * rows > registers:
         raise ValueError("bands * rows exceeds the number of registers")
@@ -401,21 +402,25 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.75, words: int = WORDS
     total = bands * reps.count()
     members = saved(join_skewed(banded, saved(full, "buckets"), "key", "size", total).where("size is not null"), "members")
 
-    first = saved(_pairs(_own_blocks(members), reps, threshold, registers, True, rows), "pairs")
-    links = saved(confirmed(docs, first, threshold, words), "links")
     several = named.groupBy("doc_id").agg(F.min("t").alias("low"), F.max("t").alias("high")).where("low < high").select("doc_id")
     own = named.join(several, "doc_id", "left_semi").select("doc_id", "digest").distinct().join(reps.select("digest", "id"), "digest").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
+    tried = saved(_pairs(_own_blocks(members), reps, threshold, registers, True, rows), "pairs")
+    links = saved(confirmed(docs, tried, threshold, words), "links")
     found = saved(components(links.select("a", "b").union(own)), "components")
+
+    def settle(dealt: DataFrame, forest: bool) -> None:
+        """Confirms the likely pairs of dealt that weren't tried yet, and joins the classes that they link."""
+        nonlocal tried, found
+        new = saved(_pairs(dealt, reps, threshold, registers, forest, rows).join(tried, _PAIR, "left_anti"), "pairs")
+        more = confirmed(docs, new, threshold, words).select("a", "b")
+        tried, found = tried.union(new), saved(components(_as_links(found).union(more)), "components")
+
     if members.where(F.col("size") > BLOCK).limit(1).count():
-        second = saved(_pairs(_with_pivots(members, links, found), reps, threshold, registers, True, rows), "pairs")
-        more = confirmed(docs, second.join(first, _PAIR, "left_anti"), threshold, words)
-        first = first.union(second)
-        found = saved(components(_as_links(found).union(more.select("a", "b"))), "components")
-    placed = members.drop("size").join(found, "id", "left").select("id", "t", "key", "band", F.coalesce("component", "id").alias("known"))
-    rest = _pairs(_across(placed, members.count()), reps, threshold, registers, False, rows)
-    rest = saved(rest.join(first, _PAIR, "left_anti"), "pairs")
-    more = saved(confirmed(docs, rest, threshold, words), "links")
-    found = saved(components(_as_links(found).union(more.select("a", "b"))), "components")
+        settle(_with_pivots(members, links, found), True)
+    count = members.count()
+    for forest in (True, False):
+        placed = members.drop("size").join(found, "id", "left").select("id", "t", "key", "band", F.coalesce("component", "id").alias("known"))
+        settle(_across(placed, count), forest)
 
     known = reps.select(F.hex("digest").alias("digest"), "copies", "id").join(found, "id", "left").select("digest", "copies", F.coalesce("component", "id").alias("component"))
     out = join_skewed(all_rows.where("n_shingles > 0").select("doc_id", F.hex("digest").alias("digest"), "n_shingles"), known, "digest", "copies", all_rows.count())
