@@ -192,8 +192,9 @@ def _root(parent: list[int], i: int) -> int:
     return i
 
 
-def _bucket_pairs(rows: list[tuple], threshold: float, registers: int, forest: bool, width: int) -> Iterator[tuple[int, int, int, int]]:
-    """Likely pairs of texts of one block, or of two blocks, of a bucket: a maximum spanning forest of them, or all across classes.
+def _bucket_pairs(rows: list[tuple], threshold: float, registers: int, forest: bool, width: int) -> Iterator[tuple[int, int, int, int, bool]]:
+    """Likely pairs of texts of one block, or of two blocks, of a bucket: a maximum spanning forest of its classes by
+    similarity, or all across classes, of which those in the forest are marked.
 
     A pair that meets in several bands belongs to the first of them alone.
     """
@@ -216,26 +217,24 @@ def _bucket_pairs(rows: list[tuple], threshold: float, registers: int, forest: b
         over, under = (regs[later] > regs[i]).sum(axis=1), (regs[later] < regs[i]).sum(axis=1)
         ok, equal = likely(over, under, n[later], np.full(len(later), n[i]), least, registers)
         found += [(-e, i, j) for e, j in zip(equal[ok].tolist(), later[ok].tolist(), strict=True)]
-    if forest:
-        # Members of one class are joined already: a block adds no more links than it has classes.
-        first: dict[int, int] = {}
-        parent = [first.setdefault(k, i) for i, k in enumerate(known.tolist())]
-        found.sort()
-    for _, i, j in found:
-        if forest:
-            a, b = _root(parent, i), _root(parent, j)
-            if a == b:
-                continue
+    # Members of one class are joined already: a block's forest has no more links than it has classes.
+    first: dict[int, int] = {}
+    parent = [first.setdefault(k, i) for i, k in enumerate(known.tolist())]
+    for _, i, j in sorted(found):
+        a, b = _root(parent, i), _root(parent, j)
+        if a != b:
             parent[a] = b
+        elif forest:
+            continue
         one, two = sorted(((int(ids[i]), int(ts[i])), (int(ids[j]), int(ts[j]))))
-        yield (*one, *two)
+        yield (*one, *two, a != b)
 
 
 _PAIR = ["a", "ta", "b", "tb"]
 
 
 def _pairs(dealt: DataFrame, reps: DataFrame, threshold: float, registers: int, forest: bool, width: int) -> DataFrame:
-    """Distinct pairs (a, ta, b, tb) of texts from dealt(key, lo, hi, id, t, known, side, band); `width` registers are a band.
+    """Distinct pairs (a, ta, b, tb, best) of texts from dealt(key, lo, hi, id, t, known, side, band); `width` registers are a band.
 
     The rows of one (key, lo, hi) meet: all of side 2 with each other, those of side 0 with those of side 1.
     """
@@ -250,7 +249,8 @@ def _pairs(dealt: DataFrame, reps: DataFrame, threshold: float, registers: int,
         def out() -> pa.RecordBatch:
             pairs = sorted(seen)
             seen.clear()
-            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in range(4)], _PAIR)
+            columns = [*(pa.array([p[k] for p in pairs], pa.int64()) for k in range(4)), pa.array([p[4] for p in pairs], pa.bool_())]
+            return pa.RecordBatch.from_arrays(columns, [*_PAIR, "best"])
 
         for batch in batches:
             for key, lo, hi, *row in zip(*[batch.column(i).to_pylist() for i in range(batch.num_columns)], strict=True):
@@ -264,7 +264,7 @@ def _pairs(dealt: DataFrame, reps: DataFrame, threshold: float, registers: int,
         yield out()
 
     rows = dealt.join(reps.select("id", "t", "n", "regs"), ["id", "t"]).select("key", "lo", "hi", "id", "t", "known", "side", "n", "regs", "band")
-    return rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(run, "a long, ta long, b long, tb long").distinct()
+    return rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(run, "a long, ta long, b long, tb long, best boolean").groupBy(*_PAIR).agg(F.max("best").alias("best"))
 
 
 def _block(blocks: Column) -> Column:
@@ -408,19 +408,22 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.75, words: int = WORDS
     links = saved(confirmed(docs, tried, threshold, words), "links")
     found = saved(components(links.select("a", "b").union(own)), "components")
 
-    def settle(dealt: DataFrame, forest: bool) -> None:
-        """Confirms the likely pairs of dealt that weren't tried yet, and joins the classes that they link."""
-        nonlocal tried, found
-        new = saved(_pairs(dealt, reps, threshold, registers, forest, rows).join(tried, _PAIR, "left_anti"), "pairs")
-        more = confirmed(docs, new, threshold, words).select("a", "b")
-        tried, found = tried.union(new), saved(components(_as_links(found).union(more)), "components")
+    def settle(pairs: DataFrame) -> None:
+        """Joins the classes that the pairs' full sets link."""
+        nonlocal found
+        more = confirmed(docs, pairs, threshold, words).select("a", "b")
+        found = saved(components(_as_links(found).union(more)), "components")
 
     if members.where(F.col("size") > BLOCK).limit(1).count():
-        settle(_with_pivots(members, links, found), True)
-    count = members.count()
-    for forest in (True, False):
-        placed = members.drop("size").join(found, "id", "left").select("id", "t", "key", "band", F.coalesce("component", "id").alias("known"))
-        settle(_across(placed, count), forest)
+        second = saved(_pairs(_with_pivots(members, links, found), reps, threshold, registers, True, rows).join(tried, _PAIR, "left_anti"), "pairs")
+        settle(second)
+        tried = tried.union(second)
+    placed = members.drop("size").join(found, "id", "left").select("id", "t", "key", "band", F.coalesce("component", "id").alias("known"))
+    rest = saved(_pairs(_across(placed, members.count()), reps, threshold, registers, False, rows).join(tried, _PAIR, "left_anti"), "pairs")
+    settle(rest.where("best"))
+    for c in ("a", "b"):
+        rest = rest.join(found.select(F.col("id").alias(c), F.col("component").alias(f"of_{c}")), c, "left")
+    settle(rest.where("not best").where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select(_PAIR))
 
     known = reps.select(F.hex("digest").alias("digest"), "copies", "id").join(found, "id", "left").select("digest", "copies", F.coalesce("component", "id").alias("component"))
     out = join_skewed(all_rows.where("n_shingles > 0").select("doc_id", F.hex("digest").alias("digest"), "n_shingles"), known, "digest", "copies", all_rows.count())
