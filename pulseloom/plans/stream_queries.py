@@ -170,12 +170,12 @@ def stream_match_finalize(spark: SparkSession, d: str) -> DataFrame:
 
 _STATS = ("mean", "std", "max_dev", "p50", "p95", "p99", "p999")
 _WINDOWS = f"""WITH {EV}, x AS (SELECT us // {HOUR} * {HOUR} AS window_start, value AS delay, avg(value) OVER (PARTITION BY us // {HOUR}) AS mu FROM ev), y AS (SELECT *, abs(delay - mu) AS dev FROM x),
- g AS (SELECT window_start, count(*) AS n, round(avg(delay), 6) AS mean, round(stddev_pop(delay), 6) AS std, min(delay) AS min, max(delay) AS max, round(max(dev), 6) AS max_dev, round(quantile_cont(dev, 0.5), 6) AS p50, round(quantile_cont(dev, 0.95), 6) AS p95, round(quantile_cont(dev, 0.99), 6) AS p99, round(quantile_cont(dev, 0.999), 6) AS p999 FROM y GROUP BY 1),
+ g AS (SELECT window_start, count(*) AS n, round(avg(delay), 9) AS mean, round(stddev_pop(delay), 9) AS std, min(delay) AS min, max(delay) AS max, round(max(dev), 9) AS max_dev, round(quantile_cont(dev, 0.5), 9) AS p50, round(quantile_cont(dev, 0.95), 9) AS p95, round(quantile_cont(dev, 0.99), 9) AS p99, round(quantile_cont(dev, 0.999), 9) AS p999 FROM y GROUP BY 1),
  f AS (SELECT g.* FROM g WHERE n >= 2 AND window_start > (SELECT min(us) FROM ev))"""
 
 
 def _rounded(df: DataFrame) -> DataFrame:
-    return df.withColumns({c: F.round(c, 6) for c in _STATS})
+    return df.withColumns({c: F.round(c, 9) for c in _STATS})
 
 
 def _windows(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, int]:
