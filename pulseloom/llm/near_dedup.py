@@ -400,7 +400,11 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.75, words: int = WORDS
     banded = reps.select("id", "t", F.posexplode(keys).alias("band", "key"))
     full = banded.groupBy("key").agg(F.count("*").alias("size"), F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key", "size")
     total = bands * reps.count()
-    members = saved(join_skewed(banded, saved(full, "buckets"), "key", "size", total).where("size is not null"), "members")
+    full = saved(full, "buckets")
+    # Fewer than 256 keys hold over 1/256 of all rows each: those are broadcast, and their rows shuffle nowhere.
+    hot = F.broadcast(full.where(F.col("size") * 256 > total))
+    cold = banded.join(hot, "key", "left_anti").join(full.where(F.col("size") * 256 <= total), "key")
+    members = saved(banded.join(hot, "key").unionByName(cold), "members")
 
     several = named.groupBy("doc_id").agg(F.min("t").alias("low"), F.max("t").alias("high")).where("low < high").select("doc_id")
     own = named.join(several, "doc_id", "left_semi").select("doc_id", "digest").distinct().join(reps.select("digest", "id"), "digest").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
@@ -423,7 +427,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.75, words: int = WORDS
     settle(rest.where("best"))
     for c in ("a", "b"):
         rest = rest.join(found.select(F.col("id").alias(c), F.col("component").alias(f"of_{c}")), c, "left")
-    settle(rest.where("not best").where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select(_PAIR))
+    settle(saved(rest.where("not best").where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select(_PAIR), "apart"))
 
     known = reps.select(F.hex("digest").alias("digest"), "copies", "id").join(found, "id", "left").select("digest", "copies", F.coalesce("component", "id").alias("component"))
     out = join_skewed(all_rows.where("n_shingles > 0").select("doc_id", F.hex("digest").alias("digest"), "n_shingles"), known, "digest", "copies", all_rows.count())
