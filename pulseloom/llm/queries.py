@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_topk, html_text, license_scan, media_columns, mixing, near_dedup, packing, quality, url_filter, warc
+from . import alignment, exact_topk, html_text, lexical_search, license_scan, media_columns, mixing, near_dedup, packing, quality, toxicity, url_filter, warc
 from .common import table
 
 
@@ -48,6 +48,18 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op11_ranked_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.ranked_search(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"))
+
+
+def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.aligned_tokens(table(spark, sf_dir, "documents"))
+
+
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_url_filters": op1_url_filters,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -59,6 +71,9 @@ QUERIES = {
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op9_exact_top_k": op9_exact_top_k,
     "op10_license_scan": op10_license_scan,
+    "op11_ranked_lexical_search": op11_ranked_lexical_search,
+    "op12_tokenizer_alignment": op12_tokenizer_alignment,
+    "op13_toxicity": op13_toxicity,
 }
 
 
@@ -124,4 +139,13 @@ ORACLES: dict[str, str] = {
               FROM v q JOIN v r ON q.vec_id <> r.vec_id WHERE q.vec_id % 50 = 0),
         k AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
         SELECT query_id, rank, vec_id, score FROM k WHERE rank <= 5""",
+    "op11_ranked_lexical_search": r"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents WHERE text IS NOT NULL),
+ n AS (SELECT r, doc_id, CAST(len(ts) AS BIGINT) AS n, ts FROM d WHERE len(ts) > 0), s AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS length FROM n),
+ tf AS (SELECT r, t, count(*) AS tf FROM (SELECT r, unnest(ts) AS t FROM n) GROUP BY ALL), df AS (SELECT t, count(*) AS df FROM tf GROUP BY 1),
+ b AS (SELECT row_number() OVER () AS number, item_id, list_distinct(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS ts FROM benchmark),
+ w AS (SELECT number, item_id, q.t, CAST(floor(1000 * ln((2 * docs + 2) / (2 * df + 1))) AS BIGINT) AS w FROM (SELECT number, item_id, unnest(ts) AS t FROM b) q JOIN df USING (t), s),
+ m AS (SELECT r, doc_id, 10 + (90 * n * docs) // length AS m FROM n, s),
+ x AS (SELECT number, item_id, r, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score FROM w JOIN tf USING (t) JOIN m USING (r) GROUP BY ALL),
+ k AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY number ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank, doc_id, score FROM x WHERE score > 0)
+ SELECT item_id, rank, doc_id, score FROM k WHERE rank <= 10""",
 }
