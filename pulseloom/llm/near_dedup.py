@@ -27,6 +27,8 @@ MARGIN = 4.0
 BLOCK, PIVOTS = 256, 32
 #: So many ids (8 MB) may be broadcast to pick their texts; more are joined by a shuffle.
 MOST_BROADCAST_IDS = 1_000_000
+#: Bytes of the sets that meet in one group (two longer ones meet alone), and links that are contracted in one task; more take rounds.
+SETS, MOST_LOCAL_LINKS = 32 << 20, 1 << 20
 #: Bytes of text that are hashed at once.
 _PIECE = 4 << 20
 
@@ -185,6 +187,11 @@ def sets_of(docs: DataFrame, wanted: DataFrame, words: int = WORDS) -> DataFrame
     return sets.join(wanted, ["id", "t"], "left_semi").dropDuplicates(["id", "t"])
 
 
+_PAIR = ["a", "ta", "b", "tb"]
+#: What names a group of texts whose full sets meet.
+_GROUP = ["key", "lo", "hi", "part"]
+
+
 def _root(parent: list[int], i: int) -> int:
     while parent[i] != i:
         parent[i] = parent[parent[i]]
@@ -192,18 +199,19 @@ def _root(parent: list[int], i: int) -> int:
     return i
 
 
-def _bucket_pairs(rows: list[tuple], threshold: float, registers: int, forest: bool, width: int) -> Iterator[tuple[int, int, int, int, bool]]:
-    """Likely pairs of texts of one block, or of two blocks, of a bucket: a maximum spanning forest of its classes by
-    similarity, or all across classes, of which those in the forest are marked.
+def _likely_members(rows: list[tuple], threshold: float, registers: int, forest: bool, width: int) -> np.ndarray:
+    """Which texts of one block, or of two blocks, of a bucket have a likely partner of another class there; with
+    `forest` only those at the ends of a maximum spanning forest of the classes by similarity.
 
     A pair that meets in several bands belongs to the first of them alone.
     """
-    ids, ts, known = (np.array([r[k] for r in rows], np.int64) for k in range(3))
+    known = np.array([r[2] for r in rows], np.int64)
     side = np.array([r[3] for r in rows])
     n = np.array([r[4] for r in rows], np.float64)
     regs = np.frombuffer(b"".join(r[5] for r in rows), "<u2").reshape(len(rows), registers)
     band = rows[0][6]
     least = least_likely(threshold, registers)
+    out = np.zeros(len(rows), bool)
     found: list[tuple[float, int, int]] = []
     for i in range(len(rows) - 1):
         later = np.arange(i + 1, len(rows))
@@ -216,7 +224,10 @@ def _bucket_pairs(rows: list[tuple], threshold: float, registers: int, forest: b
             continue
         over, under = (regs[later] > regs[i]).sum(axis=1), (regs[later] < regs[i]).sum(axis=1)
         ok, equal = likely(over, under, n[later], np.full(len(later), n[i]), least, registers)
-        found += [(-e, i, j) for e, j in zip(equal[ok].tolist(), later[ok].tolist(), strict=True)]
+        if forest:
+            found += [(-e, i, j) for e, j in zip(equal[ok].tolist(), later[ok].tolist(), strict=True)]
+        elif ok.any():
+            out[i] = out[later[ok]] = True
     # Members of one class are joined already: a block's forest has no more links than it has classes.
     first: dict[int, int] = {}
     parent = [first.setdefault(k, i) for i, k in enumerate(known.tolist())]
@@ -224,47 +235,56 @@ def _bucket_pairs(rows: list[tuple], threshold: float, registers: int, forest: b
         a, b = _root(parent, i), _root(parent, j)
         if a != b:
             parent[a] = b
-        elif forest:
-            continue
-        one, two = sorted(((int(ids[i]), int(ts[i])), (int(ids[j]), int(ts[j]))))
-        yield (*one, *two, a != b)
+            out[i] = out[j] = True
+    return out
 
 
-_PAIR = ["a", "ta", "b", "tb"]
+def _parts(size: np.ndarray, most: int) -> list[tuple[int, np.ndarray]]:
+    """(number, rows) of parts in which every two rows meet: one of all rows, or every two of chunks that hold half of `most` bytes each."""
+    total = np.cumsum(size)
+    if not len(size) or total[-1] <= most:
+        return [(0, np.arange(len(size)))]
+    chunk = (total - size) // max(1, most // 2)
+    chunks = np.split(np.arange(len(size)), np.flatnonzero(np.diff(chunk)) + 1)
+    pairs = [(x, y) for y in range(1, len(chunks)) for x in range(y)] or [(0, 0)]
+    return [(k, np.union1d(chunks[x], chunks[y])) for k, (x, y) in enumerate(pairs)]
 
 
-def _pairs(dealt: DataFrame, reps: DataFrame, threshold: float, registers: int, forest: bool, width: int) -> DataFrame:
-    """Distinct pairs (a, ta, b, tb, best) of texts from dealt(key, lo, hi, id, t, known, side, band); `width` registers are a band.
+def _involved(dealt: DataFrame, reps: DataFrame, threshold: float, registers: int, forest: bool, width: int) -> DataFrame:
+    """key, lo, hi, part, id, t, known of the texts that full sets must be compared of; all of one (key, lo, hi, part) with each other.
 
-    The rows of one (key, lo, hi) meet: all of side 2 with each other, those of side 0 with those of side 1.
+    dealt has key, lo, hi, id, t, known, side, band; `width` registers are a band. The rows of one (key, lo, hi)
+    meet: all of side 2 with each other, those of side 0 with those of side 1.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, rows, seen = None, [], set()
+        at, rows, done = None, [], []
 
         def close() -> None:
             if len(rows) > 1:
-                seen.update(_bucket_pairs(rows, threshold, registers, forest, width))
+                some = np.flatnonzero(_likely_members(rows, threshold, registers, forest, width))
+                for part, own in _parts(np.array([8 * rows[k][4] for k in some], np.int64), SETS):
+                    done.extend((*at, part, *rows[k][:3]) for k in some[own])
 
         def out() -> pa.RecordBatch:
-            pairs = sorted(seen)
-            seen.clear()
-            columns = [*(pa.array([p[k] for p in pairs], pa.int64()) for k in range(4)), pa.array([p[4] for p in pairs], pa.bool_())]
-            return pa.RecordBatch.from_arrays(columns, [*_PAIR, "best"])
+            types = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), *[pa.int64()] * 3]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done, strict=True) if done else [()] * 7, types, strict=True)], names)
 
         for batch in batches:
             for key, lo, hi, *row in zip(*[batch.column(i).to_pylist() for i in range(batch.num_columns)], strict=True):
                 if (key, lo, hi) != at:
                     close()
                     at, rows = (key, lo, hi), []
-                    if len(seen) > 100_000:
+                    if len(done) > 50_000:
                         yield out()
+                        done.clear()
                 rows.append(row)
         close()
         yield out()
 
-    rows = dealt.join(reps.select("id", "t", "n", "regs"), ["id", "t"]).select("key", "lo", "hi", "id", "t", "known", "side", "n", "regs", "band")
-    return rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(run, "a long, ta long, b long, tb long, best boolean").groupBy(*_PAIR).agg(F.max("best").alias("best"))
+    names = [*_GROUP, "id", "t", "known"]
+    rows = dealt.join(reps.select("id", "t", "n", "regs"), ["id", "t"]).select("key", F.col("lo").cast("int").alias("lo"), F.col("hi").cast("int").alias("hi"), "id", "t", "known", "side", "n", "regs", "band")
+    return rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(run, "key long, lo int, hi int, part int, id long, t long, known long")
 
 
 def _block(blocks: Column) -> Column:
@@ -306,36 +326,117 @@ def _across(placed: DataFrame, total: int) -> DataFrame:
     return met.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "id", "t", "known", side.alias("side"), "band")
 
 
-def confirmed(docs: DataFrame, pairs: DataFrame, threshold: float, words: int = WORDS) -> DataFrame:
-    """The pairs (a, ta, b, tb) of texts whose full shingle sets reach the threshold."""
-    ends = [pairs.select(F.col(i).alias("id"), F.col(t).alias("t")).distinct() for i, t in (("a", "ta"), ("b", "tb"))]
-    wanted = saved(ends[0].union(ends[1]).distinct(), "wanted")
-    sets = saved(sets_of(docs, wanted, words), "shingles")
-    hundred = round(threshold * 100)
+def common_counts(sets: list[np.ndarray]) -> np.ndarray:
+    """How many elements every two of the sorted sets have in common.
+
+    Elements that the same sets hold are one column with their number as its weight, so sets with a common part cost
+    no more than its columns; where there are many columns, the sets are compared two by two.
+    """
+    size, n = np.array([len(s) for s in sets]), len(sets)
+    every = np.concatenate(sets)
+    order = np.argsort(every, kind="stable")
+    every, owner = every[order], np.repeat(np.arange(n), size)[order]
+    begin = np.flatnonzero(np.diff(every, prepend=~every[:1]))
+    many = np.diff(np.append(begin, len(every)))
+    mark = np.random.default_rng(1).integers(0, 2**64, n, dtype=np.uint64)
+    name = np.add.reduceat(mark[owner], begin) if len(begin) else np.zeros(0, np.uint64)
+    begin, name, many = begin[many > 1], name[many > 1], many[many > 1]
+    _, first, weight = np.unique(name, return_index=True, return_counts=True)
+    out = np.zeros((n, n))
+    # Multiplications of the columns against steps of the searches.
+    if len(first) * n > 64 * (size.sum() + 1) * 8:
+        for i in range(n):
+            for j in range(i):
+                one, two = (sets[i], sets[j]) if len(sets[i]) < len(sets[j]) else (sets[j], sets[i])
+                out[i, j] = out[j, i] = (two[np.minimum(np.searchsorted(two, one), len(two) - 1)] == one).sum() if len(one) else 0
+        return out
+    for k in range(0, len(first), 4096):
+        at, times = begin[first[k : k + 4096]], many[first[k : k + 4096]]
+        held = np.zeros((len(at), n))
+        ends = np.cumsum(times)
+        place = np.arange(ends[-1]) - np.repeat(ends - times, times) + np.repeat(at, times)
+        held[np.repeat(np.arange(len(at)), times), owner[place]] = 1
+        out += (held * weight[k : k + 4096, None]).T @ held
+    return out
+
+
+def _links_of(rows: list[tuple], threshold: float) -> Iterator[tuple[int, int, int, int]]:
+    """Links between texts (id, t, known, set) of different classes: a forest that joins what all links join, around the texts with most links."""
+    sets = [np.frombuffer(r[3], np.uint64) for r in rows]
+    known, size = np.array([r[2] for r in rows]), np.array([len(s) for s in sets])
+    same, hundred = common_counts(sets), round(threshold * 100)
+    linked = (100 * same >= hundred * (size[:, None] + size - same)) & (same > 0)
+    np.fill_diagonal(linked, False)
+    first: dict[int, int] = {}
+    parent = [first.setdefault(k, i) for i, k in enumerate(known.tolist())]
+    for i in np.argsort(-linked.sum(axis=1), kind="stable").tolist():
+        for j in np.flatnonzero(linked[i]).tolist():
+            a, b = _root(parent, i), _root(parent, j)
+            if a != b:
+                parent[a] = b
+                one, two = sorted((rows[i][:2], rows[j][:2]))
+                yield (*one, *two)
+
+
+def confirmed(involved: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, ta, b, tb) that join what the full sets of each group of `involved` link; a set travels once a group."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("left").to_pylist(), batch.column("right").to_pylist(), strict=True):
-                one, two = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                if len(one) > len(two):
-                    one, two = two, one
-                same = int((two[np.minimum(np.searchsorted(two, one), len(two) - 1)] == one).sum()) if len(one) else 0
-                keep.append(same > 0 and 100 * same >= hundred * (len(one) + len(two) - same))
-            yield batch.select(_PAIR).filter(pa.array(keep, pa.bool_()))
+        at, rows, done = None, [], []
 
-    # A text with very many pairs is one row of `sets`; the adaptive plan splits such partitions of pairs.
-    with_left = pairs.join(sets.select(F.col("id").alias("a"), F.col("t").alias("ta"), F.col("shingles").alias("left")), ["a", "ta"])
-    with_both = with_left.join(sets.select(F.col("id").alias("b"), F.col("t").alias("tb"), F.col("shingles").alias("right")), ["b", "tb"])
-    return with_both.select(*_PAIR, "left", "right").mapInArrow(run, "a long, ta long, b long, tb long")
+        def out() -> pa.RecordBatch:
+            made = pa.RecordBatch.from_arrays([pa.array([d[k] for d in done], pa.int64()) for k in range(4)], _PAIR)
+            done.clear()
+            return made
+
+        for batch in small_batches(batches, "shingles", SETS // 4):
+            for *group, i, t, known, shingles in zip(*[batch.column(c).to_pylist() for c in (*_GROUP, "id", "t", "known", "shingles")], strict=True):
+                if group != at:
+                    if len(rows) > 1:
+                        done.extend(_links_of(rows, threshold))
+                    at, rows = group, []
+                rows.append((i, t, known, shingles))
+            if len(done) > 50_000:
+                yield out()
+        if len(rows) > 1:
+            done.extend(_links_of(rows, threshold))
+        yield out()
+
+    met = involved.join(sets, ["id", "t"]).select(*_GROUP, "id", "t", "known", "shingles")
+    return met.repartition(*_GROUP).sortWithinPartitions(*_GROUP).mapInArrow(run, "a long, ta long, b long, tb long")
+
+
+def least_reachable(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of links between a and b, and the smallest id that each reaches; memory of a few times the links."""
+    ids, at = np.unique(np.concatenate((a, b)), return_inverse=True)
+    one, two = at[: len(a)], at[len(a) :]
+    label = np.arange(len(ids))
+    while True:
+        low = np.minimum(label[one], label[two])
+        new = label.copy()
+        # Roots take the smaller label too, so paths shorten by half and more each time.
+        for end in (one, two, label[one], label[two]):
+            np.minimum.at(new, end, low)
+        new = new[new]
+        if (new == label).all():
+            return ids, ids[label]
+        label = new
 
 
 def components(links: DataFrame) -> DataFrame:
-    """id, component (its smallest reachable id) of every id in links(a, b), by alternating large-star and small-star steps.
+    """id, component (its smallest reachable id) of every id in links(a, b).
 
-    A number of rounds in the logarithm of the longest path; each is a table in the shared folder.
+    Up to MOST_LOCAL_LINKS links (16 MB), after each task's own are contracted, are joined in one task. More are by
+    alternating large-star and small-star steps: a number of rounds in the logarithm of the longest path, each a table
+    in the shared folder.
     """
 
+    def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [(batch.column(0).to_numpy(), batch.column(1).to_numpy()) for batch in batches]
+        if parts:
+            ids, least = least_reachable(*(np.concatenate(c) for c in zip(*parts, strict=True)))
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(least)], ["id", "component"])
+
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Links of one partition's batch as stars around their local minima."""
         for batch in batches:
@@ -354,7 +455,10 @@ def components(links: DataFrame) -> DataFrame:
             stars = [(i, root(i)) for i in list(parent)]
             yield pa.RecordBatch.from_arrays([pa.array([i for i, r in stars if i != r], pa.int64()), pa.array([r for i, r in stars if i != r], pa.int64())], ["u", "v"])
 
-    edges = saved(links.select("a", "b").where("a <> b").mapInArrow(local, "u long, v long").distinct(), "edges")
+    edges = saved(links.select("a", "b").where("a <> b").mapInArrow(local, "u long, v long"), "edges")
+    if edges.count() <= MOST_LOCAL_LINKS:
+        return saved(edges.repartition(1).mapInArrow(together, "id long, component long"), "components")
+    edges = edges.distinct()
     while True:
         both = edges.union(edges.select("v", "u"))
         least = saved(both.groupBy("u").agg(F.count("*").alias("degree"), F.min("v").alias("m")).select("u", "degree", F.least("u", "m").alias("m")), "least")
@@ -368,7 +472,7 @@ def components(links: DataFrame) -> DataFrame:
         if not stars:
             break
     leaves = edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
-    return leaves.union(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
+    return saved(leaves.union(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()), "components")
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.75, words: int = WORDS, bands: int = BANDS, rows: int = ROWS, registers: int = REGISTERS) -> DataFrame:
@@ -385,10 +489,10 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.75, words: int = WORDS
 
     1. Equal word sequences collapse to the smallest doc_id (map-side combined, so huge groups cost one row a task).
     2. Registers are banded: a pair at the threshold misses all 32 bands of 4 with a chance of about 5e-6.
-    3. The spanning forest of the likely pairs of each bucket's blocks is confirmed; in buckets of several blocks
-       also that of all members with the best linked ones, and then the best pair between any two classes that
-       still meet. Last, every likely pair that still joins two classes is: the number of full comparisons follows
-       the number of documents, not of pairs, and no pair is left out.
+    3. The texts at the ends of the spanning forest of the likely pairs of each bucket's blocks meet there with their
+       full sets; in buckets of several blocks so do all members with the best linked ones. Last, all texts with a
+       likely partner of another class meet with it. A set travels once a block and is compared with all others of
+       the block at once; no pair is ever a row of its own, and none is left out.
     """
     if bands * rows > registers:
         raise ValueError("bands * rows exceeds the number of registers")
@@ -408,26 +512,26 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.75, words: int = WORDS
 
     several = named.groupBy("doc_id").agg(F.min("t").alias("low"), F.max("t").alias("high")).where("low < high").select("doc_id")
     own = named.join(several, "doc_id", "left_semi").select("doc_id", "digest").distinct().join(reps.select("digest", "id"), "digest").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
-    tried = saved(_pairs(_own_blocks(members), reps, threshold, registers, True, rows), "pairs")
-    links = saved(confirmed(docs, tried, threshold, words), "links")
-    found = saved(components(links.select("a", "b").union(own)), "components")
-
-    def settle(pairs: DataFrame) -> None:
-        """Joins the classes that the pairs' full sets link."""
-        nonlocal found
-        more = confirmed(docs, pairs, threshold, words).select("a", "b")
-        found = saved(components(_as_links(found).union(more)), "components")
-
-    if members.where(F.col("size") > BLOCK).limit(1).count():
-        second = saved(_pairs(_with_pivots(members, links, found), reps, threshold, registers, True, rows).join(tried, _PAIR, "left_anti"), "pairs")
-        settle(second)
-        tried = tried.union(second)
+    sets, found = None, components(own)
+    large = members.where(F.col("size") > BLOCK).limit(1).count()
+
+    def settle(dealt: DataFrame, forest: bool) -> DataFrame:
+        """Joins the classes that the full sets of likely members of dealt blocks link; returns these links."""
+        nonlocal sets, found
+        involved = saved(_involved(dealt, reps, threshold, registers, forest, rows), "involved")
+        wanted = involved.select("id", "t").distinct()
+        wanted = saved(wanted if sets is None else wanted.join(sets.select("id", "t"), ["id", "t"], "left_anti"), "wanted")
+        more = saved(sets_of(docs, wanted, words), "shingles")
+        sets = more if sets is None else sets.unionByName(more)
+        links = saved(confirmed(involved, sets, threshold), "links")
+        found = components(_as_links(found).union(links.select("a", "b")))
+        return links
+
+    links = settle(_own_blocks(members), True)
+    if large:
+        settle(_with_pivots(members, links, found), True)
     placed = members.drop("size").join(found, "id", "left").select("id", "t", "key", "band", F.coalesce("component", "id").alias("known"))
-    rest = saved(_pairs(_across(placed, members.count()), reps, threshold, registers, False, rows).join(tried, _PAIR, "left_anti"), "pairs")
-    settle(rest.where("best"))
-    for c in ("a", "b"):
-        rest = rest.join(found.select(F.col("id").alias(c), F.col("component").alias(f"of_{c}")), c, "left")
-    settle(saved(rest.where("not best").where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select(_PAIR), "apart"))
+    settle(_across(placed, members.count()), False)
 
     known = reps.select(F.hex("digest").alias("digest"), "copies", "id").join(found, "id", "left").select("digest", "copies", F.coalesce("component", "id").alias("component"))
     out = join_skewed(all_rows.where("n_shingles > 0").select("doc_id", F.hex("digest").alias("digest"), "n_shingles"), known, "digest", "copies", all_rows.count())

@@ -733,3 +733,49 @@ def test_pipeline_on_edge_cases(spark, tmp_path):
     docs.where("false").write.parquet(f"{empty}/documents.parquet")
     spark.read.parquet(f"{folder}/labels.parquet").write.parquet(f"{empty}/labels.parquet")
     assert corpus_pipeline.run(spark, empty).count() == 0
+
+
+@pytest.mark.parametrize("count", [100, 400])
+def test_texts_just_below_the_threshold_do_not_meet_pair_by_pair(spark, monkeypatch, count):
+    # A common head and tails of their own: every two texts are 71 % alike, and none is linked.
+    head = words(104, 5)
+    rows = [(k, head + " " + " ".join(f"t{k}x{j}" for j in range(20)), "s") for k in range(count)]
+    seen, confirm = [], near_dedup.confirmed
+    monkeypatch.setattr(near_dedup, "confirmed", lambda involved, sets, threshold: (seen.append(involved.count()), confirm(involved, sets, threshold))[1])
+    got = near_dedup.near_duplicates(documents(spark, rows)).collect()
+    assert len(got) == count and all(r.kept and r.n_shingles == 120 for r in got)
+    # Texts that travel: at most once a band and block, not once a pair.
+    assert sum(seen) <= 2 * near_dedup.BANDS * count * (1 + count // near_dedup.BLOCK)
+
+
+def test_common_counts_equal_intersections():
+    random = np.random.default_rng(8)
+    base = random.integers(0, 2**63, 300, dtype=np.uint64)
+    sets = [np.unique(np.concatenate((random.choice(base, random.integers(0, 300)), random.integers(0, 2**63, random.integers(0, 40), dtype=np.uint64)))) for _ in range(60)]
+    sets += [np.zeros(0, np.uint64), base[:1], np.unique(base), np.unique(base)]
+    for some in (sets, sets[:2], sets[-4:], [np.sort(random.choice(base, 200, replace=False)) for _ in range(3)]):
+        assert (near_dedup.common_counts(some) == [[len(set(a.tolist()) & set(b.tolist())) if a is not b or len(a) else 0 for b in some] for a in some])[~np.eye(len(some), dtype=bool)].all()
+
+
+def test_parts_of_a_group_let_every_two_meet():
+    random = np.random.default_rng(2)
+    for most in (1, 50, 400, 10_000):
+        size = random.integers(1, 100, 40)
+        parts = near_dedup._parts(size, most)
+        assert {(i, j) for _, own in parts for i in own for j in own} == {(i, j) for i in range(40) for j in range(40)}
+        assert len({k for k, _ in parts}) == len(parts) and all(size[own].sum() <= max(most, 200) + 200 for _, own in parts)
+    assert near_dedup._parts(np.zeros(0, np.int64), 5)[0][1].size == 0
+
+
+def test_components_in_one_task_equal_those_in_rounds(spark, monkeypatch):
+    random = np.random.default_rng(5)
+    links = spark.createDataFrame([(int(a), int(b)) for a, b in random.integers(0, 400, (300, 2))], "a long, b long").repartition(5)
+    one = {tuple(r) for r in near_dedup.components(links).collect()}
+    monkeypatch.setattr(near_dedup, "MOST_LOCAL_LINKS", 10)
+    assert {tuple(r) for r in near_dedup.components(links).collect()} == one
+
+
+def test_near_duplicates_with_small_parts_and_rounds(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "SETS", 4000)
+    monkeypatch.setattr(near_dedup, "MOST_LOCAL_LINKS", 5)
+    check_components(spark, near_copies(4, 2, 25))
