@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -22,11 +23,12 @@ from .common import id_and_text, new_path, saved, small_batches
 from .packing import byte_of_char, tokenizer_path
 
 #: Ends of tokens in a piece; a longer text has several pieces.
-PIECE = 16384
+PIECE = 32768
 #: Pairs of ids whose counts are broadcast in a round (16 bytes each); more take several rounds.
 PAIRS = 4 << 20
 #: Characters of a text that are encoded at once, and bytes of pieces that are aligned at once.
 _CHARS, _BYTES = 1 << 18, 1 << 21
+_TENS = np.array([0, 10, 100, 1000, 10000])
 #: A single space between two characters that aren't white space: both vocabularies begin a token there.
 _GAP = re.compile(r"(?<=\S) (?=\S)")
 
@@ -60,25 +62,26 @@ class Tokenizers:
             raise ValueError("ids of more than 16 bits")
         #: Whether no piece goes on after a word with white space, so that texts can be encoded word by word.
         self.cuts = all(re.fullmatch("▁*[^▁]*", p) for p in pieces)
+        self.lengths = [np.array([len(x) for x in c], np.int64) for c in (self.a_bytes, self.b_bytes)]
 
     def encode(self, text: str) -> tuple[np.ndarray, np.ndarray] | None:
-        """The ids of a space and the text in A, and of the text in B (which adds the space); None if either doesn't give its bytes back."""
-        a, b, at, whole = [], [], 0, " " + text
+        """The ids of a space and the text in A, and of the text in B (which adds the space); None if either doesn't give its bytes back.
+
+        A long text is encoded in parts, cut where both begin a token.
+        """
+        a, b, at, whole = array("H"), array("H"), 0, " " + text
         while at < len(whole):
             gap = _GAP.search(whole, at + _CHARS) if self.cuts and len(whole) - at > _CHARS else None
             end = gap.start() if gap else len(whole)
             part = whole[at:end]
             raw = part.encode()
-            ids = self.a.encode_ordinary(part)
-            if b"".join([self.a_bytes[k] for k in ids]) != raw:
-                return None
-            other = self.b.encode(part[1:], out_type=int)
-            if b"".join([self.b_bytes[k] for k in other]) != raw:
+            one, two = self.a.encode_ordinary(part), self.b.encode(part[1:], out_type=int)
+            if b"".join(map(self.a_bytes.__getitem__, one)) != raw or b"".join(map(self.b_bytes.__getitem__, two)) != raw:
                 return None
-            a.append(np.array(ids, np.uint16))
-            b.append(np.array(other, np.uint16))
+            a.extend(one)
+            b.extend(two)
             at = end
-        return np.concatenate(a), np.concatenate(b)
+        return np.frombuffer(a, np.uint16), np.frombuffer(b, np.uint16)
 
 
 @lru_cache(maxsize=2)
@@ -116,7 +119,7 @@ def pieces_of(docs: DataFrame, step: int = PIECE, a: str | None = None, b: str |
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = tokenizers(*paths)
-        a_length, b_length = (np.array([len(x) for x in c], np.int64) for c in (both.a_bytes, both.b_bytes))
+        a_length, b_length = both.lengths
         for batch in small_batches(batches, "text", 1 << 20):
             rows: list[tuple] = []
             for row, doc_id, text in zip(*[batch.column(c).to_pylist() for c in ("row", "doc_id", "text")], strict=True):
@@ -199,7 +202,7 @@ class Aligned:
         return (keys & 0xFFFFFFFF).astype(np.uint32), np.searchsorted(keys, np.arange(self.pieces + 1, dtype=np.int64) << 32)
 
     def texts(self, names: list[np.ndarray]) -> list[bytes]:
-        """The groups of each piece as `a1,a2|b1;a3|b2,b3;`, from tables of numbers by mark and id; for whole texts."""
+        """The groups of each piece as `a1,a2|b1;a3|b2,b3;`, from tables of numbers by mark and id; what is open at its end has commas only."""
         group = [np.cumsum(c) - c for c in self.common]
         total = int(group[0][-1]) + 1 if len(group[0]) else 0
         sizes = [np.bincount(g, minlength=total) for g in group]
@@ -210,19 +213,28 @@ class Aligned:
             out[place[s]] = np.where(self.real[s], names[0][self.ids[s]], b"")
             last = self.common[s] & self.real[s]
             out[place[s][last]] = names[mark][self.ids[s][last]]
-        long = np.char.str_len(out)
+        long = np.zeros(len(out), np.int64)
+        for s in (0, 1):
+            long[place[s][self.real[s]]] = 1 + np.searchsorted(_TENS, self.ids[s][self.real[s]], "right")
         cuts = np.concatenate(([0], np.cumsum(long)))[self.begin[0] + self.begin[1]]
         text = out.tobytes().translate(None, b"\0")
         return [text[i:j] for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
 
-    def fragment(self, k: int) -> tuple[bool, str, str, str, str, str]:
-        """Of one piece: whether a group ends there, the ids of both sides up to its first common end, the groups after it, and the ids after the last one."""
-        sides = [(self.ids[s][x : y - 1].tolist(), np.flatnonzero(self.common[s][x : y - 1]).tolist()) for s, (x, y) in enumerate((self.begin[t][k], self.begin[t][k + 1]) for t in (0, 1))]
-        (a, cut_a), (b, cut_b) = sides
-        listed = [",".join(map(str, x)) for x in ((a[: cut_a[0] + 1], b[: cut_b[0] + 1]) if cut_a else (a, b))]
-        groups = [",".join(map(str, a[i + 1 : m + 1])) + "|" + ",".join(map(str, b[j + 1 : n + 1])) for i, m, j, n in zip(cut_a, cut_a[1:], cut_b, cut_b[1:], strict=False)]
-        tail = [",".join(map(str, x)) for x in ((a[cut_a[-1] + 1 :], b[cut_b[-1] + 1 :]) if cut_a else ([], []))]
-        return bool(cut_a), *listed, ";".join(groups), *tail
+    def fragments(self, names: list[np.ndarray]) -> list[tuple[bool, str, str, str, str, str]]:
+        """Of each piece: whether a group ends there, the ids of both sides up to its first common end, the groups after it, and the ids after the last one."""
+        out = []
+        for k, text in enumerate(self.texts(names)):
+            tail = []
+            for s in (0, 1):
+                x, y = self.begin[s][k], self.begin[s][k + 1] - 1
+                ends = np.flatnonzero(self.common[s][x:y])
+                tail.append(",".join(map(str, self.ids[s][x + ends[-1] + 1 if len(ends) else x : y].tolist())))
+            first, last = text.find(b";"), text.rfind(b";")
+            if first < 0:
+                out.append((False, *tail, "", "", ""))
+            else:
+                out.append((True, *text[:first].decode().split("|"), text[first + 1 : max(last, first + 1)].decode(), *tail))
+        return out
 
 
 def number_names(count: int) -> list[np.ndarray]:
@@ -230,11 +242,6 @@ def number_names(count: int) -> list[np.ndarray]:
     return [np.array([f"{k}{mark}".encode() for k in range(count)], "S6") for mark in ",|;"]
 
 
-def _lengths(paths: tuple[str, str]) -> list[np.ndarray]:
-    both = tokenizers(*paths)
-    return [np.array([len(x) for x in c], np.int64) for c in (both.a_bytes, both.b_bytes)]
-
-
 def _in_portions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Batches cut to some MB of ids."""
     for batch in batches:
@@ -249,7 +256,7 @@ def pair_counts(pieces: DataFrame, paths: tuple[str, str]) -> DataFrame:
     """pair, n, best: in how many rows each pair is linked, and whether that is the most of its A id."""
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lengths, waiting, held = _lengths(paths), [], 0
+        lengths, waiting, held = tokenizers(*paths).lengths, [], 0
         pairs, counts = np.zeros(0, np.uint32), np.zeros(0, np.int64)
 
         def merge() -> None:
@@ -279,7 +286,7 @@ def pair_counts(pieces: DataFrame, paths: tuple[str, str]) -> DataFrame:
         yield out()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lengths = _lengths(paths)
+        lengths = tokenizers(*paths).lengths
         for batch in _in_portions(batches):
             found, begin = Aligned(batch, *lengths).links()
             row = np.repeat(batch.column("row").to_numpy(), np.diff(begin))
@@ -301,7 +308,7 @@ def _scored(pieces: DataFrame, paths: tuple[str, str], sent, whole: bool, first:
     """Pieces with their numbers, by the counts that were sent; whole texts with their digest, others with what stitching needs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lengths = _lengths(paths)
+        lengths = tokenizers(*paths).lengths
         pairs, counts, best = sent.value
         names = number_names(max(len(x) for x in lengths))
         for batch in _in_portions(batches):
@@ -321,7 +328,7 @@ def _scored(pieces: DataFrame, paths: tuple[str, str], sent, whole: bool, first:
             if whole and first:
                 columns.append(pa.array([hashlib.sha256(t[:-1]).hexdigest() if t else "" for t in aligned.texts(names)], pa.string()))
             elif first:
-                columns += [pa.array(c, t) for c, t in zip(zip(*[aligned.fragment(k) for k in range(aligned.pieces)], strict=True), [pa.bool_(), *[pa.string()] * 5], strict=True)]
+                columns += [pa.array(c, t) for c, t in zip(zip(*aligned.fragments(names), strict=True), [pa.bool_(), *[pa.string()] * 5], strict=True)]
             yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "piece", *_OUT, *extra])
 
     extra = ([] if not first else ["groups_sha256"] if whole else ["closed", "head_a", "head_b", "inner", "tail_a", "tail_b"])
