@@ -4,79 +4,204 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from .scale import band_join, bucket_key, bucket_of, islands, prefix
+from .scale import band_join, bucket_key, bucket_of, prefix
 
 STATUSES = ("matched", "unmatched_a", "unmatched_b", "rejected")
 
 
-def _nearest(a: list, b: list, tol: float) -> Iterator[tuple]:
-    """Each a in order takes the nearest unused b closer than tol; earlier b wins ties."""
-    free = [True] * len(b)
-    low = 0
-    for x in a:
-        while low < len(b) and b[low] <= x - tol:
-            low += 1
-        best, k = None, low
-        while k < len(b) and b[k] < x + tol:
-            if free[k] and abs(b[k] - x) < tol and (best is None or abs(b[k] - x) < abs(b[best] - x)):
-                best = k
-            k += 1
-        if best is None:
-            yield x, None, "unmatched_a"
-        else:
-            free[best] = False
-            yield x, b[best], "matched"
-    for k, y in enumerate(b):
-        if free[k]:
-            yield None, y, "unmatched_b"
-
-
-def _two_pointer(a: list, b: list, tol: float) -> Iterator[tuple]:
-    """The two fronts pair if at most tol apart, else the earlier one is dropped."""
-    i = j = 0
-    while i < len(a) and j < len(b):
-        if abs(b[j] - a[i]) <= tol:
-            yield a[i], b[j], "matched"
-            i, j = i + 1, j + 1
-        elif a[i] < b[j]:
-            yield a[i], None, "unmatched_a"
-            i += 1
-        else:
-            yield None, b[j], "unmatched_b"
-            j += 1
-    yield from ((x, None, "unmatched_a") for x in a[i:])
-    yield from ((None, y, "unmatched_b") for y in b[j:])
-
-
-def _greedy(a: list, b: list, tol: float) -> Iterator[tuple]:
-    """Each a takes the nearest b after the last one taken, if at most tol away; b before it are passed for good."""
-    j = 0
-    for x in a:
-        while j + 1 < len(b) and abs(b[j + 1] - x) < abs(b[j] - x):
-            yield None, b[j], "unmatched_b"
-            j += 1
-        if j < len(b) and abs(b[j] - x) <= tol:
-            yield x, b[j], "matched"
-            j += 1
-        else:
-            yield x, None, "rejected"
-    yield from ((None, y, "unmatched_b") for y in b[j:])
-
-
-_FOLDS = {"nearest": _nearest, "two_pointer": _two_pointer, "greedy_reject": _greedy}
+class _Nearest:
+    """Each a takes the nearest b that lies behind the last one taken; earlier b win ties.
+
+    The state at a border is how many of the b within tol of it are behind: those taken, and those before them.
+    """
+
+    reach = (1, 1)
+
+    def __init__(self, tol: float, strict: bool, alone: str) -> None:
+        self.tol, self.strict, self.alone = tol, strict, alone
+
+    def ready(self, t: np.ndarray, side: np.ndarray, place: np.ndarray, low: np.ndarray, high: np.ndarray) -> None:
+        """Takes a bucket's rows in order; b also from the buckets beside it, as far as tol."""
+        self.a, self.b = t[side == 0], t[side == 1]
+        of_b = side == 1
+        self.first = int(((place < 0) | low)[of_b].sum())
+        self.last = len(self.b) - int(((place > 0) | high)[of_b].sum())
+        self.count = self.first + 1
+        right = np.searchsorted(self.b, self.a)
+        left = np.searchsorted(self.b, self.b[np.maximum(right - 1, 0)]) if len(self.b) else right
+        near = right.copy()
+        if len(self.b):
+            before, after = np.abs(self.a - self.b[left]), np.abs(self.b[np.minimum(right, len(self.b) - 1)] - self.a)
+            near = np.where((right > 0) & ((right == len(self.b)) | (before <= after)), left, right)
+        inner, outer = ("right", "left") if self.strict else ("left", "right")
+        low_b, high_b = np.searchsorted(self.b, self.a - self.tol, inner), np.searchsorted(self.b, self.a + self.tol, outer)
+        self.steps = list(zip(near.tolist(), low_b.tolist(), high_b.tolist(), strict=True))
+
+    def exits(self) -> list[int]:
+        """The state after the bucket for each state before it; ways that meet go on as one."""
+        out: list[int] = []
+        before: list[int] = []
+        for at in range(self.count):
+            now: list[int] = []
+            for k, (near, low, high) in enumerate(self.steps):
+                if before and before[k] == at:
+                    now += before[k:]
+                    at = out[-1]
+                    break
+                now.append(at)
+                c = max(near, at)
+                if low <= c < high:
+                    at = c + 1
+            before = now
+            out.append(at)
+        return [max(0, at - self.last) for at in out]
+
+    def rows(self, entry: int) -> tuple[list[tuple], list[tuple]]:
+        """Rows (t_a, t_b, status), and of b near a border (which one, number, t_b) those that this bucket's a leave alone."""
+        at, out, taken = entry, [], np.zeros(len(self.b), bool)
+        a, b = self.a.tolist(), self.b.tolist()
+        for x, (near, low, high) in zip(a, self.steps, strict=True):
+            c = max(near, at)
+            if low <= c < high:
+                at, taken[c] = c + 1, True
+                out.append((x, b[c], "matched"))
+            else:
+                out.append((x, None, self.alone))
+        free = np.flatnonzero(~taken).tolist()
+        out += [(None, b[k], "unmatched_b") for k in free if self.first <= k < self.last]
+        return out, [(0, k, b[k]) for k in free if k < self.first] + [(1, k - self.last, b[k]) for k in free if k >= self.last]
+
+
+class _TwoPointer:
+    """The two fronts pair if at most tol apart, else the earlier one is dropped.
+
+    At any time only one side waits, its latest rows one behind the other: the state at a border is how many of the
+    rows up to tol before it wait, of a (positive) or of b (negative).
+    """
+
+    reach = (1, 0)
+
+    def __init__(self, tol: float) -> None:
+        self.tol = tol
+
+    def ready(self, t: np.ndarray, side: np.ndarray, place: np.ndarray, low: np.ndarray, high: np.ndarray) -> None:
+        """Takes a bucket's rows in order, those up to tol before it first."""
+        old = place < 0
+        self.side = side.tolist()
+        self.t, self.start = (t[side == 0].tolist(), t[side == 1].tolist()), tuple(int((old & (side == s)).sum()) for s in (0, 1))
+        self.events = self.side[int(old.sum()) :]
+        self.edge = tuple(len(self.t[s]) - int((high & (side == s)).sum()) for s in (0, 1))
+        self.count = self.start[0] + self.start[1] + 1
+
+    def _walk(self, entry: int, out: list[tuple] | None = None, before: list[tuple] | None = None) -> tuple[list[tuple], tuple | None]:
+        """The states (waiting side, its first row, next row of a, of b) before each row, up to where they were `before`; the last one."""
+        at, states, tol = list(self.start), [], self.tol
+        wait, head = (0, at[0] - entry) if entry > 0 else (1, at[1] + entry)
+        for k, s in enumerate(self.events):
+            state = (wait, head) if head < at[wait] else (0, -1)
+            if before is not None and before[k] == state:
+                return states + before[k:], None
+            states.append(state)
+            t = self.t[s][at[s]]
+            if wait == s:
+                # Rows of its own side that are too old stay in line: they are dropped when the other side comes.
+                at[s] += 1
+                continue
+            while head < at[wait] and self.t[wait][head] < t - tol:
+                if out is not None:
+                    out.append(self._alone(wait, head))
+                head += 1
+            if head < at[wait]:
+                if out is not None:
+                    out.append((self.t[wait][head], t, "matched") if wait == 0 else (t, self.t[wait][head], "matched"))
+                head += 1
+                at[s] += 1
+            else:
+                wait, head = s, at[s]
+                at[s] += 1
+        # What lies further than tol before the end can meet nothing beyond it.
+        while head < min(at[wait], self.edge[wait]):
+            if out is not None:
+                out.append(self._alone(wait, head))
+            head += 1
+        return states, (wait, at[wait] - head)
+
+    def _alone(self, s: int, k: int) -> tuple:
+        return (self.t[0][k], None, "unmatched_a") if s == 0 else (None, self.t[1][k], "unmatched_b")
+
+    def exits(self) -> list[int]:
+        out: list[int] = []
+        before: list[tuple] | None = None
+        for entry in range(-self.start[1], self.start[0] + 1):
+            before, end = self._walk(entry, before=before)
+            out.append(out[-1] if end is None else end[1] if end[0] == 0 else -end[1])
+        return out
+
+    def rows(self, entry: int) -> tuple[list[tuple], list[tuple]]:
+        out: list[tuple] = []
+        self._walk(entry, out)
+        return out, []
+
+
+def _fold(how: str, tol: float) -> _Nearest | _TwoPointer:
+    return _TwoPointer(tol) if how == "two_pointer" else _Nearest(tol, how == "nearest", "unmatched_a" if how == "nearest" else "rejected")
+
+
+def _grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[list, list[np.ndarray]]]:
+    """(key, columns of its rows) of batches that start with `keys` columns and are sorted by them."""
+    key, parts = None, []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        codes = [batch.column(c).dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False) for c in range(keys)]
+        new = np.zeros(batch.num_rows, bool)
+        for c in codes:
+            new[1:] |= c[1:] != c[:-1]
+        cuts = [0, *np.flatnonzero(new).tolist(), batch.num_rows]
+        values = [batch.column(c).to_numpy(zero_copy_only=False) for c in range(keys, batch.num_columns)]
+        for i, j in zip(cuts, cuts[1:], strict=False):
+            own = [batch.column(c)[i].as_py() for c in range(keys)]
+            if parts and own != key:
+                yield key, [np.concatenate(p) for p in zip(*parts, strict=True)]
+                parts = []
+            key = own
+            parts.append([v[i:j] for v in values])
+    if parts:
+        yield key, [np.concatenate(p) for p in zip(*parts, strict=True)]
+
+
+def in_buckets(rows: DataFrame, on: list[str], tol: float, how: str, width: float) -> DataFrame:
+    """on..., bucket, t, side, place, low, high of rows(on..., t, side), each in its bucket and in those beside it as far as tol reaches.
+
+    place tells whether a row's own bucket lies before (-1) or after (1); low and high, whether a row in its own
+    bucket also lies in the one before or after.
+    """
+    home, below, above = bucket_of("t", width), bucket_of(F.col("t") - tol, width), bucket_of(F.col("t") + tol, width)
+    back, both = _fold(how, tol).reach[1] == 1, how == "two_pointer"
+    near = F.array_distinct(F.array(home, F.when(F.lit(back) & (F.col("side") == 1), below).otherwise(home), F.when((F.col("side") == 1) | F.lit(both), above).otherwise(home)))
+    cut = rows.where("t is not null").select(*on, F.explode(near).alias("bucket"), "t", "side", home.alias("home"), (below < home).alias("low"), (above > home).alias("high"))
+    own = F.col("home") == F.col("bucket")
+    return cut.select(*on, "bucket", "t", "side", F.signum(F.col("home") - F.col("bucket")).cast("int").alias("place"), (F.col("low") & own).alias("low"), (F.col("high") & own).alias("high"))
 
 
 def match(a: DataFrame, b: DataFrame, ta: str, tb: str, tol: float, how: str = "nearest", on: list[str] | None = None, width: float | None = None) -> DataFrame:
     """on..., t_a, t_b, delay, status of matched and unmatched rows of a and b.
 
     how: 'nearest' (closer than tol), 'two_pointer' and 'greedy_reject' (at most tol), or 'band': all pairs
-    within tol, which equals the others where each series' gaps exceed 2 tol. The greedy ones are folded per
-    island of the merged series: rows further than tol apart can't meet, so islands are independent; data
-    without any such gap are one task per key.
+    within tol, which equals the others where each series' gaps exceed 2 tol. With 'nearest' and 'greedy_reject' each
+    a in order takes the nearest b behind the last one taken, so matched pairs never cross.
+
+    The greedy ones are compositions of buckets of `width` (three tol at least): a bucket is summed up to the state
+    after it for each state it can be entered in, of which there are no more than rows within tol of its start; the
+    summaries are chained per key, and each bucket is gone through once more from its true state. No list holds more
+    than a bucket, whether the data have gaps or not. Rows without a time are dropped; null keys are a key.
+
     Rejected rows carry the delay to the nearest b after the last one taken before them; without any they are left out.
     """
     on = on or []
@@ -87,31 +212,68 @@ def match(a: DataFrame, b: DataFrame, ta: str, tb: str, tol: float, how: str = "
         alone = band_join(right, left, "t_b", "t_a", tol, on=on, how="left").where("t_a is null").select(*on, F.col("t_a"), "t_b")
         both = pairs.unionByName(alone)
         return both.select(*on, "t_a", "t_b", (F.col("t_b") - F.col("t_a")).alias("delay"), F.when(F.col("t_b").isNull(), "unmatched_a").when(F.col("t_a").isNull(), "unmatched_b").otherwise("matched").alias("status"))
-    merged = left.select(*on, F.col("t_a").alias("t"), F.lit(0).alias("side")).unionByName(right.select(*on, F.col("t_b").alias("t"), F.lit(1).alias("side")))
-    wide = width or 1000 * tol
-    cut = islands(merged.where("t is not null"), on, ["t", "side"], tol, wide, strict=True)
-    keys = [*on, "island"]
-    fold, schema = _FOLDS[how], ", ".join([*[f"{n} {t}" for n, t in a.dtypes if n in on], "t_a long, t_b long, status string"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, sides = None, ([], [])
-
-        def close() -> list[tuple]:
-            return [(*at[:-1], *r) for r in fold(*sides, tol)] if at else []
-
+    wide = max(width or 1000 * tol, 3 * tol, 1)
+    cut = in_buckets(left.select(*on, F.col("t_a").alias("t"), F.lit(0).alias("side")).unionByName(right.select(*on, F.col("t_b").alias("t"), F.lit(1).alias("side"))), on, tol, how, wide)
+    kinds, n = ", ".join(f"`{c}` {a.schema[c].dataType.simpleString()}" for c in on), len(on)
+    head = f"{kinds}, " if on else ""
+    keys = [*on, "bucket"]
+
+    def with_key(done: list[tuple], types: list[pa.DataType], names: list[str]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done, strict=True) if done else [()] * len(names), [*arrow_keys, *types], strict=True)], [*on, *names])
+
+    arrow_keys = [f.type for f in to_arrow_schema(a.select(*on).schema)] if on else []
+
+    def sum_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done, fold = [], _fold(how, tol)
+        for key, columns in _grouped(batches, n + 1):
+            fold.ready(*columns)
+            exits = fold.exits()
+            done.append((*key, exits if any(exits) else [], 0 if how != "two_pointer" else fold.start[1]))
+            if len(done) >= 1000:
+                yield with_key(done, [pa.int64(), pa.list_(pa.int32()), pa.int32()], ["bucket", "exits", "zero"])
+                done = []
+        yield with_key(done, [pa.int64(), pa.list_(pa.int32()), pa.int32()], ["bucket", "exits", "zero"])
+
+    dealt = cut.repartition(*keys).sortWithinPartitions(*keys, "t", "side")
+    sums = dealt.mapInArrow(sum_up, f"{head}bucket long, exits array<int>, zero int")
+
+    def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, state = None, 0
         for batch in batches:
-            rows: list[tuple] = []
-            for *key, t, side in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                if key != at:
-                    rows += close()
-                    at, sides = key, ([], [])
-                sides[side].append(t)
-            yield _batch(rows, names, types)
-        yield _batch(close(), names, types)
-
-    names = [*on, "t_a", "t_b", "status"]
-    types = [_ARROW.get(dict(a.dtypes).get(n), pa.string()) for n in on] + [pa.int64(), pa.int64(), pa.string()]
-    out = cut.select(*keys, "t", "side").repartition(*keys).sortWithinPartitions(*keys, "t", "side").mapInArrow(run, schema)
+            done = []
+            for *key, bucket, exits, zero in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                # Where no bucket was before, nothing lies within tol of the border.
+                state = state if last == (key, bucket - 1) else 0
+                done.append((*key, bucket, state))
+                last, state = (key, bucket), exits[state + zero] if exits else 0
+            yield with_key(done, [pa.int64(), pa.int32()], ["bucket", "state"])
+
+    starts = (sums.repartition(*on) if on else sums.repartition(1)).sortWithinPartitions(*keys).mapInArrow(chain, f"{head}bucket long, state int").where("state <> 0")
+
+    def replay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fold = _fold(how, tol)
+        types, names = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int32()], ["t_a", "t_b", "status", "border", "number"]
+        done: list[tuple] = []
+        for key, (t, side, place, low, high) in _grouped(batches, n + 1):
+            # The state a bucket is entered in comes as a row before all others.
+            given = side < 0
+            fold.ready(*(c[~given] for c in (t, side, place, low, high)))
+            out, near_border = fold.rows(int(t[given][0]) if given.any() else 0)
+            done += [(*key[:-1], *r, None, None) for r in out]
+            done += [(*key[:-1], None, y, "half", key[-1] + which, k) for which, k, y in near_border]
+            if len(done) >= 10_000:
+                yield with_key(done, types, names)
+                done = []
+        yield with_key(done, types, names)
+
+    entries = starts.select(*keys, F.col("state").cast("long").alias("t"), F.lit(-1).alias("side"), F.lit(0).alias("place"), F.lit(False).alias("low"), F.lit(False).alias("high"))
+    both = entries.unionByName(cut).repartition(*keys).sortWithinPartitions(*keys, F.when(F.col("side") < 0, 0).otherwise(1), "t", "side")
+    out = both.mapInArrow(replay, f"{head}t_a long, t_b long, status string, border long, number int")
+    if how != "two_pointer":
+        # A b near a border is unmatched if neither bucket beside it took it: one row a border in place of two.
+        alone = F.count("*").over(Window.partitionBy(*on, "border", "number"))
+        half = out.where("status = 'half'").withColumn("_n", alone).withColumn("_first", F.row_number().over(Window.partitionBy(*on, "border", "number").orderBy("t_b"))).where("_n = 2 and _first = 1")
+        out = out.where("status <> 'half'").unionByName(half.withColumn("status", F.lit("unmatched_b")).select(*out.columns))
     out = out.withColumn("delay", F.col("t_b") - F.col("t_a")).select(*on, "t_a", "t_b", "delay", "status")
     if how != "greedy_reject":
         return out
@@ -126,14 +288,6 @@ def match(a: DataFrame, b: DataFrame, ta: str, tb: str, tol: float, how: str = "
     return out.where("status <> 'rejected'").unionByName(rejects)
 
 
-_ARROW = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "double": pa.float64()}
-
-
-def _batch(rows: list[tuple], names: list[str], types: list) -> pa.RecordBatch:
-    columns = zip(*rows, strict=True) if rows else [()] * len(names)
-    return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], names)
-
-
 def as_of(left: DataFrame, right: DataFrame, t_left: str, t_right: str, on: list[str] | None = None, direction: str = "backward", width: float = 3_600_000_000) -> DataFrame:
     """left with the columns of the latest right row at or before (forward: the earliest at or after) its time.
 

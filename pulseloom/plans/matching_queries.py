@@ -50,6 +50,36 @@ def match_reject(spark: SparkSession, d: str) -> DataFrame:
     return match.match(*spaced(spark, d), "t_a", "t_b", TOL, "greedy_reject", width=DAY)
 
 
+#: A tolerance beyond all gaps of a device's clicks and views, which hang together without any cut.
+WIDE_TOL = 12 * HOUR
+_LISTS = f"{EV}, l AS (SELECT device, coalesce(list(us ORDER BY us) FILTER (event_type = 'click'), []) AS a, coalesce(list(us ORDER BY us) FILTER (event_type = 'view'), []) AS b FROM ev GROUP BY 1)"
+
+
+def _dense(spark: SparkSession, d: str, how: str) -> DataFrame:
+    e = events(spark, d)
+    a, b = (e.where(F.col("event_type") == kind).select("device", F.col("us").alias(t)) for kind, t in (("click", "t_a"), ("view", "t_b")))
+    return match.match(a, b, "t_a", "t_b", WIDE_TOL, how, on=["device"], width=10 * DAY)
+
+
+@query("match_dense", f"""WITH RECURSIVE {_LISTS}, p AS (SELECT device, 1 AS i, 1 AS j, CAST(NULL AS BIGINT) AS t_a, CAST(NULL AS BIGINT) AS t_b FROM l UNION ALL
+ SELECT device, i + CASE WHEN ta THEN 1 ELSE 0 END, j + CASE WHEN tb THEN 1 ELSE 0 END, CASE WHEN ta THEN x END, CASE WHEN tb THEN y END FROM (SELECT *, coalesce(abs(y - x) <= {WIDE_TOL} OR x < y, x IS NOT NULL) AS ta, coalesce(abs(y - x) <= {WIDE_TOL} OR y < x, y IS NOT NULL) AS tb
+  FROM (SELECT device, i, j, a[i] AS x, b[j] AS y FROM p JOIN l USING (device)) WHERE x IS NOT NULL OR y IS NOT NULL))
+ SELECT device, t_a, t_b, t_b - t_a AS delay, CASE WHEN t_b IS NULL THEN 'unmatched_a' WHEN t_a IS NULL THEN 'unmatched_b' ELSE 'matched' END AS status FROM p WHERE t_a IS NOT NULL OR t_b IS NOT NULL""")
+def match_dense(spark: SparkSession, d: str) -> DataFrame:
+    """Two-pointer matching of series without a gap beyond the tolerance."""
+    return _dense(spark, d, "two_pointer")
+
+
+@query("match_dense_nearest", f"""WITH RECURSIVE {_LISTS}, p AS (SELECT device, 1 AS i, 1 AS j, CAST(NULL AS BIGINT) AS t_a, CAST(NULL AS BIGINT) AS t_b, 0 AS k FROM l UNION ALL
+ SELECT device, i + 1, CASE WHEN near THEN j + pos ELSE j END, x, CASE WHEN near THEN y END, CASE WHEN near THEN j + pos - 1 END FROM (SELECT device, i, j, x, pos, y[pos] AS y, coalesce(abs(y[pos] - x) < {WIDE_TOL}, false) AS near FROM (SELECT device, i, j, x, list_position(d, list_min(d)) AS pos, b[j:] AS y FROM (SELECT *, list_transform(b[j:], lambda v: abs(v - x)) AS d FROM (SELECT device, i, j, a[i] AS x, b FROM p JOIN l USING (device)) WHERE x IS NOT NULL))) ),
+ u AS (SELECT device, unnest(b) AS t_b, generate_subscripts(b, 1) AS k FROM l)
+ SELECT device, t_a, t_b, t_b - t_a AS delay, CASE WHEN t_b IS NULL THEN 'unmatched_a' ELSE 'matched' END AS status FROM p WHERE t_a IS NOT NULL
+ UNION ALL SELECT device, NULL, t_b, NULL, 'unmatched_b' FROM u WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.device = u.device AND p.k = u.k)""")
+def match_dense_nearest(spark: SparkSession, d: str) -> DataFrame:
+    """Nearest matching of series without a gap beyond the tolerance."""
+    return _dense(spark, d, "nearest")
+
+
 @query("edge_accounting", f"WITH RECURSIVE {_SPACED}, p AS (SELECT t_a, t_b FROM a JOIN b ON abs(t_b - t_a) <= {TOL}) SELECT (SELECT count(*) FROM a) AS edges_a, (SELECT count(*) FROM b) AS edges_b, (SELECT count(*) FROM p) AS matched, 0 AS rejected, (SELECT count(*) FROM a) - (SELECT count(*) FROM p) AS unmatched_a, (SELECT count(*) FROM b) - (SELECT count(*) FROM p) AS unmatched_b")
 def edge_accounting(spark: SparkSession, d: str) -> DataFrame:
     return stats.edge_accounting(match.match(*spaced(spark, d), "t_a", "t_b", TOL, "two_pointer", width=DAY))

@@ -13,13 +13,13 @@ def series(spark, times, name="t"):
     return spark.createDataFrame([(int(t), k) for k, t in enumerate(times)], f"{name} long, id_{name} long")
 
 
-def naive_nearest(a, b, tol):
-    used, pairs = set(), []
+def naive_nearest(a, b, tol, strict=True):
+    start, pairs = 0, []
     for x in a:
-        best = min((k for k in range(len(b)) if k not in used and abs(b[k] - x) < tol), key=lambda k: (abs(b[k] - x), k), default=None)
-        if best is not None:
-            used.add(best)
+        best = min(range(start, len(b)), key=lambda k: (abs(b[k] - x), k), default=None)
+        if best is not None and (abs(b[best] - x) < tol if strict else abs(b[best] - x) <= tol):
             pairs.append((x, b[best]))
+            start = best + 1
     return pairs
 
 
@@ -48,6 +48,50 @@ def test_dense_matching_equals_a_plain_loop(spark, how, naive):
     assert sorted(r.t_b for r in got if r.status == "unmatched_b") == sorted(set(b) - {y for _, y in pairs})
 
 
+def test_a_taken_b_passes_those_before_it(spark):
+    got = match.match(series(spark, [10, 11], "t_a"), series(spark, [7, 10], "t_b"), "t_a", "t_b", 5, "nearest", width=100).collect()
+    assert sorted((r.t_a or -1, r.t_b or -1, r.status) for r in got) == [(-1, 7, "unmatched_b"), (10, 10, "matched"), (11, -1, "unmatched_a")]
+
+
+@pytest.mark.parametrize("how", ["nearest", "two_pointer", "greedy_reject"])
+@pytest.mark.parametrize("width", [1, 40, 1000, 10**6])
+def test_gapless_matching_equals_a_plain_loop(spark, how, width):
+    rng = random.Random(width)
+    # Keys: dense on both sides, many more a, many more b, in step, repeated times, gaps, one side only, a null key.
+    sides = {
+        "dense": [sorted(rng.sample(range(900), 500)) for _ in range(2)],
+        "a": [sorted(rng.sample(range(900), 600)), sorted(rng.sample(range(900), 60))],
+        "b": [sorted(rng.sample(range(900), 60)), sorted(rng.sample(range(900), 600))],
+        "step": [list(range(0, 900, 7)), list(range(3, 900, 7))],
+        "same": [sorted(rng.choices(range(0, 300, 10), k=200)) for _ in range(2)],
+        "gaps": [sorted(rng.sample(range(-9000, 9000), 90)) for _ in range(2)],
+        "alone": [[1, 2, 3], []],
+        None: [sorted(rng.sample(range(400), 150)) for _ in range(2)],
+    }
+    a = spark.createDataFrame([(k, t) for k, (x, _) in sides.items() for t in x] + [("a", None)], "key string, t_a long").repartition(3)
+    b = spark.createDataFrame([(k, t) for k, (_, y) in sides.items() for t in y], "key string, t_b long").repartition(3)
+    got = match.match(a, b, "t_a", "t_b", 9, how, on=["key"], width=width).collect()
+    for key, (x, y) in sides.items():
+        pairs = naive_two_pointer(x, y, 9) if how == "two_pointer" else naive_nearest(x, y, 9, how == "nearest")
+        mine = [r for r in got if r.key == key]
+        assert sorted((r.t_a, r.t_b) for r in mine if r.status == "matched") == sorted(pairs), key
+        if how != "greedy_reject":
+            assert sorted([r.t_a for r in mine if r.status == "unmatched_a"] + [p for p, _ in pairs]) == sorted(x), key
+        assert sorted([r.t_b for r in mine if r.status == "unmatched_b"] + [p for _, p in pairs]) == sorted(y), key
+        assert all(r.delay == r.t_b - r.t_a for r in mine if r.status == "matched")
+
+
+@pytest.mark.parametrize("how", ["nearest", "two_pointer"])
+def test_gapless_keys_are_matched_bucket_by_bucket(spark, how):
+    # No gap is beyond tol, so all rows hang together; no list holds more than a bucket and what lies near it.
+    a = spark.range(20_000).selectExpr("id * 5 as t_a")
+    b = spark.range(20_000).selectExpr("id * 5 + 2 as t_b")
+    rows = a.selectExpr("t_a as t", "0 as side").unionByName(b.selectExpr("t_b as t", "1 as side"))
+    most = match.in_buckets(rows, [], 9, how, 1000).groupBy("bucket").count().agg(F.max("count")).first()[0]
+    assert most <= 2 * 200 + 12
+    assert match.match(a, b, "t_a", "t_b", 9, how, width=1000).groupBy("status").count().collect() == [("matched", 20_000)]
+
+
 def test_rejects_carry_the_nearest_delay(spark):
     got = match.match(series(spark, [100, 500, 900], "t_a"), series(spark, [105, 700], "t_b"), "t_a", "t_b", 10, "greedy_reject", width=1000).collect()
     assert sorted((r.t_a or -1, r.t_b, r.status) for r in got) == [(-1, 700, "unmatched_b"), (100, 105, "matched"), (500, 700, "rejected"), (900, 700, "rejected")]
