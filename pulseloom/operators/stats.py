@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import saved
 from .scale import prefix
 
 QUANTILES = {"p50": 0.5, "p95": 0.95, "p99": 0.99, "p999": 0.999}
@@ -26,58 +27,100 @@ def _with_group_value(df: DataFrame, by: list[str], **aggs: Column) -> DataFrame
     return df.join(keys, match).drop(*[f"_g_{c}" for c in by])
 
 
-def exact_quantiles(df: DataFrame, v: str, by: list[str], quantiles: dict[str, float], discrete: bool = False, cells: int = 4096) -> DataFrame:
-    """by..., a column for each of quantiles {name: share} of v, exactly and without a group in one task.
+#: Points of the sketch that narrows a rank down, and rows of a group that are sorted together at most.
+GRID, SORTED = 256, 1 << 16
 
-    Equal values are counted, each group's range is cut into `cells`, and only the values of one cell are sorted together.
-    Ranks are interpolated between neighbours; `discrete` takes the value at index int(n share).
+
+def exact_quantiles(df: DataFrame, v: str, by: list[str], quantiles: dict[str, float], discrete: bool = False, most: int = SORTED, also: dict[str, Column] | None = None) -> DataFrame:
+    """by..., a column for each of quantiles {name: share} of v, exactly and without a group in one task; also other aggregates.
+
+    Selection by rounds: a mergeable sketch of each group's values gives two of them that surely enclose the rank,
+    whatever the values look like, and what lies below is counted. A round keeps about a hundredth of the rows of a
+    rank, until no more than `most` are left (or only equal ones), which are counted by value and sorted. Counts prove
+    each step: where a sketch should err, the bounds before it hold. Ranks are interpolated between neighbours;
+    `discrete` takes the value at index int(n share). Nulls don't count, NaN is the largest value.
     """
-    group = F.struct(*by) if by else F.struct(F.lit(0).alias("one"))
-    values = df.where(F.col(v).isNotNull()).groupBy(group.alias("_g"), F.col(v).cast("double").alias("_v")).agg(F.count("*").alias("_c"))
-    ends = values.groupBy("_g").agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_c").alias("_n"))
-    ends = ends.withColumnRenamed("_g", "_eg")
-    part = F.when(F.col("_hi") > F.col("_lo"), F.least(F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * cells), F.lit(cells - 1))).otherwise(0)
-    placed = values.join(ends, F.col("_g") == F.col("_eg")).withColumn("_cell", F.struct("_g", part.cast("long").alias("p")))
-    inside = Window.partitionBy("_cell").orderBy("_v")
-    scanned = placed.withColumn("_upto", F.sum("_c").over(inside)).withColumn("_rank", F.row_number().over(inside))
-    sizes = scanned.groupBy("_cell").agg(F.max_by(F.struct("*"), "_rank").alias("_e"))
-    before = Window.partitionBy("_cell._g").orderBy("_cell.p").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select(F.col("_cell").alias("_at"), F.coalesce(F.sum("_e._upto").over(before), F.lit(0)).alias("_before"))
-    ranked = scanned.join(starts, F.col("_cell") == F.col("_at")).withColumn("_upto", F.col("_upto") + F.col("_before"))
-    low, n = F.col("_upto") - F.col("_c"), F.col("_n")
-
-    def at(index: Column) -> Column:
-        return F.max(F.when((index >= low) & (index < F.col("_upto")), F.col("_v")))
-
-    picks = []
-    for name, q in quantiles.items():
-        place = n * F.lit(q) if discrete else (n - 1) * F.lit(q)
-        picks += [at(F.floor(place)).alias(f"_{name}_0"), at(F.floor(place) + 1).alias(f"_{name}_1"), F.first(place - F.floor(place)).alias(f"_{name}_f")]
-    out = ranked.groupBy("_g").agg(*picks)
-    one = {name: F.col(f"_{name}_0") if discrete else F.col(f"_{name}_0") + F.col(f"_{name}_f") * F.coalesce(F.col(f"_{name}_1") - F.col(f"_{name}_0"), F.lit(0.0)) for name in quantiles}
-    return out.select(*[F.col(f"_g.{c}").alias(c) for c in by], *[c.alias(name) for name, c in one.items()])
-
-
-def _beside(one: DataFrame, two: DataFrame, by: list[str]) -> DataFrame:
-    """Two tables of one row for each group side by side; null groups meet."""
-    if not by:
-        return one.join(F.broadcast(two), F.lit(True))
-    keys = two.select(F.struct(*by).alias("_key"), *[c for c in two.columns if c not in by])
-    return one.withColumn("_own", F.struct(*by)).join(keys, F.col("_own") == F.col("_key")).drop("_own", "_key")
+    group = F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(by)]) if by else F.struct(F.lit(0).alias("one"))
+    names, also = list(quantiles), also or {}
+    rows = df.where(F.col(v).isNotNull()).select("*", group.alias("_g"), F.col(v).cast("double").alias("_v"))
+    shares = [i / GRID for i in range(GRID + 1)]
+
+    def grid(x: Column) -> Column:
+        return F.percentile_approx(x, F.array(*[F.lit(s) for s in shares]), 20 * GRID)
+
+    first = rows.groupBy("_g").agg(F.count("*").alias("_n"), grid(F.col("_v")).alias("_grid"), *[c.alias(n) for n, c in also.items()])
+    # A round's bounds: old ones, and closer ones from the grid around the rank; bounds and counts are one row a group.
+    state = first.select("_g", "_n", *also, *[c for k, name in enumerate(names) for c in (
+        (F.floor(F.col("_n") * F.lit(quantiles[name])) if discrete else F.floor((F.col("_n") - 1) * F.lit(quantiles[name]))).alias(f"_r{k}"),
+        F.lit(float("-inf")).alias(f"_lo{k}"), F.lit(float("nan")).alias(f"_hi{k}"), F.lit(0).cast("long").alias(f"_below{k}"), F.col("_n").alias(f"_in{k}"), F.lit(None).cast("double").alias(f"_next{k}"), F.col("_grid").alias(f"_grid{k}"))])
+    state = saved(state, "ranks")
+    large = F.array_max(F.array(*[F.when(F.col(f"_lo{k}") < F.col(f"_hi{k}"), F.col(f"_in{k}")).otherwise(0) for k in range(len(names))]))
+    left = state.agg(F.max(large)).first()[0] or 0
+    while left > most:
+        closer = []
+        for k in range(len(names)):
+            place = (F.col(f"_r{k}") - F.col(f"_below{k}")) / F.col(f"_in{k}") * GRID
+            low, high = F.floor(place).cast("int") - 1, F.ceil(place).cast("int") + 2
+            points = F.col(f"_grid{k}")
+            closer += [F.when(low >= 0, F.greatest(F.col(f"_lo{k}"), F.element_at(points, F.greatest(low, F.lit(0)) + 1))).otherwise(F.col(f"_lo{k}")).alias(f"_to{k}"), F.when(high <= GRID, F.least(F.col(f"_hi{k}"), F.element_at(points, F.least(high, F.lit(GRID)) + 1))).otherwise(F.col(f"_hi{k}")).alias(f"_up{k}")]
+        asked = state.select("*", *closer)
+        met = _beside_group(rows.select("_g", "_v"), asked.select(F.col("_g").alias("_og"), *[F.col(f"_{x}{k}") for k in range(len(names)) for x in ("to", "up")]))
+        aggs = []
+        for k in range(len(names)):
+            inside = (F.col("_v") >= F.col(f"_to{k}")) & (F.col("_v") <= F.col(f"_up{k}"))
+            aggs += [F.count_if(F.col("_v") < F.col(f"_to{k}")).alias(f"_b{k}"), F.count_if(inside).alias(f"_i{k}"), F.min(F.when(F.col("_v") > F.col(f"_up{k}"), F.col("_v"))).alias(f"_x{k}"), grid(F.when(inside, F.col("_v"))).alias(f"_p{k}")]
+        counted = asked.join(met.groupBy("_g").agg(*aggs), "_g")
+        new = []
+        for k in range(len(names)):
+            good = (F.col(f"_b{k}") <= F.col(f"_r{k}")) & (F.col(f"_r{k}") < F.col(f"_b{k}") + F.col(f"_i{k}"))
+            new += [F.col(f"_r{k}"), *[F.when(good, F.col(f"_{n}{k}")).otherwise(F.col(f"_{o}{k}")).alias(f"_{o}{k}") for o, n in (("lo", "to"), ("hi", "up"), ("below", "b"), ("in", "i"), ("next", "x"), ("grid", "p"))]]
+        state = saved(counted.select("_g", "_n", *also, *new), "ranks")
+        before, left = left, state.agg(F.max(large)).first()[0] or 0
+        if left >= before:
+            break
+    # What lies within the bounds, by value; equal values are one row.
+    met = _beside_group(rows.select("_g", "_v"), state.select(F.col("_g").alias("_og"), *[F.col(f"_{x}{k}") for k in range(len(names)) for x in ("lo", "hi")]))
+    within = F.filter(F.array(*[F.when((F.col("_v") >= F.col(f"_lo{k}")) & (F.col("_v") <= F.col(f"_hi{k}")), F.lit(k)) for k in range(len(names))]), lambda x: x.isNotNull())
+    values = met.select("_g", F.explode(within).alias("_k"), "_v").groupBy("_g", "_k", "_v").agg(F.count("*").alias("_c"))
+    upto = F.sum("_c").over(Window.partitionBy("_g", "_k").orderBy("_v"))
+    ranked = _beside_group(values.withColumn("_upto", upto), state.select(F.col("_g").alias("_og"), F.array(*[F.struct(F.col(f"_r{k}").alias("r"), F.col(f"_below{k}").alias("b")) for k in range(len(names))]).alias("_ranks")))
+    place = F.element_at("_ranks", F.col("_k") + 1)
+    at = place.getField("r") - place.getField("b")
+    ranked = ranked.select("_g", "_k", "_v", (F.col("_upto") - F.col("_c")).alias("_from"), "_upto", at.alias("_at"))
+
+    def pick(k: int, after: int) -> Column:
+        index = F.col("_at") + after
+        return F.max(F.when((F.col("_k") == k) & (index >= F.col("_from")) & (index < F.col("_upto")), F.col("_v")))
+
+    found = ranked.groupBy("_g").agg(*[pick(k, after).alias(f"_v{k}_{after}") for k in range(len(names)) for after in (0, 1)])
+    out = state.join(found, "_g")
+    one = []
+    for k, name in enumerate(names):
+        low, high = F.col(f"_v{k}_0"), F.coalesce(f"_v{k}_1", f"_next{k}")
+        part = (F.col("_n") - 1) * F.lit(quantiles[name]) - F.col(f"_r{k}")
+        one.append((low if discrete else low + part * F.coalesce(high - low, F.lit(0.0))).alias(name))
+    return out.select(*[F.col(f"_g.k{i}").alias(c) for i, c in enumerate(by)], *also, *one)
+
+
+def _beside_group(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """rows with the columns of their group (one row for each, as _og)."""
+    return rows.join(groups, F.col("_g") == F.col("_og")).drop("_og")
 
 
 def jitter_stats(df: DataFrame, delay: str, by: list[str] | None = None, pulse_freq: float | None = None, approx: bool = False) -> DataFrame:
     """by..., n, mean, std (population), min, max, max_dev, p50..p999 of |delay - mean|, phase mean and std in degrees (delay in ns).
 
-    Percentiles are exact (see exact_quantiles), or with `approx` of one pass and bounded error.
+    Percentiles are exact (see exact_quantiles), or with `approx` of one pass and bounded error. Delays are written
+    once, as all passes but the first need the mean.
     """
     by = by or []
-    rows = _with_group_value(df.where(F.col(delay).isNotNull()), by, _mean=F.avg(delay)).withColumn("_dev", F.abs(F.col(delay) - F.col("_mean")))
-    aggs = [F.count("*").alias("n"), F.avg(delay).alias("mean"), F.stddev_pop(delay).alias("std"), F.min(delay).alias("min"), F.max(delay).alias("max"), F.max("_dev").alias("max_dev")]
+    once = saved(df.where(F.col(delay).isNotNull()).select(*by, delay), "delays")
+    rows = _with_group_value(once, by, _mean=F.avg(delay)).withColumn("_dev", F.abs(F.col(delay) - F.col("_mean")))
+    aggs = {"n": F.count("*"), "mean": F.avg(delay), "std": F.stddev_pop(delay), "min": F.min(delay), "max": F.max(delay), "max_dev": F.max("_dev")}
     if approx:
-        out = rows.groupBy(*by).agg(*aggs, *[F.percentile_approx("_dev", q, 10_000).alias(n) for n, q in QUANTILES.items()])
+        out = rows.groupBy(*by).agg(*[c.alias(n) for n, c in aggs.items()], *[F.percentile_approx("_dev", q, 10_000).alias(n) for n, q in QUANTILES.items()])
     else:
-        out = _beside(rows.groupBy(*by).agg(*aggs), exact_quantiles(rows, "_dev", by, QUANTILES), by)
+        out = exact_quantiles(saved(rows.select(*by, delay, "_dev"), "deviations"), "_dev", by, QUANTILES, also=aggs)
     if pulse_freq is not None:
         out = out.withColumn("phase_mean_deg", phase_degrees(F.col("mean") * 1e-9, pulse_freq)).withColumn("phase_std_deg", phase_degrees(F.col("std") * 1e-9, pulse_freq))
     return out
@@ -102,8 +145,8 @@ def frequency_skew(pa: DataFrame, pb: DataFrame, period: str, position: str | No
 
 def online_stats(df: DataFrame, v: str, by: list[str]) -> DataFrame:
     """by..., n, mean, std, min, max, and percentiles that pick the value at index int(n p) without interpolation."""
-    moments = df.where(F.col(v).isNotNull()).groupBy(*by).agg(F.count("*").alias("n"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"))
-    return _beside(moments, exact_quantiles(df, v, by, QUANTILES, discrete=True), by)
+    moments = {"n": F.count("*"), "mean": F.avg(v), "std": F.stddev_pop(v), "min": F.min(v), "max": F.max(v)}
+    return exact_quantiles(df, v, by, QUANTILES, discrete=True, also=moments)
 
 
 def session_stats(df: DataFrame, by: list[str], rtt: str = "rtt", rssi: str = "rssi") -> DataFrame:

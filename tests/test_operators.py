@@ -305,6 +305,20 @@ def test_quantiles_equal_a_sorted_list(spark, cells):
     assert stats.exact_quantiles(df, "v", [], {"p50": 0.5}).count() == 1
 
 
+def test_an_outlier_puts_no_more_rows_in_a_task(spark, monkeypatch):
+    # 200,000 values beside one of 1e9: what is sorted together is a small part, and the ranks are exact.
+    df = spark.range(200_000).select(((F.col("id") * 7919 % 200_000) / 8).alias("v")).unionByName(spark.createDataFrame([(1e9,)], "v double"))
+    monkeypatch.setattr(stats, "SORTED", 1000)
+    tables = []
+    save = stats.saved
+    monkeypatch.setattr(stats, "saved", lambda d, name: (tables.append(save(d, name)), tables[-1])[1])
+    got = stats.exact_quantiles(df, "v", [], {"p50": 0.5, "p999": 0.999, "p100": 1.0}, most=1000).first()
+    assert got.p50 == 100_000 / 8 and abs(got.p999 - 199_800 / 8) < 1e-9 and got.p100 == 1e9
+    # Rows within the bounds of each rank, which are sorted together.
+    last = tables[-1].first()
+    assert len(tables) > 1 and max(last[f"_in{k}"] for k in range(3)) <= 200_000 / 64
+
+
 @pytest.mark.parametrize("n", [150, 151, 211])
 def test_long_series_have_the_spectrum_of_the_whole(spark, n):
     r = random.Random(n)
