@@ -501,8 +501,11 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.75, words: int = WORDS
     classes = named.groupBy("digest").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"), F.first("t").alias("t"), F.first("n_shingles").alias("n"), F.first("regs").alias("regs"))
     reps = saved(classes, "reps")
     keys = F.array(*[F.xxhash64(F.lit(b), F.expr(f"substring(regs, {2 * rows * b + 1}, {2 * rows})")) for b in range(bands)])
-    banded = reps.select("id", "t", F.posexplode(keys).alias("band", "key"))
-    full = banded.groupBy("key").agg(F.count("*").alias("size"), F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key", "size")
+    banded = reps.select("id", "t", "n", F.posexplode(keys).alias("band", "key"))
+    # Two texts alone in a bucket that differ in size too much to be linked need not meet.
+    full = banded.groupBy("key").agg(F.count("*").alias("size"), F.min("id").alias("lo"), F.max("id").alias("hi"), F.min("n").alias("least"), F.max("n").alias("most"))
+    full = full.where("lo < hi").where((F.col("size") > 2) | (F.col("least") >= F.lit(threshold) * F.col("most"))).select("key", "size")
+    banded = banded.drop("n")
     total = bands * reps.count()
     full = saved(full, "buckets")
     # Fewer than 256 keys hold over 1/256 of all rows each: those are broadcast, and their rows shuffle nowhere.
@@ -530,7 +533,8 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.75, words: int = WORDS
     links = settle(_own_blocks(members), True)
     if large:
         settle(_with_pivots(members, links, found), True)
-    placed = members.drop("size").join(found, "id", "left").select("id", "t", "key", "band", F.coalesce("component", "id").alias("known"))
+    # Two texts alone in a bucket have met already.
+    placed = members.where("size > 2").drop("size").join(found, "id", "left").select("id", "t", "key", "band", F.coalesce("component", "id").alias("known"))
     settle(_across(placed, members.count()), False)
 
     known = reps.select(F.hex("digest").alias("digest"), "copies", "id").join(found, "id", "left").select("digest", "copies", F.coalesce("component", "id").alias("component"))
