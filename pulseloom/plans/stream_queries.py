@@ -77,6 +77,19 @@ def src_edges_range(spark: SparkSession, d: str) -> DataFrame:
     return binary.read_edges(spark, _edges(spark, d), 10, 100).select("channel", "rec", "t", "edge_type")
 
 
+@query("src_edges_where", f"{_CLICKS} SELECT channel, rec, t, edge_type FROM c WHERE rec BETWEEN 5 AND 40 AND channel IN (1, 3)")
+def src_edges_where(spark: SparkSession, d: str) -> DataFrame:
+    """A record range and channels as filters, which the source takes."""
+    return binary.read_edges(spark, _edges(spark, d)).where("rec between 5 and 40 and channel in (1, 3)").select("channel", "rec", "t", "edge_type")
+
+
+@query("src_edges_tail_limited", f"{_CLICKS} SELECT 'edges_ch' || channel || '.bin' AS file, channel, rec, t, edge_type FROM c")
+def src_edges_tail_limited(spark: SparkSession, d: str) -> DataFrame:
+    """Growing captures, a tenth of the clicks in a batch."""
+    clicks = events(spark, d).where("event_type = 'click'").count()
+    return streams.run_tail(binary.tail_edges(spark, _edges(spark, d), max(1, -(-clicks // 10))), shared.new_folder(spark, "tail"))
+
+
 @query("src_edges_tail", f"{_CLICKS} SELECT 'edges_ch' || channel || '.bin' AS file, channel, rec, t, edge_type FROM c")
 def src_edges_tail(spark: SparkSession, d: str) -> DataFrame:
     return streams.run_to_table(binary.tail_edges(spark, _edges(spark, d)), shared.new_folder(spark, "tail"))

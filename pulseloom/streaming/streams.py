@@ -117,6 +117,22 @@ def run_to_table(stream: DataFrame, folder: str, mode: str = "append") -> DataFr
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/out")
 
 
+def run_tail(stream: DataFrame, folder: str, timeout: float | None = None) -> DataFrame:
+    """Follows a stream batch by batch for `timeout` seconds, or until nothing new is there, and returns what it wrote.
+
+    What a batch that is stopped half-way has read is read again by the next run with this folder.
+    """
+    query = stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").start()
+    try:
+        if timeout is None:
+            query.processAllAvailable()
+        else:
+            query.awaitTermination(timeout)
+    finally:
+        query.stop()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/out")
+
+
 def run_routed(stream: DataFrame, folder: str, route: Callable[[DataFrame], DataFrame], by: str) -> DataFrame:
     """Runs a stream through a batch function, into one folder per value of `by`."""
 
