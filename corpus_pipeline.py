@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pulseloom.llm import mixing, near_dedup, packing, quality
-from pulseloom.llm.common import new_path, table
+from pulseloom.llm.common import new_path, saved, table
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -14,18 +15,33 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.good_documents(docs, table(spark, sf_dir, "labels"))
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """docs with a number of each row's own, _dedup_row: that of its file and its place there, so it is the same whenever the files are read."""
+    try:
+        docs.select("_metadata.row_index")
+    except AnalysisException:
+        docs = saved(docs, "documents")
+    place = docs.select("*", F.col("_metadata.file_path").alias("_dedup_file"), F.col("_metadata.row_index").alias("_dedup_index"))
+    files = place.select("_dedup_file").distinct()
+    files = saved(files.withColumn("_dedup_number", F.row_number().over(Window.orderBy("_dedup_file"))), "files")
+    # The list of files is no larger than what the driver holds to plan a scan of them.
+    met = place.join(F.broadcast(files), "_dedup_file")
+    return met.select(*docs.columns, (F.shiftleft(F.col("_dedup_number").cast("long"), 36) + F.col("_dedup_index")).alias("_dedup_row"))
+
+
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class; rows without a doc_id stay, as does a text without words.
+    """One text of each near-duplicate class, that of the smallest doc_id; rows without a doc_id stay, as does a text without words.
 
-    A doc_id of several rows is one document: of its rows the one of the smallest text stays.
+    Rows that repeat a doc_id are texts of their own: those that are no near-duplicates all stay. Classes are found
+    and their row is chosen by numbers of rows; the texts are filtered once, by a key that no two rows share.
     """
-    kept = near_dedup.near_duplicates(docs).where("kept").groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_rows"))
-    named = docs.join(kept, docs.doc_id.cast("long") == kept._id)
-    once = named.where("_rows = 1").select(docs.columns)
-    # Rows of repeated ids are combined before they meet, so any number of them costs one row a task.
-    order = F.struct("text", *[c for c in ("lang", "source", "n_chars") if c in docs.columns])
-    again = named.where("_rows > 1").groupBy("_id").agg(F.min_by(F.struct(*docs.columns), order).alias("_row")).select("_row.*")
-    return once.unionByName(again).unionByName(docs.where(F.col("doc_id").isNull()))
+    rows = numbered(docs)
+    known = rows.where(F.col("doc_id").isNotNull())
+    classes = near_dedup.near_duplicates(known.select(F.col("_dedup_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_dedup_row"), "component_id")
+    named = known.select("doc_id", "_dedup_row").join(classes, "_dedup_row")
+    # Combined before the shuffle, so a class of any size costs a row a task.
+    kept = saved(named.groupBy("component_id").agg(F.min(F.struct("doc_id", "_dedup_row")).alias("r")).select("r._dedup_row"), "kept")
+    return rows.join(kept, "_dedup_row", "left_semi").select(docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
