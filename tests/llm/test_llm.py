@@ -722,10 +722,13 @@ def test_pipeline_on_edge_cases(spark, tmp_path):
     assert sorted(map(str, good(spark, docs, folder).collect())) == sorted(map(str, docs.collect()))
     kept = once(spark, docs, folder)
     assert kept.columns == docs.columns
-    alone = {i for i, _, c in components_by_brute_force(odd) if i is not None and i == c}
+    # Each row is a text of its own: of a class the one of the smallest doc_id stays.
+    named = sorted(((i, t) for i, t, _ in odd if i is not None), key=lambda r: r[0])
+    alone = [named[k] for k, _, c in components_by_brute_force([(k, t, "s") for k, (_, t) in enumerate(named)]) if k == c]
     rows = [(r.doc_id, r.text) for r in kept.collect()]
-    assert sorted(i for i, _ in rows if i is not None) == sorted(alone) and sum(i is None for i, _ in rows) == 2
-    assert dict(rows)[20] == min(words(200, 5), words(200, 6))
+    assert sorted(((i, t or "") for i, t in rows if i is not None)) == sorted((i, t or "") for i, t in alone) and sum(i is None for i, _ in rows) == 2
+    # Unrelated texts of one doc_id both stay.
+    assert {t for i, t in rows if i == 20} == {words(200, 5), words(200, 6)}
     mixed = order(spark, kept.cache(), folder)
     assert sorted(map(str, mixed.collect())) == sorted(map(str, kept.collect()))
     check_packing([(r.doc_id, r.text) for r in mixed.collect()], packed(spark, mixed, folder).collect())
@@ -735,6 +738,21 @@ def test_pipeline_on_edge_cases(spark, tmp_path):
     assert corpus_pipeline.run(spark, empty).count() == 0
 
 
+def test_pipeline_with_a_third_of_all_rows_under_one_doc_id(spark, tmp_path):
+    import corpus_pipeline
+
+    rows = [(7 if k % 3 == 0 else 1000 + k, words(60, k), "s") for k in range(600)]
+    documents(spark, rows).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    numbers = [r[0] for r in corpus_pipeline.numbered(docs).select("_dedup_row").collect()]
+    assert len(set(numbers)) == len(rows)
+    # The key of every shuffle of texts is a row's own number, so parts are even.
+    parts = corpus_pipeline.numbered(docs).repartition(6, "_dedup_row").groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    assert parts < 600 / 3
+    kept = corpus_pipeline.keep_one_of_each_group(spark, docs, str(tmp_path))
+    assert sorted((r.doc_id, r.text) for r in kept.collect()) == sorted((i, t) for i, t, _ in rows)
+
+
 @pytest.mark.parametrize("count", [100, 400])
 def test_texts_just_below_the_threshold_do_not_meet_pair_by_pair(spark, monkeypatch, count):
     # A common head and tails of their own: every two texts are 71 % alike, and none is linked.
