@@ -6,40 +6,59 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.match import match
 
 
-def stream_match(edges: DataFrame, by: str, tol_us: int, hold_back_us: int) -> DataFrame:
+def stream_match(edges: DataFrame, by: str, tol_us: int, hold_back_us: int, grace_us: int | None = None) -> DataFrame:
     """by, us_a, us_b, delay_us, status of a stream of edges(by, side, us), sides `a` and `b`, matched by the two-pointer rule.
 
     The fronts of a key pair if at most tol_us apart, else the earlier one is unmatched. An edge is decided when its key
     has come hold_back_us further (more than tol_us, as half a period is), so that its partner has arrived: edges of a key
     may be out of order by up to hold_back_us - tol_us. The state of a key is the edges of that span; those left when a
-    stream stops are decided by open_matches.
+    stream stops are decided by finish_matches.
+
+    With grace_us (hold_back_us at least, as a period is) a key that falls silent is decided by the clock of all keys,
+    the latest edge of any: pairs hold_back_us after it, edges without a partner grace_us after it. The clock moves
+    between batches; an edge more than hold_back_us behind it is dropped.
     """
+    more = (grace_us or hold_back_us) - hold_back_us
 
     def step(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         held = state.get if state.exists else ([], [], None)
-        new = pd.concat(list(pdfs))
-        sides = [sorted([*held[k], *new.loc[new["side"] == side, "us"].tolist()]) for k, side in ((0, "a"), (1, "b"))]
-        latest = max(int(new["us"].max()), held[2] if held[2] is not None else -(2**62))
-        found, rest = _decide(*sides, tol_us, latest - hold_back_us)
+        sides, latest = [list(held[0]), list(held[1])], -(2**62) if held[2] is None else held[2]
+        # A key whose time is out comes without rows.
+        for new in pdfs:
+            for k, side in ((0, "a"), (1, "b")):
+                sides[k] += new.loc[new["side"] == side, "us"].tolist()
+            latest = max(latest, int(new["us"].max())) if len(new) else latest
+        clock = latest - hold_back_us
+        if grace_us is not None:
+            clock = max(clock, state.getCurrentWatermarkMs() * 1000)
+        found, rest = _decide(sorted(sides[0]), sorted(sides[1]), tol_us, clock, clock - more)
         state.update((*rest, latest))
+        if grace_us is not None and (rest[0] or rest[1]):
+            first = min(x[0] for x in rest if x)
+            state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs() + 1, -(-(first + (0 if rest[0] and rest[1] else more)) // 1000)))
         yield pd.DataFrame([(key[0], *r) for r in found], columns=[by, "us_a", "us_b", "status"]).astype({"us_a": "Int64", "us_b": "Int64"})
 
     kind = dict(edges.dtypes)[by]
-    out = edges.groupBy(by).applyInPandasWithState(step, f"{by} {kind}, us_a long, us_b long, status string", "a array<long>, b array<long>, latest long", "append", GroupStateTimeout.NoTimeout)
+    timeout = GroupStateTimeout.NoTimeout
+    if grace_us is not None:
+        edges = edges.withColumn("_ts", F.timestamp_micros("us")).withWatermark("_ts", f"{hold_back_us} microseconds")
+        timeout = GroupStateTimeout.EventTimeTimeout
+    out = edges.groupBy(by).applyInPandasWithState(step, f"{by} {kind}, us_a long, us_b long, status string", "a array<long>, b array<long>, latest long", "append", timeout)
     return out.select(by, "us_a", "us_b", (F.col("us_b") - F.col("us_a")).alias("delay_us"), "status")
 
 
-def _decide(a: list[int], b: list[int], tol: int, until: int) -> tuple[list[tuple], tuple[list[int], list[int]]]:
-    """(us_a, us_b, status) of all decisions whose earlier edge lies at or before `until`, and the edges left."""
+def _decide(a: list[int], b: list[int], tol: int, until: int, alone: int | None = None) -> tuple[list[tuple], tuple[list[int], list[int]]]:
+    """(us_a, us_b, status) of all decisions whose earlier edge lies at or before `until` (without a partner: `alone`), and the edges left."""
     i = j = 0
     out: list[tuple] = []
+    alone = until if alone is None else alone
     while i < len(a) or j < len(b):
         if i < len(a) and j < len(b) and abs(a[i] - b[j]) <= tol:
             if min(a[i], b[j]) > until:
@@ -47,25 +66,28 @@ def _decide(a: list[int], b: list[int], tol: int, until: int) -> tuple[list[tupl
             out.append((a[i], b[j], "matched"))
             i, j = i + 1, j + 1
         elif j == len(b) or (i < len(a) and a[i] < b[j]):
-            if a[i] > until:
+            if a[i] > alone:
                 break
             out.append((a[i], None, "unmatched_a"))
             i += 1
         else:
-            if b[j] > until:
+            if b[j] > alone:
                 break
             out.append((None, b[j], "unmatched_b"))
             j += 1
     return out, (a[i:], b[j:])
 
 
-def open_matches(decided: DataFrame, edges: DataFrame, by: str, tol_us: int) -> DataFrame:
-    """What a stopped stream of stream_match still held: its edges(by, side, us) that are in no decision, matched to the end."""
-    took = decided.select(by, F.explode(F.array(F.struct(F.lit("a").alias("side"), F.col("us_a").alias("us")), F.struct(F.lit("b").alias("side"), F.col("us_b").alias("us")))).alias("e")).select(by, "e.*").where("us is not null")
-    number = F.row_number().over(Window.partitionBy(by, "side", "us").orderBy(F.lit(0)))
-    rest = edges.select(by, "side", "us").withColumn("n", number).join(took.withColumn("n", number), [by, "side", "us", "n"], "left_anti")
-    left = rest.where("side = 'a'").select(by, F.col("us").alias("t_a"))
-    right = rest.where("side = 'b'").select(by, F.col("us").alias("t_b"))
+def held_edges(spark: SparkSession, folder: str, by: str) -> DataFrame:
+    """by, side, us of the edges that a stopped query of stream_match with its state in `folder` still holds, from that state."""
+    state = spark.read.format("statestore").load(f"{folder}/state").select(F.col(f"key.{by}").alias(by), "value.groupState.*")
+    return state.select(by, F.lit("a").alias("side"), F.explode("a").alias("us")).unionByName(state.select(by, F.lit("b").alias("side"), F.explode("b").alias("us")))
+
+
+def finish_matches(spark: SparkSession, folder: str, by: str, tol_us: int) -> DataFrame:
+    """What a stopped stream of stream_match held, matched to the end, from its state alone: the source isn't read again."""
+    held = held_edges(spark, folder, by)
+    left, right = (held.where(F.col("side") == side).select(by, F.col("us").alias(t)) for side, t in (("a", "t_a"), ("b", "t_b")))
     return match(left, right, "t_a", "t_b", tol_us, "two_pointer", [by]).select(by, F.col("t_a").alias("us_a"), F.col("t_b").alias("us_b"), F.col("delay").alias("delay_us"), "status")
 
 

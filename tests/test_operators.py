@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import shutil
 
 import pytest
 from pyspark.sql import Window
@@ -344,7 +345,9 @@ def test_streamed_matching_of_dense_edges_equals_a_plain_loop(spark, tmp_path):
         spark.createDataFrame(r.sample(some, len(some)), "capture int, side string, us long").coalesce(1).write.mode("append").parquet(folder)
     stream = spark.readStream.schema("capture int, side string, us long").option("maxFilesPerTrigger", 1).parquet(folder)
     done = streams.run_to_table(streams.stream_match(stream, "capture", 6, 20), str(tmp_path / "out"))
-    every = done.unionByName(streams.open_matches(done, spark.read.parquet(folder), "capture", 6)).collect()
+    # What was held comes from the state alone: the source is gone.
+    shutil.move(folder, str(tmp_path / "gone"))
+    every = done.unionByName(streams.finish_matches(spark, str(tmp_path / "out"), "capture", 6)).collect()
     for c in (1, 2):
         a, b = ([t for t, s, k in edges if k == c and s == side] for side in "ab")
         pairs = naive_two_pointer(a, b, 6)
@@ -353,6 +356,38 @@ def test_streamed_matching_of_dense_edges_equals_a_plain_loop(spark, tmp_path):
     assert 0 < done.count() < len(every)
 
 
+def test_a_silent_key_is_decided_by_the_clock_of_all(spark, tmp_path):
+    from pulseloom.streaming import streams
+
+    ms, folder = 1000, str(tmp_path / "in")
+    # Key 1 falls silent after 310 ms; key 2 goes on. Tolerance 6 ms, pairs after 20 ms, alone after 40 ms.
+    parts = [[(1, "a", 100), (1, "b", 103), (1, "a", 300), (1, "b", 310), (2, "a", 305)], [(2, "a", 322), (2, "b", 324)], [(2, "a", 336)], [(2, "b", 380)], [(2, "a", 900)], [(2, "b", 905)]]
+
+    def run(edges):
+        spark.createDataFrame([(c, s, t * ms) for c, s, t in edges], "capture int, side string, us long").coalesce(1).write.mode("append").parquet(folder)
+        stream = spark.readStream.schema("capture int, side string, us long").parquet(folder)
+        out = streams.run_to_table(streams.stream_match(stream, "capture", 6 * ms, 20 * ms, 40 * ms), str(tmp_path / "out"))
+        return sorted(((r.us_a or 0) // ms, (r.us_b or 0) // ms, r.status) for r in out.where("capture = 1").collect())
+
+    seen = [run(p) for p in parts]
+    assert seen[0] == [(100, 103, "matched")]
+    assert seen[1] == seen[0]
+    # The clock has come 40 ms beyond what is alone, without any later edge of the key.
+    assert seen[-1] == [(0, 310, "unmatched_b"), (100, 103, "matched"), (300, 0, "unmatched_a")]
+    assert streams.held_edges(spark, str(tmp_path / "out"), "capture").where("capture = 1").count() == 0
+
+
+def test_a_silent_key_gets_its_pair(spark, tmp_path):
+    from pulseloom.streaming import streams
+
+    folder = str(tmp_path / "in")
+    for edges in ([(1, "a", 100_000), (1, "b", 104_000), (2, "a", 101_000)], [(2, "a", 200_000)], [(2, "a", 300_000)]):
+        spark.createDataFrame(edges, "capture int, side string, us long").coalesce(1).write.mode("append").parquet(folder)
+        stream = spark.readStream.schema("capture int, side string, us long").parquet(folder)
+        out = streams.run_to_table(streams.stream_match(stream, "capture", 6_000, 20_000, 40_000), str(tmp_path / "out"))
+    assert [tuple(r)[1:] for r in out.where("capture = 1").collect()] == [(100_000, 104_000, 4_000, "matched")]
+
+
 def test_relative_times_and_deletes(spark):
     df = spark.createDataFrame([(k * 60_000_000, "x" if k % 2 else None) for k in range(20)], "us long, tag string")
     now = 20 * 60_000_000
