@@ -15,8 +15,9 @@ from ..operators import detect
 from ..operators.scale import prefix
 from ..sources import binary, logs, shared, telemetry
 from ..streaming import minutes, streams
+from . import ordered_queries
 from .ordered_queries import APART, THRESHOLD, _debounced
-from .registry import DAY, EV, HOUR, events, query
+from .registry import DAY, EV, HOUR, ORACLES, events, query
 from .statistics_queries import TOL
 
 _EDGE, _DELAY, _IQ = "<dB7x", "<dd", "<ff"
@@ -284,6 +285,46 @@ def stream_detect_settled(spark: SparkSession, d: str) -> DataFrame:
     return out.withColumn("t", F.round("t", 6))
 
 
+def _signal_stream(spark: SparkSession, d: str, method: str, rounded: bool = True, **levels: float) -> DataFrame:
+    """The edges of the one long signal as a stream, and those its state held at the end."""
+    s, folder = shared.saved(ordered_queries.signal(spark, d).select("series", "idx", "v"), "signal"), shared.new_folder(spark, "detect")
+    width = max(1, -(-(s.agg(F.max("idx")).first()[0] or 0) // PARTS))
+    out = streams.run_to_table(streams.stream_detect_ahead(_ordered_stream(spark, s, "samples", "series", "idx", width), "series", method, THRESHOLD, **levels), folder)
+    out = out.unionByName(streams.finish_detect(spark, folder, "series", method, THRESHOLD, **levels))
+    return out.withColumn("t", F.round("t", 6)).withColumn("height", F.round("height", 6)) if rounded else out
+
+
+@query("stream_detect_peaks", ORACLES["detect_peaks"])
+def stream_detect_peaks(spark: SparkSession, d: str) -> DataFrame:
+    return _signal_stream(spark, d, "peaks", min_distance=APART)
+
+
+@query("stream_detect_hysteresis", ORACLES["detect_hysteresis"])
+def stream_detect_hysteresis(spark: SparkSession, d: str) -> DataFrame:
+    return _signal_stream(spark, d, "hysteresis", reset=10).select("series", F.col("t").cast("long").alias("idx"), "edge_type")
+
+
+@query("stream_detect_linreg", ORACLES["detect_linreg"])
+def stream_detect_linreg(spark: SparkSession, d: str) -> DataFrame:
+    """Candidates of the stream, debounced in the order of their times: of so rough a signal that isn't the order of samples."""
+    found = _signal_stream(spark, d, "linreg", rounded=False)
+    kept = detect.debounce(found, ["series", "edge_type"], ["t", "height"], "t", APART)
+    return kept.withColumn("t", F.round("t", 6)).withColumn("height", F.round("height", 6))
+
+
+@query("stream_match_hook", ORACLES["stream_match"])
+def stream_match_hook(spark: SparkSession, d: str) -> DataFrame:
+    """Decided edges as a hook gets them, batch by batch."""
+    folder = shared.new_folder(spark, "hook")
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
+
+    edges = _ordered_stream(spark, shared.saved(device_edges(spark, d), "edges"), "edges", "capture_id", "us", 6 * DAY)
+    streams.run_hook(streams.stream_match(edges, "capture_id", TOL, HOLD), folder, put)
+    return spark.read.parquet(f"{folder}/out").drop("batch")
+
+
 @query("stream_route", f"WITH {EV} SELECT 'fts/' || device || '/' || event_type AS topic, props AS payload, us AS arrival, event_type AS measurement, CASE WHEN event_type IN ('click', 'view') THEN 'fts' ELSE 'health' END AS bucket FROM ev")
 def stream_route(spark: SparkSession, d: str) -> DataFrame:
     e = events(spark, d).select(F.format_string("fts/%d/%s", "device", "event_type").alias("topic"), F.col("props").alias("payload"), F.col("us").alias("arrival"))

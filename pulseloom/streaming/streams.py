@@ -128,6 +128,112 @@ def stream_detect(samples: DataFrame, by: str, threshold: float, min_distance: f
     return samples.groupBy(by).applyInPandasWithState(step, f"{by} string, t double, edge_type int", "idx long, v double, rise double, fall double, settled boolean", "append", GroupStateTimeout.NoTimeout)
 
 
+#: Samples before and after one that decide on it, for each method.
+_REACH = {"peaks": (1, 1), "hysteresis": (0, 0), "linreg": (11, 15)}
+_AHEAD = "idx array<long>, v array<double>, open int, rise double, fall double, low boolean, high boolean"
+
+
+def _line_time(x: np.ndarray, y: np.ndarray, level: float, at: int) -> float:
+    """at + the offset at which the least-squares line through the points reaches level; the first point's where there is none."""
+    n, sx, sy = float(len(x)), float(x.sum()), float(y.sum())
+    sxy, sxx = float((x * y).sum()), float((x * x).sum())
+    flat = n * sxx - sx * sx
+    slope = (n * sxy - sx * sy) / flat if n >= 2 and abs(flat) >= 1e-12 else 0.0
+    return float(at + x[0]) if abs(slope) < 1e-12 else at + (level - (sy - slope * sx) / n) / slope
+
+
+def _found(method: str, idx: np.ndarray, v: np.ndarray, low: int, high: int, threshold: float) -> list[tuple[float, int, float]]:
+    """(time, edge_type, height) of the candidates among samples low to high, whose surroundings are all there."""
+    now, before = v[max(low, 1) : high], v[max(low, 1) - 1 : max(high - 1, 0)]
+    place = np.arange(max(low, 1), max(high, max(low, 1)))
+    if method == "peaks":
+        after = np.append(v, np.nan)[place + 1] if len(place) else now
+        top, bottom = (now > before) & (now > after) & (now > threshold), (now < before) & (now < after) & (now < -threshold)
+        at = np.flatnonzero(top | bottom)
+        bend = before[at] - 2 * now[at] + after[at]
+        off = np.where(np.abs(bend) < 1e-10, 0.0, np.clip((before[at] - after[at]) / np.where(bend == 0, 1, 2 * bend), -1, 1))
+        return list(zip((idx[place[at]] + off).tolist(), np.where(bottom[at], 0, 1).tolist(), now[at].tolist(), strict=True))
+    rise, fall = (before > -threshold) & (now <= -threshold), (before < threshold) & (now >= threshold)
+    out = []
+    for j in place[rise | fall].tolist():
+        kind = 0 if rise[j - place[0]] else 1
+        first, last = np.searchsorted(idx, (idx[j] - 11, idx[j] + 16))
+        i, y = idx[first:last], v[first:last] * (-1 if kind == 0 else 1)
+        peak = j - first + int(np.argmax(y[j - first :]))
+        flank = np.flatnonzero((i >= i[peak] - 10) & (i < i[peak]) & (y >= y[peak] * 0.2) & (y <= y[peak] * 0.8))
+        if len(flank):
+            out.append((_line_time((i[flank] - idx[j]).astype(float), y[flank], y[peak] * 0.5, int(idx[j])), kind, float(y[peak])))
+    return out
+
+
+def _detected(method: str, held: tuple | None, idx: np.ndarray, v: np.ndarray, threshold: float, min_distance: float, reset: float, ending: bool = False) -> tuple[list[tuple], tuple]:
+    """What a key's next samples decide, and what is held then; `ending` decides on all with what is there."""
+    old_idx, old_v, waiting, rise, fall, low, high = held or ([], [], 0, None, None, False, False)
+    before, after = _REACH[method]
+    idx, v = np.concatenate((np.array(old_idx, np.int64), idx)), np.concatenate((np.array(old_v, float), v))
+    start, stop = len(old_idx) - waiting, len(idx) if ending else max(len(old_idx) - waiting, len(idx) - after)
+    found: list[tuple] = []
+    if method == "hysteresis":
+        seen = [low, high]
+        for k in np.flatnonzero((np.abs(v[start:stop]) < reset) | (np.abs(v[start:stop]) >= threshold)) + start:
+            seen = [False, False] if abs(v[k]) < reset else seen
+            kind = 0 if v[k] <= -threshold else 1 if v[k] >= threshold else None
+            if kind is not None and not seen[kind]:
+                found.append((float(idx[k]), kind, float(v[k])))
+                seen[kind] = True
+        low, high = seen
+    else:
+        kept = [rise, fall]
+        for t, kind, height in _found(method, idx, v, start, stop, threshold):
+            if not min_distance or kept[kind] is None or t - kept[kind] >= min_distance:
+                found.append((t, kind, height))
+                kept[kind] = t
+        rise, fall = kept
+    first = max(0, stop - before)
+    return found, (idx[first:].tolist(), v[first:].tolist(), len(idx) - stop, rise, fall, low, high)
+
+
+def stream_detect_ahead(samples: DataFrame, by: str, method: str, threshold: float, min_distance: float = 0, reset: float = 0) -> DataFrame:
+    """by, t, edge_type, height of a stream of samples(by, idx, v) whose batches are in order.
+
+    method: 'peaks' (as detect_peaks, beyond threshold), 'linreg' (as detect_linreg, of crossings of threshold) or
+    'hysteresis' (as detect_hysteresis with -threshold, threshold and reset; t is the sample). A key holds the samples
+    before and after the ones not yet decided, 26 at most, so borders between batches change nothing; what a stopped
+    stream still held is decided by finish_detect. Edges are debounced in the order of their samples, which is that of their times in smooth signals.
+    """
+
+    def step(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(pdfs)).sort_values("idx")
+        found, held = _detected(method, state.get if state.exists else None, rows["idx"].to_numpy(np.int64), rows["v"].to_numpy(float), threshold, min_distance, reset)
+        state.update(held)
+        yield pd.DataFrame([(key[0], *f) for f in found], columns=[by, "t", "edge_type", "height"])
+
+    return samples.groupBy(by).applyInPandasWithState(step, f"{by} {dict(samples.dtypes)[by]}, t double, edge_type int, height double", _AHEAD, "append", GroupStateTimeout.NoTimeout)
+
+
+def finish_detect(spark: SparkSession, folder: str, by: str, method: str, threshold: float, min_distance: float = 0, reset: float = 0) -> DataFrame:
+    """What a stopped stream of stream_detect_ahead still held, decided with the samples there are, from its state alone."""
+    state = spark.read.format("statestore").load(f"{folder}/state").select(F.col(f"key.{by}").alias(by), "value.groupState.*")
+    kind = dict(state.dtypes)[by]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for key, *held in frame.itertuples(index=False):
+                held = [None if isinstance(x, float) and np.isnan(x) else x for x in held]
+                found, _ = _detected(method, (list(held[0]), list(held[1]), int(held[2]), *held[3:]), np.zeros(0, np.int64), np.zeros(0), threshold, min_distance, reset, ending=True)
+                out += [(key, *f) for f in found]
+            yield pd.DataFrame(out, columns=[by, "t", "edge_type", "height"])
+
+    return state.mapInPandas(run, f"{by} {kind}, t double, edge_type int, height double")
+
+
+def run_hook(stream: DataFrame, folder: str, hook: Callable[[DataFrame, int], None]) -> None:
+    """Runs a stream of decisions over all data there is and hands each batch of them, with its number, to a hook, as
+    edges are matched. A batch may come again after a failure, with the same number."""
+    stream.writeStream.foreachBatch(hook).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+
+
 def stream_dedup(edges: DataFrame, keys: list[str], ts: str, lateness: str) -> DataFrame:
     """Edges that overlapping chunks deliver twice, once."""
     return edges.withWatermark(ts, lateness).dropDuplicatesWithinWatermark(keys)

@@ -356,6 +356,56 @@ def test_streamed_matching_of_dense_edges_equals_a_plain_loop(spark, tmp_path):
     assert 0 < done.count() < len(every)
 
 
+@pytest.mark.parametrize("method", ["peaks", "hysteresis", "linreg"])
+@pytest.mark.parametrize("seed", range(3))
+def test_detection_with_look_ahead_equals_any_cut(method, seed):
+    import numpy as np
+
+    from pulseloom.streaming import streams
+
+    rng = np.random.default_rng(seed)
+    v = np.sin(np.arange(600) / 9) * 20 + rng.normal(0, 2, 600)
+    idx = np.arange(5, 605)
+
+    def edges(cuts):
+        out, held = [], None
+        for a, b in zip([0, *cuts], [*cuts, len(v)], strict=True):
+            found, held = streams._detected(method, held, idx[a:b], v[a:b], 8.0, 30.0, 3.0)
+            out += found
+            assert len(held[0]) <= 26
+        return out + streams._detected(method, held, idx[:0], v[:0], 8.0, 30.0, 3.0, ending=True)[0]
+
+    whole = edges([])
+    assert len(whole) > 5
+    for _ in range(20):
+        assert edges(sorted(rng.integers(0, 600, rng.integers(0, 300)).tolist())) == whole
+
+
+@pytest.mark.parametrize("method", ["peaks", "hysteresis", "linreg"])
+def test_streamed_edges_equal_the_batch_forms(spark, tmp_path, method):
+    import numpy as np
+
+    from pulseloom.streaming import streams
+
+    rng = np.random.default_rng(7)
+    rows = [(s, k, float(x)) for s in ("p", "q") for k, x in enumerate(np.sin(np.arange(300) / 7) * 20 + rng.normal(0, 1, 300))]
+    folder = str(tmp_path / "in")
+    for part in range(0, 300, 75):
+        spark.createDataFrame([r for r in rows if part <= r[1] < part + 75], "series string, idx long, v double").coalesce(1).write.mode("append").parquet(folder)
+    stream = spark.readStream.schema("series string, idx long, v double").option("maxFilesPerTrigger", 1).parquet(folder)
+    levels = {"reset": 3.0} if method == "hysteresis" else {"min_distance": 20.0}
+    got = streams.run_to_table(streams.stream_detect_ahead(stream, "series", method, 8.0, **levels), str(tmp_path / "out"))
+    got = got.unionByName(streams.finish_detect(spark, str(tmp_path / "out"), "series", method, 8.0, **levels)).collect()
+    df = spark.createDataFrame(rows, "series string, idx long, v double")
+    if method == "peaks":
+        want = detect.detect_peaks(df, ["series"], "idx", "v", 8.0, 20.0)
+    elif method == "linreg":
+        want = detect.detect_linreg(df, ["series"], "idx", "v", 8.0, min_distance=20.0)
+    else:
+        want = detect.detect_hysteresis(df, ["series"], "idx", "v", -8.0, 8.0, 3.0).withColumnRenamed("idx", "t")
+    assert len(got) > 10 and sorted((r.series, round(r.t, 6), r.edge_type) for r in got) == sorted((r.series, round(r.t, 6), r.edge_type) for r in want.collect())
+
+
 def test_a_silent_key_is_decided_by_the_clock_of_all(spark, tmp_path):
     from pulseloom.streaming import streams
 
