@@ -296,20 +296,20 @@ def _signal_stream(spark: SparkSession, d: str, method: str, rounded: bool = Tru
 
 @query("stream_detect_peaks", ORACLES["detect_peaks"])
 def stream_detect_peaks(spark: SparkSession, d: str) -> DataFrame:
-    return _signal_stream(spark, d, "peaks", min_distance=APART)
+    return _signal_stream(spark, d, "peaks", min_distance=APART).drop("idx")
 
 
 @query("stream_detect_hysteresis", ORACLES["detect_hysteresis"])
 def stream_detect_hysteresis(spark: SparkSession, d: str) -> DataFrame:
-    return _signal_stream(spark, d, "hysteresis", reset=10).select("series", F.col("t").cast("long").alias("idx"), "edge_type")
+    return _signal_stream(spark, d, "hysteresis", reset=10).select("series", "idx", "edge_type")
 
 
 @query("stream_detect_linreg", ORACLES["detect_linreg"])
 def stream_detect_linreg(spark: SparkSession, d: str) -> DataFrame:
     """Candidates of the stream, debounced in the order of their times: of so rough a signal that isn't the order of samples."""
     found = _signal_stream(spark, d, "linreg", rounded=False)
-    kept = detect.debounce(found, ["series", "edge_type"], ["t", "height"], "t", APART)
-    return kept.withColumn("t", F.round("t", 6)).withColumn("height", F.round("height", 6))
+    kept = detect.debounce(found, ["series", "edge_type"], ["t", "idx"], "t", APART)
+    return kept.withColumn("t", F.round("t", 6)).withColumn("height", F.round("height", 6)).drop("idx")
 
 
 @query("stream_match_hook", ORACLES["stream_match"])

@@ -142,8 +142,8 @@ def _line_time(x: np.ndarray, y: np.ndarray, level: float, at: int) -> float:
     return float(at + x[0]) if abs(slope) < 1e-12 else at + (level - (sy - slope * sx) / n) / slope
 
 
-def _found(method: str, idx: np.ndarray, v: np.ndarray, low: int, high: int, threshold: float) -> list[tuple[float, int, float]]:
-    """(time, edge_type, height) of the candidates among samples low to high, whose surroundings are all there."""
+def _found(method: str, idx: np.ndarray, v: np.ndarray, low: int, high: int, threshold: float) -> list[tuple[float, int, float, int]]:
+    """(time, edge_type, height, sample) of the candidates among samples low to high, whose surroundings are all there."""
     now, before = v[max(low, 1) : high], v[max(low, 1) - 1 : max(high - 1, 0)]
     place = np.arange(max(low, 1), max(high, max(low, 1)))
     if method == "peaks":
@@ -152,7 +152,7 @@ def _found(method: str, idx: np.ndarray, v: np.ndarray, low: int, high: int, thr
         at = np.flatnonzero(top | bottom)
         bend = before[at] - 2 * now[at] + after[at]
         off = np.where(np.abs(bend) < 1e-10, 0.0, np.clip((before[at] - after[at]) / np.where(bend == 0, 1, 2 * bend), -1, 1))
-        return list(zip((idx[place[at]] + off).tolist(), np.where(bottom[at], 0, 1).tolist(), now[at].tolist(), strict=True))
+        return list(zip((idx[place[at]] + off).tolist(), np.where(bottom[at], 0, 1).tolist(), now[at].tolist(), idx[place[at]].tolist(), strict=True))
     rise, fall = (before > -threshold) & (now <= -threshold), (before < threshold) & (now >= threshold)
     out = []
     for j in place[rise | fall].tolist():
@@ -162,7 +162,7 @@ def _found(method: str, idx: np.ndarray, v: np.ndarray, low: int, high: int, thr
         peak = j - first + int(np.argmax(y[j - first :]))
         flank = np.flatnonzero((i >= i[peak] - 10) & (i < i[peak]) & (y >= y[peak] * 0.2) & (y <= y[peak] * 0.8))
         if len(flank):
-            out.append((_line_time((i[flank] - idx[j]).astype(float), y[flank], y[peak] * 0.5, int(idx[j])), kind, float(y[peak])))
+            out.append((_line_time((i[flank] - idx[j]).astype(float), y[flank], y[peak] * 0.5, int(idx[j])), kind, float(y[peak]), int(idx[j])))
     return out
 
 
@@ -179,14 +179,14 @@ def _detected(method: str, held: tuple | None, idx: np.ndarray, v: np.ndarray, t
             seen = [False, False] if abs(v[k]) < reset else seen
             kind = 0 if v[k] <= -threshold else 1 if v[k] >= threshold else None
             if kind is not None and not seen[kind]:
-                found.append((float(idx[k]), kind, float(v[k])))
+                found.append((float(idx[k]), kind, float(v[k]), int(idx[k])))
                 seen[kind] = True
         low, high = seen
     else:
         kept = [rise, fall]
-        for t, kind, height in _found(method, idx, v, start, stop, threshold):
+        for t, kind, height, sample in _found(method, idx, v, start, stop, threshold):
             if not min_distance or kept[kind] is None or t - kept[kind] >= min_distance:
-                found.append((t, kind, height))
+                found.append((t, kind, height, sample))
                 kept[kind] = t
         rise, fall = kept
     first = max(0, stop - before)
@@ -194,7 +194,7 @@ def _detected(method: str, held: tuple | None, idx: np.ndarray, v: np.ndarray, t
 
 
 def stream_detect_ahead(samples: DataFrame, by: str, method: str, threshold: float, min_distance: float = 0, reset: float = 0) -> DataFrame:
-    """by, t, edge_type, height of a stream of samples(by, idx, v) whose batches are in order.
+    """by, t, edge_type, height, idx (the sample) of a stream of samples(by, idx, v) whose batches are in order.
 
     method: 'peaks' (as detect_peaks, beyond threshold), 'linreg' (as detect_linreg, of crossings of threshold) or
     'hysteresis' (as detect_hysteresis with -threshold, threshold and reset; t is the sample). A key holds the samples
@@ -206,9 +206,9 @@ def stream_detect_ahead(samples: DataFrame, by: str, method: str, threshold: flo
         rows = pd.concat(list(pdfs)).sort_values("idx")
         found, held = _detected(method, state.get if state.exists else None, rows["idx"].to_numpy(np.int64), rows["v"].to_numpy(float), threshold, min_distance, reset)
         state.update(held)
-        yield pd.DataFrame([(key[0], *f) for f in found], columns=[by, "t", "edge_type", "height"])
+        yield pd.DataFrame([(key[0], *f) for f in found], columns=[by, "t", "edge_type", "height", "idx"])
 
-    return samples.groupBy(by).applyInPandasWithState(step, f"{by} {dict(samples.dtypes)[by]}, t double, edge_type int, height double", _AHEAD, "append", GroupStateTimeout.NoTimeout)
+    return samples.groupBy(by).applyInPandasWithState(step, f"{by} {dict(samples.dtypes)[by]}, t double, edge_type int, height double, idx long", _AHEAD, "append", GroupStateTimeout.NoTimeout)
 
 
 def finish_detect(spark: SparkSession, folder: str, by: str, method: str, threshold: float, min_distance: float = 0, reset: float = 0) -> DataFrame:
@@ -223,9 +223,9 @@ def finish_detect(spark: SparkSession, folder: str, by: str, method: str, thresh
                 held = [None if isinstance(x, float) and np.isnan(x) else x for x in held]
                 found, _ = _detected(method, (list(held[0]), list(held[1]), int(held[2]), *held[3:]), np.zeros(0, np.int64), np.zeros(0), threshold, min_distance, reset, ending=True)
                 out += [(key, *f) for f in found]
-            yield pd.DataFrame(out, columns=[by, "t", "edge_type", "height"])
+            yield pd.DataFrame(out, columns=[by, "t", "edge_type", "height", "idx"])
 
-    return state.mapInPandas(run, f"{by} {kind}, t double, edge_type int, height double")
+    return state.mapInPandas(run, f"{by} {kind}, t double, edge_type int, height double, idx long")
 
 
 def run_hook(stream: DataFrame, folder: str, hook: Callable[[DataFrame, int], None]) -> None:

@@ -402,7 +402,7 @@ def test_streamed_edges_equal_the_batch_forms(spark, tmp_path, method):
     elif method == "linreg":
         want = detect.detect_linreg(df, ["series"], "idx", "v", 8.0, min_distance=20.0)
     else:
-        want = detect.detect_hysteresis(df, ["series"], "idx", "v", -8.0, 8.0, 3.0).withColumnRenamed("idx", "t")
+        want = detect.detect_hysteresis(df, ["series"], "idx", "v", -8.0, 8.0, 3.0).withColumn("t", F.col("idx"))
     assert len(got) > 10 and sorted((r.series, round(r.t, 6), r.edge_type) for r in got) == sorted((r.series, round(r.t, 6), r.edge_type) for r in want.collect())
 
 
