@@ -56,6 +56,22 @@ def small_batches(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int
             yield batch.slice(start)
 
 
+#: Copies of a row that are made in one place.
+COPIES = 4096
+
+
+def copies(df: DataFrame, n: str, keys: list[str], name: str, most: int = COPIES) -> DataFrame:
+    """Each row of df as often as its column n says (once at least), numbered from 0 in `name`.
+
+    Rows with large counts are cut into parts of `most` copies, which are dealt anew by keys (names that tell rows
+    apart) and part, so a row of any count neither is one task's work nor one array.
+    """
+    last = F.greatest(F.col(n), F.lit(1)) - 1
+    parts = df.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(last / most)))).repartition(*keys, "_part")
+    first = F.col("_part") * most
+    return parts.withColumn(name, F.explode(F.sequence(first, F.least(first + most - 1, last)))).drop("_part")
+
+
 def join_skewed(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int, share: int = 256) -> DataFrame:
     """rows left-joined with groups (one row per key, with its number of rows in `size`).
 

@@ -166,7 +166,9 @@ def blocks_table(rows: DataFrame, pivots: dict[int, tuple[np.ndarray, np.ndarray
             yield out()
 
     placed = rows.mapInArrow(place, "vec_id long, v array<double>, width int, nearest int, along double")
-    order = ["width", "nearest", "along", "vec_id"]
+    # Rows that repeat all of these, as a hot vec_id does, are told apart by where they stood, so a range can end among them.
+    placed = placed.withColumn("place", F.monotonically_increasing_id())
+    order = ["width", "nearest", "along", "vec_id", "place"]
     ranged = placed.repartitionByRange(max(1, -(-total // shard)), *order).sortWithinPartitions(*order)
     return saved(ranged.select("vec_id", "v", "width", "nearest").mapInArrow(cut, "ids binary, x binary, width int"), "blocks")
 

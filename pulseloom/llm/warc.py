@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import join_skewed, new_path, saved
+from .common import copies, join_skewed, new_path, saved
 
 #: The skippable frame's magic number of dictionaries, and the profile of revisits.
 DICTIONARY_MAGIC = 0x184D2A5D
@@ -241,7 +241,8 @@ def with_revisits(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
     each = tied.groupBy("same", "page_id", "url", "size", "payload_digest").agg(F.count("*").alias("n"))
     first = one.select(F.col("same").alias("_same"), F.col("url").alias("_url"))
     rest = each.join(first, F.col("same") == F.col("_same")).withColumn("n", F.col("n") - F.col("url").eqNullSafe(F.col("_url")).cast("int")).where("n > 0")
-    rest = rest.select("page_id", "url", F.lit(None).cast("string").alias("html"), "size", "payload_digest", F.lit("revisit").alias("kind"), F.col("page_id").alias("refers_to"), F.lit(True).alias("shared"), F.explode(F.sequence(F.lit(1), F.col("n"))))
+    rest = copies(rest, "n", ["payload_digest", "url"], "_copy")
+    rest = rest.select("page_id", "url", F.lit(None).cast("string").alias("html"), "size", "payload_digest", F.lit("revisit").alias("kind"), F.col("page_id").alias("refers_to"), F.lit(True).alias("shared"))
     responses = one.withColumn("kind", F.lit("response")).withColumn("refers_to", F.lit(None).cast("long")).withColumn("shared", F.lit(True))
     return plain.where("tops is null or tops = 1 or not top").select(out).unionByName(responses.select(out)).unionByName(rest.select(out))
 

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pulseloom.llm import exact_topk, html_text, license_scan, media_columns, mixing, near_dedup, packing, quality, queries, url_filter, warc
+from pulseloom.llm import common, exact_topk, html_text, license_scan, media_columns, mixing, near_dedup, packing, quality, queries, url_filter, warc
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 #: Columns whose names clash with those the operators make.
@@ -797,3 +797,29 @@ def test_near_duplicates_with_small_parts_and_rounds(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "SETS", 4000)
     monkeypatch.setattr(near_dedup, "MOST_LOCAL_LINKS", 5)
     check_components(spark, near_copies(4, 2, 25))
+
+
+def test_copies_of_a_row_are_spread(spark):
+    df = spark.createDataFrame([("hot", 20_001), ("one", 1), ("none", 0), ("some", 99)], "key string, n long")
+    got = common.copies(df, "n", ["key"], "copy", 100)
+    assert {(r.key, r["count"], r.low, r.high) for r in got.groupBy("key").agg(F.count("*").alias("count"), F.min("copy").alias("low"), F.max("copy").alias("high")).collect()} == {("hot", 20_001, 0, 20_000), ("one", 1, 0, 0), ("none", 1, 0, 0), ("some", 99, 0, 98)}
+    assert got.select("key", "copy").distinct().count() == 20_001 + 101
+    spread = common.copies(df.repartition(1), "n", ["key"], "copy", 100).repartition(8, "key", F.expr("copy div 100"))
+    assert spread.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0] < 20_001 / 2
+
+
+def test_a_hot_vector_is_cut_into_shards(spark):
+    # A third of all rows repeat one vec_id and vector.
+    random = np.random.default_rng(4)
+    rows = [(7 if k % 3 == 0 else 1000 + k, [1.0, 2.0, 3.0] if k % 3 == 0 else random.normal(0, 9, 3).tolist()) for k in range(9000)]
+    df = spark.createDataFrame(rows, "vec_id long, v array<double>")
+    blocks = exact_topk.blocks_table(df, {}, len(rows), 64, 500)
+    largest = blocks.groupBy(F.input_file_name()).agg(F.sum(F.length("ids") / 8).alias("rows")).agg(F.max("rows")).first()[0]
+    assert largest < 3 * 500
+    assert blocks.agg(F.sum(F.length("ids") / 8)).first()[0] == len(rows)
+
+
+def test_many_equal_pages_have_one_response(spark, tmp_path):
+    html = "<p>" + words(400, 1) + "</p>"
+    got = warc.archive_pages(pages(spark, [(5, "http://a.b/", html)] * 60 + [(4, "http://a.b/", html)]), "file://" + str(tmp_path / "w")).collect()
+    assert sorted(map(str, ((r.page_id, r.record_type, r.refers_to) for r in got))) == sorted(map(str, [(5, "response", None)] + [(5, "revisit", 5)] * 59 + [(4, "revisit", 5)]))
