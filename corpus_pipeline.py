@@ -41,7 +41,8 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     named = known.select("doc_id", "_dedup_row").join(classes, "_dedup_row")
     # Combined before the shuffle, so a class of any size costs a row a task.
     kept = saved(named.groupBy("component_id").agg(F.min(F.struct("doc_id", "_dedup_row")).alias("r")).select("r._dedup_row"), "kept")
-    return rows.join(kept, "_dedup_row", "left_semi").select(docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
+    # A merge join at every size: what stays grows with the documents and is never sent to all tasks.
+    return rows.join(kept.hint("merge"), "_dedup_row", "left_semi").select(docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
