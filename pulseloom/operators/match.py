@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -336,11 +336,31 @@ def align_common_start(a: DataFrame, b: DataFrame, t: str) -> tuple[DataFrame, D
     return cut_a, cut_b, first.select("common_start", (F.col("common_start") - F.col("a0")).alias("skipped_a"), (F.col("common_start") - F.col("b0")).alias("skipped_b"))
 
 
-def annotate(telemetry: DataFrame, spans: DataFrame, t: str, width: float = 86_400_000_000) -> DataFrame:
-    """telemetry rows that lie in a span (experiment, t_from, t_to), with its name, for any number of spans.
+#: A span covers at least so many whole cells of its level, and at most twice as many.
+CELLS = 16
 
-    A hash join: spans are cut into time buckets of `width`, and a row meets those of its own bucket only.
+
+def _level(length: Column) -> Column:
+    """The power of two that a span's cells are wide: so that CELLS of them are no longer than the span."""
+    steps = F.array(*[F.lit(CELLS << k).cast("long") for k in range(1, 58)])
+    return F.size(F.filter(steps, lambda x: x <= length))
+
+
+def span_cells(spans: DataFrame) -> DataFrame:
+    """spans(..., t_from, t_to) once for each cell of its level that it touches, at most 2 CELLS + 1 of them whatever its length; _level, _cell."""
+    placed = spans.where("t_from < t_to").withColumn("_level", _level(F.col("t_to") - F.col("t_from")))
+    return placed.withColumn("_cell", F.explode(F.sequence(F.expr("shiftright(t_from, _level)"), F.expr("shiftright(t_to - 1, _level)"))))
+
+
+def annotate(telemetry: DataFrame, spans: DataFrame, t: str) -> DataFrame:
+    """telemetry rows that lie in a span (experiment, t_from, t_to), with its name, for any number of spans of any lengths.
+
+    A hash join on dyadic cells: a span lies in a few cells as wide as a part of it, a row in one cell of each width
+    that spans have, of which there are fewer than 64. A row and a span meet in one cell at most. Rows without a time
+    and empty spans meet nothing.
     """
-    cut = spans.where("t_from < t_to").withColumn("_near", F.explode(F.sequence(bucket_of("t_from", width), bucket_of("t_to", width))))
-    met = telemetry.withColumn("_bucket", bucket_of(t, width)).join(cut, (F.col("_bucket") == F.col("_near")) & (F.col(t) >= F.col("t_from")) & (F.col(t) < F.col("t_to")))
-    return met.drop("_bucket", "_near", "t_from", "t_to")
+    cut = span_cells(spans.withColumns({c: F.col(c).cast("long") for c in ("t_from", "t_to")}))
+    levels = sorted(r[0] for r in cut.select("_level").distinct().collect())
+    near = telemetry.withColumn("_at", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.shiftright(F.col(t).cast("long"), k).alias("c")) for k in levels] or [F.struct(F.lit(-1).alias("k"), F.lit(0).cast("long").alias("c"))])))
+    met = near.join(cut, (F.col("_at.k") == F.col("_level")) & (F.col("_at.c") == F.col("_cell")) & (F.col(t) >= F.col("t_from")) & (F.col(t) < F.col("t_to")))
+    return met.drop("_at", "_level", "_cell", "t_from", "t_to")

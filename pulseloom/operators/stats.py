@@ -149,6 +149,34 @@ def online_stats(df: DataFrame, v: str, by: list[str]) -> DataFrame:
     return exact_quantiles(df, v, by, QUANTILES, discrete=True, also=moments)
 
 
+def reservoir(df: DataFrame, v: str, by: list[str], unique: list[str], size: int) -> DataFrame:
+    """The rows of df with a value whose hash of `unique` (what tells rows apart) is among the `size` smallest of their group.
+
+    A uniform sample that doesn't depend on the order of rows, and merges: the smallest of several parts' reservoirs
+    are the reservoir of all. Each task passes `size` rows of a group on at most. Rows that repeat `unique` are told
+    apart by their value.
+    """
+    order = Window.partitionBy(*by).orderBy(F.md5(F.concat_ws(":", *[F.col(c).cast("string") for c in unique])), *unique, v)
+    kept = df.where(F.col(v).isNotNull()).withColumn("_place", F.row_number().over(order))
+    return kept.where(F.col("_place") <= size).drop("_place")
+
+
+def reservoir_stats(df: DataFrame, v: str, by: list[str], unique: list[str], size: int = 10_000) -> DataFrame:
+    """by..., n, mean, std, min, max of all rows, and of a reservoir its size, p50..p999 and the largest deviation from the mean.
+
+    Percentiles pick the value at index int(size p) of the sorted reservoir, without interpolation. Moments merge as
+    sums do; the reservoir, of at most `size` values a group, is sorted in one array.
+    """
+    moments = df.where(F.col(v).isNotNull()).groupBy(*by).agg(F.count("*").alias("n"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"))
+    sample = reservoir(df, v, by, unique, size).groupBy(*by).agg(F.sort_array(F.collect_list(F.col(v).cast("double"))).alias("_all"))
+    group = [F.struct(*by).alias("_g")] if by else [F.lit(0).alias("_g")]
+    met = moments.select("*", *group).join(sample.select(*group, "_all").withColumnRenamed("_g", "_h"), F.col("_g") == F.col("_h"))
+    held = F.size("_all")
+    picks = [F.get("_all", F.least(F.floor(held * F.lit(q)).cast("int"), held - 1)).alias(name) for name, q in QUANTILES.items()]
+    far = F.greatest(F.abs(F.get("_all", F.lit(0)) - F.col("mean")), F.abs(F.get("_all", held - 1) - F.col("mean")))
+    return met.select(*by, "n", "mean", "std", "min", "max", held.alias("held"), *picks, far.alias("max_dev"))
+
+
 def session_stats(df: DataFrame, by: list[str], rtt: str = "rtt", rssi: str = "rssi") -> DataFrame:
     """by..., n, and truncated average, min, max of rtt and rssi (64-bit division as in C)."""
     out = []

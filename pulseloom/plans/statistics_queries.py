@@ -100,6 +100,18 @@ def period_diff(spark: SparkSession, d: str) -> DataFrame:
     return a.join(b, "position").select("position", ((F.col("pb") - F.col("pa")) * 1000).alias("diff_ns"))
 
 
+RESERVOIR = 500
+
+
+@query("online_reservoir", f"""WITH r AS (SELECT *, row_number() OVER (PARTITION BY l_returnflag ORDER BY md5(l_orderkey || ':' || l_linenumber), l_orderkey, l_linenumber) AS place FROM lineitem),
+ m AS (SELECT l_returnflag, count(*) AS n, avg(l_extendedprice) AS mean, min(l_extendedprice) AS min, max(l_extendedprice) AS max FROM lineitem GROUP BY 1), s AS (SELECT l_returnflag, list(l_extendedprice ORDER BY l_extendedprice) AS a FROM r WHERE place <= {RESERVOIR} GROUP BY 1)
+ SELECT l_returnflag, n, round(mean, 4) AS mean, min, max, CAST(len(a) AS INTEGER) AS held, {", ".join(f"a[CAST(floor(len(a) * {q}) AS INTEGER) + 1] AS {name}" for name, q in stats.QUANTILES.items())}, round(greatest(abs(a[1] - mean), abs(a[-1] - mean)), 4) AS max_dev FROM m JOIN s USING (l_returnflag)""")
+def online_reservoir(spark: SparkSession, d: str) -> DataFrame:
+    """Moments of all prices, percentiles of a bounded sample."""
+    out = stats.reservoir_stats(read(spark, d, "lineitem"), "l_extendedprice", ["l_returnflag"], ["l_orderkey", "l_linenumber"], RESERVOIR).drop("std")
+    return out.withColumn("mean", F.round("mean", 4)).withColumn("max_dev", F.round("max_dev", 4))
+
+
 @query("online_stats", "SELECT l_returnflag, count(*) AS n, round(avg(l_extendedprice), 4) AS mean, round(stddev_pop(l_extendedprice), 4) AS std, min(l_extendedprice) AS min, max(l_extendedprice) AS max FROM lineitem GROUP BY 1")
 def online_stats(spark: SparkSession, d: str) -> DataFrame:
     out = stats.online_stats(read(spark, d, "lineitem"), "l_extendedprice", ["l_returnflag"]).select("l_returnflag", "n", "mean", "std", "min", "max")

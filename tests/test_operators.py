@@ -406,6 +406,37 @@ def test_streamed_edges_equal_the_batch_forms(spark, tmp_path, method):
     assert len(got) > 10 and sorted((r.series, round(r.t, 6), r.edge_type) for r in got) == sorted((r.series, round(r.t, 6), r.edge_type) for r in want.collect())
 
 
+def test_reservoirs_merge(spark):
+    rng = random.Random(12)
+    rows = [(rng.choice(["a", "b", None]), k, float(rng.randrange(1000))) for k in range(900)] + [("a", 1000, None)]
+    df = spark.createDataFrame(rows, "g string, id long, v double")
+    whole = stats.reservoir(df, "v", ["g"], ["id"], 50)
+    parts = [stats.reservoir(df.where(F.col("id") % 3 == k), "v", ["g"], ["id"], 50) for k in range(3)]
+    merged = stats.reservoir(parts[0].unionByName(parts[1]).unionByName(parts[2]), "v", ["g"], ["id"], 50)
+    assert sorted(map(tuple, merged.collect()), key=str) == sorted(map(tuple, whole.collect()), key=str)
+    assert whole.count() == 150
+    for r in stats.reservoir_stats(df, "v", ["g"], ["id"], 50).collect():
+        held, every = sorted(x.v for x in whole.collect() if x.g == r.g), [v for g, _, v in rows if g == r.g and v is not None]
+        assert (r.n, r.held, r.min, r.max) == (len(every), 50, min(every), max(every)) and abs(r.mean - sum(every) / len(every)) < 1e-9
+        assert [r.p50, r.p95, r.p99, r.p999] == [held[int(50 * q)] for q in (0.5, 0.95, 0.99, 0.999)]
+        assert abs(r.max_dev - max(abs(v - r.mean) for v in held)) < 1e-9
+    assert "WindowGroupLimit" in whole._jdf.queryExecution().executedPlan().toString()
+
+
+def test_spans_of_any_length_take_few_cells(spark):
+    rng = random.Random(6)
+    year = 365 * 86_400_000_000
+    spans = [("ten years", -3 * year, 7 * year), ("instant", 5, 6), ("empty", 9, 9), ("back", 9, 3)] + [(f"s{k}", a, a + rng.choice([1, 3, 17, 1000, 10**9, 10**13])) for k in range(60) for a in [rng.randrange(-(10**14), 10**14)]]
+    frame = spark.createDataFrame(spans, "experiment string, t_from long, t_to long")
+    cells = match.span_cells(frame).groupBy("experiment").count().collect()
+    assert max(r["count"] for r in cells) < 64
+    times = [5, 6, -3 * year, 7 * year - 1, 7 * year, 0, None] + [a + d for _, a, b in spans for d in (-1, 0, b - a - 1, b - a)]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(times)], "id long, us long")
+    got = sorted((r.id, r.experiment) for r in match.annotate(rows, frame, "us").collect())
+    assert got == sorted((k, n) for k, t in enumerate(times) if t is not None for n, a, b in spans if a <= t < b)
+    assert match.annotate(rows, frame.limit(0), "us").count() == 0
+
+
 def test_a_silent_key_is_decided_by_the_clock_of_all(spark, tmp_path):
     from pulseloom.streaming import streams
 
