@@ -19,13 +19,14 @@ def bucket_key(by: list[str], order: str, width: float) -> Column:
     return F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(by)], bucket_of(order, width).alias("b"))
 
 
-def prefix(df: DataFrame, by: list[str], order: list[str], width: float, sums: dict[str, str] | None = None, lags: dict[str, str] | None = None, rn: str | None = None, leads: dict[str, str] | None = None, tops: dict[str, str] | None = None) -> DataFrame:
-    """df with running sums and maxima {new: column}, values of the row before or after {new: column}, and row numbers from 1.
+def prefix(df: DataFrame, by: list[str], order: list[str], width: float, sums: dict[str, str] | None = None, lags: dict[str, str] | None = None, rn: str | None = None, leads: dict[str, str] | None = None, tops: dict[str, str] | None = None, lasts: dict[str, str] | None = None) -> DataFrame:
+    """df with running sums and maxima {new: column}, values of the row before or after {new: column}, the last values of
+    the rows before that aren't null {new: column}, and row numbers from 1.
 
     order[0] is numeric and cut into buckets of `width`; order ends with a unique column. The bucket summaries are the
     buckets' own last (and first) rows as scanned, so both sides of the join back read one shuffle of df.
     """
-    sums, lags, leads, tops = sums or {}, lags or {}, leads or {}, tops or {}
+    sums, lags, leads, tops, lasts = sums or {}, lags or {}, leads or {}, tops or {}, lasts or {}
     own = df.columns
     cut = df.withColumn("_k", bucket_key(by, order[0], width))
     inside = Window.partitionBy("_k").orderBy(*order)
@@ -35,6 +36,7 @@ def prefix(df: DataFrame, by: list[str], order: list[str], width: float, sums: d
     exprs += [F.lag(c).over(inside).alias(f"_l_{n}") for n, c in lags.items()]
     exprs += [F.lead(c).over(inside).alias(f"_d_{n}") for n, c in leads.items()]
     exprs += [F.max(c).over(upto).alias(f"_m_{n}") for n, c in tops.items()]
+    exprs += [F.last(c, ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, -1)).alias(f"_p_{n}") for n, c in lasts.items()]
     scanned = cut.select("*", *exprs)
     ends = scanned.groupBy("_k").agg(F.max_by(F.struct("*"), "_rn").alias("_e"), F.min_by(F.struct(*own), "_rn").alias("_f"))
     over = Window.partitionBy(*[F.col(f"_k.k{i}") for i in range(len(by))]).orderBy("_k.b")
@@ -45,12 +47,14 @@ def prefix(df: DataFrame, by: list[str], order: list[str], width: float, sums: d
         F.col("_e._rn").alias("_n1"),
         *[F.coalesce(F.sum(f"_e._s_{n}").over(before), F.lit(0)).alias(f"_t0_{n}") for n in sums],
         *[F.max(f"_e._m_{n}").over(before).alias(f"_m0_{n}") for n in tops],
+        *[F.last(F.coalesce(f"_e.{c}", f"_e._p_{n}"), ignorenulls=True).over(before).alias(f"_p0_{n}") for n, c in lasts.items()],
         *[F.lag(f"_e.{c}").over(over).alias(f"_e0_{n}") for n, c in lags.items()],
         *[F.lead(f"_f.{c}").over(over).alias(f"_f0_{n}") for n, c in leads.items()],
     )
     out = scanned.join(starts, F.col("_k") == F.col("_j"))
     made = [(F.col(f"_s_{n}") + F.col(f"_t0_{n}")).alias(n) for n in sums]
     made += [F.greatest(f"_m_{n}", f"_m0_{n}").alias(n) for n in tops]
+    made += [F.coalesce(f"_p_{n}", f"_p0_{n}").alias(n) for n in lasts]
     made += [F.when(F.col("_rn") == 1, F.col(f"_e0_{n}")).otherwise(F.col(f"_l_{n}")).alias(n) for n in lags]
     made += [F.when(F.col("_rn") == F.col("_n1"), F.col(f"_f0_{n}")).otherwise(F.col(f"_d_{n}")).alias(n) for n in leads]
     made += [(F.col("_rn") + F.col("_n0")).alias(rn)] if rn else []

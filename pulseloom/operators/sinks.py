@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .scale import prefix
@@ -62,16 +62,16 @@ def annotations_import(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
 
-def experiment_log(cmds: DataFrame, by: list[str]) -> DataFrame:
+def experiment_log(cmds: DataFrame, by: list[str], width: float = 65536) -> DataFrame:
     """by..., ord, step, experiment, type, description of a log of commands(by..., ord, type, experiment, description).
 
     A start while another experiment is active first stops that one. Events and stops belong to the active
-    experiment, or to `unnamed`. Names with a backslash are rejected.
+    experiment, or to `unnamed`. Names with a backslash are rejected. The state before each command is found in two
+    levels, by buckets of `width` of ord, which is numeric and differs within a key: no key is one task.
     """
     good = cmds.where(~F.coalesce(F.contains("experiment", F.lit("\\")), F.lit(False)) & ~F.coalesce(F.contains("description", F.lit("\\")), F.lit(False)))
     state = F.when(F.col("type") == "start", F.struct(F.col("experiment").alias("name"))).when(F.col("type") == "stop", F.struct(F.lit(None).cast("string").alias("name")))
-    before = Window.partitionBy(*by).orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
-    rows = good.withColumn("_active", F.last(state, ignorenulls=True).over(before)["name"])
+    rows = prefix(good.withColumn("_set", state), by, ["ord"], width, lasts={"_state": "_set"}).withColumn("_active", F.col("_state.name"))
     own = rows.select(*by, F.col("ord"), F.lit(1).alias("step"), F.when(F.col("type") == "start", F.col("experiment")).otherwise(F.coalesce("_active", F.lit("unnamed"))).alias("experiment"), "type", F.coalesce("description", F.lit("")).alias("description"))
     stops = rows.where("type = 'start' and _active is not null").select(*by, "ord", F.lit(0).alias("step"), F.col("_active").alias("experiment"), F.lit("stop").alias("type"), F.lit("auto").alias("description"))
     return own.unionByName(stops)

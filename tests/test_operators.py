@@ -406,6 +406,27 @@ def test_streamed_edges_equal_the_batch_forms(spark, tmp_path, method):
     assert len(got) > 10 and sorted((r.series, round(r.t, 6), r.edge_type) for r in got) == sorted((r.series, round(r.t, 6), r.edge_type) for r in want.collect())
 
 
+@pytest.mark.parametrize("width", [1, 37, 5000, 10**9])
+def test_command_logs_equal_a_plain_loop(spark, width):
+    rng = random.Random(13)
+    rows = [(key, k, rng.choices(["start", "stop", "event"], [1, 1, 6])[0], rng.choice(["x", "y", "bad\\name", None]), rng.choice([None, "d"])) for key in ("a", None, "b") for k in rng.sample(range(5000), 1000)]
+    rows += [("late", 5, "event", "x", None), ("late", 4000, "start", "x", None), ("late", 4999, "event", "y", "d")]
+    want = []
+    for key in ("a", None, "b", "late"):
+        active = None
+        for _, k, kind, name, text in sorted((r for r in rows if r[0] == key), key=lambda r: r[1]):
+            if name and "\\" in name:
+                continue
+            if kind == "start" and active is not None:
+                want.append((key, k, 0, active, "stop", "auto"))
+            want.append((key, k, 1, name if kind == "start" else active or "unnamed", kind, text or ""))
+            active = name if kind == "start" else None if kind == "stop" else active
+    log = sinks.experiment_log(spark.createDataFrame(rows, "device string, ord long, type string, experiment string, description string").repartition(4), ["device"], width)
+    assert sorted(map(tuple, log.collect()), key=str) == sorted(want, key=str)
+    windows = [line.split("windowspecdefinition(")[1] for line in log._jdf.queryExecution().optimizedPlan().toString().splitlines() if "_set" in line and "windowspecdefinition(" in line]
+    assert windows and all("_k#" in w.split(" ASC")[0] for w in windows)
+
+
 def test_reservoirs_merge(spark):
     rng = random.Random(12)
     rows = [(rng.choice(["a", "b", None]), k, float(rng.randrange(1000))) for k in range(900)] + [("a", 1000, None)]
