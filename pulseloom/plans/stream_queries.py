@@ -332,6 +332,16 @@ def stream_route(spark: SparkSession, d: str) -> DataFrame:
     return routed.select("topic", "payload", "arrival", "measurement", "bucket")
 
 
+@query("stream_stamped", f"WITH {EV} SELECT event_id, 'fts_ts/dev' || device || '/' || event_type AS topic, CASE WHEN k < 50 THEN us * 1000 END AS own_ns, k < 50 OR k IS NULL AS has_own FROM ev")
+def stream_stamped(spark: SparkSession, d: str) -> DataFrame:
+    """Messages stamped as they arrive; those with a time of their own keep it, the others have their arrival."""
+    own = F.coalesce(F.col("k") < 50, F.lit(True))
+    e = events(spark, d).select("event_id", F.format_string("fts/dev%d/%s", "device", "event_type").alias("topic"), F.when(own, F.to_json(F.struct((F.col("us") / 1e6).alias("ts")))).otherwise(F.lit("{}")).alias("payload"))
+    out = streams.run_stamped(_stream(spark, e, "raw"), shared.new_folder(spark, "stamped"))
+    kept = F.col("t_ns") != F.col("arrival")
+    return out.select("event_id", "topic", F.when(kept, F.col("t_ns")).alias("own_ns"), kept.alias("has_own"))
+
+
 @query("stream_dedup", f"WITH {EV} SELECT event_id, us, value FROM ev")
 def stream_dedup(spark: SparkSession, d: str) -> DataFrame:
     e = events(spark, d).select("event_id", F.timestamp_micros("us").alias("ts"), "value")

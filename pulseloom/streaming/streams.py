@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.match import match
+from ..sources import telemetry
 
 
 def stream_match(edges: DataFrame, by: str, tol_us: int, hold_back_us: int, grace_us: int | None = None) -> DataFrame:
@@ -234,6 +237,32 @@ def run_hook(stream: DataFrame, folder: str, hook: Callable[[DataFrame, int], No
     stream.writeStream.foreachBatch(hook).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
 
 
+def run_stamped(stream: DataFrame, folder: str, clock: Callable[[], int] = time.time_ns) -> DataFrame:
+    """Stamps each batch of a stream of raw messages(topic, payload, ...) with its arrival, once, and returns all so far.
+
+    Returns the messages as stamp_arrival makes them (an event's own time is kept), with `arrival` in ns and `batch`. A
+    batch's stamp is written before its rows, and is later than that of the batch before whatever the clock says: what
+    is run again after a stop keeps its stamps, so ordering by arrival replays the messages as they came.
+    """
+    spark = stream.sparkSession
+
+    def stamp_of(number: int) -> int | None:
+        try:
+            return spark.read.schema("stamp long").parquet(f"{folder}/stamps/batch={number}").agg(F.max("stamp")).first()[0]
+        except AnalysisException:
+            return None
+
+    def put(batch: DataFrame, number: int) -> None:
+        stamp = stamp_of(number)
+        if stamp is None:
+            stamp = max(clock(), (stamp_of(number - 1) or 0) + 1)
+            spark.createDataFrame([(stamp,)], "stamp long").coalesce(1).write.mode("overwrite").parquet(f"{folder}/stamps/batch={number}")
+        telemetry.stamp_arrival(batch, F.lit(stamp)).withColumn("arrival", F.lit(stamp)).write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
+
+    stream.writeStream.foreachBatch(put).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.option("basePath", f"{folder}/out").parquet(f"{folder}/out")
+
+
 def stream_dedup(edges: DataFrame, keys: list[str], ts: str, lateness: str) -> DataFrame:
     """Edges that overlapping chunks deliver twice, once."""
     return edges.withWatermark(ts, lateness).dropDuplicatesWithinWatermark(keys)

@@ -427,6 +427,34 @@ def test_command_logs_equal_a_plain_loop(spark, width):
     assert windows and all("_k#" in w.split(" ASC")[0] for w in windows)
 
 
+def test_arrivals_are_stamped_once(spark, tmp_path):
+    from pulseloom.streaming import streams
+
+    source, times = str(tmp_path / "in"), iter([500, 400, 900, 950, 990, 999])
+
+    def arrive(first, n):
+        rows = [(k, "fts/d1/x", '{"ts": 1.5}' if k % 2 else "{}") for k in range(first, first + n)]
+        spark.createDataFrame(rows, "id long, topic string, payload string").coalesce(1).write.mode("append").parquet(source)
+
+    def run(folder):
+        stream = spark.readStream.schema("id long, topic string, payload string").option("maxFilesPerTrigger", 1).parquet(source)
+        return sorted(map(tuple, streams.run_stamped(stream, str(tmp_path / folder), lambda: next(times)).select("id", "topic", "t_ns", "arrival").collect()))
+
+    arrive(0, 4)
+    arrive(4, 2)
+    first = run("a")
+    # The clock went back, the stamps don't.
+    assert [r[3] for r in first] == [500] * 4 + [501] * 2
+    assert [r[2] for r in first] == [500, 1_500_000_000, 500, 1_500_000_000, 501, 1_500_000_000] and {r[1] for r in first} == {"fts_ts/d1/x"}
+    # Stopped between the stamp of the last batch and its commit: run again, it keeps its stamp; new ones follow.
+    for name in ("1", ".1.crc"):
+        (tmp_path / "a/state/commits" / name).unlink(missing_ok=True)
+    shutil.rmtree(tmp_path / "a/out/batch=1")
+    arrive(6, 3)
+    again = run("a")
+    assert again[:6] == first and [r[3] for r in again[6:]] == [900] * 3
+
+
 def test_reservoirs_merge(spark):
     rng = random.Random(12)
     rows = [(rng.choice(["a", "b", None]), k, float(rng.randrange(1000))) for k in range(900)] + [("a", 1000, None)]
