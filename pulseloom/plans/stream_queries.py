@@ -122,6 +122,16 @@ def src_iq_skip(spark: SparkSession, d: str) -> DataFrame:
     return binary.read_iq(spark, _written(_channels(e), shared.new_folder(spark, "iq"), "capture{}.bin", lambda r: struct.pack(_IQ, *r), channels=True), 2, 10).select("idx", "a")
 
 
+@query("src_lines", f"WITH {EV}, c AS (SELECT user_id % {CHANNELS} AS channel, event_id, k, row_number() OVER (PARTITION BY user_id % {CHANNELS} ORDER BY event_id) - 1 AS line_no FROM ev) SELECT channel, line_no, 'I (' || event_id || ') FTM,' || k AS line FROM c WHERE event_id % 5 > 0")
+def src_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Console logs, one file a channel, with every fifth line empty."""
+    folder = shared.new_folder(spark, "lines")
+    line = F.when(F.col("event_id") % 5 > 0, F.format_string("I (%d) FTM,%d", "event_id", "k")).otherwise(F.lit(""))
+    e = events(spark, d).select((F.col("user_id") % CHANNELS).alias("channel"), "event_id", line.alias("value"))
+    e.repartition(CHANNELS, "channel").sortWithinPartitions("channel", "event_id").drop("event_id").write.partitionBy("channel").text(folder)
+    return logs.read_lines(spark, folder).select(F.regexp_extract("file", r"channel=(\d+)/", 1).cast("long").alias("channel"), "line_no", "line")
+
+
 @query("src_meta", "SELECT CAST(2e6 AS DOUBLE) AS sample_rate, count(*) AS samples, CAST(10000000 AS BIGINT) AS freq FROM events")
 def src_meta(spark: SparkSession, d: str) -> DataFrame:
     folder = shared.new_folder(spark, "meta")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: The fields of the session record, and of the other console records, with their types.
@@ -16,9 +16,17 @@ RECORDS = {
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """file, line_no, line of text files; lines of a file are numbered in order, one file at a time per task."""
-    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), F.posexplode(F.split(F.decode("content", F.lit("UTF-8")), "\r?\n")).alias("line_no", "line"))
-    return files.where("line <> ''")
+    """file, line_no (from 0), line of the lines of text files that aren't empty; empty ones are counted.
+
+    A file is read block by block: lines are numbered within their block, and the blocks before it are added, so files of
+    any size are split.
+    """
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id"), F.col("value").alias("line"))
+    placed = lines.withColumn("_n", F.row_number().over(Window.partitionBy("file", "_block").orderBy("_id")))
+    sizes = placed.groupBy("file", "_block").agg(F.max("_n").alias("_size"))
+    before = F.coalesce(F.sum("_size").over(Window.partitionBy("file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select("file", "_block", before.alias("_before"))
+    return placed.join(starts, ["file", "_block"]).where("line <> ''").select("file", (F.col("_n") + F.col("_before") - 1).alias("line_no"), "line")
 
 
 def parse_ftm_log(lines: DataFrame) -> DataFrame:

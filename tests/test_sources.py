@@ -8,7 +8,7 @@ import struct
 import pytest
 from pyspark.sql import functions as F
 
-from pulseloom.sources import binary
+from pulseloom.sources import binary, logs
 from pulseloom.streaming import streams
 
 
@@ -80,3 +80,21 @@ def test_tail_is_bounded_and_goes_on(spark, tmp_path):
         f.write(b"half")
     got = streams.run_tail(binary.tail_edges(spark, str(data), 10, f"{folder}/progress"), folder, timeout=15)
     assert got.count() == 120 and got.select("channel", "rec").distinct().count() == 120
+
+
+def test_lines_are_numbered_across_blocks(spark, tmp_path):
+    rng, want = random.Random(3), {}
+    for name in ("a.log", "b.log"):
+        lines = ["" if rng.random() < 0.2 else f"{name} {k} " + "x" * rng.randrange(200) for k in range(400)]
+        (tmp_path / name).write_text(("\r\n" if name == "b.log" else "\n").join(lines) + "\n")
+        want |= {(name, k): line for k, line in enumerate(lines) if line}
+    (tmp_path / "empty.log").write_text("")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+        df = logs.read_lines(spark, str(tmp_path))
+        assert df.rdd.getNumPartitions() >= 1 and spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 10
+        got = {(r.file.rsplit("/", 1)[1], r.line_no): r.line for r in df.collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert got == want
