@@ -54,4 +54,11 @@ def register(spark: SparkSession) -> None:
     spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION phase_degrees(delay_s DOUBLE, freq DOUBLE) RETURNS DOUBLE RETURN delay_s * freq * 360")
     spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION rtt_ps(t1 BIGINT, t2 BIGINT, t3 BIGINT, t4 BIGINT) RETURNS BIGINT RETURN (t4 - t1) - (t3 - t2)")
     spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION remote_time(t1 BIGINT, rtt BIGINT) RETURNS BIGINT RETURN t1 + rtt div 2")
+    # The time at half the peak by least squares through points, the middle point's where no line fits.
+    spark.sql("""CREATE OR REPLACE TEMPORARY FUNCTION regress_time(trigger BIGINT, peak DOUBLE, points ARRAY<STRUCT<off: INT, v: DOUBLE>>) RETURNS DOUBLE RETURN aggregate(points,
+        named_struct('n', 0D, 'sx', 0D, 'sy', 0D, 'sxy', 0D, 'sxx', 0D),
+        (s, p) -> named_struct('n', s.n + 1, 'sx', s.sx + p.off, 'sy', s.sy + p.v, 'sxy', s.sxy + p.off * p.v, 'sxx', s.sxx + CAST(p.off AS DOUBLE) * p.off),
+        s -> CASE WHEN s.n >= 2 AND abs(s.n * s.sxx - s.sx * s.sx) >= 1e-12D AND abs((s.n * s.sxy - s.sx * s.sy) / (s.n * s.sxx - s.sx * s.sx)) >= 1e-12D
+             THEN trigger + (peak * 0.5D - (s.sy - (s.n * s.sxy - s.sx * s.sy) / (s.n * s.sxx - s.sx * s.sx) * s.sx) / s.n) / ((s.n * s.sxy - s.sx * s.sy) / (s.n * s.sxx - s.sx * s.sx))
+             ELSE trigger + CAST(coalesce(get(points, CAST(size(points) div 2 AS INT)).off, 0) AS DOUBLE) END)""")
     spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION unwrap_offset(us BIGINT) RETURNS DECIMAL(38,0) RETURN CAST(us AS DECIMAL(20,0)) * 1000000 - (CAST(us AS DECIMAL(20,0)) * 1000000 % {WRAP_PS}BD) % {SHORT_WRAP_PS}BD")

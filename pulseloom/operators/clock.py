@@ -28,7 +28,9 @@ def clock_model(df: DataFrame, by: list[str], order: list[str], session: str, x:
     e = y - x the slope less one and the residual keep their precision.
     """
     first = df.groupBy(*by).agg(F.min(x).alias("_x0"))
-    rows = df.join(first, by).withColumn("_x", (F.col(x) - F.col("_x0")).cast("long")).withColumn("_e", (F.col(y) - F.col(x)).cast("long"))
+    # Structs are equal where their nulls are, so a null key is a key.
+    key = F.struct(*by) if by else F.lit(0)
+    rows = df.withColumn("_own", key).join(first.select(key.alias("_key"), "_x0"), F.col("_own") == F.col("_key")).drop("_own", "_key").withColumn("_x", (F.col(x) - F.col("_x0")).cast("long")).withColumn("_e", (F.col(y) - F.col(x)).cast("long"))
     block = max(block, n)
     rows = prefix(rows, by, order, width, rn="_rn").withColumn("_block", F.expr(f"(_rn - 1) div {block}"))
     ahead = (F.col("_rn") - 1) % block >= block - n

@@ -455,6 +455,24 @@ def test_arrivals_are_stamped_once(spark, tmp_path):
     assert again[:6] == first and [r[3] for r in again[6:]] == [900] * 3
 
 
+def test_regression_has_a_name_in_sql(spark):
+    from pulseloom.functions import units
+
+    units.register(spark)
+    r = random.Random(9)
+    rows = [(k, float(r.randrange(1, 9)), [(o, float(r.randrange(-5, 6))) for o in range(r.randrange(0, 6))]) for k in range(60)] + [(7, 4.0, [(0, 2.0), (1, 2.0)]), (8, 4.0, [(3, 1.0), (3, 2.0)])]
+    df = spark.createDataFrame(rows, "trigger long, peak double, points array<struct<off:int,v:double>>")
+    for x in detect.regress_points(df, "trigger", "peak", "points").withColumn("named", F.expr("regress_time(trigger, peak, points)")).collect():
+        assert abs(x.t - x.named) < 1e-9
+
+
+def test_clock_models_of_a_null_key(spark):
+    rows = [(key, k, k // 50, 1000 * k, 1000 * k + k) for key in ("a", None) for k in range(100)]
+    df = spark.createDataFrame(rows, "device string, ord long, session long, x long, y long")
+    out = clock.clock_model(df, ["device"], ["ord"], "session", "x", "y").collect()
+    assert {(r.device, r.session, r.n) for r in out} == {(d, s, 50 * (s + 1)) for d in ("a", None) for s in (0, 1)}
+
+
 def test_reservoirs_merge(spark):
     rng = random.Random(12)
     rows = [(rng.choice(["a", "b", None]), k, float(rng.randrange(1000))) for k in range(900)] + [("a", 1000, None)]
