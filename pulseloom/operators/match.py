@@ -44,23 +44,16 @@ class _Nearest:
         self.steps = list(zip(near.tolist(), low_b.tolist(), high_b.tolist(), strict=True))
 
     def exits(self) -> list[int]:
-        """The state after the bucket for each state before it; ways that meet go on as one."""
-        out: list[int] = []
-        before: list[int] = []
-        for at in range(self.count):
-            now: list[int] = []
-            for k, (near, low, high) in enumerate(self.steps):
-                if before and before[k] == at:
-                    now += before[k:]
-                    at = out[-1]
-                    break
-                now.append(at)
-                c = max(near, at)
-                if low <= c < high:
-                    at = c + 1
-            before = now
-            out.append(at)
-        return [max(0, at - self.last) for at in out]
+        """The state after the bucket for each state before it.
+
+        None lies behind the last b within tol, so an a with any b within tol takes a state x to x + 1 between near + 1
+        and high: steps of this kind are one of them in the end, whatever their number.
+        """
+        moved, least, most = 0, 0, self.first
+        for near, low, high in self.steps:
+            if low < high:
+                moved, least, most = moved + 1, min(max(least, near) + 1, high), min(max(most, near) + 1, high)
+        return [max(0, min(max(at + moved, least), most) - self.last) for at in range(self.count)]
 
     def rows(self, entry: int) -> tuple[list[tuple], list[tuple]]:
         """Rows (t_a, t_b, status), and of b near a border (which one, number, t_b) those that this bucket's a leave alone."""
@@ -99,27 +92,20 @@ class _TwoPointer:
         self.edge = tuple(len(self.t[s]) - int((high & (side == s)).sum()) for s in (0, 1))
         self.count = self.start[0] + self.start[1] + 1
 
-    def _walk(self, entry: int, out: list[tuple] | None = None, before: list[tuple] | None = None) -> tuple[list[tuple], tuple | None]:
-        """The states (waiting side, its first row, next row of a, of b) before each row, up to where they were `before`; the last one."""
-        at, states, tol = list(self.start), [], self.tol
+    def _walk(self, entry: int, out: list[tuple]) -> None:
+        at, tol = list(self.start), self.tol
         wait, head = (0, at[0] - entry) if entry > 0 else (1, at[1] + entry)
-        for k, s in enumerate(self.events):
-            state = (wait, head) if head < at[wait] else (0, -1)
-            if before is not None and before[k] == state:
-                return states + before[k:], None
-            states.append(state)
+        for s in self.events:
             t = self.t[s][at[s]]
             if wait == s:
                 # Rows of its own side that are too old stay in line: they are dropped when the other side comes.
                 at[s] += 1
                 continue
             while head < at[wait] and self.t[wait][head] < t - tol:
-                if out is not None:
-                    out.append(self._alone(wait, head))
+                out.append(self._alone(wait, head))
                 head += 1
             if head < at[wait]:
-                if out is not None:
-                    out.append((self.t[wait][head], t, "matched") if wait == 0 else (t, self.t[wait][head], "matched"))
+                out.append((self.t[wait][head], t, "matched") if wait == 0 else (t, self.t[wait][head], "matched"))
                 head += 1
                 at[s] += 1
             else:
@@ -127,21 +113,33 @@ class _TwoPointer:
                 at[s] += 1
         # What lies further than tol before the end can meet nothing beyond it.
         while head < min(at[wait], self.edge[wait]):
-            if out is not None:
-                out.append(self._alone(wait, head))
+            out.append(self._alone(wait, head))
             head += 1
-        return states, (wait, at[wait] - head)
 
     def _alone(self, s: int, k: int) -> tuple:
         return (self.t[0][k], None, "unmatched_a") if s == 0 else (None, self.t[1][k], "unmatched_b")
 
     def exits(self) -> list[int]:
-        out: list[int] = []
-        before: list[tuple] | None = None
-        for entry in range(-self.start[1], self.start[0] + 1):
-            before, end = self._walk(entry, before=before)
-            out.append(out[-1] if end is None else end[1] if end[0] == 0 else -end[1])
-        return out
+        """The state after the bucket for each state before it.
+
+        A row of a takes a state x to x + 1 once the b that wait too long have left, so no more of them than lie within
+        tol; a row of b the other way. Steps of this kind are one of them in the end, whatever their number.
+        """
+        at, old, tol = list(self.start), [0, 0], self.tol
+        moved, least, most = 0, -self.start[1], self.start[0]
+        for s in self.events:
+            t, other = self.t[s][at[s]], self.t[1 - s]
+            while old[1 - s] < at[1 - s] and other[old[1 - s]] < t - tol:
+                old[1 - s] += 1
+            near = at[1 - s] - old[1 - s]
+            if s == 0:
+                moved, least, most = moved + 1, max(least, -near) + 1, max(most, -near) + 1
+            else:
+                moved, least, most = moved - 1, min(least, near) - 1, min(most, near) - 1
+            at[s] += 1
+        low, high = -(at[1] - min(at[1], self.edge[1])), at[0] - min(at[0], self.edge[0])
+        least, most = (min(max(x, low), high) for x in (least, most))
+        return [min(max(entry + moved, least), most) for entry in range(-self.start[1], self.start[0] + 1)]
 
     def rows(self, entry: int) -> tuple[list[tuple], list[tuple]]:
         out: list[tuple] = []
@@ -198,9 +196,10 @@ def match(a: DataFrame, b: DataFrame, ta: str, tb: str, tol: float, how: str = "
     a in order takes the nearest b behind the last one taken, so matched pairs never cross.
 
     The greedy ones are compositions of buckets of `width` (three tol at least): a bucket is summed up to the state
-    after it for each state it can be entered in, of which there are no more than rows within tol of its start; the
-    summaries are chained per key, and each bucket is gone through once more from its true state. No list holds more
-    than a bucket, whether the data have gaps or not. Rows without a time are dropped; null keys are a key.
+    after it for each state it can be entered in, of which there are no more than rows within tol of its start; each row
+    moves the state by one between two bounds, so a summary costs a pass however many states there are. The summaries
+    are chained per key, and each bucket is gone through once more from its true state. No list holds more than a
+    bucket, whether the data have gaps or not. Rows without a time are dropped; null keys are a key.
 
     Rejected rows carry the delay to the nearest b after the last one taken before them; without any they are left out.
     """
@@ -219,7 +218,7 @@ def match(a: DataFrame, b: DataFrame, ta: str, tb: str, tol: float, how: str = "
     keys = [*on, "bucket"]
 
     def with_key(done: list[tuple], types: list[pa.DataType], names: list[str]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done, strict=True) if done else [()] * len(names), [*arrow_keys, *types], strict=True)], [*on, *names])
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done, strict=True) if done else [()] * (len(on) + len(names)), [*arrow_keys, *types], strict=True)], [*on, *names])
 
     arrow_keys = [f.type for f in to_arrow_schema(a.select(*on).schema)] if on else []
 

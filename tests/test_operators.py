@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 import shutil
 
+import numpy as np
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -565,3 +566,40 @@ def test_arrival_stamps_keep_nanoseconds(spark):
     rows = [("fts/dev1/ftm", '{"ts": 1704067589.165274881}', 5), ("fts/dev1/ftm", '{"ts": 1.704067589165275E9}', 5), ("fts/dev1/ftm", "{}", 5), ("fts/dev1/ftm", '{"ts": "soon"}', 5)]
     got = telemetry.stamp_arrival(spark.createDataFrame(rows, "topic string, payload string, arrival long"), F.col("arrival")).collect()
     assert [r.t_ns for r in got] == [1704067589165274881, 1704067589165275000, 5, 5]
+
+
+@pytest.mark.parametrize("how", ["nearest", "two_pointer"])
+def test_matching_with_a_key_where_tasks_are_empty(spark, how):
+    a = spark.createDataFrame([("x", 10), ("y", 50)], "k string, t_a long")
+    b = spark.createDataFrame([("x", 12), ("y", 90)], "k string, t_b long")
+    before = {c: spark.conf.get(c) for c in ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.shuffle.partitions", "16")
+        got = sorted(tuple(r) for r in match.match(a, b, "t_a", "t_b", 5, how, ["k"], 20).fillna(-1).collect())
+    finally:
+        for c, x in before.items():
+            spark.conf.set(c, x)
+    assert got == [("x", 10, 12, 2, "matched"), ("y", -1, 90, -1, "unmatched_b"), ("y", 50, -1, -1, "unmatched_a")]
+
+
+@pytest.mark.parametrize("how", ["nearest", "two_pointer"])
+def test_a_dense_bucket_is_summed_up_in_one_pass(how):
+    """Its states never meet: each row of a takes the same number of them one further."""
+
+    class Counted(list):
+        seen = 0
+
+        def __iter__(self):
+            for x in super().__iter__():
+                Counted.seen += 1
+                yield x
+
+    n, tol = 2000, 300
+    rows = sorted((t, side, -1 if t < 0 else 0) for t in range(-tol, n) for side in (0, 1) if side == 1 or t >= 0 or how == "two_pointer")
+    t, side, place = (np.array(c) for c in zip(*rows, strict=True))
+    fold = match._fold(how, tol)
+    fold.ready(t, side, place, (place == 0) & (t < tol) & (side == 1), np.zeros(len(t), bool))
+    name = "steps" if how == "nearest" else "events"
+    setattr(fold, name, Counted(getattr(fold, name)))
+    assert len(fold.exits()) == fold.count > tol and Counted.seen <= 2 * n
