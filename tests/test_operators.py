@@ -603,3 +603,27 @@ def test_a_dense_bucket_is_summed_up_in_one_pass(how):
     name = "steps" if how == "nearest" else "events"
     setattr(fold, name, Counted(getattr(fold, name)))
     assert len(fold.exits()) == fold.count > tol and Counted.seen <= 2 * n
+
+
+def test_stats_of_spans_equal_those_of_their_rows(spark):
+    rng = random.Random(9)
+    rows = [(rng.randrange(2000), rng.choice([None, rng.uniform(-50, 50), 7.25])) for _ in range(500)] + [(None, 1.0), (40, float("nan")), (700, float("inf")), (900, 1e300), (950, -1e12), (960, 0.125)]
+    spans = [(k, *sorted((rng.randrange(2000), rng.randrange(2000)))) for k in range(60)] + [(None, 0, 30), (3, 100, 130), (90, 5, 5), (91, 960, 961), (92, None, 7), (93, 3000, 4000)]
+    telemetry, spans = spark.createDataFrame(rows, "us long, value double"), spark.createDataFrame(spans, "experiment long, t_from long, t_to long")
+    want = match.annotate(telemetry, spans, "us").groupBy("experiment").agg(F.count("*").alias("n"), F.avg("value").alias("mean"))
+    plan = match.annotated_stats(telemetry, spans, "us", "value", 100)
+    got, want = ({r.experiment: (r.n, r.mean) for r in x.collect()} for x in (plan, want))
+    assert set(got) == set(want) and {k: x[0] for k, x in got.items()} == {k: x[0] for k, x in want.items()}
+    for k, (_, mean) in want.items():
+        assert (got[k][1] is None) == (mean is None) and (mean is None or got[k][1] == pytest.approx(mean, abs=1e-9, rel=1e-12, nan_ok=True))
+
+
+def test_spans_that_all_hold_all_rows_make_no_pairs(spark):
+    telemetry = spark.range(3000).selectExpr("id + 10 as us", "double(id) as value")
+    spans = spark.range(3000).selectExpr("id as experiment", "id div 1000 as t_from", "5000 + id as t_to")
+    stats = match.annotated_stats(telemetry, spans, "us", "value", 500)
+    assert {(r.n, r.mean) for r in stats.collect()} == {(3000, 1499.5)} and stats.count() == 3000
+    # No join compares times: the only one is that of a bucket with its start.
+    plan = stats._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1 and "t_from#" not in "".join(x for x in plan.splitlines() if "Join " in x)
+
