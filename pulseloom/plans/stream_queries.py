@@ -10,6 +10,7 @@ import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators import detect
 from ..operators.scale import prefix
@@ -260,12 +261,17 @@ def user_signals(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _ordered_stream(spark: SparkSession, df: DataFrame, name: str, key: str, t: str, width: int) -> DataFrame:
-    """df as a stream of files in the order of t: one part of `width` after the other, a key's rows of it in one file."""
-    folder = shared.new_folder(spark, name)
-    first, last = df.agg(F.expr(f"min({t}) div {width}"), F.expr(f"max({t}) div {width}")).first()
-    for k in range(first, last + 1) if first is not None else ():
+    """df as a stream of files in the order of t: one part of `width` after the other, a key's rows of it in one file.
+
+    df is computed once and kept by part, so a part is written from its own rows.
+    """
+    folder, kept = shared.new_folder(spark, name), shared.new_folder(spark, f"{name}-parts")
+    df.withColumn("_part", F.expr(f"{t} div {width}")).where("_part is not null").write.partitionBy("_part").parquet(kept)
+    rows = spark.read.schema(T.StructType([*df.schema.fields, T.StructField("_part", T.LongType())])).parquet(kept)
+    df.limit(0).write.parquet(folder)
+    for (k,) in sorted(rows.select("_part").distinct().collect()):
         # The source takes files by their time, so a part is written whole before the next one begins.
-        df.where(F.expr(f"{t} div {width} = {k}")).repartition(4, key).write.mode("append").parquet(folder)
+        rows.where(F.col("_part") == k).drop("_part").repartition(4, key).write.mode("append").parquet(folder)
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 4).parquet(folder)
 
 
@@ -295,10 +301,14 @@ def stream_detect_settled(spark: SparkSession, d: str) -> DataFrame:
     return out.withColumn("t", F.round("t", 6))
 
 
+#: Samples of a part at most: a task of the stream holds those of a batch.
+SAMPLES = 1 << 20
+
+
 def _signal_stream(spark: SparkSession, d: str, method: str, rounded: bool = True, **levels: float) -> DataFrame:
     """The edges of the one long signal as a stream, and those its state held at the end."""
     s, folder = shared.saved(ordered_queries.signal(spark, d).select("series", "idx", "v"), "signal"), shared.new_folder(spark, "detect")
-    width = max(1, -(-(s.agg(F.max("idx")).first()[0] or 0) // PARTS))
+    width = max(1, min(SAMPLES, -(-(s.agg(F.max("idx")).first()[0] or 0) // PARTS)))
     out = streams.run_to_table(streams.stream_detect_ahead(_ordered_stream(spark, s, "samples", "series", "idx", width), "series", method, THRESHOLD, **levels), folder)
     out = out.unionByName(streams.finish_detect(spark, folder, "series", method, THRESHOLD, **levels))
     return out.withColumn("t", F.round("t", 6)).withColumn("height", F.round("height", 6)) if rounded else out

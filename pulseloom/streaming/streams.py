@@ -94,6 +94,14 @@ def finish_matches(spark: SparkSession, folder: str, by: str, tol_us: int) -> Da
     return match(left, right, "t_a", "t_b", tol_us, "two_pointer", [by]).select(by, F.col("t_a").alias("us_a"), F.col("t_b").alias("us_b"), F.col("delay").alias("delay_us"), "status")
 
 
+def _samples(pdfs: Iterator[pd.DataFrame]) -> tuple[np.ndarray, np.ndarray]:
+    """idx and v of a key's new samples, in order."""
+    parts = [(x["idx"].to_numpy(np.int64), x["v"].to_numpy(float)) for x in pdfs]
+    idx, v = (np.concatenate(c) for c in zip(*parts, strict=True))
+    order = np.argsort(idx, kind="stable")
+    return idx[order], v[order]
+
+
 def stream_detect(samples: DataFrame, by: str, threshold: float, min_distance: float, skip: int = 0, reset: float | None = None) -> DataFrame:
     """by, t, edge_type of threshold crossings in a stream of samples(by, idx, v) whose batches are in order.
 
@@ -104,12 +112,12 @@ def stream_detect(samples: DataFrame, by: str, threshold: float, min_distance: f
 
     def step(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last_idx, last_v, rise, fall, settled = state.get if state.exists else (None, None, None, None, reset is None)
-        rows = pd.concat(list(pdfs)).sort_values("idx")
-        rows = rows[rows["idx"] >= skip]
-        if not settled and len(rows):
-            calm = np.flatnonzero(rows["v"].abs().to_numpy() < reset)
-            rows, settled = (rows.iloc[calm[0] :], True) if len(calm) else (rows.iloc[:0], False)
-        idx, v = rows["idx"].to_numpy(np.int64), rows["v"].to_numpy(float)
+        idx, v = _samples(pdfs)
+        first = int(np.searchsorted(idx, skip))
+        if not settled:
+            calm = np.flatnonzero(np.abs(v[first:]) < reset)
+            first, settled = (first + int(calm[0]), True) if len(calm) else (len(idx), False)
+        idx, v = idx[first:], v[first:]
         if last_idx is not None:
             idx, v = np.concatenate(([last_idx], idx)), np.concatenate(([last_v], v))
         before, now = v[:-1], v[1:]
@@ -126,7 +134,8 @@ def stream_detect(samples: DataFrame, by: str, threshold: float, min_distance: f
         if len(idx):
             last_idx, last_v = int(idx[-1]), float(v[-1])
         state.update((last_idx, last_v, *kept, settled))
-        yield pd.DataFrame(found, columns=[by, "t", "edge_type"])
+        if found:
+            yield pd.DataFrame(found, columns=[by, "t", "edge_type"])
 
     return samples.groupBy(by).applyInPandasWithState(step, f"{by} string, t double, edge_type int", "idx long, v double, rise double, fall double, settled boolean", "append", GroupStateTimeout.NoTimeout)
 
@@ -206,10 +215,10 @@ def stream_detect_ahead(samples: DataFrame, by: str, method: str, threshold: flo
     """
 
     def step(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(pdfs)).sort_values("idx")
-        found, held = _detected(method, state.get if state.exists else None, rows["idx"].to_numpy(np.int64), rows["v"].to_numpy(float), threshold, min_distance, reset)
+        found, held = _detected(method, state.get if state.exists else None, *_samples(pdfs), threshold, min_distance, reset)
         state.update(held)
-        yield pd.DataFrame([(key[0], *f) for f in found], columns=[by, "t", "edge_type", "height", "idx"])
+        for k in range(0, len(found), 100_000):
+            yield pd.DataFrame([(key[0], *f) for f in found[k : k + 100_000]], columns=[by, "t", "edge_type", "height", "idx"])
 
     return samples.groupBy(by).applyInPandasWithState(step, f"{by} {dict(samples.dtypes)[by]}, t double, edge_type int, height double, idx long", _AHEAD, "append", GroupStateTimeout.NoTimeout)
 

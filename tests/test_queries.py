@@ -5,7 +5,7 @@ import decimal
 import duckdb
 import pytest
 
-from pulseloom.plans import registry
+from pulseloom.plans import registry, stream_queries
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -89,3 +89,34 @@ def test_first_window_is_dropped_and_the_last_ones_come_at_the_end(spark, small)
     whole = {tuple(r) for r in registry.QUERIES["stream_finalize"](spark, small).collect()}
     assert all(r[0] // hour > first for r in stream | whole)
     assert len(stream) > 1 and stream <= whole
+
+
+def test_rows_of_an_ordered_stream_are_computed_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    df = spark.range(500).selectExpr("id % 7 as k", "id as t").mapInArrow(count, "k long, t long")
+    stream = stream_queries._ordered_stream(spark, df, "counted", "k", "t", 50)
+    assert stream.isStreaming and made.value == 500
+
+
+def test_parts_of_a_long_signal_hold_few_samples(spark, small, monkeypatch):
+    def parts() -> int:
+        folders = []
+        new_folder = stream_queries.shared.new_folder
+        with monkeypatch.context() as m:
+            m.setattr(stream_queries.shared, "new_folder", lambda *a: folders.append(new_folder(*a)) or folders[-1])
+            m.setattr(stream_queries.streams, "run_to_table", lambda stream, folder: stream_queries.streams.finish_detect(spark, folder, "series", "peaks", 1.0))
+            m.setattr(stream_queries.streams, "finish_detect", lambda *a, **k: spark.createDataFrame([], "series string, t double, edge_type int, height double, idx long"))
+            stream_queries._signal_stream(spark, small, "peaks")
+        return len(spark.read.parquet(next(f for f in folders if "samples-parts" in f)).select("_part").distinct().collect())
+
+    few = parts()
+    monkeypatch.setattr(stream_queries, "SAMPLES", 20)
+    most = spark.read.parquet(f"{small}/events.parquet").count() / 20
+    assert few <= stream_queries.PARTS + 1 and parts() >= most
+
