@@ -65,60 +65,76 @@ def phase_noise(df: DataFrame, delay: str, order: list[str], pulse_freq: float,
     return out.select(*by, "n", rms.alias("rms_rad"), (rms / (2 * np.pi * pulse_freq) * 1e9).alias("rms_jitter_ns"), *cols)
 
 
-def _transform(cells: DataFrame, by: list[str], rows: int, columns: int, inverse: bool = False) -> DataFrame:
-    """The discrete transform of cells(by..., i, re, im) of rows * columns places, 0 where there is none, as two rounds of short ones.
+#: Rows or columns of a long transform that go together to a task.
+BLOCK = 64
 
-    Place i = columns * a + b goes to task b for a transform over a, then frequency k = c + rows * d to task c for one
-    over b: no task holds more than a row or a column.
-    """
-    turn = 2j if inverse else -2j
-    total = rows * columns
-    types = ", ".join(f"{n} {t}" for n, t in cells.dtypes if n in by)
-    schema = f"{types}, i long, re double, im double" if types else "i long, re double, im double"
-
-    def out(key: tuple, places: np.ndarray, z: np.ndarray) -> pd.DataFrame:
-        return pd.DataFrame({**dict(zip(by, key, strict=False)), "i": places, "re": z.real, "im": z.imag})
-
-    def first(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        z = np.zeros(rows, complex)
-        z[pdf["i"].to_numpy() // columns] = pdf["re"].to_numpy() + 1j * pdf["im"].to_numpy()
-        b, c = int(key[-1]), np.arange(rows)
-        z = (np.fft.ifft(z) * rows if inverse else np.fft.fft(z)) * np.exp(turn * np.pi * ((b * c) % total) / total)
-        return out(key, c * columns + b, z)
-
-    def second(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        z = np.zeros(columns, complex)
-        z[pdf["i"].to_numpy() % columns] = pdf["re"].to_numpy() + 1j * pdf["im"].to_numpy()
-        z = np.fft.ifft(z) * columns if inverse else np.fft.fft(z)
-        return out(key, int(key[-1]) + rows * np.arange(columns), z)
 
-    half = cells.withColumn("_b", F.col("i") % columns).groupBy(*by, "_b").applyInPandas(first, schema)
-    return half.withColumn("_c", F.expr(f"i div {columns}")).groupBy(*by, "_c").applyInPandas(second, schema)
+def _chirp(i: np.ndarray, n: int) -> np.ndarray:
+    """Angles from whole numbers below 2 n, so that long series keep their precision; squares are below 2 ** 63."""
+    return np.exp(1j * np.pi * ((i * i) % (2 * n)) / n)
 
 
-def _long_spectrum(rows: DataFrame, by: list[str], longest: int) -> DataFrame:
-    """by..., i, re, im: the transform of series rows(by..., _i, _n, _z) of any length below `longest`.
+def _long_squares(rows: DataFrame, sizes: DataFrame, by: list[str], longest: int, pulse_freq: float, lo: float, hi: float) -> DataFrame:
+    """by..., _squares: one-sided sums of squares in [lo, hi] Hz of series rows(by..., _i, _n, _z) of any length up to `longest`.
 
-    Chirps turn the transform of n places into a convolution, whose own transforms have a length that divides well.
+    Chirps turn the transform of n places into a convolution, whose own transforms have side * side places, in two rounds
+    each: place side * a + b goes to column b for a transform over a, then frequency c + side * d to row c for one over
+    b. What a round leaves in row c is what the way back starts from, so there are two exchanges of all places, and they
+    travel in blocks of BLOCK rows of 16 bytes a number. The filter is made where its columns are.
     """
     side = 1
     while side * side < 2 * longest:
         side *= 2
-    size = side * side
-    # Angles from whole numbers below 2 n, so that long series keep their precision.
-    chirp = F.pi() * ((F.col("_i").cast("decimal(19,0)") * F.col("_i").cast("decimal(19,0)")) % (2 * F.col("_n")).cast("decimal(20,0)")).cast("double") / F.col("_n")
-    signal = rows.select(*by, F.col("_i").alias("i"), (F.col("_z") * F.cos(chirp)).alias("re"), (-F.col("_z") * F.sin(chirp)).alias("im"))
-    both = F.explode(F.when(F.col("_i") == 0, F.array(F.lit(0).cast("long"))).otherwise(F.array("_i", size - F.col("_i"))))
-    filters = rows.select(*by, both.alias("i"), F.cos(chirp).alias("re"), F.sin(chirp).alias("im"))
-    x = _transform(signal, by, side, side)
-    y = _transform(filters, by, side, side).select(*[F.col(c).alias(f"_y_{c}") for c in [*by, "i", "re", "im"]])
-    same = F.col("i") == F.col("_y_i")
-    for c in by:
-        same = same & F.col(c).eqNullSafe(F.col(f"_y_{c}"))
-    a, b, c, d = (F.col(k) for k in ("re", "im", "_y_re", "_y_im"))
-    product = x.join(y, same).select(*by, "i", ((a * c - b * d) / size).alias("re"), ((a * d + b * c) / size).alias("im"))
-    # The last factor is a chirp of absolute value one: power needs none of it.
-    return _transform(product, by, side, side, inverse=True)
+    size, block = side * side, min(BLOCK, side)
+    types = "".join(f"`{n}` {t}, " for n, t in rows.dtypes if n in by)
+    place = np.arange(side)
+
+    def turns(b: np.ndarray, c: np.ndarray, sign: int) -> np.ndarray:
+        return np.exp(sign * 2j * np.pi * ((b * c) % size) / size)
+
+    def frame(key: tuple, made: list[tuple], names: list[str]) -> pd.DataFrame:
+        return pd.DataFrame([(*key, *x) for x in made], columns=[*by, *names])
+
+    def first(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        n, b = int(pdf["_n"].iloc[0]), int(key[-1])
+        own = pdf[pdf["_i"] >= 0]
+        i = own["_i"].to_numpy()
+        z, at = np.zeros(side, complex), side * place + b
+        z[i // side] = own["_z"].to_numpy() * _chirp(i, n).conj()
+        far = np.minimum(at, size - at)
+        with_turns = turns(b, place, -1)
+        x, h = np.fft.fft(z) * with_turns, np.fft.fft(np.where(far < n, _chirp(np.minimum(far, n), n), 0)) * with_turns
+        return frame(key[:-1], [(k // block, n, b, x[k : k + block].tobytes(), h[k : k + block].tobytes()) for k in range(0, side, block)], ["_block", "_n", "_b", "_x", "_h"])
+
+    def second(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        c, order = int(key[-1]) * block + np.arange(block)[:, None], pdf["_b"].to_numpy()
+        product = np.full((block, side), 1 / size, complex)
+        for name in ("_x", "_h"):
+            cells = np.zeros((block, side), complex)
+            cells[:, order] = np.frombuffer(b"".join(pdf[name]), complex).reshape(-1, block).T
+            product *= np.fft.fft(cells, axis=1)
+        back = np.fft.ifft(product, axis=1) * side * turns(c, place, 1)
+        return frame(key[:-1], [(k // block, int(pdf["_n"].iloc[0]), int(key[-1]), back[:, k : k + block].tobytes()) for k in range(0, side, block)], ["_block", "_n", "_b", "_x"])
+
+    def third(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        n, cells = int(pdf["_n"].iloc[0]), np.zeros((block, side), complex)
+        for k, x in zip(pdf["_b"], pdf["_x"], strict=True):
+            cells[:, k * block : (k + 1) * block] = np.frombuffer(x, complex).reshape(block, block).T
+        # The last factor of the chirps has absolute value one: power needs none of it.
+        power = np.abs(np.fft.ifft(cells, axis=1) * side) ** 2
+        at = int(key[-1]) * block + np.arange(block)[:, None] + side * place
+        freq = at * pulse_freq / n
+        inside = (at <= n // 2) & (freq >= lo) & (freq <= hi)
+        squares = power * np.where((at == 0) | (at == n // 2), 1.0, 2.0)
+        return frame(key[:-1], [(float(squares[inside].sum()),)] if inside.any() else [], ["_squares"])
+
+    # Columns that a short series leaves empty have their part of the filter.
+    empty = sizes.select(*by, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(side - 1).cast("long"))).alias("_b"), F.lit(-1).cast("long").alias("_i"), F.col("n").alias("_n"), F.lit(0.0).alias("_z"))
+    placed = rows.select(*by, (F.col("_i") % side).cast("long").alias("_b"), F.col("_i").cast("long").alias("_i"), "_n", "_z").unionByName(empty)
+    columns = placed.groupBy(*by, "_b").applyInPandas(first, f"{types}_block long, _n long, _b long, _x binary, _h binary")
+    tiles = columns.groupBy(*by, "_block").applyInPandas(second, f"{types}_block long, _n long, _b long, _x binary")
+    parts = tiles.groupBy(*by, "_block").applyInPandas(third, f"{types}_squares double")
+    return parts.groupBy(*by).agg(F.sum("_squares").alias("_squares"))
 
 
 def band_rms(df: DataFrame, delay: str, order: list[str], pulse_freq: float, lo: float, hi: float, by: list[str], width: float = 1e9, whole: int = 1 << 20) -> DataFrame:
@@ -147,14 +163,6 @@ def band_rms(df: DataFrame, delay: str, order: list[str], pulse_freq: float, lo:
     squares = short
     if longest > whole:
         long = rows.where(F.col("_n") > whole)
-        lengths = sizes.select(*[F.col(c).alias(f"_l_{c}") for c in by], F.col("n").alias("_n"))
-        same = F.lit(True)
-        for c in by:
-            same = same & F.col(c).eqNullSafe(F.col(f"_l_{c}"))
-        bins = _long_spectrum(long, by, longest).join(lengths, same)
-        freq = F.col("i") * pulse_freq / F.col("_n")
-        double = F.when((F.col("i") == 0) | (F.col("i") == F.floor(F.col("_n") / 2)), 1.0).otherwise(2.0)
-        inside = bins.where((F.col("i") <= F.floor(F.col("_n") / 2)) & (freq >= lo) & (freq <= hi))
-        squares = short.unionByName(inside.groupBy(*by).agg(F.sum((F.col("re") ** 2 + F.col("im") ** 2) * double).alias("_squares")))
+        squares = short.unionByName(_long_squares(long, sizes.where(F.col("n") > whole), by, longest, pulse_freq, lo, hi))
     out = sizes.join(norm, by, "left").join(squares, by, "left")
     return out.select(*by, "n", F.sqrt(F.col("_squares") / F.col("_s2") / F.col("n")).alias("band_rms"))

@@ -627,3 +627,13 @@ def test_spans_that_all_hold_all_rows_make_no_pairs(spark):
     plan = stats._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join ") == 1 and "t_from#" not in "".join(x for x in plan.splitlines() if "Join " in x)
 
+
+def test_a_long_spectrum_is_exchanged_in_blocks(spark):
+    rng = random.Random(3)
+    df = spark.createDataFrame([(g, k, rng.random()) for g, n in (("a", 301), (None, 5), ("b", 1024), ("c", 2), ("d", 260)) for k in range(n)], "g string, k long, v double")
+    one, cut = (spectrum.band_rms(df, "v", ["k"], 100.0, 5.0, 50.0, ["g"], whole=w) for w in (10_000, 4))
+    got, want = ({r.g: (r.n, r.band_rms) for r in x.collect()} for x in (cut, one))
+    assert {g: n for g, (n, _) in got.items()} == {g: n for g, (n, _) in want.items()}
+    assert all(got[g][1] == (None if x is None else pytest.approx(x, rel=1e-9)) for g, (_, x) in want.items())
+    # Three rounds: the filter comes with the columns, and the way back starts where the product is.
+    assert cut._jdf.queryExecution().optimizedPlan().toString().count("FlatMapGroupsInPandas") == 4
