@@ -151,8 +151,8 @@ def _fold(how: str, tol: float) -> _Nearest | _TwoPointer:
     return _TwoPointer(tol) if how == "two_pointer" else _Nearest(tol, how == "nearest", "unmatched_a" if how == "nearest" else "rejected")
 
 
-def _grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[list, list[np.ndarray]]]:
-    """(key, columns of its rows) of batches that start with `keys` columns and are sorted by them."""
+def runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[list, list[pa.RecordBatch]]]:
+    """(key, its rows) of batches that start with `keys` columns and are sorted by them."""
     key, parts = None, []
     for batch in batches:
         if not batch.num_rows:
@@ -162,16 +162,21 @@ def _grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[lis
         for c in codes:
             new[1:] |= c[1:] != c[:-1]
         cuts = [0, *np.flatnonzero(new).tolist(), batch.num_rows]
-        values = [batch.column(c).to_numpy(zero_copy_only=False) for c in range(keys, batch.num_columns)]
         for i, j in zip(cuts, cuts[1:], strict=False):
             own = [batch.column(c)[i].as_py() for c in range(keys)]
             if parts and own != key:
-                yield key, [np.concatenate(p) for p in zip(*parts, strict=True)]
+                yield key, parts
                 parts = []
             key = own
-            parts.append([v[i:j] for v in values])
+            parts.append(batch.slice(i, j - i))
     if parts:
-        yield key, [np.concatenate(p) for p in zip(*parts, strict=True)]
+        yield key, parts
+
+
+def _grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[list, list[np.ndarray]]]:
+    """(key, columns of its rows) of batches that start with `keys` columns and are sorted by them."""
+    for key, parts in runs(batches, keys):
+        yield key, [np.concatenate([p.column(c).to_numpy(zero_copy_only=False) for p in parts]) for c in range(keys, parts[0].num_columns)]
 
 
 def in_buckets(rows: DataFrame, on: list[str], tol: float, how: str, width: float) -> DataFrame:

@@ -637,3 +637,28 @@ def test_a_long_spectrum_is_exchanged_in_blocks(spark):
     assert all(got[g][1] == (None if x is None else pytest.approx(x, rel=1e-9)) for g, (_, x) in want.items())
     # Three rounds: the filter comes with the columns, and the way back starts where the product is.
     assert cut._jdf.queryExecution().optimizedPlan().toString().count("FlatMapGroupsInPandas") == 4
+
+
+def test_clock_model_rows_meet_no_key(spark):
+    """Rows aren't joined by key, sparse buckets look far back, samples without a value count only, and x without spread has no slope."""
+    rng = random.Random(6)
+    rows = [(key, o, o // 30, 1000 * o, None if o % 17 == 0 else 1000 * o + 3 * o + rng.randrange(9)) for key in ("a", None) for o in sorted(rng.sample(range(2000), 500))]
+    rows += [("flat", o, 0, 5, 5 + o) for o in range(20)]
+    df = spark.createDataFrame(rows, "dev string, o long, s long, x long, y long")
+    made = clock.clock_model(df, ["dev"], ["o"], "s", "x", "y", 40, 8, width=7, block=64)
+    assert "Join" not in made._jdf.queryExecution().optimizedPlan().toString()
+    got = {(r.dev, r.s): r for r in made.collect()}
+    for key in ("a", None):
+        own = [r for r in rows if r[0] == key]
+        last = {r[2]: i for i, r in enumerate(own)}
+        assert {s for k, s in got if k == key} == set(last)
+        for s, i in last.items():
+            r, seen = got[key, s], own[max(0, i - 39) : i + 1]
+            assert r.n == len(seen)
+            if r.n >= 8:
+                x, e = (np.array(v, float) for v in zip(*[(q[3], q[4] - q[3]) for q in seen if q[4] is not None], strict=True))
+                slope = np.polyfit(x - x.mean(), e, 1)[0]
+                assert abs(r.slope_m1 - slope) < 1e-12 and abs(r["std"] - np.std(e - slope * x)) < 1e-7 and r.x_ref == int(np.floor(x.mean() + 0.5))
+            else:
+                assert r.slope_m1 is None and not r.valid
+    assert got["flat", 0].slope_m1 is None and got["flat", 0].n == 20 and not got["flat", 0].valid
