@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import match, scale, stats
+from ..operators import bands, match, scale, stats
 from ..operators.scale import prefix
 from .registry import DAY, EV, HOUR, SECOND, events, query, read
 
@@ -30,8 +30,7 @@ _STATS = ("mean", "std", "max_dev", "p50", "p95", "p99", "p999")
 
 @query("jitter_stats", f"WITH {PAIRS}, m AS (SELECT *, t_a // {DAY} AS day FROM pairs), c AS (SELECT *, abs(delay - avg(delay) OVER (PARTITION BY day)) AS dev FROM m) SELECT day, count(*) AS n, {_JITTER} FROM c GROUP BY day")
 def jitter(spark: SparkSession, d: str) -> DataFrame:
-    pairs = scale.band_join(*clicks_and_views(spark, d), "t_a", "t_b", TOL).withColumn("delay", F.col("t_b") - F.col("t_a")).withColumn("day", F.floor(F.col("t_a") / DAY))
-    return rounded(stats.jitter_stats(pairs, "delay", ["day"]), *_STATS)
+    return rounded(bands.band_jitter(*clicks_and_views(spark, d), "t_a", "t_b", TOL, DAY, [], []).withColumnRenamed("bucket", "day"), *_STATS)
 
 
 @query("jitter_stats_all", f"WITH c AS (SELECT l_quantity AS delay, abs(l_quantity - avg(l_quantity) OVER ()) AS dev FROM lineitem) SELECT count(*) AS n, {_JITTER}, round(avg(delay) * 1e-9 * 2000 * 360, 9) AS phase_mean_deg, round(stddev_pop(delay) * 1e-9 * 2000 * 360, 9) AS phase_std_deg FROM c")
@@ -239,10 +238,9 @@ def running_intersection(spark: SparkSession, d: str) -> DataFrame:
  SELECT g.*, edges_a, edges_b, overflow, round(rms, 6) AS rms_rad FROM g JOIN x USING (bucket) LEFT JOIN q USING (bucket), s WHERE n >= 2 AND bucket > first""")
 def minute_report(spark: SparkSession, d: str) -> DataFrame:
     """All statistics of each closed window, with the edges of both channels and the overflow counter beside them."""
-    from ..streaming.minutes import minute_report as run
+    from ..streaming.minutes import band_report as run
 
     e = events(spark, d).where("event_type in ('click', 'view')")
     edges = e.select("us", F.when(F.col("event_type") == "click", "a").otherwise("b").alias("side"), F.col("k").alias("overflow"))
-    pairs = scale.band_join(*clicks_and_views(spark, d), "t_a", "t_b", TOL).withColumn("delay", F.col("t_b") - F.col("t_a"))
-    out = run(pairs, edges, events(spark, d).agg(F.min("us").alias("start")), "t_a", "delay", ["t_a", "id_a", "id_b"], 1000.0, HOUR, 2)
+    out = run(*clicks_and_views(spark, d), "t_a", "t_b", TOL, edges, events(spark, d).agg(F.min("us").alias("start")), ["id_a"], ["id_b"], 1000.0, HOUR, 2)
     return rounded(out.drop("rms_jitter_ns"), *_STATS, "rms_rad")

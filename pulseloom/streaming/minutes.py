@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import spectrum, stats
+from ..operators import bands, spectrum, stats
 
 
 def minute_stats(pairs: DataFrame, start: DataFrame, t_a: str, delay: str, every_us: int = 60_000_000, least: int = 10) -> DataFrame:
@@ -30,12 +30,22 @@ def minute_report(pairs: DataFrame, edges: DataFrame, start: DataFrame, t_a: str
     the first, incomplete one are dropped.
     """
     placed = pairs.withColumn("bucket", F.expr(f"{t_a} div {every_us}"))
-    out = stats.jitter_stats(placed, delay, ["bucket"]).where(F.col("n") >= least)
-    counts = edges.groupBy(F.expr(f"us div {every_us}").alias("bucket")).agg(*[F.sum((F.col("side") == x).cast("long")).alias(f"edges_{x}") for x in ("a", "b")], F.max("overflow").alias("overflow"))
     noise = spectrum.phase_noise(placed, delay, order, pulse_freq, ["bucket"], [], every_us).where(F.col("rms_rad").isNotNull() & ~F.isnan("rms_rad"))
+    out = stats.jitter_stats(placed, delay, ["bucket"]).join(noise.select("bucket", "rms_rad", "rms_jitter_ns"), "bucket", "left")
+    return _reported(out, edges, start, every_us, least)
+
+
+def band_report(a: DataFrame, b: DataFrame, ta: str, tb: str, tol: int, edges: DataFrame, start: DataFrame, order_a: list[str], order_b: list[str], pulse_freq: float, every_us: int = 60_000_000, least: int = 10) -> DataFrame:
+    """minute_report of all pairs of a and b with |tb - ta| at most tol, in the order of ta, order_a, order_b, without making a table of them."""
+    return _reported(bands.band_jitter(a, b, ta, tb, tol, every_us, order_a, order_b, pulse_freq), edges, start, every_us, least)
+
+
+def _reported(out: DataFrame, edges: DataFrame, start: DataFrame, every_us: int, least: int) -> DataFrame:
+    counts = edges.groupBy(F.expr(f"us div {every_us}").alias("bucket")).agg(*[F.sum((F.col("side") == x).cast("long")).alias(f"edges_{x}") for x in ("a", "b")], F.max("overflow").alias("overflow"))
     first = start.select(F.expr(f"start div {every_us}").alias("_first"))
-    out = out.join(counts, "bucket").join(noise.select("bucket", "rms_rad", "rms_jitter_ns"), "bucket", "left")
-    return out.join(F.broadcast(first), F.col("bucket") > F.col("_first")).drop("_first")
+    met = out.where(F.col("n") >= least).join(counts, "bucket").join(F.broadcast(first), F.col("bucket") > F.col("_first"))
+    own = [c for c in out.columns if not c.startswith("rms_")]
+    return met.select(*own, "edges_a", "edges_b", "overflow", "rms_rad", "rms_jitter_ns")
 
 
 def quantile_of(ordered: Column, q: float) -> Column:

@@ -2,13 +2,15 @@ from __future__ import annotations
 
 import random
 import shutil
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from pulseloom.operators import clock, detect, flux, match, scale, sinks, spectrum, stats
+from pulseloom.operators import bands, clock, detect, flux, match, scale, sinks, spectrum, stats
+from pulseloom.plans import registry
 
 
 def series(spark, times, name="t"):
@@ -662,3 +664,33 @@ def test_clock_model_rows_meet_no_key(spark):
             else:
                 assert r.slope_m1 is None and not r.valid
     assert got["flat", 0].slope_m1 is None and got["flat", 0].n == 20 and not got["flat", 0].valid
+
+
+def test_band_jitter_equals_that_of_the_pairs(spark):
+    """Unordered ids, ties, rows without a time, and parts of few pairs; buckets with one pair, an even and an odd number of them."""
+    rng = random.Random(5)
+    times = [[rng.randrange(3000) for _ in range(90)] + [5 * k for k in range(30)] + [7000, None] for _ in range(2)]
+    a, b = (spark.createDataFrame([(t, rng.randrange(10**6)) for t in x], f"t_{n} long, id_{n} long") for n, x in zip("ab", times, strict=True))
+    pairs = scale.band_join(a, b, "t_a", "t_b", 60).withColumn("delay", F.col("t_b") - F.col("t_a")).withColumn("bucket", F.expr("t_a div 500"))
+    want = {r.bucket: r for r in stats.jitter_stats(pairs, "delay", ["bucket"]).collect()}
+    noise = {r.bucket: r.rms_rad for r in spectrum.phase_noise(pairs, "delay", ["t_a", "id_a", "id_b"], 1000.0, ["bucket"], [], 500).collect()}
+    got = bands.band_jitter(a, b, "t_a", "t_b", 60, 500, ["id_a"], ["id_b"], 1000.0, 50).collect()
+    assert {r.bucket for r in got} == set(want) and any(r.n == 1 for r in got) and {r.n % 2 for r in got} == {0, 1}
+    for r in got:
+        w = want[r.bucket]
+        assert (r.n, r.min, r.max) == (w.n, w.min, w.max)
+        assert all(abs(r[c] - w[c]) < 1e-9 for c in ("mean", "std", "max_dev", *stats.QUANTILES))
+        assert r.rms_rad is None if r.n < 3 else abs(r.rms_rad - noise[r.bucket]) < 1e-12
+
+
+def test_minute_report_makes_no_table_of_pairs(spark, tmp_path):
+    """In an hour of dense clicks and views, what is kept between steps is far less than their pairs."""
+    kinds = F.when(F.col("id") % 2 == 0, "click").otherwise("view")
+    dense = spark.range(600).select(F.col("id").alias("event_id"), F.timestamp_micros(F.lit(7_200_000_000) + F.col("id") * 100_000).cast("timestamp_ntz").alias("ts"), F.lit(1).cast("long").alias("user_id"), kinds.alias("event_type"), F.lit(1.0).alias("value"), F.lit('{"k": 3}').alias("props"))
+    early = dense.where("event_id = 0").withColumn("ts", F.timestamp_micros(F.lit(0)).cast("timestamp_ntz"))
+    dense.unionByName(early).write.parquet(f"{tmp_path}/events.parquet")
+    shared = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    old = set(shared.iterdir()) if shared.exists() else set()
+    (r,) = registry.QUERIES["minute_report"](spark, str(tmp_path)).collect()
+    kept = [spark.read.parquet(str(f)).count() for f in set(shared.iterdir()) - old]
+    assert r.n == 300 * 300 and kept and max(kept) < 3000
