@@ -179,17 +179,22 @@ def device_edges(spark: SparkSession, d: str) -> DataFrame:
     return detect.debounce(e, ["capture_id", "side"], ["us", "event_id"], "us", 5 * TOL, DAY).select("capture_id", "side", "us")
 
 
+def _captures(edges: DataFrame) -> int:
+    return edges.select("capture_id").distinct().count()
+
+
 @query("stream_match", f"WITH RECURSIVE {_EDGES}, l AS (SELECT device, max(us) AS last FROM e GROUP BY 1) SELECT m.* FROM m JOIN l ON capture_id = device WHERE least(coalesce(us_a, us_b), coalesce(us_b, us_a)) <= last - {HOLD}")
 def stream_match(spark: SparkSession, d: str) -> DataFrame:
-    edges = _ordered_stream(spark, shared.saved(device_edges(spark, d), "edges"), "edges", "capture_id", "us", 6 * DAY)
-    return streams.run_to_table(streams.stream_match(edges, "capture_id", TOL, HOLD), shared.new_folder(spark, "match"))
+    edges = shared.saved(device_edges(spark, d), "edges")
+    stream = _ordered_stream(spark, edges, "edges", "capture_id", "us", 6 * DAY)
+    return streams.run_to_table(streams.stream_match(stream, "capture_id", TOL, HOLD), shared.new_folder(spark, "match"), keys=_captures(edges))
 
 
 @query("stream_match_finalize", f"WITH RECURSIVE {_EDGES} SELECT * FROM m")
 def stream_match_finalize(spark: SparkSession, d: str) -> DataFrame:
     """A stopped stream's decisions, and those on what its state still held."""
     edges, folder = shared.saved(device_edges(spark, d), "edges"), shared.new_folder(spark, "match")
-    done = streams.run_to_table(streams.stream_match(_ordered_stream(spark, edges, "edges", "capture_id", "us", 6 * DAY), "capture_id", TOL, HOLD), folder)
+    done = streams.run_to_table(streams.stream_match(_ordered_stream(spark, edges, "edges", "capture_id", "us", 6 * DAY), "capture_id", TOL, HOLD), folder, keys=_captures(edges))
     return done.unionByName(streams.finish_matches(spark, folder, "capture_id", TOL))
 
 
@@ -202,12 +207,13 @@ def stream_match_timed(spark: SparkSession, d: str) -> DataFrame:
     """As stream_match_finalize, but silent devices are decided by the clock of all, and the query is stopped after each part."""
     edges, source, folder = shared.saved(device_edges(spark, d), "edges"), shared.new_folder(spark, "edges"), shared.new_folder(spark, "match")
     first, last = edges.agg(F.min("us"), F.max("us")).first()
+    keys = _captures(edges)
     part = F.least(F.floor((F.col("us") - (first or 0)) * PARTS / ((last or 0) - (first or 0) + 1)), F.lit(PARTS - 1))
     for k in range(PARTS):
         # A part is one batch, as the clock must not run ahead of edges that come with it.
         edges.where(part == k).write.mode("append").parquet(source)
         stream = spark.readStream.schema(edges.schema).parquet(source)
-        done = streams.run_to_table(streams.stream_match(stream, "capture_id", TOL, HOLD, 2 * HOLD), folder)
+        done = streams.run_to_table(streams.stream_match(stream, "capture_id", TOL, HOLD, 2 * HOLD), folder, keys=keys)
     return done.unionByName(streams.finish_matches(spark, folder, "capture_id", TOL))
 
 
@@ -340,8 +346,9 @@ def stream_match_hook(spark: SparkSession, d: str) -> DataFrame:
     def put(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
 
-    edges = _ordered_stream(spark, shared.saved(device_edges(spark, d), "edges"), "edges", "capture_id", "us", 6 * DAY)
-    streams.run_hook(streams.stream_match(edges, "capture_id", TOL, HOLD), folder, put)
+    edges = shared.saved(device_edges(spark, d), "edges")
+    stream = _ordered_stream(spark, edges, "edges", "capture_id", "us", 6 * DAY)
+    streams.run_hook(streams.stream_match(stream, "capture_id", TOL, HOLD), folder, put, keys=_captures(edges))
     return spark.read.parquet(f"{folder}/out").drop("batch")
 
 

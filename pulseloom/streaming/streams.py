@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -240,10 +241,29 @@ def finish_detect(spark: SparkSession, folder: str, by: str, method: str, thresh
     return state.mapInPandas(run, f"{by} {kind}, t double, edge_type int, height double, idx long")
 
 
-def run_hook(stream: DataFrame, folder: str, hook: Callable[[DataFrame, int], None]) -> None:
+@contextmanager
+def _state_tasks(spark: SparkSession, keys: int | None) -> Iterator[None]:
+    """Streams that start inside deal their state to at most as many tasks as there are `keys`.
+
+    Each batch starts all tasks of a state and commits each one's files, keys or not, so idle ones are what a batch of
+    few keys costs. A stream keeps the number it began with; the session has its own again once it has started.
+    """
+    name = "spark.sql.shuffle.partitions"
+    own = spark.conf.get(name)
+    if keys is not None:
+        spark.conf.set(name, str(max(1, min(int(own), keys))))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, own)
+
+
+def run_hook(stream: DataFrame, folder: str, hook: Callable[[DataFrame, int], None], keys: int | None = None) -> None:
     """Runs a stream of decisions over all data there is and hands each batch of them, with its number, to a hook, as
-    edges are matched. A batch may come again after a failure, with the same number."""
-    stream.writeStream.foreachBatch(hook).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    edges are matched. A batch may come again after a failure, with the same number. `keys`: see _state_tasks."""
+    with _state_tasks(stream.sparkSession, keys):
+        query = stream.writeStream.foreachBatch(hook).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
 
 
 def run_stamped(stream: DataFrame, folder: str, clock: Callable[[], int] = time.time_ns) -> DataFrame:
@@ -277,9 +297,11 @@ def stream_dedup(edges: DataFrame, keys: list[str], ts: str, lateness: str) -> D
     return edges.withWatermark(ts, lateness).dropDuplicatesWithinWatermark(keys)
 
 
-def run_to_table(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
-    """Runs a stream over all data there is and returns what it wrote; state and output are in `folder`."""
-    stream.writeStream.format("parquet").outputMode(mode).option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+def run_to_table(stream: DataFrame, folder: str, mode: str = "append", keys: int | None = None) -> DataFrame:
+    """Runs a stream over all data there is and returns what it wrote; state and output are in `folder`. `keys`: see _state_tasks."""
+    with _state_tasks(stream.sparkSession, keys):
+        query = stream.writeStream.format("parquet").outputMode(mode).option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/out")
 
 

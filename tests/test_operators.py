@@ -694,3 +694,17 @@ def test_minute_report_makes_no_table_of_pairs(spark, tmp_path):
     (r,) = registry.QUERIES["minute_report"](spark, str(tmp_path)).collect()
     kept = [spark.read.parquet(str(f)).count() for f in set(shared.iterdir()) - old]
     assert r.n == 300 * 300 and kept and max(kept) < 3000
+
+
+def test_stream_match_has_no_state_tasks_without_keys(spark, small):
+    """The state of eight devices is dealt to eight tasks at most, however many the session has, and the session keeps its number."""
+    shared = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    old = set(shared.iterdir()) if shared.exists() else set()
+    spark.conf.set("spark.sql.shuffle.partitions", "12")
+    try:
+        assert registry.QUERIES["stream_match_timed"](spark, small).count() > 0
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "12"
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    (state,) = [f / "state" / "state" / "0" for f in set(shared.iterdir()) - old if f.name.startswith("match-")]
+    assert 0 < len([f for f in state.iterdir() if f.name.isdigit()]) <= 8
